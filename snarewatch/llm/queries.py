@@ -21,18 +21,39 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snarewatch.llm.pii import personal_data, span_digests
+
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snarewatch.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from snarewatch.llm.bpe import round_trip, ship_lexicon
+
+    docs = table(spark, sf_dir, "documents")
+    return round_trip(docs, ship_lexicon(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snarewatch.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snarewatch.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snarewatch.llm.chat_format import expand_targets, read_back
 
