@@ -203,8 +203,11 @@ def span_digests(found: DataFrame) -> DataFrame:
     text = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     base_text = F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base_text, ","), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(F.array_join(base_text, ","), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"))
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
