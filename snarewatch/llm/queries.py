@@ -54,6 +54,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snarewatch.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snarewatch.llm.chat_format import expand_targets, read_back
 
