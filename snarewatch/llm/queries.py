@@ -48,6 +48,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snarewatch.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snarewatch.llm.html_extract import extract_main_text
 
