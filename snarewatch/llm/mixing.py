@@ -9,7 +9,7 @@ shard; each shard then gets a disjoint range of the source's permuted blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snarewatch.llm.common import checkpoint, words_of
@@ -19,6 +19,8 @@ from snarewatch.llm.hypergeometric import draw_multivariate
 BLOCKS = 1024
 #: Output shards of the mix.
 SHARDS = 32
+#: Hashed cells of a shard, each shuffled on its own.
+CELLS = 16
 #: No source gives more than so many times its size.
 MOST = 3
 
@@ -179,12 +181,13 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: a row a copy, each shard shuffled locally, columns of ``docs``.
+    """The mix itself: a row a copy, columns of ``docs``, each shard's cells shuffled locally.
 
     ``plan`` is ``mix_sources(docs)`` and is matched by doc_id; rows that share a
     doc_id must be told apart beforehand. Documents that the mix leaves out are gone.
     """
     picks = plan.where("size(shards) > 0").select(F.col("doc_id").alias("_id"), F.col("shards").alias("_shards"))
     rows = docs.join(picks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_shard", F.explode("_shards"))
-    order: Column = F.xxhash64(F.lit(f"local {seed}"), "doc_id", "_shard")
-    return rows.withColumn("_order", order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(f"local {seed}"), "doc_id", "_shard")).withColumn("_cell", F.pmod("_order", F.lit(CELLS)))
+    placed = rows.repartition("_shard", "_cell").sortWithinPartitions("_shard", "_order")
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns])
