@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from snarewatch.sources.fixtures import Tables, text_of
 
-MODULES = ("links",)
+MODULES = ("links", "files", "usage")
 
 
 def _plans() -> list:

@@ -156,8 +156,9 @@ def text_of(sql: str) -> str:
     views = [f"{name} as ({VIEWS[name].strip()})" for name in needs(sql)]
     if not views:
         return sql
-    head = "with " + ", ".join(views)
-    return f"{head}, {sql.strip()[5:]}" if re.match(r"\s*with\b", sql) and "recursive" not in sql[:40] else f"{head} {sql}"
+    own = re.match(r"\s*with\s+(recursive\s+)?", sql)
+    head = f"with {own[1] if own and own[1] else ''}" + ", ".join(views)
+    return f"{head}, {sql[own.end():]}" if own else f"{head} {sql}"
 
 
 class Tables:
