@@ -27,10 +27,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word is frequent from this share of all words on; there are at most 1 / share.
-MIN_SHARE = 1e-6
-#: Entries of a worker's table of words it has met; when full, it starts anew.
-MEMO = 300_000
+#: A word is frequent from so many occurrences a character on; there are at most 1 / share.
+MIN_SHARE = 2e-7
+#: Entries of a worker's tables of words and chunks it has met; when full, one starts anew.
+MEMO = 200_000
 #: The split of byte-level BPE into words, a fixed value of the vocabulary's family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(SPLIT)
@@ -198,44 +198,101 @@ class Lexicon:
         return tuple(self.ids[self.start[place] : self.start[place + 1]]) if self.ends[state] else None
 
 
+class Memo:
+    """Ids of words met lately: a full table becomes the older one and ages out."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def recall(self, key: str):
+        ids = self.old.get(key)
+        if ids is not None:
+            self.keep(key, ids)
+        return ids
+
+    def keep(self, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(self.new) >= self.size:
+            self.old = self.new.copy()
+            self.new.clear()
+        if len(key) < 64:
+            self.new[key] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to ids: lexicon first, merges for the rest, both remembered for a while."""
+    """Texts to ids: lexicon first, merges for the rest, both remembered for a while.
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
-        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, {}
+    Where each gap of a text is one blank or one line feed, the split never crosses a
+    gap: a blank goes with the word after it and a line feed stands alone. Such texts
+    are cut at the gaps, and a chunk of letters, or of letters and one mark, needs no
+    further split. Other chunks and texts take the split.
+    """
 
-    def _learn(self, word: str) -> tuple[int, ...]:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.words = Memo(MEMO)  # as the split gives them
+        self.lettered = Memo(MEMO)  # letters only, without the blank that goes before
+        self.marks = {c: vocabulary.merge(c.encode()) for c in ".,;:!?)"}
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = self.words.new.get(word) or self.words.recall(word)
+        if ids is not None:
+            return ids
         raw = word.encode()
         ids = self.lexicon.get(raw) if self.lexicon else None
-        ids = self.vocabulary.merge(raw) if ids is None else ids
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(word) < 64:
-            self.memo[word] = ids
-        return ids
+        return self.words.keep(word, self.vocabulary.merge(raw) if ids is None else ids)
 
-    def encode(self, text: str) -> list[int]:
-        special = self.vocabulary.special
-        parts = self.vocabulary.cut.split(text) if special and any(s in text for s in special) else [text]
+    def _letters(self, chunk: str) -> tuple[int, ...]:
+        ids = self.lettered.new.get(chunk) or self.lettered.recall(chunk)
+        if ids is not None:
+            return ids
+        raw = (" " + chunk).encode()
+        ids = self.lexicon.get(raw) if self.lexicon else None
+        return self.lettered.keep(chunk, self.vocabulary.merge(raw) if ids is None else ids)
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isalpha():
+            return self._letters(chunk)
+        mark = self.marks.get(chunk[-1])
+        if mark is not None and chunk[:-1].isalpha():
+            return (self.lettered.new.get(chunk[:-1]) or self._letters(chunk[:-1])) + mark
+        return tuple(self._split(" " + chunk))
+
+    def _split(self, text: str) -> list[int]:
+        learn = self._word
+        return list(itertools.chain.from_iterable([learn(w) for w in _SPLIT.findall(text)]))
+
+    def _plain(self, text: str) -> list[int]:
+        words = text.split()
+        # as many gaps as blanks and line feeds, and every gap one character long
+        if not words or len(words) != text.count(" ") + text.count("\n") + 1 or len(" ".join(words)) != len(text):
+            return self._split(text)
         out: list[int] = []
-        known, learn = self.memo.get, self._learn
-        for part in parts:
-            if part in special:
-                out.append(special[part])
-            else:
-                out.extend(itertools.chain.from_iterable([known(w) or learn(w) for w in _SPLIT.findall(part)]))
+        known, learn = self.lettered.new.get, self._chunk
+        for i, line in enumerate(text.split("\n")):
+            first, _, rest = line.partition(" ")
+            out += self._split("\n") + self._split(first) if i else self._split(first)
+            if rest:
+                out.extend(itertools.chain.from_iterable([known(c) or learn(c) for c in rest.split(" ")]))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        special = self.vocabulary.special
+        if not any(s in text for s in special):
+            return self._plain(text)
+        parts = self.vocabulary.cut.split(text)
+        return [i for p in parts for i in ([special[p]] if p in special else self._plain(p))]
+
 
 def frequent_words(docs: DataFrame, min_share: float = MIN_SHARE) -> list[str]:
-    """Runs of letters that make up at least ``min_share`` of all runs in all texts.
+    """Runs of letters that occur at least ``min_share`` times per character of all texts.
 
-    Every document counts. No more than 1 / min_share words can be frequent, which
+    Every document counts. No more than 1 / min_share words can be as frequent, which
     bounds what comes to the driver. Tasks sum before the shuffle.
     """
+    total = docs.select(F.sum(F.length("text"))).first()[0] or 0
     runs = docs.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 40")
     counts = runs.groupBy("word").agg(F.count("*").alias("n"))
-    total = docs.select(F.sum(F.size(F.split("text", r"[^\p{L}]+")))).first()[0] or 0
     return sorted(r.word for r in counts.where(F.col("n") >= F.lit(max(2.0, total * min_share))).select("word").collect())
 
 
