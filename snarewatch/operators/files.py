@@ -153,7 +153,7 @@ def top_reasons(files: DataFrame, entries: DataFrame, most: int = 3) -> DataFram
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """Files of a folder: file_name, length, digest and content; larger ones are not read."""
+    """Files of a folder: file_name, length, digest and content; empty and too large ones are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= TOO_LARGE)
     return rows.select(F.substring_index("path", "/", -1).alias("file_name"), "length", F.sha2("content", 256).alias("digest"), "content")
 

@@ -76,18 +76,19 @@ def brand_spoof(pages: DataFrame, resembles: Column | None = None) -> DataFrame:
     resembles = F.lit(False) if resembles is None else resembles
     low = F.lower(page_text(F.substring("html", 1, MAX_HTML)))
     wide = pages.withColumn("low", low).withColumn("own", urls.registered_domain(urls.host(urls.normalized(F.col("final_url")))))
-    portal = "|".join(C.PORTAL_PHRASES)
-    brand = F.lit(None).cast("string")
-    framed = F.col("low").rlike(portal) | resembles
-    for domain in reversed(C.BRANDS):
-        root = domain.split(".")[0]
-        if len(root) < 4:
-            continue
-        gap = NEAR - len(root)
-        count = (F.length("low") - F.length(F.replace("low", F.lit(root), F.lit("")))) / len(root)
-        near = F.lit(False)
-        for phrase in C.PORTAL_PHRASES:
-            near = near | F.col("low").rlike(f"(?s){root}.{{0,{gap}}}{phrase}|{phrase}.{{0,{NEAR - len(phrase)}}}{root}")
-        hit = F.col("low").contains(root) & (F.col("own") != domain) & (count >= 3) & (resembles | near)
-        brand = F.when(hit, domain).otherwise(brand)
-    return wide.withColumn("brand", F.when(framed, brand)).where("brand is not null").select("page_id", "brand")
+    brands = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(d.split(".")[0]).alias("root")) for d in C.BRANDS if len(d.split(".")[0]) >= 4])
+    phrases = F.array(*[F.lit(p) for p in C.PORTAL_PHRASES])
+    gap = lambda x: F.concat(F.lit(".{0,"), (F.lit(NEAR) - F.length(x)).cast("string"), F.lit("}"))
+
+    def near(root: Column) -> Column:
+        either = lambda p: F.concat(F.lit("(?s)"), root, gap(root), p, F.lit("|"), p, gap(p), root)
+        return F.exists(phrases, lambda p: F.contains("low", p) & F.regexp_like("low", either(p)))
+
+    def posing(b: Column) -> Column:
+        without = F.length(F.replace("low", b["root"], F.lit("")))
+        thrice = F.contains("low", b["root"]) & (F.length("low") - without >= F.length(b["root"]) * 3)
+        return (F.col("own") != b["domain"]) & thrice & (resembles | near(b["root"]))
+
+    framed = F.col("low").rlike("|".join(C.PORTAL_PHRASES)) | resembles
+    first = F.get(F.filter(brands, posing), F.lit(0))["domain"]
+    return wide.where(framed).withColumn("brand", first).where("brand is not null").select("page_id", "brand")

@@ -269,3 +269,12 @@ NEAR_SQL = f"""with s as ({_SIGNED}), p as (select a.id, b.id as other, {_MATCHI
 @query(NEAR_SQL)
 def page_near_dup(t: Tables) -> DataFrame:
     return V.near_duplicates(_signed(t)).select(F.col("id").alias("page_id"), "other", "matches")
+
+
+@query()
+def seed_fingerprint(t: Tables) -> DataFrame:
+    """One digest over the sorted reference rows, and whether the pages at hand need a reload."""
+    rows = V.seed_rows(t.spark)
+    digest = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("kind", "key", "label", "text")))), 256)
+    hosts = t["pages"].select(urls.host(F.col("url")).alias("host")).distinct().agg(F.count("*").alias("n_hosts"))
+    return rows.agg(digest.alias("fingerprint"), F.count("*").alias("n")).join(F.broadcast(hosts))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from snarewatch.sources.fixtures import Tables, text_of
 
-MODULES = ("links", "files", "usage", "pages")
+MODULES = ("links", "files", "usage", "pages", "verdicts", "streams")
 
 
 def _plans() -> list:
