@@ -6,11 +6,14 @@ of a count sketch last. If two sets are as similar as asked, their prefixes of
 that its own prefix's estimated candidates make cheapest, and a pair must share the
 smaller of its two numbers. Only such pairs are verified, on their whole sets.
 
-Copies are one class throughout. Links are found in two rounds: first along random
-chains through the documents that share a prefix shingle, then between all
-candidates that are not yet in one component. A large group of near copies is
-joined up in the first round, at a cost linear in its size, and nothing that could
-link two components is left out in the second.
+Copies are one class throughout. Links are found in two rounds: first between the
+documents that share a prefix shingle and the one of them with most copies, or the
+one before them; then between all candidates that are not yet in one component. A
+large group of near copies is joined up in the first round, at a cost linear in its
+size, and nothing that could link two components is left out in the second. A
+sketch of parities, whose distance no difference of sets can fall short of, rules
+most pairs out before texts move; where many documents share a shingle they are
+compared by it block against block, so that pairs ruled out never become rows.
 """
 
 from __future__ import annotations
@@ -21,21 +24,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snarewatch.llm.common import checkpoint, connected_components
+from snarewatch.llm.common import checkpoint, connected_components, written
 
-#: Cells of the count sketch; 8 MB at the driver and in each worker, whatever the corpus.
-CELLS = 1 << 20
+#: Cells of the count sketch; 2 MB at the driver and 1 MB in each worker, whatever the corpus.
+CELLS = 1 << 18
 #: Rows in which a task's sketch travels.
 PIECES = 64
 #: Most shared prefix shingles that a document may ask for.
 MOST_SHARED = 4
 #: Cost of reading a candidate from the index, beside one verification.
 READ_COST = 0.05
-#: Random orders in which chains run; each gives a document another neighbour.
-ORDERS = 8
+#: Bits of the odd sketch that bounds from below in how much two sets differ.
+ODD_BITS = 2048
+#: Classes under one shingle from which on pairs are compared in blocks, not as rows.
+MANY = 64
+#: Classes of a block in which sketches are compared, pair by pair, in one task.
+BLOCK = 1024
+#: Bits of the filter that keeps texts nobody asked for out of a shuffle: 2 MB.
+ASKED_BITS = 1 << 24
 #: Words whose hash a worker remembers.
 MEMO = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,30 +91,37 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(shingles.tobytes(), seed) for seed in (1, 2)))
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles in each of ODD_BITS cells.
+
+    A shingle that only one of two sets has flips one bit, so the sketches differ in
+    at most as many bits as the sets differ in shingles.
+    """
+    flips = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def _survey(width: int):
-    """Per document its set's size and fingerprint; per task its sketch, in pieces."""
+    """Per document its set's size, fingerprint and odd sketch; per task its counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        schema = pa.schema(list(zip(("doc_id", "n", "f1", "f2", "odd", "piece", "counts"), kinds, strict=True)))
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), width)
-                sketch += np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32) if len(shingles) > 50_000 else 0
-                if len(shingles) <= 50_000:  # cheaper for a short set
-                    np.add.at(sketch, (shingles & np.uint64(CELLS - 1)).astype(np.int64), 1)
-                rows.append((len(shingles), *_fingerprint(shingles)))
+                np.add.at(sketch, (shingles & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                rows.append((len(shingles), *_fingerprint(shingles), odd_sketch(shingles)))
             if rows:
-                n, f1, f2 = zip(*rows, strict=True)
-                empty = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), empty.cast(pa.int32()), empty.cast(pa.binary())], schema=schema
-                )
+                found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:5], strict=True)]
+                none = [pa.nulls(len(rows)).cast(k) for k in kinds[5:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *found, *none], schema=schema)
         if sketch.any():
             parts = [p.tobytes() for p in np.split(sketch, PIECES)]
-            none = pa.nulls(PIECES).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            none = [pa.nulls(PIECES).cast(k) for k in kinds[:5]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -178,20 +195,35 @@ def _index(width: int, threshold: float, heat):
     return run
 
 
+def _pack(asked):
+    """Rows (doc_id, text, bit) of documents that may be asked for, texts compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, squeeze = asked.value, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            bit = batch.column(2).to_numpy()
+            few = batch.take(pa.array(np.flatnonzero(bits[bit >> 3] >> (bit & 7) & 1)))
+            texts = [squeeze((t.as_py() or "").encode()) for t in few.column(1)]
+            yield pa.RecordBatch.from_arrays([few.column(0), pa.array(texts, pa.binary())], names=["b", "packed"])
+
+    return run
+
+
 def _verify(width: int, threshold: float):
-    """Rows (a, b, text of b), those of one a together and its own first, to links."""
+    """Rows (a, b, packed text of b), those of one a together and its own first, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
+        open_up = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             links = []
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if a == b:
-                    at, own = a, shingle_set(text.as_py(), width)
+            for a, b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if a != b and a != at:
                     continue
-                if a != at:
+                other = shingle_set(open_up(packed.as_py()).decode(), width)
+                if a == b:
+                    at, own = a, other
                     continue
-                other = shingle_set(text.as_py(), width)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if both and 100 * both >= round(100 * threshold) * (len(own) + len(other) - both):
                     links.append((a, b))
@@ -205,12 +237,104 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, threshold: float) -> D
     """The pairs (a, b) of ids whose whole sets are similar enough.
 
     Each pair takes b's text to a; a task streams through a's partners and holds two
-    sets. ``pairs`` is checkpointed by the caller.
+    sets. ``pairs`` is checkpointed by the caller. A bit filter of fixed size, which
+    may let through more but never less, keeps most other texts at home.
     """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
     asked = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    texts = docs.select(F.col("doc_id").alias("b"), "text")
-    met = asked.hint("merge").join(texts, "b").select("a", "b", "text", (F.col("a") != F.col("b")).alias("_other"))
-    return met.repartition("a").sortWithinPartitions("a", "_other", "b").select("a", "b", "text").mapInArrow(_verify(width, threshold), "a bigint, b bigint")
+    parts = asked.select((bit("b") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+    )
+    bits = np.zeros(ASKED_BITS // 8, np.uint8)
+    for row in parts.collect():
+        bits[(row.part - 1) * 4096 : row.part * 4096] = np.frombuffer(row.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    texts = docs.where("doc_id is not null").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_pack(shared), "b bigint, packed binary")
+    met = asked.hint("merge").join(texts, "b").select("a", "b", "packed", (F.col("a") != F.col("b")).alias("_other"))
+    met = met.repartition("a").sortWithinPartitions("a", "_other", "b").select("a", "b", "packed")
+    return met.mapInArrow(_verify(width, threshold), "a bigint, b bigint")
+
+
+def _not_too_odd(threshold: float):
+    """Sorted rows of blocks that meet in, pairs (a, b) that may be similar out.
+
+    Sets of n and m shingles as similar as asked differ in at most
+    (1 - t) / (1 + t) * (n + m) of them, and their sketches in no more bits.
+    """
+    share = (1 - threshold) / (1 + threshold)
+
+    def pairs(rows: pa.Table) -> list[pa.RecordBatch]:
+        rep, n, home, side = (rows.column(c).to_numpy() for c in ("rep", "n", "home", "side"))
+        odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(len(rep), -1)
+        same = rows.column("block")[0].as_py() == rows.column("with")[0].as_py()
+        left = np.arange(len(rep)) if same else np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        out = []
+        for at in range(0, len(left), 32):
+            i = left[at : at + 32]
+            apart = np.bitwise_count(odd[i][:, None, :] ^ odd[right][None, :, :]).sum(axis=2, dtype=np.int32)
+            sizes = n[i][:, None] + n[right][None, :]
+            near = np.minimum(n[i][:, None], n[right][None, :]) >= np.maximum(n[i][:, None], n[right][None, :]) * threshold - 1e-6
+            fine = near & (apart <= share * sizes + 1e-6) & (home[i][:, None] != home[right][None, :])
+            x, y = np.nonzero(fine)
+            x, y = i[x], right[y]
+            keep = x < y if same else np.ones(len(x), bool)
+            one, two = rep[x[keep]], rep[y[keep]]
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            marks = np.column_stack([batch.column(c).to_numpy() for c in ("token", "block", "with")])
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), len(marks)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    mark = tuple(marks[low])
+                    if held and mark != last:
+                        yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                        held = []
+                    held.append(batch.slice(low, high - low))
+                    last = mark
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) under one shingle and of different homes that sketches cannot rule out.
+
+    ``members`` has token, rep, n, home, odd and of, the number of blocks into which
+    the token's classes are cut. Each block meets itself and every other one in a
+    task of its own; what is shuffled is sketches, and no row stands for a pair that
+    is ruled out.
+    """
+    placed = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("of") - 1),
+        lambda b: F.struct(F.least(b, F.col("mine")).alias("block"), F.greatest(b, F.col("mine")).alias("with"), (F.col("mine") > b).cast("int").alias("side")),
+    )
+    rows = placed.select("token", "rep", "n", "home", "odd", F.explode(meets).alias("m")).select("token", "m.block", "m.with", "m.side", "rep", "n", "home", "odd")
+    place = ["token", "block", "with"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(_not_too_odd(threshold), "a bigint, b bigint").distinct()
+
+
+def _sifted(pairs: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches allow them to be similar."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), ODD_BITS // 64) for i in (3, 5))
+            fine = pa.array(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= share * (n + m) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(fine) for i in (0, 1)], names=["a", "b"])
+
+    one, two = (odd.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -225,61 +349,62 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    survey_ddl = "doc_id bigint, n bigint, f1 bigint, f2 bigint, piece int, counts binary"
-    survey = checkpoint(docs.mapInArrow(_survey(width), survey_ddl))
+    survey_ddl = "doc_id bigint, n bigint, f1 bigint, f2 bigint, odd binary, piece int, counts binary"
+    survey = written(docs.mapInArrow(_survey(width), survey_ddl))
     heat = spark.sparkContext.broadcast(heat_of(corpus_sketch(survey.where("piece is not null"))))
     sets = survey.where("piece is null").select("doc_id", "n", "f1", "f2")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = sets.where("n > 0 and doc_id is not null").join(classes.hint("merge"), ["f1", "f2"]).select("doc_id", "rep")
+    usable = sets.where("n > 0 and doc_id is not null")
+    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    member = usable.join(classes.hint("merge"), ["f1", "f2"]).select("doc_id", "rep", "copies").distinct()
 
-    # documents under each shingle of their prefix, with the neighbour before them in
-    # a random order; a shingle that only one document has is of no use
+    # classes under each shingle of their prefix; a shingle of one class alone is of no use
+    turn = Window.partitionBy("token").orderBy("doc_id")
     index = docs.mapInArrow(_index(width, threshold, heat), "token bigint, doc_id bigint, n bigint, shared bigint")
-    turn = Window.partitionBy("token").orderBy(F.xxhash64(F.pmod("token", F.lit(ORDERS)), "doc_id"), "doc_id")
-    index = index.select(
-        "token", "doc_id", "n", "shared",
-        F.lag(F.struct("doc_id", "n", "shared")).over(turn).alias("last"),
-        F.lead("doc_id").over(turn).alias("next"),
-    ).where("last is not null or next is not null")
-    index = checkpoint(index.drop("next"))
+    index = index.select("*", F.lag("doc_id").over(turn).alias("last"), F.lead("doc_id").over(turn).alias("next"))
+    index = index.where("last is not null or next is not null").drop("last", "next")
+    index = (
+        index.hint("merge").join(member, "doc_id")
+        .repartition("token").groupBy("token", "rep")
+        .agg(F.first("n").alias("n"), F.min("shared").alias("shared"), F.max("copies").alias("copies"))
+    )
+    # with each, the one of most copies and the one before it
+    turn = Window.partitionBy("token").orderBy(F.desc("copies"), "rep")
+    other = F.struct("rep", "n", "shared")
+    index = index.select("token", "rep", "n", "shared", F.first(other).over(turn).alias("hub"), F.lag(other).over(turn).alias("last"), F.lead("rep").over(turn).alias("next"))
+    index = written(index.where("last is not null or next is not null").drop("next"))
+    odd = survey.where("piece is null and n > 0").select(F.col("doc_id").alias("rep"), "n", "odd").dropDuplicates(["rep"])
 
     def near(n: str, m: str):
-        return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6)
-
-    def pair(a: str, b: str):
-        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-    chain = index.where("last is not null and last.doc_id <> doc_id").where(near("n", "last.n"))
-    first = (
-        chain.select(*pair("doc_id", "last.doc_id"), F.least("shared", "last.shared").alias("need"))
-        .groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
-    )
-    first = checkpoint(first.select("a", "b"))
-    found = checkpoint(_links(docs, first, width, threshold))
-
-    def to_classes(links: DataFrame) -> DataFrame:
-        left = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
-        right = member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-        named = links.hint("merge").join(left, "a").hint("merge").join(right, "b")
-        return named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
-
-    edges = checkpoint(to_classes(found))
-    joined = connected_components(edges)
-    home = member.join(joined.hint("merge").withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("home")
-    )
-    placed = checkpoint(index.drop("last").hint("merge").join(home, "doc_id"))
-    # shingles whose documents are all in one component have nothing left to tell
-    mixed = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("token")
-    rest = placed.join(mixed.hint("merge"), "token")
-    one, two = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "shared", "home")]) for side in "xy")
-    cross = one.hint("merge").join(two, "token").where("home_x <> home_y and doc_id_x < doc_id_y").where(near("n_x", "n_y"))
-    second = (
-        cross.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.least("shared_x", "shared_y").alias("need"))
-        .groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
-        .select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti")
+        return F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+
+    def meet(one: str) -> DataFrame:
+        met = index.where(f"{one} is not null and {one}.rep <> rep").where(near("n", f"{one}.n"))
+        return met.select(F.least("rep", f"{one}.rep").alias("a"), F.greatest("rep", f"{one}.rep").alias("b"), F.least("shared", f"{one}.shared").alias("need"))
+
+    first = meet("hub").unionByName(meet("last"))
+    first = checkpoint(candidates(first))
+    asked = checkpoint(_sifted(first, odd, threshold))
+    edges = checkpoint(_links(docs, asked, width, threshold))
+    home = connected_components(edges)
+    placed = (
+        index.drop("hub", "last").hint("merge").join(home.withColumnRenamed("id", "rep"), "rep", "left")
+        .withColumn("home", F.coalesce("component", "rep")).drop("component")
     )
-    more = checkpoint(to_classes(_links(docs, checkpoint(second), width, threshold)))
+    # shingles whose classes are all in one component have nothing left to tell
+    mixed = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("m")).where("low <> high").select("token", "m")
+    rest = written(placed.join(mixed.hint("merge"), "token").select("token", "rep", "n", "home", "m"))
+    few = rest.where(F.col("m") <= MANY)
+    one, two = (few.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "home")]) for side in "xy")
+    cross = one.hint("merge").join(two, "token").where("home_x <> home_y and rep_x < rep_y").where(near("n_x", "n_y"))
+    # a pair may meet under frequent shingles as well, so here one meeting is enough
+    small = cross.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
+    many = rest.where(F.col("m") > MANY).withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).join(odd.drop("n").hint("merge"), "rep")
+    large = _across(many, threshold).join(first.hint("merge"), ["a", "b"], "left_anti")
+    second = checkpoint(_sifted(small, odd, threshold).unionByName(large).distinct())
+    more = checkpoint(_links(docs, second, width, threshold))
     final = connected_components(edges.unionByName(more))
     whole = (
         sets.join(classes.hint("merge"), ["f1", "f2"], "left")
