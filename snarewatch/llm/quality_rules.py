@@ -149,3 +149,13 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, margin: float = MARGIN, b
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.coalesce(level.scalar(), F.lit(0.0)) - margin))
     )
     return judged.drop("_words", "_h1", "_h2", "_h4", "_h8", "_lines", "_ratios", "_sum")
+
+
+def good_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The documents that ``judge_quality`` keeps, with the columns of ``docs``.
+
+    The row number keeps the filter above the projections: pushed below them, it
+    would hold the whole chain of word and window hashes many times over.
+    """
+    judged = judge_quality(docs, trusted).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
