@@ -18,8 +18,7 @@ from snarewatch.llm import bpe, common, jaccard_join, mixing, pii, quality_rules
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; labels of good documents fit the target model."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules.judge_quality(docs, quality_rules.trusted_sample(labels))
-    return judged.where("kept").select(*docs.columns)
+    return quality_rules.good_documents(docs, quality_rules.trusted_sample(labels))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
