@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snarewatch.functions import constants as C
-from snarewatch.functions import risk
+from snarewatch.functions import risk, urls
 from snarewatch.operators import links as L
 from snarewatch.operators import pages as P
 from snarewatch.operators import vectors as V
@@ -68,7 +68,46 @@ def message_evidence(messages: DataFrame, files: DataFrame) -> DataFrame:
     scripts = V.script_matches(told.where("not links_only").select("message_id", "text")).select("message_id", "similarity")
     wide = told.withColumn("keyword", words).join(scored, "message_id", "left").join(scripts, "message_id", "left").join(files, "file_id", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("worst", "n_links", "n_risky", "n_trusted")}
-    return wide.withColumns(zero).withColumn("confirmed", F.coalesce(F.col("found") & (F.col("malicious") > 0), F.lit(False)))
+    told = wide.withColumns(zero).withColumn("confirmed", F.coalesce(F.col("found") & (F.col("malicious") > 0), F.lit(False)))
+    return told.withColumn("confirmed_link", F.col("confirmed") & (F.col("n_risky") > 0))
+
+
+def message_links(messages: DataFrame, hidden: DataFrame, known: DataFrame) -> DataFrame:
+    """Links of each message, visible and hidden, with their verdict in that message.
+
+    ``known`` has url, score and confirmed of judged links; an address that was never
+    captured has its lexical score and is not confirmed. Addresses meet in normal
+    form; of several verdicts on one the highest counts. A malformed protocol in the
+    text adds to visible links, a display text that names another domain to hidden
+    ones. Returns message_id, position, url, hidden, score, level, confirmed, reg_domain.
+    """
+    links = L.lexical_score(L.merge_hidden_links(L.web_links(L.explode_links(messages)), hidden).withColumnRenamed("url", "raw_url"))
+    judged = known.select(urls.normalized(F.col("url")).alias("norm"), F.col("score").alias("judged"), "confirmed")
+    judged = judged.groupBy("norm").agg(F.max("judged").alias("judged"), F.bool_or("confirmed").alias("confirmed"))
+    malformed = messages.select("message_id", F.lower("text").rlike(r"\bhttps?//").alias("malformed"))
+    wide = L.anchor_mismatch(links.join(judged, "norm", "left").join(malformed, "message_id"))
+    context = F.when(F.col("hidden"), F.col("mismatch_points")).when(F.col("malformed"), 15).otherwise(0)
+    total = (F.coalesce("judged", "score") + context).cast("int")
+    told = wide.withColumn("score", total).withColumn("level", risk.level(F.col("score")))
+    return told.select("message_id", "position", F.col("raw_url").alias("url"), "hidden", "score", "level", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), "reg_domain")
+
+
+def full_message_evidence(messages: DataFrame, files: DataFrame, hidden: DataFrame, known: DataFrame) -> DataFrame:
+    """``message_evidence`` over the verdicts of visible and hidden links.
+
+    Evidence is confirmed by a malicious file or by the reputation of any link;
+    confirmed_link asks for a link so confirmed that is not safe.
+    """
+    by_link = message_links(messages, hidden, known).groupBy("message_id").agg(
+        F.max("score").alias("worst"), F.count("*").alias("n_links"), F.count_if(F.col("level") != "safe").alias("n_risky"),
+        F.count_if(F.col("reg_domain").isin(*C.BRANDS)).alias("n_trusted"), F.bool_or("confirmed").alias("any_confirmed"),
+        F.bool_or(F.col("confirmed") & (F.col("level") != "safe")).alias("confirmed_link"),
+    )
+    names = ("worst", "n_links", "n_risky", "n_trusted")
+    wide = message_evidence(messages, files).drop(*names, "confirmed_link").join(by_link, "message_id", "left")
+    told = wide.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return told.withColumn("confirmed", F.col("confirmed") | flag("any_confirmed")).withColumn("confirmed_link", flag("confirmed_link")).drop("any_confirmed")
 
 
 def fallback_verdict(evidence: DataFrame) -> DataFrame:
@@ -99,7 +138,7 @@ def reconcile(evidence: DataFrame, model: DataFrame) -> DataFrame:
     both = model.select("message_id", F.col("verdict").alias("said"), risk_number(F.col("risk_percentage")).alias("given")).join(evidence, "message_id")
     bad_file = F.coalesce(F.col("file_level") == "dangerous", F.lit(False))
     odd_file = F.coalesce(F.col("file_level").isin("suspicious", "uncertain"), F.lit(False))
-    proven = (F.col("confirmed") & (F.col("n_risky") > 0)) | F.col("similarity").isNotNull()
+    proven = F.col("confirmed_link") | F.col("similarity").isNotNull()
     clean = F.col("said") == "Not a Scam"
     first, second, third = bad_file & (F.col("said") != "Scam"), clean & proven, clean & odd_file
     verdict = F.when(first, "Scam").when(second | third, "Uncertain").otherwise(F.col("said"))

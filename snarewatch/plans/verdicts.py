@@ -10,7 +10,7 @@ from snarewatch.functions import risk
 from snarewatch.operators import files as X
 from snarewatch.operators import verdicts as D
 from snarewatch.plans import files, links, pages
-from snarewatch.plans.links import names, score_sql
+from snarewatch.plans.links import host_sql, names, reg_sql, score_sql, text
 from snarewatch.sources.fixtures import Tables
 
 QUERIES: dict = {}
@@ -172,6 +172,72 @@ def evidence_json(t: Tables) -> DataFrame:
     return D.evidence_json(_evidence(t))
 
 
+# --- the same verdicts over the full verdict of visible and hidden links
+
+_NORM = lambda x: f"case when {x} like '%://%' then {x} else 'http://' || {x} end"
+_MERGED = f"(select message_id * 100 + position as mp, url, display_text, hidden from ({links.SQL['merge_hidden_links']}))"
+_SHOWN = host_sql(f"regexp_replace(regexp_extract(m.display_text, {text(C.URL_PATTERN)}), {text(C.URL_TAIL)}, '')")
+FULL_LINKS_SQL = f"""select m.mp, m.hidden, sc.reg_domain, coalesce(k.confirmed, false) as confirmed, coalesce(k.score, sc.score)
+    + case when m.hidden then case when {_SHOWN} <> '' and {reg_sql(_SHOWN)} <> sc.reg_domain then 55 else 0 end
+      when regexp_matches(lower(t.text), '\\bhttps?//') then 15 else 0 end as score
+  from {_MERGED} m join ({score_sql(_MERGED, 'url', 'mp')}) sc on sc.mp = m.mp join message_text t on t.message_id = m.mp // 100
+  left join (select {_NORM('raw_url')} as norm, max(v.score) as score, bool_or(v.confirmed) as confirmed from links l join ({LINK_SQL}) v on v.link_id = l.link_id group by 1) k on k.norm = {_NORM('m.url')}"""
+FULL_SQL = f"""select m.message_id, m.text, links_only, len([k for k in [{names(C.KEYWORDS)}] if contains(lower(m.text), k)]) > 0 as keyword,
+    coalesce(worst, 0) as worst, coalesce(n_links, 0) as n_links, coalesce(n_risky, 0) as n_risky, coalesce(n_trusted, 0) as n_trusted, similarity, f.file_level, f.pct as file_pct,
+    coalesce(f.found and f.malicious > 0, false) or coalesce(any_confirmed, false) as confirmed, coalesce(a.confirmed_link, false) as confirmed_link
+  from ({_MESSAGES}) m join ({links.ONLY_SQL}) o on o.message_id = m.message_id
+  left join (select mp // 100 as message_id, max(score) as worst, count(*) as n_links, count(*) filter (score >= 25) as n_risky, count(*) filter (reg_domain in ({names(C.BRANDS)})) as n_trusted,
+      bool_or(confirmed) as any_confirmed, bool_or(confirmed and score >= 25) as confirmed_link from ({FULL_LINKS_SQL}) group by 1) a on a.message_id = m.message_id
+  left join ({pages.MATCH_SQL}) s on s.message_id = m.message_id
+  left join ({files.FILE_SQL}) f on f.file_id = m.file_id"""
+
+
+def _full(t: Tables) -> DataFrame:
+    scored = X.files_with_risk(t["files"], t["archive_entries"]).select("file_id", "file_pct", "file_level", "found", "malicious")
+    known = link_verdict(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
+    return D.full_message_evidence(t.sql(_MESSAGES), scored, t["hidden_links"], known)
+
+
+def _over_full(name: str) -> str:
+    """The statement of query ``name`` over full evidence."""
+    return SQL[name].replace(EVIDENCE_SQL, FULL_SQL).replace("(confirmed and n_risky > 0)", "confirmed_link")
+
+
+@query(_over_full("message_evidence").replace("file_pct, confirmed from", "file_pct, confirmed, confirmed_link from"))
+def message_evidence_full(t: Tables) -> DataFrame:
+    return _full(t).select("message_id", "worst", "n_links", "n_risky", "links_only", "keyword", "similarity", "file_level", "file_pct", "confirmed", "confirmed_link")
+
+
+@query(_over_full("worst_link"))
+def worst_link_full(t: Tables) -> DataFrame:
+    return _full(t).select("message_id", "worst")
+
+
+@query(_over_full("unified_fallback"))
+def unified_fallback_full(t: Tables) -> DataFrame:
+    return D.fallback_verdict(_full(t))
+
+
+@query(_over_full("reconcile_verdict"))
+def reconcile_verdict_full(t: Tables) -> DataFrame:
+    return D.reconcile(_full(t), t["model_verdicts"])
+
+
+@query(_over_full("dead_link_shortcut"))
+def dead_link_shortcut_full(t: Tables) -> DataFrame:
+    return D.shortcuts(_full(t), t.sql(_DEAD)).where("rule = 'dead_link'")
+
+
+@query(_over_full("trusted_link_shortcut"))
+def trusted_link_shortcut_full(t: Tables) -> DataFrame:
+    return D.shortcuts(_full(t), t.sql(_DEAD)).where("rule = 'trusted_link'")
+
+
+@query()
+def evidence_json_full(t: Tables) -> DataFrame:
+    return D.evidence_json(_full(t))
+
+
 @query("""select message_id, coalesce(nullif(body, ''), link_text) as text from messages where coalesce(nullif(body, ''), link_text) <> ''""")
 def message_source(t: Tables) -> DataFrame:
     """Body, or else the caption; messages with neither are left out."""

@@ -9,6 +9,7 @@ from snarewatch.functions import risk, urls
 from snarewatch.operators import files as X
 from snarewatch.operators import links as L
 from snarewatch.operators import vectors as V
+from snarewatch.operators import verdicts as D
 
 
 def score(spark, *raw):
@@ -81,3 +82,20 @@ def test_lexical_score_needs_no_shuffle(spark):
     rows = spark.createDataFrame([(1, "https://example.org")], "link_id bigint, raw_url string")
     plan = L.lexical_score(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan.replace("PythonRDD", "")
+
+
+def test_reputation_and_hidden_links_reach_the_message(spark):
+    texts = [(1, "see https://plain.example.org/a", None), (2, "see https://plain.example.org/b", None), (3, "no link here", None), (4, "http//x and https://plain.example.org/c", None)]
+    messages = spark.createDataFrame(texts, "message_id bigint, text string, file_id bigint")
+    files = spark.createDataFrame([], "file_id bigint, file_pct int, file_level string, malicious int, found boolean")
+    hidden = spark.createDataFrame([(3, "https://ababank.com", "https://plain.example.org/d")], "message_id bigint, display_text string, raw_url string")
+    known = spark.createDataFrame([("https://plain.example.org/a", 40, True), ("https://plain.example.org/a", 0, False)], "url string, score int, confirmed boolean")
+    evidence = D.full_message_evidence(messages, files, hidden, known)
+    got = {r.message_id: (r.worst, r.n_links, r.n_risky, r.confirmed, r.confirmed_link) for r in evidence.collect()}
+    assert got == {1: (40, 1, 1, True, True), 2: (0, 1, 0, False, False), 3: (55, 1, 1, False, False), 4: (15, 1, 0, False, False)}
+    said = spark.createDataFrame([(i, "Not a Scam", 0) for i in range(1, 5)], "message_id bigint, verdict string, risk_percentage int")
+    verdicts = {r.message_id: (r.verdict, r.risk_percentage) for r in D.reconcile(evidence, said).collect()}
+    assert verdicts == {1: ("Uncertain", 40), 2: ("Not a Scam", 0), 3: ("Not a Scam", 0), 4: ("Not a Scam", 0)}
+    bad = spark.createDataFrame([(9, 30, "suspicious", 3, True)], "file_id bigint, file_pct int, file_level string, malicious int, found boolean")
+    filed = D.full_message_evidence(messages.withColumn("file_id", F.lit(9).cast("bigint")), bad, hidden, known).where("message_id = 3").first()
+    assert filed.confirmed and not filed.confirmed_link
