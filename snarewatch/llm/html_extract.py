@@ -1,35 +1,37 @@
-"""Main text of web pages: page structure, then a host suffix array for the rest.
+"""Main text of web pages: page structure, then repeated runs of the host for the rest.
 
 A page with an article or main element says itself what its text is; blocks under
 navigation, notices and the like are dropped there and everywhere. Pages without
-one are read as token streams of their remaining blocks: the streams of a host are
-concatenated, their suffixes sorted, and runs of tokens that recur on distinct pages
-are boilerplate. Removing those tokens leaves each page's unique runs.
+one are read as token streams of their remaining blocks: long runs of tokens, and
+whole short blocks, that recur on a share of the host's distinct pages are
+boilerplate. They are counted over the whole host, whatever its size. Removing those
+tokens leaves each page's unique runs.
 
-The suffix array does not judge what an article element holds. Two pages of one
+Repeated runs do not judge what an article element holds. Two pages of one
 host may carry the same article, or share a quoted passage, and those are long
 repeated runs as well.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
-import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens that a repeated run must have to be boilerplate.
+#: Tokens that a repeated block must have to be boilerplate.
 RUN = 4
-#: Distinct pages, of differing content, on which it must occur.
-PAGES = 2
-#: Characters of markup that one suffix array covers; larger hosts are cut by page hash.
-CHUNK_CHARS = 8_000_000
+#: Tokens that a repeated run inside a longer block must have.
+LONG_RUN = 12
+#: Distinct pages, of differing content, on which it must occur, and their share of the host's.
+PAGES, SHARE = 2, 0.1
+#: Parts over which the pages that hold one frequent run are dealt.
+SALTS = 16
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[A-Za-z/!?](?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
@@ -187,48 +189,92 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
+def windows_of(blocks: list[str]) -> list[tuple[int, int]]:
+    """Hash and first token of every run that may be boilerplate.
+
+    A block of RUN to LONG_RUN tokens is one run, a longer one has a run of LONG_RUN
+    at each token. Tokens are numbered through the page; no run crosses a block.
+    """
+    out, at = [], 0
+    for block in blocks:
+        tokens = block.split()
+        run = min(len(tokens), LONG_RUN)
+        if run >= RUN:
+            for i in range(len(tokens) - run + 1):
+                mark = hashlib.blake2b(" ".join(tokens[i : i + run]).encode("utf-8", "surrogatepass"), digest_size=8, person=b"run%d" % run)
+                out.append((int.from_bytes(mark.digest(), "big", signed=True), at + i))
+        at += len(tokens)
+    return out
+
+
+def without_runs(blocks: list[str], starts: list[int]) -> str:
+    """Text of the blocks without the runs that begin at tokens ``starts``."""
+    begin, kept, at = set(starts), [], 0
+    for block in blocks:
+        tokens = block.split()
+        run = min(len(tokens), LONG_RUN)
+        gone: set[int] = set()
+        for i in range(len(tokens)):
+            if at + i in begin:
+                gone.update(range(i, i + run))
+        if left := [w for i, w in enumerate(tokens) if i not in gone]:
+            kept.append(" ".join(left))
+        at += len(tokens)
+    return "\n".join(kept)
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "host", "chunk", "blocks"]
+    """Blocks of each page and a digest of them."""
+    names = ["page_id", "url", "host", "blocks", "content"]
     for batch in batches:
-        found = [blocks_of(p.as_py() or "")[0] for p in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.string()))], names=names)
+        found = [blocks_of(p.as_py() or "")[0] for p in batch.column(3)]
+        digests = [hashlib.blake2b("\n".join(b).encode("utf-8", "surrogatepass"), digest_size=16).digest() for b in found]
+        columns = [*batch.columns[:3], pa.array(found, pa.list_(pa.string())), pa.array(digests, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _unique_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """One host's pages, or a hash part of them: repeated runs out, unique runs kept.
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for host, content, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+            if runs := windows_of(blocks):
+                marks, starts = zip(*runs)
+                columns = [[host] * len(runs), [content] * len(runs), marks, starts]
+                types = [pa.string(), pa.binary(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "content", "mark", "start"])
+
 
-    Pages of equal content count as one page, so a copied page is not boilerplate.
+def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [without_runs(b, s or []) for b, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def repeated_runs(streams: DataFrame) -> DataFrame:
+    """Where each distinct content has runs that its host repeats: host, content, starts.
+
+    ``streams`` has host, content and blocks. Pages of equal content count as one, so
+    a copied page is not boilerplate. Runs are counted over the whole host.
     """
-    contents: dict[tuple, int] = {}
-    which = [contents.setdefault(tuple(b), len(contents)) for b in group["blocks"]]
-    words: dict[str, int] = {}
-    ends = itertools.count(1 << 40)  # each block ends in a token of its own, so no run crosses it
-
-    def numbered(blocks: tuple) -> np.ndarray:
-        return np.array([x for b in blocks for x in (*(words.setdefault(w, len(words)) for w in b.split()), next(ends))], np.int64)
-
-    streams = [numbered(blocks) for blocks in contents]
-    texts = []
-    for blocks, covered in zip(contents, repeated_tokens(streams)):
-        at, kept = 0, []
-        for block in blocks:
-            tokens = block.split()
-            left = [w for w, gone in zip(tokens, covered[at : at + len(tokens)]) if not gone]
-            at += len(tokens) + 1
-            if left:
-                kept.append(" ".join(left))
-        texts.append("\n".join(kept))
-    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": [texts[i] for i in which]})
-
-
-def extract_main_text(pages: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    contents = streams.select("host", "content", "blocks").groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
+    runs = contents.mapInArrow(_windows, "host string, content binary, mark bigint, start int")
+    sizes = contents.groupBy("host").agg(F.count("*").alias("n"))
+    once = runs.select("host", "content", "mark").distinct()
+    counted = once.groupBy("host", "mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+    often = counted.join(sizes, "host").where(F.col("pages") >= F.col("n") * SHARE).select("host", "mark")
+    # a run on every page of a hot host would meet in one task
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int"))
+    met = salted.join(often, ["host", "mark", "salt"])
+    return met.groupBy("host", "content").agg(F.collect_list("start").alias("starts"))
+
+
+def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text (empty if none), n_chars.
 
     A null or empty html has no text. Pages with an article or main element are read
-    in place, without a shuffle; the others meet by host, in parts of about
-    ``chunk_chars`` of markup, so a host of any size is many groups. A null url is
-    one more host. Repeated rows are rows of their own; other columns are not read;
-    no pages give no rows.
+    in place, without a shuffle; the others meet by host and run, never a host as a
+    whole. A null url is one more host. Repeated rows are rows of their own; other
+    columns are not read; no pages give no rows.
     """
     pages = pages.select("page_id", "url", "html")
     named = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>]"), F.lit(False))
@@ -236,14 +282,8 @@ def extract_main_text(pages: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataF
     told = pages.where(named).mapInArrow(_extract, f"{ddl}, text string")
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
-    untold = pages.where(~named).withColumn("host", host)
-    # the number of parts of a host, at most one row a host and small beside its pages
-    parts = untold.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / chunk_chars).cast("int").alias("parts"))
-    spread = (
-        untold.join(parts.hint("merge"), "host")
-        .withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.greatest("parts", F.lit(1))).cast("int"))
-        .select("page_id", "url", "host", "chunk", "html")
-    )
-    streams = spread.mapInArrow(_streams, f"{ddl}, host string, chunk int, blocks array<string>")
-    judged = streams.groupBy("host", "chunk").applyInPandas(_unique_runs, f"{ddl}, text string")
+    untold = pages.where(~named).select("page_id", "url", host.alias("host"), "html")
+    streams = untold.mapInArrow(_streams, f"{ddl}, host string, blocks array<string>, content binary")
+    marked = streams.join(repeated_runs(streams), ["host", "content"], "left").select("page_id", "url", "blocks", "starts")
+    judged = marked.mapInArrow(_unique_runs, f"{ddl}, text string")
     return told.unionByName(judged).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -190,6 +190,41 @@ def test_host_boilerplate_goes_where_no_element_names_the_text(spark):
     assert out[20].text == out[21].text == "one copied page of some words" and len(out) == len(rows)
 
 
+def test_short_phrases_stay_and_long_runs_are_counted_over_the_whole_host(spark):
+    """Sentences keep phrases that two pages share; parts of a host give no other text than the host."""
+    notice = "this site is run by a small society of friends and gives no warranty at all"
+    rows = [(i, f"http://h.example/{i}", f"<p>Tale{i} was told at the end of the day{i} by man{i}. {notice if i % 5 == 0 else ''}</p>") for i in range(40)]
+    rows += [(100, "http://h.example/q", f"<p>Alone x {' '.join(f'q{k}' for k in range(14))} once</p>"), (101, "http://h.example/r", f"<p>Other y {' '.join(f'q{k}' for k in range(14))} again</p>")]
+    out = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)).collect()}
+    for i in range(40):
+        assert out[i] == f"Tale{i} was told at the end of the day{i} by man{i}."
+    assert out[100] == f"Alone x {' '.join(f'q{k}' for k in range(14))} once"
+
+    def brute(pages):
+        split = [[b.split() for b in p] for p in pages]
+        found = {}
+        for i, p in enumerate(split):
+            for b in p:
+                run = min(len(b), html_extract.LONG_RUN)
+                for k in range(len(b) - run + 1 if run >= html_extract.RUN else 0):
+                    found.setdefault(tuple(b[k : k + run]), set()).add(i)
+        texts = []
+        for p in split:
+            kept = []
+            for b in p:
+                run, gone = min(len(b), html_extract.LONG_RUN), set()
+                for k in range(len(b) - run + 1):
+                    n = len(found.get(tuple(b[k : k + run]), ()))
+                    if n >= html_extract.PAGES and n >= html_extract.SHARE * len(pages):
+                        gone.update(range(k, k + run))
+                kept += [" ".join(w for j, w in enumerate(b) if j not in gone)]
+            texts.append("\n".join(x for x in kept if x))
+        return texts
+
+    want = brute([html_extract.blocks_of(h)[0] for _, _, h in rows])
+    assert [out[i] for i, _, _ in rows] == want
+
+
 # --- Jaccard
 
 
