@@ -96,12 +96,13 @@ def stream_daily_usage(t: Tables) -> DataFrame:
 
 @query(USAGE_SQL["greedy_gap"])
 def stream_greedy_gap(t: Tables) -> DataFrame:
-    return drain(t, t.sql(_CHECKS), lambda d: S.gaps(d, "link_id", 86400))
+    return drain(t, t.sql(_CHECKS), lambda d: S.gaps(d, "link_id", 86400), order=(F.col("ts").cast("timestamp"), "id"))
 
 
 @query(USAGE_SQL["failure_alerts"].replace("select service, id from g where kept", "select service, id as event_id from g where kept"))
 def stream_failure_alerts(t: Tables) -> DataFrame:
-    return drain(t, t["backend_failures"], S.failure_alerts)
+    # by whole seconds, which no batch may cut
+    return drain(t, t["backend_failures"], S.failure_alerts, order=(F.unix_seconds(F.col("ts").cast("timestamp")),))
 
 
 @query()

@@ -34,22 +34,32 @@ def seen_dedup(checks: DataFrame, within: str = "1 hour") -> DataFrame:
     return checks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["link_id"])
 
 
+def first_ids(frames: Iterator[pd.DataFrame], name: str) -> dict[int, int]:
+    """The smallest id of each time stamp, frame by frame."""
+    first: dict[int, int] = {}
+    for frame in frames:
+        for at, row_id in frame.groupby("at")[name].min().items():
+            first[int(at)] = min(int(row_id), first.get(int(at), int(row_id)))
+    return first
+
+
 def gaps(rows: DataFrame, key: str, seconds: int, strict: bool = True) -> DataFrame:
     """Rows (key, id, ts) kept if they come after the last kept one of their key by the gap.
 
     State is one time stamp a key. Within a batch a key's rows are taken in time
-    order; order across batches is that of arrival.
+    order; order across batches is that of arrival. A batch holds the smallest id of
+    each time stamp of a key, so its size is the caller's bound. ``seconds`` > 0.
     """
     gap = seconds * 1_000_000
 
     def keep(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        first = first_ids(frames, "id")
         last = state.get[0] if state.exists else None
         kept = []
-        for row_id, at in zip(rows["id"], rows["at"]):
+        for at, row_id in sorted(first.items()):
             if last is None or (at - last > gap if strict else at - last >= gap):
                 kept.append(row_id)
-                last = int(at)
+                last = at
         state.update((last,))
         yield pd.DataFrame({key: [name[0]] * len(kept), "id": kept})
 
@@ -61,24 +71,34 @@ def gaps(rows: DataFrame, key: str, seconds: int, strict: bool = True) -> DataFr
 def failure_alerts(failures: DataFrame, least: int = 3, seconds: int = 3600) -> DataFrame:
     """Alerts per service: ``least`` failures in the window, none sent within it.
 
-    State is the recent failures' times (those older than the window leave it) and
-    the time of the last alert.
+    State is the last ``least`` failures' seconds and the time of the last alert. All
+    failures of a second count for each of them, so a second must not be cut by
+    batches. A batch holds a count a second and an id a time stamp.
     """
-    gap = seconds
+    gap = seconds * 1_000_000
 
     def alert(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        counts: dict[int, int] = {}
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for second, n in (frame["at"] // 1_000_000).value_counts().items():
+                    counts[int(second)] = min(counts.get(int(second), 0) + int(n), least)
+                yield frame
+
+        first = first_ids(counted(), "event_id")
         recent, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         sent = []
-        for event_id, at in zip(rows["event_id"], rows["at"]):
-            recent = [x for x in recent if x >= at - gap] + [int(at)]
-            if len(recent) >= least and (last is None or at - last >= gap):
+        for at, event_id in sorted(first.items()):
+            second = at // 1_000_000
+            recent = (recent + [second] * counts.pop(second, 0))[-least:]
+            if len(recent) >= least and recent[0] >= second - seconds and (last is None or at - last >= gap):
                 sent.append(event_id)
-                last = int(at)
+                last = at
         state.update((recent, last))
         yield pd.DataFrame({"service": [name[0]] * len(sent), "event_id": sent})
 
-    timed = failures.select("service", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    timed = failures.select("service", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return timed.groupBy("service").applyInPandasWithState(
         alert, "service string, event_id bigint", "recent array<bigint>, last bigint", "append", GroupStateTimeout.NoTimeout
     )

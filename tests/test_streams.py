@@ -1,6 +1,6 @@
 """Stateful streams against a fold in plain Python, over many ordered batches."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,3 +43,17 @@ def test_a_batch_holds_one_slice_and_slices_come_in_order(batches, monkeypatch):
     assert sorted((r.k, r.id) for r in out.collect()) == sorted(want)
     sizes = batches.spark.read.parquet(f"{streams._shared(batches)}/in").groupBy(F.input_file_name()).count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 500
+
+
+def test_failures_of_one_second_count_together(batches):
+    at = [(1, 1000), (2, 1000), (3, 1000), (4, 2000), (5, 4600), (6, 4600), (7, 4600), (8, 9000), (9, 12601), (10, 12602)]
+    rows = batches.spark.createDataFrame([("a", i, s) for i, s in at], "service string, event_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    out = streams.drain(batches, rows, S.failure_alerts, order=(F.unix_seconds("ts"),))
+    seconds, last, want = defaultdict(int), None, []
+    for _, s in at:
+        seconds[s] += 1
+    for i, s in at:
+        if sum(n for x, n in seconds.items() if s - 3600 <= x <= s) >= 3 and (last is None or s - last >= 3600):
+            want.append(i)
+            last = s
+    assert want == [1, 5] and sorted(r.event_id for r in out.collect()) == want
