@@ -101,6 +101,28 @@ def archive_kinds(entries: DataFrame) -> DataFrame:
     )
 
 
+def kind_findings(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """What an archive's listing says of its file: file_id, finding, score, entry.
+
+    An app package under another name, and macros in an office document.
+    """
+    kinds = archive_kinds(entries).join(files.select("file_id", extension(F.col("file_name")).alias("claimed")), "file_id")
+    disguised = F.col("is_apk") & ~F.coalesce(F.col("claimed") == "apk", F.lit(False))
+    rules = (("disguised_app_package", 85, disguised), ("office_macros", 50, ~F.col("is_apk") & F.col("is_office") & F.col("has_macros")))
+    rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("finding"), F.lit(v).alias("score"))) for n, v, c in rules]))
+    return kinds.select("file_id", F.explode(rows).alias("f")).select("file_id", "f.finding", "f.score", F.lit(None).cast("string").alias("entry"))
+
+
+def all_findings(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """The strongest finding of each kind that a file's listing gives.
+
+    App packages and office documents are judged as such, not by single entries.
+    """
+    known = archive_kinds(entries).where("is_apk or is_office").select("file_id")
+    single = archive_findings(entries).join(known, "file_id", "left_anti")
+    return best_findings(single.unionByName(kind_findings(files, entries)))
+
+
 def best_findings(findings: DataFrame) -> DataFrame:
     """The strongest finding of each kind a file."""
     return findings.groupBy("file_id", "finding").agg(F.max("score").alias("score"), F.max_by("entry", "score").alias("entry"))
@@ -136,7 +158,7 @@ def file_risk(scored: DataFrame) -> DataFrame:
 def files_with_risk(files: DataFrame, entries: DataFrame) -> DataFrame:
     """Names, findings, reputation and risk of every file; none is left out."""
     named = unscannable(filename_risk(files))
-    return file_risk(local_scores(named, best_findings(archive_findings(entries))))
+    return file_risk(local_scores(named, all_findings(files, entries)))
 
 
 def top_reasons(files: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
@@ -144,7 +166,7 @@ def top_reasons(files: DataFrame, entries: DataFrame, most: int = 3) -> DataFram
     name = filename_risk(files).where("name_warning is not null").select(
         "file_id", F.col("name_warning").alias("reason"), F.col("name_score").alias("score"), F.lit(0).alias("side")
     )
-    found = best_findings(archive_findings(entries)).select("file_id", F.col("finding").alias("reason"), "score", F.lit(1).alias("side"))
+    found = all_findings(files, entries).select("file_id", F.col("finding").alias("reason"), "score", F.lit(1).alias("side"))
     turn = Window.partitionBy("file_id").orderBy(F.desc("score"), "side", "reason")
     return name.unionByName(found).withColumn("place", F.row_number().over(turn)).where(F.col("place") <= most).drop("side")
 

@@ -99,3 +99,17 @@ def test_reputation_and_hidden_links_reach_the_message(spark):
     bad = spark.createDataFrame([(9, 30, "suspicious", 3, True)], "file_id bigint, file_pct int, file_level string, malicious int, found boolean")
     filed = D.full_message_evidence(messages.withColumn("file_id", F.lit(9).cast("bigint")), bad, hidden, known).where("message_id = 3").first()
     assert filed.confirmed and not filed.confirmed_link
+
+
+def test_kind_of_an_archive_gives_points(spark):
+    names = [(1, "bill.pdf.zip"), (2, "app.APK"), (3, "letter.docx"), (4, "plain.docx"), (5, "noext"), (6, "notes.zip")]
+    files = spark.createDataFrame([(i, n, 1000, True, True, 0) for i, n in names], "file_id bigint, file_name string, size_bytes bigint, checked boolean, found boolean, malicious int")
+    listed = {1: ("AndroidManifest.xml", "classes.dex"), 2: ("AndroidManifest.xml", "classes.dex"), 3: ("[Content_Types].xml", "word/vbaProject.bin"), 4: ("[Content_Types].xml", "word/document.xml")}
+    listed |= {5: ("ANDROIDMANIFEST.XML", "classes.dex"), 6: ("AndroidManifest.xml", "x/vbaProject.bin")}
+    rows = [(i, k, n, False) for i, e in listed.items() for k, n in enumerate(e)]
+    entries = spark.createDataFrame(rows, "file_id bigint, entry_no int, entry_name string, encrypted boolean")
+    got = {(r.file_id, r.finding): r.score for r in X.kind_findings(files, entries).collect()}
+    assert got == {(1, "disguised_app_package"): 85, (5, "disguised_app_package"): 85, (3, "office_macros"): 50}
+    risk_of = {r.file_id: (r.local_score, r.file_level) for r in X.files_with_risk(files, entries).collect()}
+    assert risk_of[1] == (85, "dangerous") and risk_of[3] == (50, "suspicious") and risk_of[4] == (0, "safe") and risk_of[6][0] < 50
+    assert "office_macros" in {r.reason for r in X.top_reasons(files, entries).where("file_id = 3").collect()}
