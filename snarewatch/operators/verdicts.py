@@ -20,20 +20,24 @@ def phish_points(similarity: Column) -> Column:
     return F.when(similarity >= 0.80, 40).when(similarity >= 0.55, 20).otherwise(0)
 
 
-def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: DataFrame) -> DataFrame:
+def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: DataFrame, by_domain: bool = False) -> DataFrame:
     """Full score of each link: link_id, score, level, trusted, confirmed.
 
     Lexical points, similarity to phishing shapes among the four nearest seeds,
     enrichment, network, page and near-duplicate evidence are summed. Reputation is
     asked only where something else has scored. ``pages`` holds the capture of each
-    link under the link's id; ``near`` has (page_id) of near-duplicates.
+    link under the link's id; ``near`` has (page_id) of near-duplicates. With
+    ``by_domain`` a page also poses as a brand where the link's host resembles one.
     """
     base = L.lexical_score(links).withColumn("trusted", F.col("reg_domain").isin(*C.BRANDS))
     hosts = base.select("link_id", "host")
     top = V.nearest(V.hashed_vectors(hosts, "link_id", "host"), "link_id", V.seed_vectors(links.sparkSession, ("brand", "phish")), 4)
     phish = top.where("kind = 'phish'").groupBy("link_id").agg(F.max("similarity").alias("phish"))
     network = P.network_points(pages).select(F.col("page_id").alias("link_id"), "network_points", "rescored")
-    spoof = P.brand_spoof(pages).select(F.col("page_id").alias("link_id"), F.lit(35).alias("spoof"))
+    posed = P.brand_spoof(pages)
+    if by_domain:
+        posed = P.brand_spoof(*P.with_resemblance(pages, top.select(F.col("link_id").alias("page_id"), "kind", "similarity")))
+    spoof = posed.select(F.col("page_id").alias("link_id"), F.lit(35).alias("spoof"))
     theft = P.credential_exfil(pages).select(F.col("page_id").alias("link_id"), F.lit(40).alias("theft"))
     copied = near.select(F.col("page_id").alias("link_id"), F.lit(25).alias("copied"))
     wide = L.enrich_links(base.select("link_id", "score", "trusted"), intel)

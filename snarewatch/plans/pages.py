@@ -106,18 +106,21 @@ def credential_exfil(t: Tables) -> DataFrame:
     return P.credential_exfil(t["page_obs"])
 
 
-def _spoof_sql() -> str:
-    rules = []
+def spoof_sql(best: str | None = None) -> str:
+    """With ``best`` (page_id, resembles) a host that resembles a brand is enough."""
+    rules, or_alike, pages = [], " or resembles" if best else "", "page_obs"
+    if best:
+        pages = f"(select o.*, coalesce(resembles, false) as resembles from page_obs o left join ({best}) b on b.page_id = o.page_id)"
     for domain in C.BRANDS:
         root = domain.split(".")[0]
         if len(root) >= 4:
             near = " or ".join(f"regexp_matches(low, '(?s){root}.{{0,{P.NEAR - len(root)}}}{p}|{p}.{{0,{P.NEAR - len(p)}}}{root}')" for p in C.PORTAL_PHRASES)
-            rules.append(f"when contains(low, '{root}') and own <> '{domain}' and length(low) - length(replace(low, '{root}', '')) >= {3 * len(root)} and ({near}) then '{domain}'")
-    return f"""select page_id, brand from (select page_id, case when regexp_matches(low, '{"|".join(C.PORTAL_PHRASES)}') then case {' '.join(rules)} end end as brand
-      from (select page_id, lower({text_sql(f'substr(html, 1, {P.MAX_HTML})')}) as low, {reg_sql(host_sql('final_url'))} as own from page_obs)) where brand is not null"""
+            rules.append(f"when contains(low, '{root}') and own <> '{domain}' and length(low) - length(replace(low, '{root}', '')) >= {3 * len(root)} and ({near}{or_alike}) then '{domain}'")
+    return f"""select page_id, brand from (select page_id, case when regexp_matches(low, '{"|".join(C.PORTAL_PHRASES)}'){or_alike} then case {' '.join(rules)} end end as brand
+      from (select page_id{', resembles' if best else ''}, lower({text_sql(f'substr(html, 1, {P.MAX_HTML})')}) as low, {reg_sql(host_sql('final_url'))} as own from {pages})) where brand is not null"""
 
 
-SPOOF_SQL = _spoof_sql()
+SPOOF_SQL = spoof_sql()
 
 
 @query(SPOOF_SQL)
@@ -245,8 +248,10 @@ def minhash_signature(t: Tables) -> DataFrame:
     return V.minhash(texts, "page_id", "text").select("page_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
-def _signed(t: Tables) -> DataFrame:
+def _signed(t: Tables, long: bool = False) -> DataFrame:
     texts = t["page_obs"].select("page_id", "url", P.page_text(F.col("html")).alias("text"))
+    if long:
+        texts = texts.where(P.long_enough(F.col("text")))
     hosts = texts.select("page_id", urls.host(F.col("url")).alias("host"))
     return V.minhash(texts, "page_id", "text").join(hosts, "page_id").select(F.col("page_id").alias("id"), "host", "signature")
 
@@ -271,6 +276,26 @@ def page_near_dup(t: Tables) -> DataFrame:
     return V.near_duplicates(_signed(t)).select(F.col("id").alias("page_id"), "other", "matches")
 
 
+NEAR_FULL_SQL = NEAR_SQL.replace("from page_obs)))", f"from page_obs where length({text_sql('html')}) >= {P.MIN_TEXT})))")
+
+
+@query(NEAR_FULL_SQL)
+def page_near_dup_full(t: Tables) -> DataFrame:
+    return V.near_duplicates(_signed(t, long=True)).select(F.col("id").alias("page_id"), "other", "matches")
+
+
+def best_brand_sql(rows: str) -> str:
+    """Statement: page_id and whether the host of ``rows`` (link_id, host) resembles a brand."""
+    return f"select link_id as page_id, max(similarity) >= {P.RESEMBLES} as resembles from ({nearest_sql(rows, 'link_id', 'host', ('brand', 'phish'), 4)}) where kind = 'brand' group by 1"
+
+
+@query(spoof_sql(best_brand_sql(f"select page_id as link_id, {host_sql('url')} as host from page_obs")))
+def brand_page_spoof_full(t: Tables) -> DataFrame:
+    hosts = t["page_obs"].select("page_id", urls.host(urls.normalized(F.col("url"))).alias("host"))
+    top = V.nearest(V.hashed_vectors(hosts, "page_id", "host"), "page_id", V.seed_vectors(t.spark, ("brand", "phish")), 4)
+    return P.brand_spoof(*P.with_resemblance(t["page_obs"], top))
+
+
 @query()
 def seed_fingerprint(t: Tables) -> DataFrame:
     """One digest over the sorted reference rows, and whether the pages at hand need a reload."""

@@ -45,6 +45,15 @@ def link_verdict(t: Tables) -> DataFrame:
     return D.link_verdicts(t["links"], t["link_intel"], t["page_obs"], pages.page_near_dup(t))
 
 
+LINK_FULL_SQL = LINK_SQL.replace(pages.SPOOF_SQL, pages.spoof_sql(pages.best_brand_sql(pages._HOSTS))).replace(pages.NEAR_SQL, pages.NEAR_FULL_SQL)
+
+
+@query(LINK_FULL_SQL)
+def link_verdict_full(t: Tables) -> DataFrame:
+    """With brand-like hosts and a least length of compared pages."""
+    return D.link_verdicts(t["links"], t["link_intel"], t["page_obs"], pages.page_near_dup_full(t), by_domain=True)
+
+
 _MESSAGES = "select message_id, text, case when message_id % 4 = 0 then message_id % 1000 end as file_id from message_text"
 
 
@@ -181,7 +190,7 @@ FULL_LINKS_SQL = f"""select m.mp, m.hidden, sc.reg_domain, coalesce(k.confirmed,
     + case when m.hidden then case when {_SHOWN} <> '' and {reg_sql(_SHOWN)} <> sc.reg_domain then 55 else 0 end
       when regexp_matches(lower(t.text), '\\bhttps?//') then 15 else 0 end as score
   from {_MERGED} m join ({score_sql(_MERGED, 'url', 'mp')}) sc on sc.mp = m.mp join message_text t on t.message_id = m.mp // 100
-  left join (select {_NORM('raw_url')} as norm, max(v.score) as score, bool_or(v.confirmed) as confirmed from links l join ({LINK_SQL}) v on v.link_id = l.link_id group by 1) k on k.norm = {_NORM('m.url')}"""
+  left join (select {_NORM('raw_url')} as norm, max(v.score) as score, bool_or(v.confirmed) as confirmed from links l join ({LINK_FULL_SQL}) v on v.link_id = l.link_id group by 1) k on k.norm = {_NORM('m.url')}"""
 FULL_SQL = f"""select m.message_id, m.text, links_only, len([k for k in [{names(C.KEYWORDS)}] if contains(lower(m.text), k)]) > 0 as keyword,
     coalesce(worst, 0) as worst, coalesce(n_links, 0) as n_links, coalesce(n_risky, 0) as n_risky, coalesce(n_trusted, 0) as n_trusted, similarity, f.file_level, f.pct as file_pct,
     coalesce(f.found and f.malicious > 0, false) or coalesce(any_confirmed, false) as confirmed, coalesce(a.confirmed_link, false) as confirmed_link
@@ -194,7 +203,7 @@ FULL_SQL = f"""select m.message_id, m.text, links_only, len([k for k in [{names(
 
 def _full(t: Tables) -> DataFrame:
     scored = X.files_with_risk(t["files"], t["archive_entries"]).select("file_id", "file_pct", "file_level", "found", "malicious")
-    known = link_verdict(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
+    known = link_verdict_full(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
     return D.full_message_evidence(t.sql(_MESSAGES), scored, t["hidden_links"], known)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snarewatch.functions import risk, urls
 from snarewatch.operators import files as X
 from snarewatch.operators import links as L
+from snarewatch.operators import pages as P
 from snarewatch.operators import vectors as V
 from snarewatch.operators import verdicts as D
 
@@ -113,3 +114,13 @@ def test_kind_of_an_archive_gives_points(spark):
     risk_of = {r.file_id: (r.local_score, r.file_level) for r in X.files_with_risk(files, entries).collect()}
     assert risk_of[1] == (85, "dangerous") and risk_of[3] == (50, "suspicious") and risk_of[4] == (0, "safe") and risk_of[6][0] < 50
     assert "office_macros" in {r.reason for r in X.top_reasons(files, entries).where("file_id = 3").collect()}
+
+
+def test_a_brand_like_domain_needs_no_portal_phrase(spark):
+    rows = [(1, "http://ababank.co/", "ababank news ababank story ababank end"), (2, "http://quiet.example/", "ababank news ababank story ababank end"), (3, "http://ababank.co/", "ababank once")]
+    pages = spark.createDataFrame([(i, f"<p>{x}</p>", u) for i, u, x in rows], "page_id bigint, html string, final_url string")
+    top = spark.createDataFrame([(1, "brand", 0.55), (1, "phish", 0.9), (2, "brand", 0.54), (2, "phish", 0.9), (3, "brand", 0.9)], "page_id bigint, kind string, similarity double")
+    assert [tuple(r) for r in P.brand_spoof(*P.with_resemblance(pages, top)).collect()] == [(1, "ababank.com")]
+    assert P.brand_spoof(pages).count() == 0
+    lengths = spark.createDataFrame([("a" * 299,), ("a" * 300,)], "x string").select(P.long_enough(F.col("x")).alias("y")).collect()
+    assert [r.y for r in lengths] == [False, True]
