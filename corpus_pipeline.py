@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snarewatch.llm import bpe, common, jaccard_join, mixing, pii, quality_rules
@@ -39,9 +39,20 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """Add _row: id, text hash and occurrence number, so rows of one id or of none differ."""
+    same = F.xxhash64("text")
+    turn = Window.partitionBy("doc_id", same).orderBy(F.xxhash64(*docs.columns))
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), same.cast("string"), F.row_number().over(turn).cast("string"))
+    return docs.withColumn("_row", row)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs.select("doc_id", "source", "text")))
+    """Documents as often as the mix of sources takes them; each row counts for itself."""
+    rows = told_apart(docs)
+    plan = mixing.mix_sources(rows.select(F.col("_row").alias("doc_id"), "source", "text"))
+    mixed = mixing.mixed_documents(rows.withColumnRenamed("doc_id", "_own").withColumnRenamed("_row", "doc_id"), plan)
+    return mixed.drop("doc_id").withColumnRenamed("_own", "doc_id").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +70,8 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: SQL can't express hashed ratios, components by similarity or merges; the stages are
-#: tested against brute force instead.
+#: SQL can't express hashed ratios, components by similarity or merges; the operators are
+#: tested against brute force instead, and of the stages the mix.
 ORACLE_SQL = None
 
 
