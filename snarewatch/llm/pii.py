@@ -28,12 +28,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|#))?\s?[:=#]?\s?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
-_STREET = re.compile(r"(?<![0-9])[0-9]{1,5} (?:[A-Z][a-z]+ ){0,3}[A-Z][a-z]+$")
 _LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@")
 _VALUE = re.compile(r"\s?[:=]\s?[\"']?([A-Za-z0-9_+/.\-]{8,})")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _TOKEN_ID = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])")
-_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
+_KEY_HEAD = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+#: Names that a street may have before the word for its kind.
+STREET_NAMES = 4
 
 #: Cues of identifiers, each with the name of its parser; cased as written, capitalised and in capitals.
 _CUES = {
@@ -103,6 +105,24 @@ def _from_runs(text: str, runs: list[tuple[int, int]], out: list) -> None:
             done = m.end()
 
 
+def _street_start(text: str, end: int) -> int:
+    """Where an address begins whose names end at ``end``: house number, capitalised names; -1 if none does."""
+    at = end
+    for _ in range(STREET_NAMES):
+        low = at
+        while low and "a" <= text[low - 1] <= "z":
+            low -= 1
+        if low == at or low < 2 or not "A" <= text[low - 1] <= "Z" or text[low - 2] != " ":
+            return -1
+        at = low - 2
+        first = at
+        while first and at - first < 6 and text[first - 1] in _DIGIT:
+            first -= 1
+        if 0 < at - first < 6:
+            return first
+    return -1
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end) in code points, by kind, then start.
 
@@ -113,6 +133,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     runs: list[tuple[int, int]] = []
     at = dict.fromkeys(KINDS, 0)
     run_end = 0
+    foot, no_foot = None, False  # the end of a key block found last; whether none is left
 
     def add(kind: str, start: int, end: int) -> None:
         if start >= at[kind]:
@@ -144,8 +165,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if (m := _KEY_ID.match(text, start) or _TOKEN_ID.match(text, start)) and not (start and text[start - 1].isalnum()):
                 add("secret", start, m.end())
         elif parser == "block":
-            if start >= at["secret"] and (m := _KEY_BLOCK.match(text, start)):
-                add("secret", start, m.end())
+            if start >= at["secret"] and not no_foot and (m := _KEY_HEAD.match(text, start)):
+                if foot is None or foot.start() < m.end():
+                    foot = _KEY_END.search(text, m.end())
+                    no_foot = foot is None
+                if foot is not None:
+                    add("secret", start, foot.end())
         elif parser == "account":
             if m := _ACCOUNT.match(text, end):
                 add("account", m.start(1), m.end(1))
@@ -153,9 +178,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if (m := _VALUE.match(text, end)) and any(c in _DIGIT for c in m[1]):
                 add("secret", m.start(1), m.end(1))
         elif end == len(text) or not text[end].isalnum():
-            low = max(0, start - 80)
-            if m := _STREET.search(text[low:start]):
-                add("address", low + m.start(), end)
+            if (low := _street_start(text, start)) >= 0:
+                add("address", low, end)
     _from_runs(text, runs, out)
     order = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(out, key=lambda s: (order[s[0]], s[1]))
