@@ -57,14 +57,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names close to the wanted ones that no column of ``df`` has, case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as rows (a, b).
 
     Returns (id, component) for each id that has an edge to another id; component
     is the smallest id in reach. Alternates large-star and small-star rounds; a
     round that changes nothing ends it. Each round is checkpointed, so a lost
-    executor costs one round at most. The joins are plain equi-joins of two
-    shuffled sides, which adaptive execution splits where one id is hot.
+    executor costs one round at most. The minima are dealt anew before they meet the
+    edges, as adaptive execution splits a hot id only where both sides of a join come
+    straight from a shuffle.
     """
     now = checkpoint(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -77,10 +89,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least.repartition("m").hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.repartition("m").hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snarewatch.llm.common import checkpoint, words_of
+from snarewatch.llm.common import checkpoint, fresh, words_of
 from snarewatch.llm.hypergeometric import draw_multivariate
 
 #: Blocks a source; a window or a group over one block is the largest unit of work.
 BLOCKS = 1024
 #: Output shards of the mix.
 SHARDS = 32
-#: Hashed cells of a shard, each shuffled on its own.
-CELLS = 16
+#: Hashed cells of a shard, each shuffled on its own; the most tasks that a shard can use.
+CELLS = 4096
 #: No source gives more than so many times its size.
 MOST = 3
 
@@ -142,29 +142,30 @@ def mix_sources(
     )
     plan = plan.join(homes.hint("merge"), ["skey", "block"], "left")
 
-    within = Window.partitionBy("skey", "block").orderBy("key", "doc_id", "size")
+    # row by row: equal rows have places of their own, as each fits or not by itself
+    within = Window.partitionBy("skey", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # in the block where the rest runs out, documents are taken while they fit
     fits = (F.col("need") > 0) & (F.sum("size").over(within) <= F.col("need"))
     taken = (
         base.join(plan.hint("merge"), ["skey", "block"])
         .withColumn("part", F.when(fits & (F.col("size") > 0), 1).otherwise(0))
-        .select("doc_id", "source", "skey", "key", "block", "size", "source_size", "target", "passes", "rest", "part", "homes")
+        .withColumn("place", F.count("*").over(within))
+        .select("doc_id", "source", "skey", "key", "block", "place", "size", "source_size", "target", "passes", "rest", "part", "homes")
     )
     taken = checkpoint(taken)
 
     # one more document a source, the one that brings it nearest to its target
     gaps = taken.groupBy("skey").agg((F.first("rest") - F.sum(F.col("size") * F.col("part"))).alias("gap"))
     offers = taken.where("part = 0 and size > 0 and passes < 3").groupBy("skey", "size").agg(
-        F.min(F.struct("key", "doc_id")).alias("who")
+        F.min(F.struct("key", "doc_id", "block", "place")).alias("who")
     )
     off = F.abs(F.col("size") - F.col("gap"))
     extra = (
         offers.join(gaps.hint("merge"), "skey").where(off < F.col("gap"))
         .groupBy("skey").agg(F.min(F.struct(off.alias("off"), F.col("size"), F.col("who"))).alias("best"))
-        .select("skey", F.col("best.who.key").alias("key"), F.col("best.who.doc_id").alias("doc_id"), F.lit(1).alias("extra"))
+        .select("skey", F.col("best.who.block").alias("block"), F.col("best.who.place").alias("place"), F.lit(1).alias("extra"))
     )
-    same = (taken["skey"] == extra["skey"]) & (taken["key"] == extra["key"]) & taken["doc_id"].eqNullSafe(extra["doc_id"])
-    out = taken.join(extra.hint("merge"), same, "left").select(taken["*"], F.coalesce(extra["extra"], F.lit(0)).alias("extra"))
+    out = taken.join(extra.hint("merge"), ["skey", "block", "place"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("part") + F.col("extra")).otherwise(0)
     # an extra document outside the last block taken gets a hashed shard
     spare = F.pmod(F.xxhash64(F.lit(f"spare {seed}"), "key"), F.lit(n_shards)).cast("int")
@@ -185,9 +186,12 @@ def mixed_documents(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFram
 
     ``plan`` is ``mix_sources(docs)`` and is matched by doc_id; rows that share a
     doc_id must be told apart beforehand. Documents that the mix leaves out are gone.
+    Columns of ``docs`` besides doc_id are passed on whatever their names.
     """
-    picks = plan.where("size(shards) > 0").select(F.col("doc_id").alias("_id"), F.col("shards").alias("_shards"))
-    rows = docs.join(picks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_shard", F.explode("_shards"))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(f"local {seed}"), "doc_id", "_shard")).withColumn("_cell", F.pmod("_order", F.lit(CELLS)))
-    placed = rows.repartition("_shard", "_cell").sortWithinPartitions("_shard", "_order")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole, key, shards, shard, order, cell = fresh(docs.select("doc_id"), "row", "key", "shards", "shard", "order", "cell")
+    picks = plan.where("size(shards) > 0").select(F.col("doc_id").alias(key), F.col("shards").alias(shards))
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole))
+    rows = rows.join(picks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key))).withColumn(shard, F.explode(shards))
+    rows = rows.withColumn(order, F.xxhash64(F.lit(f"local {seed}"), "doc_id", shard)).withColumn(cell, F.pmod(order, F.lit(CELLS)))
+    placed = rows.repartition(shard, cell).sortWithinPartitions(shard, order)
+    return placed.select(f"{whole}.*")
