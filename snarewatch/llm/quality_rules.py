@@ -116,17 +116,8 @@ def _scored(docs: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, margin: float = MARGIN, buckets: int = BUCKETS) -> DataFrame:
-    """Verdicts on every document, as columns added to ``docs``.
-
-    ``trusted`` (doc_id) is a bounded sample; a tenth of it, by hash, places the
-    threshold and the rest fits the target model. Adds n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words (bigint), llr (double, mean log ratio),
-    base_failed and kept (boolean). A null or blank text has no words and fails the
-    base rules. Without trusted documents every ratio is one and only the base
-    rules decide. Repeated rows get equal verdicts; no documents give no rows.
-    ``docs`` may hold any other columns except these and names that begin with _.
-    """
+def _judged(docs: DataFrame, trusted: DataFrame, margin: float, buckets: int) -> DataFrame:
+    """The verdict columns added to ``docs``, whose other names must not clash with them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     held = F.pmod(F.xxhash64(F.lit("held back"), "doc_id"), F.lit(HELD_BACK)) == 0
     # 512 kB of ratios, written once for the two passes that use them
@@ -151,11 +142,27 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, margin: float = MARGIN, b
     return judged.drop("_words", "_h1", "_h2", "_h4", "_h8", "_lines", "_ratios", "_sum")
 
 
+def judge_quality(docs: DataFrame, trusted: DataFrame, margin: float = MARGIN, buckets: int = BUCKETS) -> DataFrame:
+    """Verdicts on every document, a row a row of ``docs``.
+
+    ``trusted`` (doc_id) is a bounded sample; a tenth of it, by hash, places the
+    threshold and the rest fits the target model. Returns doc_id, text, n_words,
+    word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint), llr (double, mean log
+    ratio), base_failed and kept (boolean). A null or blank text has no words and fails
+    the base rules. Without trusted documents every ratio is one and only the base
+    rules decide. Repeated rows get equal verdicts; no documents give no rows. Other
+    columns of ``docs`` are not read.
+    """
+    return _judged(docs.select("doc_id", "text"), trusted, margin, buckets)
+
+
 def good_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The documents that ``judge_quality`` keeps, with the columns of ``docs``.
+    """The documents that ``judge_quality`` keeps, with the columns of ``docs`` as they are.
 
-    The row number keeps the filter above the projections: pushed below them, it
-    would hold the whole chain of word and window hashes many times over.
+    Those travel packed, so that none is taken for a verdict, whatever its name. The
+    row number keeps the filter above the projections: pushed below them, it would
+    hold the whole chain of word and window hashes many times over.
     """
-    judged = judge_quality(docs, trusted).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("kept and _row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs"))
+    judged = _judged(rows, trusted, MARGIN, BUCKETS).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept and _row >= 0").select("_docs.*")
