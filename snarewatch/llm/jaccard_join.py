@@ -46,13 +46,17 @@ MANY = 64
 BLOCK = 1024
 #: Bits of the filter that keeps texts nobody asked for out of a shuffle: 2 MB.
 ASKED_BITS = 1 << 24
-#: Words whose hash a worker remembers.
-MEMO = 300_000
+#: Words whose hash a task remembers, and sets whose digest it does.
+MEMO = 100_000
+#: Sets under one shingle, as estimated, from which on they are dealt out in parts.
+SPLIT = 4096
+#: Partners of one class that one task compares it with.
+PARTNERS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Hashes of the words met so far."""
+    """Hashes of the words that a task has met lately."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
@@ -61,16 +65,13 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int, memo: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``width`` words, A-Z lower-cased.
 
     A shorter text is one run of all its words; without words the set is empty.
@@ -78,7 +79,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII blanks only
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     take = min(width, len(words))
     with np.errstate(over="ignore"):
         out = np.full(len(words) - take + 1, take, np.uint64)
@@ -102,25 +103,25 @@ def odd_sketch(shingles: np.ndarray) -> bytes:
 
 
 def _survey(width: int):
-    """Per document its set's size, fingerprint and odd sketch; per task its counts, in pieces."""
+    """Per row its set's size, fingerprint and odd sketch; per task its counts, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(CELLS, np.int32)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-        schema = pa.schema(list(zip(("doc_id", "n", "f1", "f2", "odd", "piece", "counts"), kinds, strict=True)))
+        sketch, memo = np.zeros(CELLS, np.int32), _Words()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        schema = pa.schema(list(zip(("doc_id", "th", "n", "f1", "f2", "odd", "piece", "counts"), kinds, strict=True)))
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                shingles = shingle_set(text.as_py(), width)
+            for text in batch.column(2):
+                shingles = shingle_set(text.as_py(), width, memo)
                 np.add.at(sketch, (shingles & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 rows.append((len(shingles), *_fingerprint(shingles), odd_sketch(shingles)))
             if rows:
-                found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:5], strict=True)]
-                none = [pa.nulls(len(rows)).cast(k) for k in kinds[5:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *found, *none], schema=schema)
+                found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[2:6], strict=True)]
+                none = [pa.nulls(len(rows)).cast(k) for k in kinds[6:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *none], schema=schema)
         if sketch.any():
             parts = [p.tobytes() for p in np.split(sketch, PIECES)]
-            none = [pa.nulls(PIECES).cast(k) for k in kinds[:5]]
+            none = [pa.nulls(PIECES).cast(k) for k in kinds[:6]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
@@ -171,40 +172,59 @@ def choose_prefix(shingles: np.ndarray, heat: np.ndarray, threshold: float) -> t
 
 
 def _index(width: int, threshold: float, heat):
+    """Rows (token, cell, doc_id, th, n, shared): a set under each shingle of its prefix.
+
+    ``cell`` is the number of parts that the shingle's sets are dealt to, by its
+    estimated count, and this set's part: 2^32 * parts + part.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = heat.value, set()
-        names = ["token", "doc_id", "n", "shared"]
+        weights, seen, memo = heat.value, set(), _Words()
+        names = ["token", "cell", "doc_id", "th", "n", "shared"]
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            tokens, lengths, rows = [], [], []
-            for doc_id, text in zip(ids, batch.column(1), strict=True):
-                shingles = shingle_set(text.as_py(), width)
-                mark = shingles.tobytes()
-                mark = xxhash.xxh128_digest(mark)
-                if doc_id is None or not len(shingles) or mark in seen:
-                    continue  # one of the copies in a task stands for all
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+            tokens, cells, lengths, rows = [], [], [], []
+            for doc_id, th, text in keys:
+                if doc_id is None:
+                    continue
+                shingles = shingle_set(text.as_py(), width, memo)
+                mark = xxhash.xxh128_digest(shingles.tobytes())
+                if not len(shingles) or mark in seen:
+                    continue  # one of the copies that a task meets shortly after each other stands for all
+                if len(seen) >= MEMO:
+                    seen.clear()
                 seen.add(mark)
                 prefix, shared = choose_prefix(shingles, weights, threshold)
+                of = 1 + (weights[(prefix & np.uint64(CELLS - 1)).astype(np.int64)] / SPLIT).astype(np.int64)
                 tokens.append(prefix.view(np.int64))
+                cells.append((of << 32) + int.from_bytes(mark[:4], "big") % of)
                 lengths.append(len(prefix))
-                rows.append((doc_id, len(shingles), shared))
+                rows.append((doc_id, th, len(shingles), shared))
             if rows:
                 columns = [np.repeat(np.array(c, np.int64), lengths) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *map(pa.array, columns)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(cells)), *map(pa.array, columns)], names=names)
 
     return run
 
 
 def _pack(asked):
-    """Rows (doc_id, text, bit) of documents that may be asked for, texts compressed."""
+    """Rows (doc_id, th, packed) of texts that may be asked for, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, squeeze = asked.value, zstandard.ZstdCompressor(level=3).compress
+        bits, squeeze, seen = asked.value, zstandard.ZstdCompressor(level=3).compress, set()
         for batch in batches:
-            bit = batch.column(2).to_numpy()
+            bit = batch.column(3).to_numpy()
             few = batch.take(pa.array(np.flatnonzero(bits[bit >> 3] >> (bit & 7) & 1)))
-            texts = [squeeze((t.as_py() or "").encode()) for t in few.column(1)]
-            yield pa.RecordBatch.from_arrays([few.column(0), pa.array(texts, pa.binary())], names=["b", "packed"])
+            keep = []
+            for i, key in enumerate(zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True)):
+                if len(seen) >= MEMO:
+                    seen.clear()
+                if key not in seen:  # repeated rows go once
+                    seen.add(key)
+                    keep.append(i)
+            few = few.take(pa.array(keep, pa.int64()))
+            texts = [squeeze((t.as_py() or "").encode()) for t in few.column(2)]
+            yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(texts, pa.binary())], names=["doc_id", "th", "packed"])
 
     return run
 
@@ -213,17 +233,16 @@ def _verify(width: int, threshold: float):
     """Rows (a, b, packed text of b), those of one a together and its own first, to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
+        at, own, memo = None, None, _Words()
         open_up = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             links = []
             for a, b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if a != b and a != at:
-                    continue
-                other = shingle_set(open_up(packed.as_py()).decode(), width)
+                other = shingle_set(open_up(packed.as_py()).decode(), width, memo)
                 if a == b:
                     at, own = a, other
                     continue
+                assert a == at, "a class's own text comes first"
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 if both and 100 * both >= round(100 * threshold) * (len(own) + len(other) - both):
                     links.append((a, b))
@@ -233,25 +252,29 @@ def _verify(width: int, threshold: float):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar enough.
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough.
 
-    Each pair takes b's text to a; a task streams through a's partners and holds two
-    sets. ``pairs`` is checkpointed by the caller. A bit filter of fixed size, which
-    may let through more but never less, keeps most other texts at home.
+    Each pair takes b's text to a; a task streams through a's partners, or a part of
+    them where there are many, and holds two sets. ``pairs`` is checkpointed by the
+    caller. A bit filter of fixed size, which may let through more but never less,
+    keeps most other texts at home.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
-    asked = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    parts = asked.select((bit("b") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("of")).where("of > 1")
+    dealt = pairs.join(many.hint("merge"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("of", F.lit(1))).alias("part"))
+    dealt = dealt.unionByName(dealt.select("a", F.col("a").alias("b"), "part").distinct())
+    asked = checkpoint(dealt.join(classes.select(F.col("node").alias("b"), "doc_id", "th").hint("merge"), "b"))
+    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(ASKED_BITS))
+    parts = asked.select((bit + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
     )
     bits = np.zeros(ASKED_BITS // 8, np.uint8)
     for row in parts.collect():
         bits[(row.part - 1) * 4096 : row.part * 4096] = np.frombuffer(row.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    texts = docs.where("doc_id is not null").select("doc_id", "text", bit("doc_id").alias("bit")).mapInArrow(_pack(shared), "b bigint, packed binary")
-    met = asked.hint("merge").join(texts, "b").select("a", "b", "packed", (F.col("a") != F.col("b")).alias("_other"))
-    met = met.repartition("a").sortWithinPartitions("a", "_other", "b").select("a", "b", "packed")
+    texts = docs.where("doc_id is not null").select("doc_id", "th", "text", bit.alias("bit")).mapInArrow(_pack(shared), "doc_id bigint, th bigint, packed binary")
+    met = asked.hint("merge").join(texts, ["doc_id", "th"]).select("a", "part", "b", "packed", (F.col("a") != F.col("b")).alias("other"))
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", "other", "b").select("a", "b", "packed")
     return met.mapInArrow(_verify(width, threshold), "a bigint, b bigint")
 
 
@@ -264,10 +287,10 @@ def _not_too_odd(threshold: float):
     share = (1 - threshold) / (1 + threshold)
 
     def pairs(rows: pa.Table) -> list[pa.RecordBatch]:
-        rep, n, home, side = (rows.column(c).to_numpy() for c in ("rep", "n", "home", "side"))
-        odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(len(rep), -1)
+        node, n, home, side = (rows.column(c).to_numpy() for c in ("node", "n", "home", "side"))
+        odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(len(node), -1)
         same = rows.column("block")[0].as_py() == rows.column("with")[0].as_py()
-        left = np.arange(len(rep)) if same else np.flatnonzero(side == 0)
+        left = np.arange(len(node)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         out = []
         for at in range(0, len(left), 32):
@@ -279,7 +302,7 @@ def _not_too_odd(threshold: float):
             x, y = np.nonzero(fine)
             x, y = i[x], right[y]
             keep = x < y if same else np.ones(len(x), bool)
-            one, two = rep[x[keep]], rep[y[keep]]
+            one, two = node[x[keep]], node[y[keep]]
             out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"]))
         return out
 
@@ -306,17 +329,17 @@ def _not_too_odd(threshold: float):
 def _across(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) under one shingle and of different homes that sketches cannot rule out.
 
-    ``members`` has token, rep, n, home, odd and of, the number of blocks into which
+    ``members`` has token, node, n, home, odd and of, the number of blocks into which
     the token's classes are cut. Each block meets itself and every other one in a
     task of its own; what is shuffled is sketches, and no row stands for a pair that
     is ruled out.
     """
-    placed = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    placed = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("of") - 1),
         lambda b: F.struct(F.least(b, F.col("mine")).alias("block"), F.greatest(b, F.col("mine")).alias("with"), (F.col("mine") > b).cast("int").alias("side")),
     )
-    rows = placed.select("token", "rep", "n", "home", "odd", F.explode(meets).alias("m")).select("token", "m.block", "m.with", "m.side", "rep", "n", "home", "odd")
+    rows = placed.select("token", "node", "n", "home", "odd", F.explode(meets).alias("m")).select("token", "m.block", "m.with", "m.side", "node", "n", "home", "odd")
     place = ["token", "block", "with"]
     return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(_not_too_odd(threshold), "a bigint, b bigint").distinct()
 
@@ -332,7 +355,7 @@ def _sifted(pairs: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
             fine = pa.array(np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= share * (n + m) + 1e-6)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(fine) for i in (0, 1)], names=["a", "b"])
 
-    one, two = (odd.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    one, two = (odd.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b")
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -343,36 +366,46 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -
     Returns doc_id, n_shingles, component_id (the smallest id in reach, its own
     included), a row a row of ``docs``. Documents link when 100 * |both| >=
     100 * threshold * |either|, with the threshold in whole hundredths. A null,
-    empty or blank text has no shingles and links with nothing. Rows that share an
-    id are one document of the graph. A null id is never linked. Columns besides
-    doc_id and text are not read; no documents give no rows.
+    empty or blank text has no shingles and links with nothing. Rows with shingles
+    that share an id are one document: each of its texts links, and all are in one
+    component. A null id is never linked. Columns besides doc_id and text are not
+    read; no documents give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    survey_ddl = "doc_id bigint, n bigint, f1 bigint, f2 bigint, odd binary, piece int, counts binary"
-    survey = written(docs.mapInArrow(_survey(width), survey_ddl))
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
+    survey_ddl = "doc_id bigint, th bigint, n bigint, f1 bigint, f2 bigint, odd binary, piece int, counts binary"
+    survey = written(docs.select("doc_id", "th", "text").mapInArrow(_survey(width), survey_ddl))
     heat = spark.sparkContext.broadcast(heat_of(corpus_sketch(survey.where("piece is not null"))))
-    sets = survey.where("piece is null").select("doc_id", "n", "f1", "f2")
-    usable = sets.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = usable.join(classes.hint("merge"), ["f1", "f2"]).select("doc_id", "rep", "copies").distinct()
+    sets = survey.where("piece is null").select("doc_id", "th", "n", "f1", "f2")
+    # a class is a set, whatever its documents' ids; one of its rows stands for it
+    usable = survey.where("piece is null and n > 0 and doc_id is not null")
+    stands = F.min(F.struct("doc_id", "th"))
+    classes = usable.groupBy("f1", "f2").agg(stands.alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "row.doc_id", "row.th", "copies", "n", "odd"))
+    member = usable.select("doc_id", "th", "f1", "f2").join(classes.select("f1", "f2", "node", "copies").hint("merge"), ["f1", "f2"])
+    member = written(member.select("doc_id", "th", "node", "copies").distinct())
+    odd = classes.select("node", "n", "odd")
 
     # classes under each shingle of their prefix; a shingle of one class alone is of no use
-    turn = Window.partitionBy("token").orderBy("doc_id")
-    index = docs.mapInArrow(_index(width, threshold, heat), "token bigint, doc_id bigint, n bigint, shared bigint")
+    parts = F.shiftright("cell", 32)
+    turn = Window.partitionBy("token", "cell").orderBy("doc_id", "th")
+    index = docs.select("doc_id", "th", "text").mapInArrow(_index(width, threshold, heat), "token bigint, cell bigint, doc_id bigint, th bigint, n bigint, shared bigint")
     index = index.select("*", F.lag("doc_id").over(turn).alias("last"), F.lead("doc_id").over(turn).alias("next"))
-    index = index.where("last is not null or next is not null").drop("last", "next")
+    index = index.where((parts > 1) | F.col("last").isNotNull() | F.col("next").isNotNull()).drop("last", "next")
     index = (
-        index.hint("merge").join(member, "doc_id")
-        .repartition("token").groupBy("token", "rep")
+        index.hint("merge").join(member, ["doc_id", "th"])
+        .repartition("token", "cell").groupBy("token", "cell", "node")
         .agg(F.first("n").alias("n"), F.min("shared").alias("shared"), F.max("copies").alias("copies"))
     )
-    # with each, the one of most copies and the one before it
-    turn = Window.partitionBy("token").orderBy(F.desc("copies"), "rep")
-    other = F.struct("rep", "n", "shared")
-    index = index.select("token", "rep", "n", "shared", F.first(other).over(turn).alias("hub"), F.lag(other).over(turn).alias("last"), F.lead("rep").over(turn).alias("next"))
-    index = written(index.where("last is not null or next is not null").drop("next"))
-    odd = survey.where("piece is null and n > 0").select(F.col("doc_id").alias("rep"), "n", "odd").dropDuplicates(["rep"])
+    # with each, the one of most copies in its part and the one before it
+    turn = Window.partitionBy("token", "cell").orderBy(F.desc("copies"), "node")
+    other = F.struct("node", "n", "shared")
+    index = index.select("*", F.first(other).over(turn).alias("hub"), F.lag(other).over(turn).alias("last"), F.lead("node").over(turn).alias("next"))
+    index = written(index.where((parts > 1) | F.col("last").isNotNull() | F.col("next").isNotNull()).drop("next"))
+    # the first ones of a shingle's parts meet in turn
+    turn = Window.partitionBy("token").orderBy(F.desc("copies"), "node")
+    firsts = index.where((parts > 1) & (F.col("hub.node") == F.col("node"))).drop("last")
+    firsts = firsts.withColumn("hub", F.first(other).over(turn)).withColumn("last", F.lag(other).over(turn))
 
     def near(n: str, m: str):
         return F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6
@@ -380,35 +413,38 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -
     def candidates(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
 
-    def meet(one: str) -> DataFrame:
-        met = index.where(f"{one} is not null and {one}.rep <> rep").where(near("n", f"{one}.n"))
-        return met.select(F.least("rep", f"{one}.rep").alias("a"), F.greatest("rep", f"{one}.rep").alias("b"), F.least("shared", f"{one}.shared").alias("need"))
+    def meet(rows: DataFrame, one: str) -> DataFrame:
+        met = rows.where(f"{one} is not null and {one}.node <> node").where(near("n", f"{one}.n"))
+        return met.select(F.least("node", f"{one}.node").alias("a"), F.greatest("node", f"{one}.node").alias("b"), F.least("shared", f"{one}.shared").alias("need"))
 
-    first = meet("hub").unionByName(meet("last"))
+    first = meet(index, "hub").unionByName(meet(index, "last")).unionByName(meet(firsts, "hub")).unionByName(meet(firsts, "last"))
     first = checkpoint(candidates(first))
     asked = checkpoint(_sifted(first, odd, threshold))
-    edges = checkpoint(_links(docs, asked, width, threshold))
+    # sets that share an id are linked by it
+    apart = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    bound = member.select("doc_id", F.col("node").alias("b")).join(apart.hint("merge"), "doc_id").where("a <> b").select("a", "b")
+    edges = checkpoint(_links(docs, classes, asked, width, threshold).unionByName(bound))
     home = connected_components(edges)
     placed = (
-        index.drop("hub", "last").hint("merge").join(home.withColumnRenamed("id", "rep"), "rep", "left")
-        .withColumn("home", F.coalesce("component", "rep")).drop("component")
+        index.select("token", "node", "n").hint("merge").join(home.withColumnRenamed("id", "node"), "node", "left")
+        .withColumn("home", F.coalesce("component", "node")).drop("component")
     )
     # shingles whose classes are all in one component have nothing left to tell
     mixed = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("m")).where("low <> high").select("token", "m")
-    rest = written(placed.join(mixed.hint("merge"), "token").select("token", "rep", "n", "home", "m"))
+    rest = written(placed.join(mixed.hint("merge"), "token").select("token", "node", "n", "home", "m"))
     few = rest.where(F.col("m") <= MANY)
-    one, two = (few.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "home")]) for side in "xy")
-    cross = one.hint("merge").join(two, "token").where("home_x <> home_y and rep_x < rep_y").where(near("n_x", "n_y"))
+    one, two = (few.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "home")]) for side in "xy")
+    cross = one.hint("merge").join(two, "token").where("home_x <> home_y and node_x < node_y").where(near("n_x", "n_y"))
     # a pair may meet under frequent shingles as well, so here one meeting is enough
-    small = cross.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
-    many = rest.where(F.col("m") > MANY).withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).join(odd.drop("n").hint("merge"), "rep")
+    small = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
+    many = rest.where(F.col("m") > MANY).withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).join(odd.drop("n").hint("merge"), "node")
     large = _across(many, threshold).join(first.hint("merge"), ["a", "b"], "left_anti")
     second = checkpoint(_sifted(small, odd, threshold).unionByName(large).distinct())
-    more = checkpoint(_links(docs, second, width, threshold))
-    final = connected_components(edges.unionByName(more))
-    whole = (
-        sets.join(classes.hint("merge"), ["f1", "f2"], "left")
-        .withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
-        .join(final.hint("merge").withColumnRenamed("id", "rep"), "rep", "left")
-    )
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    more = checkpoint(_links(docs, classes, second, width, threshold))
+    final = connected_components(edges.unionByName(more)).withColumnRenamed("id", "node")
+    told = classes.select("node", "f1", "f2", "doc_id").join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = told.groupBy("component").agg(F.min("doc_id").alias("component_id")).repartition("component_id")
+    told = told.select("f1", "f2", "component").join(least.hint("merge"), "component").select("f1", "f2", "component_id")
+    whole = sets.join(told.hint("merge"), ["f1", "f2"], "left")
+    own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(own, F.col("component_id")), "doc_id").alias("component_id"))
