@@ -13,7 +13,7 @@ def test_mix_takes_each_row_as_its_plan_says(spark):
     ids = [None] * 6 + [1, 1, 1, 2, 3, 4]
     rows = [(d, f"s{i % 2}", f"text number {i if i != 8 else 7} with a few words", 30) for i, d in enumerate(ids)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, n_chars int")
-    keyed = corpus_pipeline.told_apart(docs)
+    keyed = corpus_pipeline.told_apart(docs, "_row")
     assert keyed.select("_row").distinct().count() == len(rows)
     plan = mixing.mix_sources(keyed.select(F.col("_row").alias("doc_id"), "source", "text"))
     copies = {r.doc_id: r.n for r in plan.select("doc_id", F.size("shards").alias("n")).collect()}
