@@ -24,12 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest id.
 
-    Rows of equal id and text are one document; rows without an id are kept.
+    Rows of equal id and text are one document, rows of equal id alone one document
+    of several texts; rows without an id are kept.
     """
     found = jaccard_join.similar_documents(docs.select("doc_id", "text"), width=5, threshold=0.8)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    named = left.where("doc_id is not null").withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    (same,) = common.fresh(docs, "same")
+    named = left.where("doc_id is not null").withColumn(same, F.xxhash64("text")).dropDuplicates(["doc_id", same]).drop(same)
     return named.unionByName(left.where("doc_id is null"))
 
 
@@ -39,20 +41,21 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """Add _row: id, text hash and occurrence number, so rows of one id or of none differ."""
+def told_apart(docs: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: id, text hash and occurrence number, so rows of one id or of none differ."""
     same = F.xxhash64("text")
-    turn = Window.partitionBy("doc_id", same).orderBy(F.xxhash64(*docs.columns))
+    turn = Window.partitionBy("doc_id", same).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), same.cast("string"), F.row_number().over(turn).cast("string"))
-    return docs.withColumn("_row", row)
+    return docs.withColumn(name, row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; each row counts for itself."""
-    rows = told_apart(docs)
-    plan = mixing.mix_sources(rows.select(F.col("_row").alias("doc_id"), "source", "text"))
-    mixed = mixing.mixed_documents(rows.withColumnRenamed("doc_id", "_own").withColumnRenamed("_row", "doc_id"), plan)
-    return mixed.drop("doc_id").withColumnRenamed("_own", "doc_id").select(*docs.columns)
+    row, own = common.fresh(docs, "row", "own")
+    rows = told_apart(docs, row)
+    plan = mixing.mix_sources(rows.select(F.col(row).alias("doc_id"), "source", "text"))
+    mixed = mixing.mixed_documents(rows.withColumnRenamed("doc_id", own).withColumnRenamed(row, "doc_id"), plan)
+    return mixed.drop("doc_id").withColumnRenamed(own, "doc_id").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
