@@ -1,15 +1,16 @@
-"""Main text of web pages: page structure, then repeated runs of the host for the rest.
-
-A page with an article or main element says itself what its text is; blocks under
-navigation, notices and the like are dropped there and everywhere. Pages without
-one are read as token streams of their remaining blocks: long runs of tokens, and
-whole short blocks, that recur on a share of the host's distinct pages are
-boilerplate. They are counted over the whole host, whatever its size. Removing those
-tokens leaves each page's unique runs.
-
-Repeated runs do not judge what an article element holds. Two pages of one
-host may carry the same article, or share a quoted passage, and those are long
-repeated runs as well.
+"""Main text of web pages: runs that a host repeats, with page structure as their guard.
+
+Every page becomes a stream of text blocks, each inside an article or main element,
+inside a frame (navigation, notices and the like) or in neither. Long runs of tokens
+that recur outside articles on a share of a host's distinct pages are boilerplate;
+they are counted over the whole host, whatever its size. What a frame holds is left
+out; of the rest, tokens under boilerplate go and each page's unique runs stay.
+
+Structure guards what the runs may remove. Two pages of one host may carry the same
+article, or share a quoted passage, and those are long repeated runs as well: so runs
+inside articles do not count, and a block of an article goes only if it is, as a
+whole, one that the host repeats outside articles. Where a page has an article or
+main element, blocks outside it are no part of its text.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snarewatch.llm.common import written
+
 #: Tokens that a repeated block must have to be boilerplate.
 RUN = 4
 #: Tokens that a repeated run inside a longer block must have.
 LONG_RUN = 12
-#: Distinct pages, of differing content, on which it must occur, and their share of the host's.
+#: Distinct pages, of differing content, on which it must occur outside articles, and their share of the host's.
 PAGES, SHARE = 2, 0.1
 #: Parts over which the pages that hold one frequent run are dealt.
 SALTS = 16
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[A-Za-z/!?](?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: A tag or comment. A quote that nothing closes is a character like others, so that each
+#: tag is read once and the time is linear in the page.
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[A-Za-z/!?](?:[^>"']|"[^"]*"|'[^']*')*+[^>]*>?""", re.S)
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _MARK = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>/=])|aria-hidden\s*=\s*["']?true)""", re.I)
@@ -72,54 +77,60 @@ def _is_chrome(name: str, tag: str, in_main: bool) -> bool:
     return bool(_HIDDEN.search(tag))
 
 
-def blocks_of(page: str) -> tuple[list[str], bool]:
-    """Text blocks in page order, and whether an article or main element names them.
+#: Where a block stands: in an article or main element, in neither, or in a frame.
+MAIN, PLAIN, FRAME = 0, 1, 2
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+
+
+def page_blocks(page: str) -> list[tuple[str, int]]:
+    """Text blocks in page order, each with its place: MAIN, PLAIN or FRAME.
 
     Character references are decoded, white space in a block is one blank, empty
     blocks are left out. One pass over the tags; unclosed elements end with the
     block that holds them or with the page.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     open_block: list[str] = []
+    framed: list[str] = []  # text of the frame that is open
     skip_name, skip_depth = "", 0  # inside a frame: its element and how deeply nested
     main: list[str] = []
-    found_main = False
-    raw = ""
 
-    def flush() -> None:
-        if text := " ".join("".join(open_block).split()):
-            out.append((text, bool(main)))
-        open_block.clear()
+    def flush(parts: list[str], place: int) -> None:
+        if text := " ".join("".join(parts).split()):
+            out.append((text, place))
+        parts.clear()
 
     at = 0
-    for m in _TAG.finditer(page):
-        if not raw and not skip_depth and m.start() > at:
-            open_block.append(html.unescape(page[at : m.start()]))
+    while m := _TAG.search(page, at):
+        if m.start() > at:
+            (framed if skip_depth else open_block).append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[0]
         named = _NAME.match(tag)
         if not named:
             continue
         name, closing = named[1].lower(), tag[1] == "/"
-        if raw:
-            if closing and name == raw:
-                raw = ""
-            continue
         if name in RAW:
             if not closing and not tag.endswith("/>"):
-                raw = name
+                end = _END[name].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if skip_depth:
+            if name in BLOCKS:
+                flush(framed, FRAME)
             if name == skip_name:
                 skip_depth += -1 if closing else (0 if tag.endswith("/>") else 1)
                 if not closing and name in LOOSE:
                     skip_depth = 0  # a frame left open ends where its like begins
             elif skip_name in LOOSE and name in BLOCKS and (closing or name not in LOOSE):
                 skip_depth = 0
-            if skip_depth or (closing and name == skip_name):
+            if skip_depth:
+                continue
+            flush(framed, FRAME)
+            if closing and name == skip_name:
                 continue
         if name in BLOCKS:
-            flush()
+            flush(open_block, MAIN if main else PLAIN)
         elif name == "br":
             open_block.append(" ")
         if closing:
@@ -128,14 +139,20 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
         elif name not in VOID and not tag.endswith("/>") and _is_chrome(name, tag, bool(main)):
             skip_name, skip_depth = name, 1
         elif name in ("article", "main"):
-            found_main = True
             main.append(name)
-    if not raw and not skip_depth and at < len(page):
-        open_block.append(html.unescape(page[at:]))
-    flush()
-    if found_main and any(inside for _, inside in out):
-        return [text for text, inside in out if inside], True
-    return [text for text, _ in out], False
+    if at < len(page):
+        (framed if skip_depth else open_block).append(html.unescape(page[at:]))
+    flush(framed, FRAME)
+    flush(open_block, MAIN if main else PLAIN)
+    return out
+
+
+def blocks_of(page: str) -> tuple[list[str], bool]:
+    """Blocks that structure alone gives, and whether an article or main element names them."""
+    found = page_blocks(page)
+    if main := [text for text, place in found if place == MAIN]:
+        return main, True
+    return [text for text, place in found if place == PLAIN], False
 
 
 def repeated_tokens(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
@@ -183,10 +200,10 @@ def repeated_tokens(streams: list[np.ndarray], run: int = RUN, pages: int = PAGE
     return [covered[a : a + n] for a, n in zip(starts, sizes)]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = ["\n".join(blocks_of(p.as_py() or "")[0]) for p in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+def _mark(tokens: list[str]) -> int:
+    """Hash of a run of tokens; runs of other lengths have other hashes."""
+    text = " ".join(tokens).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"run%d" % len(tokens)).digest(), "big", signed=True)
 
 
 def windows_of(blocks: list[str]) -> list[tuple[int, int]]:
@@ -200,9 +217,7 @@ def windows_of(blocks: list[str]) -> list[tuple[int, int]]:
         tokens = block.split()
         run = min(len(tokens), LONG_RUN)
         if run >= RUN:
-            for i in range(len(tokens) - run + 1):
-                mark = hashlib.blake2b(" ".join(tokens[i : i + run]).encode("utf-8", "surrogatepass"), digest_size=8, person=b"run%d" % run)
-                out.append((int.from_bytes(mark.digest(), "big", signed=True), at + i))
+            out += [(_mark(tokens[i : i + run]), at + i) for i in range(len(tokens) - run + 1)]
         at += len(tokens)
     return out
 
@@ -224,66 +239,88 @@ def without_runs(blocks: list[str], starts: list[int]) -> str:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each page and a digest of them."""
-    names = ["page_id", "url", "host", "blocks", "content"]
+    """Blocks of each page, their places and a digest of both."""
+    names = ["page_id", "url", "host", "blocks", "places", "content"]
     for batch in batches:
-        found = [blocks_of(p.as_py() or "")[0] for p in batch.column(3)]
-        digests = [hashlib.blake2b("\n".join(b).encode("utf-8", "surrogatepass"), digest_size=16).digest() for b in found]
-        columns = [*batch.columns[:3], pa.array(found, pa.list_(pa.string())), pa.array(digests, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        for low in range(0, batch.num_rows, 256):
+            few = batch.slice(low, 256)
+            found = [page_blocks(p.as_py() or "") for p in few.column(3)]
+            blocks, places = [[t for t, _ in b] for b in found], [[p for _, p in b] for b in found]
+            digests = [_mark([f"{p} {t}" for t, p in b]) for b in found]
+            columns = [pa.array(blocks, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int8())), pa.array(digests, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*few.columns[:3], *columns], names=names)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs and whole blocks outside articles, each once a page."""
     for batch in batches:
-        for host, content, blocks in zip(*(c.to_pylist() for c in batch.columns)):
-            if runs := windows_of(blocks):
+        for host, content, blocks, places in zip(*(c.to_pylist() for c in batch.columns)):
+            outer = [b for b, p in zip(blocks, places) if p != MAIN]
+            marks = {m for m, _ in windows_of(outer)} | {_mark(t) for b in outer if len(t := b.split()) >= RUN}
+            if marks:
+                columns = [pa.array([host] * len(marks), pa.string()), pa.array([content] * len(marks), pa.int64()), pa.array(list(marks), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "content", "mark"])
+
+
+def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a page's text may lose: whole blocks of its article (start: minus block, less one), else runs."""
+    for batch in batches:
+        for host, content, blocks, places in zip(*(c.to_pylist() for c in batch.columns)):
+            if MAIN in places:
+                runs = [(_mark(t), -1 - i) for i, (b, p) in enumerate(zip(blocks, places)) if p == MAIN and len(t := b.split()) >= RUN]
+            else:
+                runs = windows_of([b for b, p in zip(blocks, places) if p == PLAIN])
+            if runs:
                 marks, starts = zip(*runs)
-                columns = [[host] * len(runs), [content] * len(runs), marks, starts]
-                types = [pa.string(), pa.binary(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "content", "mark", "start"])
+                columns = [pa.array([host] * len(runs), pa.string()), pa.array([content] * len(runs), pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "content", "mark", "start"])
 
 
 def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [without_runs(b, s or []) for b, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = []
+        for blocks, places, starts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            if MAIN in places:
+                gone = {-1 - s for s in starts or []}
+                texts.append("\n".join(b for i, (b, p) in enumerate(zip(blocks, places)) if p == MAIN and i not in gone))
+            else:
+                texts.append(without_runs([b for b, p in zip(blocks, places) if p == PLAIN], starts or []))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def repeated_runs(streams: DataFrame) -> DataFrame:
     """Where each distinct content has runs that its host repeats: host, content, starts.
 
-    ``streams`` has host, content and blocks. Pages of equal content count as one, so
-    a copied page is not boilerplate. Runs are counted over the whole host.
+    ``streams`` has host, content, blocks and places, and is written. Pages of equal
+    content count as one, so a copied page is not boilerplate. Runs are counted over
+    the whole host and outside articles only.
     """
-    contents = streams.select("host", "content", "blocks").groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
-    runs = contents.mapInArrow(_windows, "host string, content binary, mark bigint, start int")
-    sizes = contents.groupBy("host").agg(F.count("*").alias("n"))
-    once = runs.select("host", "content", "mark").distinct()
+    rows = streams.select("host", "content", "blocks", "places")
+    once = rows.mapInArrow(_outside, "host string, content bigint, mark bigint").distinct()
+    # a hot host's runs, and the pages that hold one run, would meet in one task
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = streams.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")).select("host", "n", salts)
     counted = once.groupBy("host", "mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
-    often = counted.join(sizes, "host").where(F.col("pages") >= F.col("n") * SHARE).select("host", "mark")
-    # a run on every page of a hot host would meet in one task
-    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = runs.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int"))
-    met = salted.join(often, ["host", "mark", "salt"])
-    return met.groupBy("host", "content").agg(F.collect_list("start").alias("starts"))
+    counted = counted.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int"))
+    often = counted.join(sizes.hint("merge"), ["host", "salt"]).where(F.col("pages") >= F.col("n") * SHARE).select("host", "mark", salts)
+    asking = rows.mapInArrow(_asking, "host string, content bigint, mark bigint, start int")
+    salted = asking.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+    met = salted.hint("merge").join(often, ["host", "mark", "salt"])
+    return met.groupBy("host", "content").agg(F.collect_set("start").alias("starts"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text (empty if none), n_chars.
 
-    A null or empty html has no text. Pages with an article or main element are read
-    in place, without a shuffle; the others meet by host and run, never a host as a
-    whole. A null url is one more host. Repeated rows are rows of their own; other
-    columns are not read; no pages give no rows.
+    A null or empty html has no text. Pages are parsed once and written; they meet by
+    host and run, never a host as a whole. A null url is one more host. Repeated rows
+    are rows of their own; other columns are not read; no pages give no rows.
     """
-    pages = pages.select("page_id", "url", "html")
-    named = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>]"), F.lit(False))
-    ddl = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
-    told = pages.where(named).mapInArrow(_extract, f"{ddl}, text string")
-
     host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
-    untold = pages.where(~named).select("page_id", "url", host.alias("host"), "html")
-    streams = untold.mapInArrow(_streams, f"{ddl}, host string, blocks array<string>, content binary")
-    marked = streams.join(repeated_runs(streams), ["host", "content"], "left").select("page_id", "url", "blocks", "starts")
-    judged = marked.mapInArrow(_unique_runs, f"{ddl}, text string")
-    return told.unionByName(judged).withColumn("n_chars", F.length("text").cast("bigint"))
+    kept = pages.select("page_id", "url", host.alias("host"), "html")
+    ddl = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
+    streams = written(kept.mapInArrow(_streams, f"{ddl}, host string, blocks array<string>, places array<tinyint>, content bigint"))
+    # dealt anew, so that adaptive execution can split a content of many copies
+    runs = repeated_runs(streams).repartition(F.xxhash64("content"))
+    marked = streams.join(runs.hint("merge"), ["host", "content"], "left").select("page_id", "url", "blocks", "places", "starts")
+    return marked.mapInArrow(_unique_runs, f"{ddl}, text string").withColumn("n_chars", F.length("text").cast("bigint"))

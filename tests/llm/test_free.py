@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -51,6 +52,23 @@ def test_other_spans_and_masks():
     assert pii.find_spans("the password policy and an account of streets") == []
 
 
+@pytest.mark.parametrize("piece", ["-----BEGIN RSA PRIVATE KEY-----\n", "+1((( ", "a@", "1.1.", " street", "password=", "Ab "])
+def test_personal_data_takes_linear_time(piece):
+    start = time.perf_counter()
+    pii.find_spans(piece * (200_000 // len(piece)))
+    assert time.perf_counter() - start < 3
+
+
+def test_key_blocks_and_long_street_names():
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    text = f"{foot} {head}a{head}b{foot} x {head}c{foot} {head} open"
+    want = [m.span() for m in re.finditer("-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", text, re.S)]
+    assert [s[1:] for s in pii.find_spans(text) if s[0] == "secret"] == want and len(want) == 2
+    name = "L" + "o" * 200
+    assert pii.find_spans(f"at 7 {name} Street") == [("address", 3, 3 + 2 + len(name) + 7)]
+    assert pii.find_spans("123456 Oak Road, 12345 A Street, 7 Xx Ab Cd Ef Gh Lane") == []
+
+
 def test_personal_data_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "+1 (980) 555-6268; 1.2.3.4", 7), (3, "+1 (980) 555-6268; 1.2.3.4", 7)], "doc_id bigint, text string, spans int")
     out = sorted(pii.span_digests(pii.personal_data(rows)).collect())
@@ -225,6 +243,27 @@ def test_short_phrases_stay_and_long_runs_are_counted_over_the_whole_host(spark)
     assert [out[i] for i, _, _ in rows] == want
 
 
+def test_structure_guards_articles_and_repeated_frames_go_wherever_they_stand(spark):
+    """Shared articles stay; a frame that the host shows outside articles goes inside one too; comments and scripts name nothing."""
+    shared = "this long passage is quoted by every single page of the host and is part of each article"
+    notice = "sign up to our weekly letter now"
+    page = lambda i: f"<nav><p>Home About Contact Search</p></nav><article><p>Tale {i}</p><p>{shared}</p><p>{notice}</p></article><div>{notice}</div>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    rows += [(10 + i, f"http://g.example/{i}", f"<!-- <article> --><script>'<main>'; if(a<b){{\"</p>\"}}</script><div>Menu of the whole shop</div><p>Only text {i} of it</p>") for i in range(3)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 5):
+        out = {r.page_id: r.text for r in html_extract.extract_main_text(table.repartition(parts)).collect()}
+        assert all(out[i] == f"Tale {i}\n{shared}" for i in range(6))
+        assert all(out[10 + i] == f"Only text {i} of it" for i in range(3))
+
+
+@pytest.mark.parametrize("piece", ["<", "<script>", '<a "', "<!--", "<a '\">", '<div class="', "<nav>", "<p>a<p>"])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.perf_counter()
+    html_extract.page_blocks(piece * (200_000 // len(piece)))
+    assert time.perf_counter() - start < 1.5
+
+
 # --- Jaccard
 
 
@@ -266,6 +305,25 @@ def test_components_equal_brute_force(spark, monkeypatch, width, hundredths, blo
     assert got == brute_components(rows, width, hundredths)
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, b = words("a", 60), words("b", 60)
+    rows = [(5, a), (5, b), (7, a + " end"), (3, b + " end"), (9, "apart from all of them"), (5, "")]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert out == [(3, 57, 3), (5, 0, 5), (5, 56, 3), (5, 56, 3), (7, 57, 3), (9, 1, 9)]
+
+
+def test_frequent_shingles_in_parts_equal_brute_force(spark, monkeypatch):
+    """Hubs of several parts of one shingle, and partners of one class over several tasks."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 2)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
+    monkeypatch.setattr(jaccard_join, "heat_of", lambda sketch: np.maximum(sketch - 1, 0).astype(np.float32))
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[: 30 + i % 9], f"x{i}"])) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 0.9).collect()}
+    assert got == brute_components(rows, 3, 90)
+
+
 def test_repeated_rows_and_nothing(spark):
     table = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, "A B C D E F")], "doc_id bigint, text string")
     out = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.similar_documents(table).collect())

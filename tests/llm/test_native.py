@@ -100,6 +100,25 @@ def test_mix_targets_and_takes(spark):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(table.repartition(3)).collect()))
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    rows = [(1, "w " * 40, "a")] * 6 + [(2, "v " * 40, "b")] * 2
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    want = targets({"a": 240, "b": 80})
+    for source in "ab":
+        assert abs(sum(r.taken for r in out if r.source == source) - want[source]) <= 40
+    assert all(r.taken <= 3 * r.size for r in out)
+
+
+def test_clashing_names_pass_through(spark):
+    rows = [(i, f"text {i} of some ten words that say a little more than nothing at all here today", -7, "mine", 0.5, i) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, llr string, kept double, _words int")
+    good = quality_rules.good_documents(table.selectExpr("doc_id", "concat(text, ' and so it goes on') as text", "n_words", "llr", "kept", "_words"), spark.createDataFrame([], "doc_id bigint"))
+    assert good.columns == table.columns and {(r.n_words, r.llr, r.kept) for r in good.collect()} == {(-7, "mine", 0.5)}
+    odd = spark.createDataFrame([(1, "a b c", "s", 5, 6, 7)], "doc_id bigint, text string, source string, row int, shards int, _order int")
+    mixed = mixing.mixed_documents(odd, mixing.mix_sources(odd))
+    assert mixed.columns == odd.columns and {tuple(r) for r in mixed.collect()} == {(1, "a b c", "s", 5, 6, 7)}
+
+
 def test_quotas_split_exactly(spark):
     quotas = {"a": 100, "b": 1, "c": 37, "d": 0}
     table = spark.createDataFrame(list(quotas.items()), "skey string, n bigint")
