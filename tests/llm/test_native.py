@@ -2,7 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
-from math import comb
+from math import comb, cos, pi, sin
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +172,67 @@ def test_url_rules_and_reputation(spark):
     assert out[100].verdict == "block" and out[200].verdict == "allow" and out[4].verdict == "allow"
     assert url_filter.filter_urls(pages.limit(0), outcomes).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages.where("page_id = 4"), outcomes.limit(0)).collect()} == {"allow"}
+
+
+def beta_quantile(alpha, beta, chance, steps=20_000):
+    """By summing the density, with its peaks at the ends left out by substitution of the variable."""
+    # x = sin^2(t) smooths both ends: dx = 2 sin cos dt
+    total, sums = 0.0, []
+    for i in range(steps):
+        t = (i + 0.5) * pi / 2 / steps
+        total += sin(t) ** (2 * alpha - 1) * cos(t) ** (2 * beta - 1)
+        sums.append(total)
+    at = next(i for i, s in enumerate(sums) if s >= chance * total)
+    return sin((at + 0.5) * pi / 2 / steps) ** 2
+
+
+@pytest.mark.parametrize(("alpha", "beta", "off"), [(60, 3, 0.002), (12, 10, 0.002), (5, 2, 0.005), (2, 8, 0.005), (1, 1, 0.02), (0.6, 4, 0.02)])
+def test_posterior_bound_is_the_beta_quantile(spark, alpha, beta, off):
+    low = spark.range(1).select(url_filter.lower_bound(F.lit(float(alpha)), F.lit(float(beta)))).first()[0]
+    assert abs(low - beta_quantile(alpha, beta, 0.05)) < off
+
+
+def test_reputation_equals_brute_force(spark):
+    """Moments, three levels of shrinking, posterior and verdict, worked out in plain Python."""
+    rates = {"a.x.co.uk": 9, "b.x.co.uk": 8, "y.co.uk": 1, "u@z.com:80": 0, "w.z.com": 5, "q.org": 3, "1.2.3.4": 2, "": 1, "new.x.co.uk": None}
+    visits = [(h, int(i % 10 < r)) for h, r in rates.items() if r is not None for i in range(10 + 7 * len(h))] + [("new.x.co.uk", None)] * 3
+    domain = {"a.x.co.uk": "x.co.uk", "b.x.co.uk": "x.co.uk", "new.x.co.uk": "x.co.uk", "y.co.uk": "y.co.uk", "u@z.com:80": "z.com", "w.z.com": "z.com", "q.org": "q.org", "1.2.3.4": "1.2.3.4", "": ""}
+    suffix = {"x.co.uk": "co.uk", "y.co.uk": "co.uk", "z.com": "com", "q.org": "org", "1.2.3.4": "", "": ""}
+
+    def tally(name):
+        n, bad = Counter(), Counter()
+        for host, b in visits:
+            n[name(host)] += b is not None
+            bad[name(host)] += b or 0
+        return n, bad
+
+    def weight(n, bad):
+        seen = [k for k in n if n[k]]
+        total, m = sum(n[k] for k in seen), sum(bad[k] for k in seen) / sum(n[k] for k in seen)
+        if len(seen) < 2 or not 0 < m < 1:
+            return 10.0
+        spread = sum(n[k] * (bad[k] / n[k] - m) ** 2 for k in seen)
+        room = m * (1 - m) * (total - sum(n[k] ** 2 for k in seen) / total - (len(seen) - 1))
+        return 1 / min(max((spread - m * (1 - m) * (len(seen) - 1)) / room if room > 0 else 0.0, 0.002), 0.5) - 1
+
+    hosts, domains, suffixes = tally(lambda h: h), tally(lambda h: domain[h]), tally(lambda h: suffix[domain[h]])
+    whole = (sum(hosts[1].values()) + 1) / (sum(hosts[0].values()) + 2)
+    shrink = lambda t, k, prior, w: (t[1][k] + prior * w) / (t[0][k] + w)
+    got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(visits, "host string, bad int")).collect()}
+    assert set(got) == set(rates)
+    for h in rates:
+        d = domain[h]
+        prior = shrink(domains, d, shrink(suffixes, suffix[d], whole, weight(*suffixes)), weight(*domains))
+        k = weight(*hosts)
+        alpha, beta = hosts[1][h] + prior * k, hosts[0][h] - hosts[1][h] + (1 - prior) * k
+        assert (got[h].n, got[h].n_bad) == (hosts[0][h], hosts[1][h])
+        assert abs(got[h].prior - prior) < 1e-9 and abs(got[h].alpha - alpha) < 1e-9 and abs(got[h].beta - beta) < 1e-9
+        assert abs(got[h].low - beta_quantile(alpha, beta, 0.05)) < 0.02
+
+
+def test_outcomes_need_letters_and_an_article(spark):
+    documents = spark.createDataFrame([(1, "123 456"), (2, "Alpha beta"), (3, "gamma 1"), (4, None), (5, "alphabeta")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 0, 0), (4, 0, 1), (2, 1, 1)], "doc_id bigint, quality int, toxic int")
+    pages = [(1, "<p>123</p>"), (2, "<article><h1>Title</h1><p>Alpha<br>be<b>ta</b> 7 &amp; 9</p></article><p>x</p>"), (3, "<article class=a>gam<i>ma</i>"), (4, None), (5, "<article>12</article>"), (6, "<articles>gamma</articles>")]
+    out = url_filter.page_outcomes(spark.createDataFrame(pages, "page_id bigint, html string"), documents, labels)
+    assert {(r.page_id, r.bad) for r in out.collect()} == {(2, 1), (3, 1)}
