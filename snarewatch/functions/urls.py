@@ -10,6 +10,11 @@ from snarewatch.functions import constants as C
 _NETLOC = r"^[^:/?#]*://([^/?#]*)"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(raw: Column) -> Column:
     return F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("http://"), raw))
 
@@ -83,10 +88,10 @@ def brand_hit(host: Column, reg: Column) -> Column:
         buried = (F.length(root) >= 4) & (F.contains(host, root) | F.contains(leet_host, root))
         return F.when(leet_reg == domain, "leet").when(near, "typo").when(buried, "buried")
 
-    hits = F.filter(F.transform(brands, lambda b: F.struct(b["domain"].alias("brand"), rule(b).alias("rule"))), lambda h: h["rule"].isNotNull())
-    first = F.get(hits, F.lit(0))
-    found = F.struct(F.when(first["rule"] == "leet", 50).otherwise(45).alias("points"), first["brand"].alias("brand"), first["rule"].alias("rule"))
-    return F.when(~reg.isin(*C.BRANDS) & (F.size(hits) > 0), found)
+    hits = F.transform(brands, lambda b: F.struct(b["domain"].alias("brand"), rule(b).alias("rule")))
+    first = F.get(F.filter(hits, lambda h: h["rule"].isNotNull()), F.lit(0))
+    scored = lambda h: F.when(h.isNotNull(), F.struct(F.when(h["rule"] == "leet", 50).otherwise(45).alias("points"), h["brand"].alias("brand"), h["rule"].alias("rule")))
+    return F.when(~reg.isin(*C.BRANDS), let(first, scored))
 
 
 def found_urls(text: Column) -> Column:

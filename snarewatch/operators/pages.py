@@ -17,21 +17,78 @@ NEAR = 80
 RESEMBLES = 0.55
 #: Characters that a page must have to be compared with others.
 MIN_TEXT = 300
-PASSWORD_FIELD = r"""(?i)<input\b[^>]*\btype\s*=\s*["']password["']"""
-FORM_ACTION = r"""(?i)<form\b[^>]*\baction\s*=\s*["']([^"']*)["']"""
+
+
+def _without_element(html: Column, name: str) -> Column:
+    """The text with each element ``name`` and its content as one blank; one that never ends stays.
+
+    Cut at the end tags: what stands before one goes from the first start tag on.
+    """
+    start = rf"(?i)<{name}"
+
+    def cut(part: Column) -> Column:
+        at = F.regexp_instr(part, F.lit(start))
+        return F.when(at > 0, F.concat(F.left(part, at - 1), F.lit(" "))).otherwise(F.concat(part, F.lit(f"</{name}>")))
+
+    def joined(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.array_join(F.transform(parts, lambda part, i: F.when(i < last, cut(part)).otherwise(part)), "")
+
+    return urls.let(F.split(html, rf"(?i)</{name}>"), joined)
+
+
+def _without_tags(html: Column) -> Column:
+    """The text with each tag, from ``<`` to the next ``>``, as one blank."""
+    cut = lambda part: F.when(F.contains(part, F.lit("<")), F.concat(F.substring_index(part, "<", 1), F.lit(" "))).otherwise(F.concat(part, F.lit(">")))
+
+    def joined(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.array_join(F.transform(parts, lambda part, i: F.when(i < last, cut(part)).otherwise(part)), "")
+
+    return urls.let(F.split(html, ">"), joined)
+
+
+def _title(html: Column) -> Column:
+    """What stands in the first title element, or nothing."""
+    opened = F.regexp_instr(html, F.lit("(?i)<title"))
+    inner = F.when(opened > 0, F.substring(html, opened, F.length(html)))
+    rest = F.when(F.contains(inner, F.lit(">")), F.substring(inner, F.locate(">", inner) + 1, F.length(html)))
+    within = lambda r: F.when(F.regexp_instr(r, F.lit("(?i)</title>")) > 0, F.get(F.split(r, "(?i)</title>", 2), F.lit(0)))
+    return F.coalesce(urls.let(rest, within), F.lit(""))
 
 
 def page_text(html: Column) -> Column:
-    """Title, line feed, text without scripts, styles and tags; white space collapsed."""
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
-    flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " "))
-    return F.concat(flat(title), F.lit("\n"), flat(body))
+    """Title, line feed, text without scripts, styles and tags; white space collapsed.
+
+    Texts are cut at fixed strings and put together again, never matched across, so
+    that the time is linear in the page, whatever it holds.
+    """
+    flat = lambda x: F.trim(F.regexp_replace(_without_tags(x), r"\s+", " "))
+    body = _without_element(_without_element(html, "script"), "style")
+    return F.concat(flat(_title(html)), F.lit("\n"), flat(body))
+
+
+def tags(html: Column, name: str) -> Column:
+    """Attributes of each start tag ``name`` in page order, as text; a tag ends at the next ``>``."""
+    after = F.slice(F.split(html, rf"(?i)<{name}(?=[\s/])"), F.lit(2), F.greatest(F.size(F.split(html, rf"(?i)<{name}(?=[\s/])")) - 1, F.lit(0)))
+    return F.transform(F.filter(after, lambda part: F.contains(part, F.lit(">"))), lambda part: F.substring_index(part, ">", 1))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's quoted attribute; null without one."""
+    found = F.regexp_extract_all(tag, F.lit(rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.get(F.transform(found, lambda v: F.substring(v, F.lit(2), F.length(v) - 2)), F.lit(0))
+
+
+def asks_password(html: Column) -> Column:
+    """Whether the page has an input of type password."""
+    return F.exists(tags(html, "input"), lambda tag: F.coalesce(F.lower(attribute(tag, "type")) == "password", F.lit(False)))
 
 
 def form_actions(pages: DataFrame) -> DataFrame:
     """Targets of every form in page order: page_id, position (from 1), action."""
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(FORM_ACTION), F.lit(1))).alias("i", "action"))
+    named = F.filter(F.transform(tags(F.col("html"), "form"), lambda tag: attribute(tag, "action")), lambda a: a.isNotNull())
+    found = pages.select("page_id", F.posexplode(named).alias("i", "action"))
     return found.select("page_id", (F.col("i") + 1).alias("position"), "action")
 
 
@@ -62,9 +119,9 @@ def network_points(pages: DataFrame) -> DataFrame:
 
 def credential_exfil(pages: DataFrame) -> DataFrame:
     """Pages with a password field and a form that posts to another domain: page_id, target."""
-    asking = pages.where(F.col("html").rlike(PASSWORD_FIELD))
+    asking = pages.where(asks_password(F.col("html")))
     own = asking.select("page_id", urls.registered_domain(urls.host(urls.normalized(F.col("final_url")))).alias("own"))
-    sent = form_actions(asking).where(F.col("action").contains("://")).withColumn("target", urls.host(F.col("action"))).join(own, "page_id")
+    sent = form_actions(asking).where(F.col("action").contains("://")).withColumn("target", urls.host(F.col("action"))).join(own.hint("merge"), "page_id")
     away = sent.where((F.col("target") != "") & (urls.registered_domain(F.col("target")) != F.col("own")))
     return away.groupBy("page_id").agg(F.min_by("target", "position").alias("target"))
 
@@ -92,21 +149,22 @@ def brand_spoof(pages: DataFrame, resembles: Column | None = None) -> DataFrame:
     literals of the expression, so pages stay where they are.
     """
     resembles = F.lit(False) if resembles is None else resembles
-    low = F.lower(page_text(F.substring("html", 1, MAX_HTML)))
-    wide = pages.withColumn("low", low).withColumn("own", urls.registered_domain(urls.host(urls.normalized(F.col("final_url")))))
-    brands = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(d.split(".")[0]).alias("root")) for d in C.BRANDS if len(d.split(".")[0]) >= 4])
-    phrases = F.array(*[F.lit(p) for p in C.PORTAL_PHRASES])
-    gap = lambda x: F.concat(F.lit(".{0,"), (F.lit(NEAR) - F.length(x)).cast("string"), F.lit("}"))
-
-    def near(root: Column) -> Column:
-        either = lambda p: F.concat(F.lit("(?s)"), root, gap(root), p, F.lit("|"), p, gap(p), root)
-        return F.exists(phrases, lambda p: F.contains("low", p) & F.regexp_like("low", either(p)))
-
-    def posing(b: Column) -> Column:
-        without = F.length(F.replace("low", b["root"], F.lit("")))
-        thrice = F.contains("low", b["root"]) & (F.length("low") - without >= F.length(b["root"]) * 3)
-        return (F.col("own") != b["domain"]) & thrice & (resembles | near(b["root"]))
-
-    framed = F.col("low").rlike("|".join(C.PORTAL_PHRASES)) | resembles
-    first = F.get(F.filter(brands, posing), F.lit(0))["domain"]
-    return wide.where(framed).withColumn("brand", first).where("brand is not null").select("page_id", "brand")
+    own = urls.registered_domain(urls.host(urls.normalized(F.col("final_url"))))
+    phrases = "|".join(C.PORTAL_PHRASES)
+
+    def first_posing(low: Column) -> Column:
+        told = []
+        for domain in C.BRANDS:
+            root = domain.split(".")[0]
+            if len(root) >= 4:
+                before = "|".join(f"{p}.{{0,{NEAR - len(p)}}}{root}" for p in C.PORTAL_PHRASES)
+                near = low.rlike(f"(?s){root}.{{0,{NEAR - len(root)}}}(?:{phrases})|{before}")
+                without = F.length(F.replace(low, F.lit(root), F.lit("")))
+                thrice = F.contains(low, F.lit(root)) & (F.length(low) - without >= 3 * len(root))
+                told.append(F.when(thrice & (F.col("own") != domain) & (resembles | near), domain))
+        return F.when(low.rlike(phrases) | resembles, F.coalesce(*told))
+
+    text = F.lower(page_text(F.substring("html", 1, MAX_HTML)))
+    wide = pages.withColumn("own", own).withColumn("brand", urls.let(text, first_posing))
+    # the row number keeps the filter above the projection, so that each page is read once
+    return wide.withColumn("row", F.monotonically_increasing_id()).where("brand is not null and row >= 0").select("page_id", "brand")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from snarewatch.functions import constants as C
 from snarewatch.functions import risk, urls
@@ -17,6 +19,11 @@ DIGITS = 6
 TOKEN = r"[a-z0-9]+|[\x{1780}-\x{17FF}\x{19E0}-\x{19FF}]+"
 HASHES, BANDS, PRIME = 64, 7, (1 << 31) - 1
 SHINGLE = 8
+BUCKETS = 256
+#: Tokens whose features a task remembers.
+MEMO = 50_000
+_TOKEN = re.compile(r"[a-z0-9]+|[\u1780-\u17FF\u19E0-\u19FF]+")
+_LEET = str.maketrans(C.LEET_FROM, C.LEET_TO)
 #: Matching positions of 64 that make two pages near-duplicates (0.90).
 MATCHES = 58
 
@@ -47,7 +54,7 @@ def hashed_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     return sums.withColumn("w", F.col("s") / norm).select(key, "bucket", "w")
 
 
-def seed_rows(spark: SparkSession) -> DataFrame:
+def seed_texts(kinds: tuple[str, ...]) -> list[tuple[str, str, str, str]]:
     """Reference texts: kind, key, label, text. A fixed number, read off the constants."""
     rows = [("brand", d, label, d) for d, label in C.BRANDS.items()]
     roots: dict[str, str] = {}
@@ -55,43 +62,135 @@ def seed_rows(spark: SparkSession) -> DataFrame:
         roots.setdefault(domain.split(".")[0], label)
     rows += [("phish", p.format(brand=r), f"{label} impersonation pattern", p.format(brand=r)) for r, label in roots.items() for p in C.PHISH_TEMPLATES]
     rows += [("scam_pattern", f"{c}:{i}", c, x) for c, texts in C.SCRIPTS.items() for i, x in enumerate(texts)]
-    return spark.createDataFrame(rows, "kind string, key string, label string, text string")
+    return [r for r in rows if r[0] in kinds]
 
 
-def seed_vectors(spark: SparkSession, kinds: tuple[str, ...]) -> DataFrame:
-    seeds = seed_rows(spark).where(F.col("kind").isin(*kinds)).withColumn("seed", F.concat_ws("|", "kind", "key"))
-    return hashed_vectors(seeds, "seed", "text").join(F.broadcast(seeds.select("seed", "kind", "key", "label")), "seed")
+def seed_usage(top: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Every seed of ``kinds`` with the number of rows among whose nearest it is: kind, key, label, n.
 
-
-def nearest(queries: DataFrame, key: str, seeds: DataFrame, k: int) -> DataFrame:
-    """The ``k`` seeds of highest cosine for each query vector, exact, ties by (kind, key).
-
-    Both sides are long-form vectors; they meet on the bucket. The seeds are a fixed
-    set of a few hundred vectors of at most 256 parts, so they are broadcast.
+    ``top`` comes from ``nearest``; it is summed by seed before it is shuffled.
+    """
+    seeds = top.sparkSession.createDataFrame([r[:3] for r in seed_texts(kinds)], "kind string, key string, label string")
+    used = top.groupBy("kind", F.col("seed_key").alias("key")).agg(F.count("*").alias("n"))
+    return seeds.join(used.hint("merge"), ["kind", "key"], "left").select("kind", "key", "label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def _weights(text: str, memo: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``hashed_vectors`` of one text as 256 numbers, before scaling. ``memo`` keeps the features of tokens."""
+    total = np.zeros(BUCKETS)
+    for token in _TOKEN.findall(text.lower().translate(_LEET)):
+        if token not in memo:
+            if len(memo) >= MEMO:
+                memo.clear()
+            padded = f"^{token}$"
+            features = [("w:" + token, 1.0)] + [("c:" + padded[i : i + 4], 0.5) for i in range(len(token) - 1)] if len(token) > 1 else []
+            digests = [(hashlib.md5(f.encode()).digest(), w) for f, w in features]
+            memo[token] = np.array([h[0] for h, _ in digests], np.int64), np.array([w * (-1 if h[4] % 2 else 1) for h, w in digests])
+        at, w = memo[token]
+        np.add.at(total, at, w)
+    return total
+
+
+def nearest(rows: DataFrame, key: str, text: str, kinds: tuple[str, ...], k: int) -> DataFrame:
+    """The ``k`` seeds of highest cosine for each text, exact, ties by (kind, key).
+
+    Returns key, kind, seed_key, label, similarity, place (from 1); a seed that has no
+    bucket in common with a text is none of its neighbours. The seeds are a fixed set
+    of a few hundred vectors, so a task holds them as one matrix and rows stay where
+    they are: nothing is shuffled.
     """
-    met = queries.join(F.broadcast(seeds.select("bucket", F.col("w").alias("v"), "kind", F.col("key").alias("seed_key"), "label")), "bucket")
-    sims = met.groupBy(key, "kind", "seed_key", "label").agg(F.round(F.sum(F.col("w") * F.col("v")), DIGITS).alias("similarity"))
-    turn = Window.partitionBy(key).orderBy(F.desc("similarity"), "kind", "seed_key")
-    return sims.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= k)
+    seeds = sorted(seed_texts(kinds))
+    names = ["kind", "seed_key", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        matrix = np.array([_weights(s[3], memo) for s in seeds])
+        held = (matrix != 0).astype(np.int64)
+        matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), 1e-300)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                few = batch.slice(low, 1024)
+                mine = np.array([_weights(t.as_py() or "", memo) for t in few.column(1)])
+                norm = np.sqrt((mine * mine).sum(axis=1, keepdims=True))
+                near = np.round((mine / np.maximum(norm, 1e-300)) @ matrix.T, DIGITS) + 0.0
+                near[((mine != 0).astype(np.int64) @ held.T) == 0] = -2  # below any cosine
+                # seeds are in the order of ties, and the sort keeps it
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(near, order, axis=1)
+                row, place = np.nonzero(best > -2)
+                found = [seeds[i] for i in order[row, place]]
+                columns = [pa.array([f[i] for f in found], pa.string()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [few.column(0).take(pa.array(row)), *columns, pa.array(best[row, place]), pa.array((place + 1).astype(np.int32))], names=[key, *names, "similarity", "place"]
+                )
+
+    kept = rows.select(key, text)
+    return kept.mapInArrow(run, f"{key} {kept.schema[key].dataType.simpleString()}, kind string, seed_key string, label string, similarity double, place int")
 
 
 def script_matches(messages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Best known script of each message with similarity ``threshold`` or more."""
-    seeds = seed_vectors(messages.sparkSession, ("scam_pattern",))
-    best = nearest(hashed_vectors(messages, "message_id", "text"), "message_id", seeds, 1)
+    best = nearest(messages, "message_id", "text", ("scam_pattern",), 1)
     return best.where(F.col("similarity") >= threshold).select("message_id", F.col("seed_key").alias("script"), "label", "similarity")
 
 
+#: Reference vectors of ``dense_nearest``: they go to every task as one matrix.
+MOST_CENTROIDS = 10_000
+
+
 def dense_nearest(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.74) -> DataFrame:
     """Best centroid of each dense vector by cosine, and whether it is near enough.
 
-    ``centroids`` (centroid, c) is a small reference set, one row a class.
+    ``centroids`` (centroid, c) is a reference set of at most MOST_CENTROIDS rows,
+    checked here; ties go to the smallest. Null, empty and zero vectors, and those of
+    another length than a centroid's, have cosine 0. Vectors stay where they are.
     """
-    sims = vectors.join(F.broadcast(centroids)).withColumn(
-        "similarity", F.round(risk.similarity(F.col("embedding").cast("array<double>"), F.col("c").cast("array<double>")), DIGITS)
-    )
-    best = sims.groupBy("vec_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "centroid")).alias("b"))
-    return best.select("vec_id", F.col("b.centroid").alias("centroid"), (-F.col("b.minus")).alias("similarity"), (-F.col("b.minus") >= threshold).alias("near"))
+    found = centroids.where("centroid is not null").orderBy("centroid").limit(MOST_CENTROIDS + 1).collect()
+    if len(found) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    names, rows = [r.centroid for r in found], [np.array([x or 0.0 for x in r.c or []], float) for r in found]
+    unit = [r / n if (n := np.sqrt(r @ r)) > 0 else r for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(u) for u in unit])
+        for batch in batches:
+            best, near = [], []
+            for vector in batch.column(1).to_pylist():
+                v = np.array([x or 0.0 for x in vector or []], float)
+                sims, same, norm = np.zeros(len(unit)), np.flatnonzero(sizes == len(v)), np.sqrt(v @ v)
+                if norm > 0 and len(same):
+                    sims[same] = np.stack([unit[i] for i in same]) @ (v / norm)
+                sims = np.round(sims, DIGITS) + 0.0
+                i = int(sims.argmax())
+                best.append(names[i])
+                near.append(float(sims[i]))
+            columns = [pa.array(best, kinds), pa.array(near, pa.float64()), pa.array([x >= threshold for x in near], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["vec_id", "centroid", "similarity", "near"])
+
+    kept = vectors.select("vec_id", "embedding")
+    kind = centroids.schema["centroid"].dataType
+    kinds = to_arrow_type(kind)
+    if not found:
+        return kept.select("vec_id", F.lit(None).cast(kind).alias("centroid"), F.lit(0.0).alias("similarity"), F.lit(False).alias("near")).limit(0)
+    return kept.mapInArrow(run, f"vec_id {kept.schema['vec_id'].dataType.simpleString()}, centroid {kind.simpleString()}, similarity double, near boolean")
+
+
+def encode_dense(rows: DataFrame, key: str, text: str, encoder) -> DataFrame:
+    """Vectors of texts by an encoder that the caller brings: key, embedding.
+
+    ``encoder`` takes a list of texts and returns a two-dimensional array; it is sent
+    to the tasks and called once a batch. A null text is empty.
+    """
+    kept = rows.select(key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                few = batch.slice(low, 256)
+                made = np.asarray(encoder([t or "" for t in few.column(1).to_pylist()]), np.float32)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(list(made), pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    return kept.mapInArrow(run, f"{key} {kept.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
 def affine(i: int) -> tuple[int, int]:
@@ -99,9 +198,11 @@ def affine(i: int) -> tuple[int, int]:
     return (i * 1_103_515_245 + 12_345) % (PRIME - 1) + 1, (i * 214_013 + 2_531_011) % PRIME
 
 
-def minhash(rows: DataFrame, key: str, text: str) -> DataFrame:
+def minhash(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
     """Signatures of 64 minima over the distinct 8-character shingles of each text.
 
+    Returns key, signature and the ``carried`` columns.
+
     Texts are lower-cased and their white space collapsed; a shorter text is one
     shingle. One md5 a shingle; permutations are affine, modulo a prime, and stay
     below 2^62. Arrow batches and numpy do the arithmetic, a tenth of the time that
@@ -121,10 +222,11 @@ def minhash(rows: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = pa.array([sign(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=[key, "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed, *batch.columns[2:]], names=[key, "signature", *carried])
 
-    kept = rows.select(key, flat.alias("flat"))
-    return kept.mapInArrow(run, f"{key} {kept.schema[key].dataType.simpleString()}, signature array<bigint>")
+    kept = rows.select(key, flat.alias("flat"), *carried)
+    kind = lambda c: f"{c} {kept.schema[c].dataType.simpleString()}"
+    return kept.mapInArrow(run, ", ".join([kind(key), "signature array<bigint>", *map(kind, carried)]))
 
 
 def matching(a: Column, b: Column) -> Column:
@@ -132,16 +234,35 @@ def matching(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(signed: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Best other-host partner of each signature: id, other, matches.
+    """Best other-host partner of each signature: id, other, matches; ties go to the smallest id.
 
-    Seven bands cannot all miss when at most six of 64 positions differ, so joining
-    on bands finds every pair at or above the threshold. ``signed`` has id, host and
-    signature; the join is an equi-join on the band's content.
+    Equal signatures are one class, of which two ids say all: the smallest, and the
+    smallest of another host. A class on several hosts is its own best partner. For
+    the rest, seven bands cannot all miss when at most six of 64 positions differ, so
+    joining classes on bands finds every pair at or above the threshold.
     """
     cuts = [HASHES * i // BANDS for i in range(BANDS + 1)]
-    bands = F.array(*[F.concat_ws("-", F.lit(str(i)), F.slice("signature", a + 1, b - a).cast("array<string>")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-    rows = signed.select("id", "host", "signature", F.explode(F.transform(bands, lambda x: F.xxhash64(x))).alias("band"))
-    other = rows.select(F.col("id").alias("other"), F.col("host").alias("other_host"), F.col("signature").alias("s2"), "band")
-    met = rows.hint("merge").join(other, "band").where("host <> other_host").withColumn("matches", matching(F.col("signature"), F.col("s2")))
-    good = met.where(F.col("matches") >= matches).select("id", "other", "matches")
-    return good.groupBy("id").agg(F.min(F.struct((-F.col("matches")).alias("m"), "other")).alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.m")).alias("matches"))
+    by_host = signed.groupBy("signature", "host").agg(F.min("id").alias("id"))
+    classes = by_host.groupBy("signature").agg(F.slice(F.sort_array(F.collect_list(F.struct("id", "host"))), 1, 2).alias("least"))
+    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    rows = classes.select("signature", "least", F.explode(bands).alias("band"))
+    lone = rows.where("size(least) = 1").select(F.col("signature").alias("s1"), F.get("least", F.lit(0))["host"].alias("own"), "band")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, HASHES) for i in (0, 1))
+            equal = (one == two).sum(axis=1).astype(np.int32)
+            keep = pa.array(equal >= matches)
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(2), pa.array(equal))], names=["signature", "other", "matches"])
+
+    other = F.when(F.get("least", F.lit(0))["host"] != F.col("own"), F.get("least", F.lit(0))["id"]).otherwise(F.get("least", F.lit(1))["id"])
+    met = lone.hint("merge").join(rows, "band").where("s1 <> signature").select("s1", "signature", other.alias("other")).where("other is not null")
+    good = met.mapInArrow(count, "signature array<bigint>, other bigint, matches int")
+    best = good.groupBy("signature").agg(F.min(F.struct((-F.col("matches")).alias("m"), "other")).alias("b"))
+    known = classes.join(best.hint("merge"), "signature", "left").where("size(least) > 1 or b is not null")
+    first, second = F.get("least", F.lit(0)), F.get("least", F.lit(1))
+    own = F.when(first["host"] != F.col("host"), first["id"]).otherwise(second["id"])
+    several = F.size("least") > 1
+    return signed.hint("merge").join(known, "signature").select(
+        "id", F.when(several, own).otherwise(F.col("b.other")).alias("other"), F.when(several, F.lit(HASHES)).otherwise(-F.col("b.m")).cast("int").alias("matches")
+    )

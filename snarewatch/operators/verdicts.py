@@ -30,8 +30,7 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     ``by_domain`` a page also poses as a brand where the link's host resembles one.
     """
     base = L.lexical_score(links).withColumn("trusted", F.col("reg_domain").isin(*C.BRANDS))
-    hosts = base.select("link_id", "host")
-    top = V.nearest(V.hashed_vectors(hosts, "link_id", "host"), "link_id", V.seed_vectors(links.sparkSession, ("brand", "phish")), 4)
+    top = V.nearest(base, "link_id", "host", ("brand", "phish"), 4)
     phish = top.where("kind = 'phish'").groupBy("link_id").agg(F.max("similarity").alias("phish"))
     network = P.network_points(pages).select(F.col("page_id").alias("link_id"), "network_points", "rescored")
     posed = P.brand_spoof(pages)

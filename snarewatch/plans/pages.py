@@ -46,12 +46,17 @@ def page_text(t: Tables) -> DataFrame:
     return t["page_obs"].select("page_id", P.page_text(F.col("html")).alias("text"))
 
 
-@query(f"select page_id, regexp_matches(html, {text(P.PASSWORD_FIELD)}) as asks from page_obs")
+_QUOTED = lambda value: f"""("{value}"|'{value}')"""
+_PASSWORD = rf"(?i)<input[\s/]([^>]*\s)?type\s*=\s*{_QUOTED('password')}"
+
+
+@query(f"select page_id, regexp_matches(html, {text(_PASSWORD)}) as asks from page_obs")
 def password_field(t: Tables) -> DataFrame:
-    return t["page_obs"].select("page_id", F.col("html").rlike(P.PASSWORD_FIELD).alias("asks"))
+    return t["page_obs"].select("page_id", P.asks_password(F.col("html")).alias("asks"))
 
 
-_FORMS = f"select page_id, generate_subscripts(l, 1) as position, unnest(l) as action, final_url from (select page_id, final_url, regexp_extract_all(html, {text(P.FORM_ACTION)}, 1) as l from page_obs)"
+_ACTION = r"""(?i)<form[\s/](?:[^>]*\s)?action\s*=\s*["']([^"'>]*)["']"""
+_FORMS = f"select page_id, generate_subscripts(l, 1) as position, unnest(l) as action, final_url from (select page_id, final_url, regexp_extract_all(html, {text(_ACTION)}, 1) as l from page_obs)"
 
 
 @query(f"select page_id, cast(position as integer) as position, action from ({_FORMS})")
@@ -97,7 +102,7 @@ def network_cap(t: Tables) -> DataFrame:
 
 
 EXFIL_SQL = f"""select page_id, arg_min(target, position) as target from (select f.page_id, position, {host_sql('action')} as target, {reg_sql(host_sql('final_url'))} as own from ({_FORMS}) f
-  where contains(action, '://') and page_id in (select page_id from page_obs where regexp_matches(html, {text(P.PASSWORD_FIELD)})))
+  where contains(action, '://') and page_id in (select page_id from page_obs where regexp_matches(html, {text(_PASSWORD)})))
   where target <> '' and {reg_sql('target')} <> own group by page_id"""
 
 
@@ -176,12 +181,6 @@ def nearest_sql(rows: str, key: str, column: str, kinds, k: int) -> str:
     select {key}, kind, seed_key, label, similarity, place from (select *, cast(row_number() over (partition by {key} order by similarity desc, kind, seed_key) as integer) as place from si) where place <= {k}"""
 
 
-@query(f"select kind, key, label from ({_seed_values(('brand', 'phish', 'scam_pattern'))}) where (select count(*) from pages) >= 0")
-def seed_vectors(t: Tables) -> DataFrame:
-    """Reference rows, as far as pages need them: the texts that similarity is measured to."""
-    return V.seed_rows(t.spark).select("kind", "key", "label").where(F.lit(t["pages"].limit(1).count() >= 0))
-
-
 @query(f"select message_id, cast(bucket as integer) as bucket, round(w, 6) as weight from ({vector_sql('message_text', 'message_id', 'text')})")
 def hashed_embedding(t: Tables) -> DataFrame:
     return V.hashed_vectors(t["message_text"], "message_id", "text").select("message_id", "bucket", F.round("w", 6).alias("weight"))
@@ -193,8 +192,24 @@ _HOSTS = f"select link_id, {host_sql('raw_url')} as host from links"
 @query(nearest_sql(_HOSTS, "link_id", "host", ("brand", "phish"), 4))
 def nearest_vectors(t: Tables) -> DataFrame:
     hosts = t["links"].select("link_id", urls.host(urls.normalized(F.col("raw_url"))).alias("host"))
-    seeds = V.seed_vectors(t.spark, ("brand", "phish"))
-    return V.nearest(V.hashed_vectors(hosts, "link_id", "host"), "link_id", seeds, 4).select("link_id", "kind", "seed_key", "label", "similarity", "place")
+    return V.nearest(hosts, "link_id", "host", ("brand", "phish"), 4)
+
+
+_USED = f"""with top as ({nearest_sql(_HOSTS, 'link_id', 'host', ('brand', 'phish'), 4)}), n as (select kind, seed_key, count(*) as n from top group by 1, 2)
+  select s.kind, s.key, s.label, coalesce(n, 0) as n from ({_seed_values(('brand', 'phish'))}) s left join n on n.kind = s.kind and n.seed_key = s.key"""
+
+
+@query(f"select kind, key, label, n as n_links from ({_USED})")
+def seed_vectors(t: Tables) -> DataFrame:
+    """Reference rows of links, each with the number of links among whose four nearest it is."""
+    return V.seed_usage(nearest_vectors(t), ("brand", "phish")).withColumnRenamed("n", "n_links")
+
+
+@query(f"select sha256(string_agg(kind || '|' || key || '|' || label || '|' || n, chr(10) order by kind, key)) as fingerprint, count(*) as n from ({_USED})")
+def seed_fingerprint(t: Tables) -> DataFrame:
+    """One digest over the sorted reference rows and their use: a changed one calls for a reload."""
+    rows = seed_vectors(t).agg(F.sort_array(F.collect_list(F.struct("kind", "key", F.concat_ws("|", "kind", "key", "label", "n_links").alias("line")))).alias("rows"))
+    return rows.select(F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256).alias("fingerprint"), F.size("rows").cast("bigint").alias("n"))
 
 
 BEST_SQL = nearest_sql("message_text", "message_id", "text", ("scam_pattern",), 1)
@@ -252,8 +267,7 @@ def _signed(t: Tables, long: bool = False) -> DataFrame:
     texts = t["page_obs"].select("page_id", "url", P.page_text(F.col("html")).alias("text"))
     if long:
         texts = texts.where(P.long_enough(F.col("text")))
-    hosts = texts.select("page_id", urls.host(F.col("url")).alias("host"))
-    return V.minhash(texts, "page_id", "text").join(hosts, "page_id").select(F.col("page_id").alias("id"), "host", "signature")
+    return V.minhash(texts, "page_id", "text", "url").select(F.col("page_id").alias("id"), urls.host(F.col("url")).alias("host"), "signature")
 
 
 _MATCHING = "len([i for i in range(1, 65) if a.signature[i] = b.signature[i]])"
@@ -292,14 +306,5 @@ def best_brand_sql(rows: str) -> str:
 @query(spoof_sql(best_brand_sql(f"select page_id as link_id, {host_sql('url')} as host from page_obs")))
 def brand_page_spoof_full(t: Tables) -> DataFrame:
     hosts = t["page_obs"].select("page_id", urls.host(urls.normalized(F.col("url"))).alias("host"))
-    top = V.nearest(V.hashed_vectors(hosts, "page_id", "host"), "page_id", V.seed_vectors(t.spark, ("brand", "phish")), 4)
+    top = V.nearest(hosts, "page_id", "host", ("brand", "phish"), 4)
     return P.brand_spoof(*P.with_resemblance(t["page_obs"], top))
-
-
-@query()
-def seed_fingerprint(t: Tables) -> DataFrame:
-    """One digest over the sorted reference rows, and whether the pages at hand need a reload."""
-    rows = V.seed_rows(t.spark)
-    digest = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("kind", "key", "label", "text")))), 256)
-    hosts = t["pages"].select(urls.host(F.col("url")).alias("host")).distinct().agg(F.count("*").alias("n_hosts"))
-    return rows.agg(digest.alias("fingerprint"), F.count("*").alias("n")).join(F.broadcast(hosts))
