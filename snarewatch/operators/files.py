@@ -171,13 +171,33 @@ def top_reasons(files: DataFrame, entries: DataFrame, most: int = 3) -> DataFram
     return name.unionByName(found).withColumn("place", F.row_number().over(turn)).where(F.col("place") <= most).drop("side")
 
 
+def engine_labels(answers: DataFrame, engines: tuple[str, ...]) -> DataFrame:
+    """What named engines say in a service's JSON answer (column ``body``): file_id and a column each."""
+    given = F.from_json("body", "map<string,struct<category:string,result:string>>")
+
+    def label(name: str) -> Column:
+        e = F.try_element_at(F.col("given"), F.lit(name))
+        said = F.concat(F.lit(" ("), e["result"], F.lit(")"))
+        return F.when(e["category"] == "malicious", F.concat(F.lit("Detected"), said)).when(e["category"] == "suspicious", F.concat(F.lit("Suspicious"), said)).otherwise("Clean")
+
+    return answers.withColumn("given", given).select("file_id", *[label(e).alias(e.lower()) for e in engines])
+
+
 # --- raw bytes, from spark.read.format("binaryFile") with columns path, length, content
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """Files of a folder: file_name, length, digest and content; empty and too large ones are left out."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= TOO_LARGE)
-    return rows.select(F.substring_index("path", "/", -1).alias("file_name"), "length", F.sha2("content", 256).alias("digest"), "content")
+    """Files of a folder: file_name, length, digest, content and scan_error.
+
+    A file over the limit is a row with scan_error ``too_large`` whose bytes are not read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name, nothing = F.substring_index("path", "/", -1).alias("file_name"), F.lit(None)
+    read = found.where(F.col("length") <= TOO_LARGE).select(name, "length", F.sha2("content", 256).alias("digest"), "content", nothing.cast("string").alias("scan_error"))
+    large = found.where(F.col("length") > TOO_LARGE).select(
+        name, "length", nothing.cast("string").alias("digest"), nothing.cast("binary").alias("content"), F.lit("too_large").alias("scan_error")
+    )
+    return read.unionByName(large)
 
 
 def _starts(content: Column, *heads: str) -> Column:

@@ -167,8 +167,9 @@ def url_identifier(url: Column) -> Column:
     return F.rtrim(F.translate(lines, "+/\r\n", "-_"), F.lit("="))
 
 
-def defang(text: Column) -> Column:
-    return F.regexp_replace(text, C.URL_PATTERN, "<code>$0</code>")
+def defang(text: Column, plain: bool = False) -> Column:
+    """The text with each address as code: in an element, or with ``plain`` in backticks."""
+    return F.regexp_replace(text, C.URL_PATTERN, "`$0`" if plain else "<code>$0</code>")
 
 
 def domain_age_points(days: Column) -> Column:

@@ -103,11 +103,18 @@ def redirects(pages: DataFrame) -> DataFrame:
 
 
 def response_points(pages: DataFrame) -> DataFrame:
-    """Add shape_points of hops, plain http and status."""
+    """Add shape_points of hops, plain http and status.
+
+    Where ``pages`` has trace_error, a page that could not be followed has the
+    error's points instead: 30 for a bad certificate, 15 for any other.
+    """
     hops = F.when(F.col("hops") >= 4, 10).otherwise(0)
     plain = F.when(~F.lower("final_url").startswith("https://"), 5).otherwise(0)
     failed = F.when(F.col("status") >= 400, 10).otherwise(0)
-    return pages.withColumn("shape_points", hops + plain + failed)
+    shape = hops + plain + failed
+    if "trace_error" in pages.columns:
+        shape = F.when(F.col("trace_error") == "bad_tls", 30).when(F.col("trace_error").isNotNull(), 15).otherwise(shape)
+    return pages.withColumn("shape_points", shape)
 
 
 def network_points(pages: DataFrame) -> DataFrame:

@@ -26,6 +26,35 @@ def quota_admission(requests: DataFrame) -> DataFrame:
     return requests.withColumn("admitted", F.col("trusted_shape") | (F.row_number().over(turn) <= limit))
 
 
+def folded_quota(events: DataFrame) -> DataFrame:
+    """Admission with refunds and late charges: the requests of ``events`` that are admitted.
+
+    ``events`` has event_id, user_id, ts, kind and step: ``use`` takes a slot if one is
+    left, ``bypass`` is admitted without one, ``charge`` takes a slot without a check
+    (a bypass that proved untrusted), ``refund`` gives one back. Slots are counted per
+    user, UTC day and kind in time order; a task streams through its sorted keys
+    holding one number. Returns event_id, admitted (null for charge and refund), used.
+    """
+    keys = ["user_id", "day", "kind"]
+    rows = events.select("event_id", "user_id", F.unix_date(F.to_date("ts")).alias("day"), "kind", "step", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "at", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used = None, 0
+        for batch in batches:
+            admitted, counts = [], []
+            for user, day, kind, step in zip(*(batch[c] for c in (*keys, "step"))):
+                if (user, day, kind) != current:
+                    current, used = (user, day, kind), 0
+                free = used < (FILE_LIMIT if kind == "file" else LINK_LIMIT)
+                admitted.append({"use": free, "bypass": True}.get(step))
+                used += {"use": int(free), "charge": 1, "refund": -1 if used else 0}.get(step, 0)
+                counts.append(used)
+            yield pd.DataFrame({"event_id": batch["event_id"], "admitted": pd.Series(admitted, dtype="object"), "used": counts})
+
+    return ordered.mapInPandas(run, "event_id bigint, admitted boolean, used int")
+
+
 def token_budget(requests: DataFrame) -> DataFrame:
     """Add spent (tokens before this call today) and allowed."""
     before = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,6 +76,13 @@ def trial_status(events: DataFrame) -> DataFrame:
     return events.join(first, "user_id").select("event_id", "user_id", left.cast("bigint").alias("days_left")).withColumn("blocked", F.col("days_left") == 0)
 
 
+def trial_notices(events: DataFrame) -> DataFrame:
+    """The one event at which a user is told that the trial is over: user_id, event_id."""
+    over = trial_status(events).where("blocked").select("event_id", "user_id")
+    times = events.select("event_id", F.struct("ts", "event_id").alias("at"))
+    return over.join(times, "event_id").groupBy("user_id").agg(F.min_by("event_id", "at").alias("event_id"))
+
+
 def kept_by_gap(rows: DataFrame, key: str, seconds: int, strict: bool) -> DataFrame:
     """Rows of each key that come more than ``seconds`` after the last one kept.
 
@@ -89,6 +125,12 @@ def failure_streaks(events: DataFrame) -> DataFrame:
     return ranked.where("nth >= 3").select("event_id", "service", "nth")
 
 
+def outages(streaks: DataFrame, events: DataFrame, seconds: int = 30) -> DataFrame:
+    """Until when each failure of a streak keeps its service out: event_id, service, until_us."""
+    times = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return streaks.join(times, "event_id").select("event_id", "service", (F.col("at") + seconds * 1_000_000).alias("until_us"))
+
+
 def tagged_lines(lines: DataFrame) -> DataFrame:
     """Fields of oversize log lines; other lines are left out, unexpected shapes are marked."""
     tagged = lines.where(F.col("line").contains("[oversize-file]"))
@@ -109,6 +151,13 @@ def oversize_report(tagged: DataFrame) -> DataFrame:
     )
 
 
+def upsert(snapshot: DataFrame | None, batch: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """The snapshot after a batch: by key the row that is last in ``order``, old or new."""
+    rows = batch if snapshot is None else snapshot.unionByName(batch)
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct(*order)).alias("row")).select("row.*")
+
+
 def append_scan_log(verdicts: DataFrame, path: str) -> None:
     """Append sink of verdicts, by day."""
     verdicts.withColumn("dt", F.to_date("checked_at")).write.mode("append").partitionBy("dt").parquet(path)

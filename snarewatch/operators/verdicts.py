@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snarewatch.functions import constants as C
@@ -20,14 +20,16 @@ def phish_points(similarity: Column) -> Column:
     return F.when(similarity >= 0.80, 40).when(similarity >= 0.55, 20).otherwise(0)
 
 
-def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: DataFrame, by_domain: bool = False) -> DataFrame:
+def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: DataFrame, by_domain: bool = False, degraded: bool = False) -> DataFrame:
     """Full score of each link: link_id, score, level, trusted, confirmed.
 
     Lexical points, similarity to phishing shapes among the four nearest seeds,
     enrichment, network, page and near-duplicate evidence are summed. Reputation is
     asked only where something else has scored. ``pages`` holds the capture of each
     link under the link's id; ``near`` has (page_id) of near-duplicates. With
-    ``by_domain`` a page also poses as a brand where the link's host resembles one.
+    ``by_domain`` a page also poses as a brand where the link's host resembles one. If
+    ``intel`` has vt_cached, a fresh cached answer counts even where nothing has scored.
+    With ``degraded`` a column of that name says that evidence which could change the level was not to be had.
     """
     base = L.lexical_score(links).withColumn("trusted", F.col("reg_domain").isin(*C.BRANDS))
     top = V.nearest(base, "link_id", "host", ("brand", "phish"), 4)
@@ -45,12 +47,18 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     v = lambda c: F.coalesce(F.col(c), F.lit(0))
     strange = F.when(F.col("trusted"), 0).otherwise(phish_points(F.coalesce("phish", F.lit(0.0))) + v("spoof") + v("theft"))
     so_far = F.col("score") + strange + v("dns_points") + v("age_points") + v("cert_points") + v("network_points") + v("rescored") + v("copied")
-    asked = F.when(~F.col("trusted") & (F.col("so_far") > 0), v("vt_points")).otherwise(0)
-    return (
+    cached = F.coalesce("vt_cached", F.lit(False)) if "vt_cached" in intel.columns else F.lit(False)
+    asked = F.when(~F.col("trusted") & ((F.col("so_far") > 0) | cached), v("vt_points")).otherwise(0)
+    unlike = top.select("link_id", F.lit(True).alias("like")).distinct()
+    told = (
         wide.withColumn("so_far", so_far).withColumn("asked", asked)
-        .select("link_id", (F.col("so_far") + F.col("asked")).cast("int").alias("score"), "trusted", (F.col("asked") > 0).alias("confirmed"))
+        .select("link_id", (F.col("so_far") + F.col("asked")).cast("int").alias("score"), "trusted", (F.col("asked") > 0).alias("confirmed"), F.coalesce("vt_unavailable", F.lit(True)).alias("blind"))
         .withColumn("level", risk.level(F.col("score")))
     )
+    if not degraded:
+        return told.drop("blind")
+    silent = F.col("like").isNull() & (F.col("level") != "safe") & ~F.col("confirmed")
+    return told.join(unlike, "link_id", "left").withColumn("degraded", silent | (F.col("blind") & (F.col("level") != "dangerous"))).drop("blind", "like")
 
 
 def message_evidence(messages: DataFrame, files: DataFrame) -> DataFrame:
@@ -113,6 +121,24 @@ def full_message_evidence(messages: DataFrame, files: DataFrame, hidden: DataFra
     return told.withColumn("confirmed", F.col("confirmed") | flag("any_confirmed")).withColumn("confirmed_link", flag("confirmed_link")).drop("any_confirmed")
 
 
+def reason_rows(evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """Why a message is suspected, a row a reason: message_id, place, reason, points.
+
+    Keyword, script, each link that is not safe (``links`` from ``message_links``), file;
+    places count from 1 in that order, links by position.
+    """
+    file = F.col("file_level").isin("dangerous", "suspicious", "uncertain")
+    rules = (
+        (1, "keyword", F.col("keyword"), F.lit(None)), (2, "script", F.col("similarity").isNotNull(), F.floor(F.col("similarity") * 100)),
+        (9, "file", F.coalesce(file, F.lit(False)), F.col("file_pct")),
+    )
+    row = lambda rank, name, points: F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("position"), F.lit(name).alias("reason"), points.cast("int").alias("points"))
+    told = evidence.select("message_id", F.explode(F.array_compact(F.array(*[F.when(c, row(rank, name, points)) for rank, name, c, points in rules]))).alias("r"))
+    risky = links.where("level <> 'safe'").select("message_id", F.struct(F.lit(3).alias("rank"), "position", F.lit("link").alias("reason"), F.col("score").cast("int").alias("points")).alias("r"))
+    turn = Window.partitionBy("message_id").orderBy("r.rank", "r.position")
+    return told.unionByName(risky).select("message_id", F.row_number().over(turn).alias("place"), "r.reason", "r.points")
+
+
 def fallback_verdict(evidence: DataFrame) -> DataFrame:
     """The verdict without a language model: message_id, verdict, risk_percentage.
 

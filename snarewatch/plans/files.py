@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from snarewatch.functions import constants as C
 from snarewatch.operators import files as X
+from snarewatch.operators.links import asof_latest
 from snarewatch.plans.links import names
 from snarewatch.sources.fixtures import Tables
 
@@ -99,6 +100,76 @@ def top_engine_status(t: Tables) -> DataFrame:
     return body.select("file_id", status("Microsoft").alias("microsoft"), status("Kaspersky").alias("kaspersky"))
 
 
+_NAMED_ENGINES = """select file_id, case file_id % 4 when 0 then 'malicious' when 1 then 'suspicious' when 2 then 'undetected' else 'harmless' end as a,
+  case when malicious > 6 then 'malicious' when malicious > 3 then 'suspicious' else 'undetected' end as b, concat('Trojan.', cast(malicious as string)) as result from files where found"""
+_LABEL = lambda c: f"case {c} when 'malicious' then 'Detected (' || result || ')' when 'suspicious' then 'Suspicious (' || result || ')' else 'Clean' end"
+
+
+@query(f"select file_id, {_LABEL('a')} as microsoft, {_LABEL('b')} as kaspersky, 'Clean' as bitdefender from ({_NAMED_ENGINES.replace('as string', 'as varchar')})")
+def engine_labels(t: Tables) -> DataFrame:
+    """Labels of the three named engines; one that gave no answer reads as clean."""
+    answer = lambda c: F.struct(F.col(c).alias("category"), "result")
+    body = t.sql(_NAMED_ENGINES).select("file_id", F.to_json(F.create_map(F.lit("Microsoft"), answer("a"), F.lit("Kaspersky"), answer("b"))).alias("body"))
+    return X.engine_labels(body, ("Microsoft", "Kaspersky", "BitDefender"))
+
+
+_HEADS = (
+    "4D5A" + "00" * 58 + "40000000" + "50450000", "7F454C46", "CFFAEDFE", "504B0304", "526172211A0700", "377ABCAF271C",
+    b"%PDF-1.4 /Launch (x)".hex(), b"%PDF-1.4 /JS(x)".hex(), b"%PDF-1.4 /JSON".hex(), "D0CF11E0A1B11AE1" + "_VBA_PROJECT".encode("utf-16-le").hex(), "4D5A" + "00" * 58 + "FFFFFF7F", "",
+)
+_NAMES = ".pdf .exe .docx .jpg .txt".split()
+
+
+def _bytes_sql(encoded: str) -> str:
+    """File bytes made of a head by id and the text of a document, and names of five kinds."""
+    heads = " ".join(f"when {i} then unhex('{h}')" for i, h in enumerate(_HEADS))
+    ends = " ".join(f"when {i} then '{n}'" for i, n in enumerate(_NAMES))
+    return f"""select doc_id as file_id, cast(doc_id % {len(_HEADS)} as integer) as head, concat('f', cast(doc_id as varchar(20)), case cast(doc_id % {len(_NAMES)} as integer) {ends} end, case when doc_id % 37 = 0 then '‮' else '' end) as file_name,
+      case cast(doc_id % {len(_HEADS)} as integer) {heads} end || {encoded} as content from documents where text is not null"""
+
+
+def _file_bytes(t: Tables) -> DataFrame:
+    return t.sql(_bytes_sql("encode(text, 'UTF-8')"))
+
+
+_DIGIT = lambda i: f"(strpos('0123456789ABCDEF', substr(h, {i}, 1)) - 1)"
+_OFFSET = "cast(" + " + ".join(f"{_DIGIT(121 + i)} * {16 ** p}" for i, p in enumerate((1, 0, 3, 2, 5, 4, 7, 6))) + " as bigint)"
+_KIND = f"""case when starts_with(h, '4D5A') and length(h) >= 128 and {_OFFSET} < length(h) / 2 and substr(h, {_OFFSET} * 2 + 1, 8) = '50450000' then 'Windows program'
+  when starts_with(h, '7F454C46') then 'Linux program' when substr(h, 1, 8) in ('FEEDFACE', 'FEEDFACF', 'CEFAEDFE', 'CFFAEDFE') then 'macOS program' when starts_with(h, '504B0304') then 'ZIP'
+  when starts_with(h, '526172211A0700') or starts_with(h, '526172211A070100') then 'RAR' when starts_with(h, '377ABCAF271C') then '7Z' end"""
+_READ = f"select *, {_KIND} as kind, case when file_name like '%.%' then lower(string_split(file_name, '.')[-1]) end as ext from (select *, hex(content) as h from ({_bytes_sql('encode(text)')}))"
+
+
+@query(f"select file_id, kind from ({_READ})")
+def magic_type(t: Tables) -> DataFrame:
+    return _file_bytes(t).select("file_id", X.magic_type(F.col("content")).alias("kind"))
+
+
+_ACTIVE = lambda x: "(" + " or ".join(f"regexp_matches(h, '^(..)*{w.encode().hex().upper()}($|[0-289A-F].|3[A-F]|[46]0|[57][B-F])')" for w in x) + ")"
+_BYTE_SQL = f"""with r as ({_READ}), p as (select *, strpos(substr(h, 1, 2048), '{b"%PDF-".hex().upper()}') > 0 as pdf from r)
+  select file_name, finding, score from (
+    select file_name, 'pdf_launch' as finding, 70 as score from p where pdf and {_ACTIVE(['/Launch'])} union all select file_name, 'pdf_javascript', 45 from p where pdf and {_ACTIVE(['/JavaScript', '/JS'])}
+    union all select file_name, 'reversed_name', 85 from p where contains(file_name, '‮') union all select file_name, 'disguised_executable', 85 from p where ends_with(kind, 'program') and not coalesce(ext in ({names(C.EXECUTABLE_EXT)}), false)
+    union all select file_name, 'disguised_archive', 30 from p where kind in ('ZIP', 'RAR', '7Z') and ext in ({names(C.DOCUMENT_EXT)}) and ext not in ({names(X.ZIP_DOCUMENTS)})
+    union all select file_name, 'office_macros', 50 from p where starts_with(h, 'D0CF11E0A1B11AE1') and contains(h, '{"_VBA_PROJECT".encode("utf-16-le").hex().upper()}'))"""
+
+
+@query(f"select * from ({_BYTE_SQL}) where starts_with(finding, 'pdf')")
+def pdf_active_content(t: Tables) -> DataFrame:
+    return X.byte_findings(_file_bytes(t)).where("finding like 'pdf%'")
+
+
+@query(f"select * from ({_BYTE_SQL}) where not starts_with(finding, 'pdf')")
+def claimed_vs_real(t: Tables) -> DataFrame:
+    return X.byte_findings(_file_bytes(t)).where("finding not like 'pdf%'")
+
+
+@query()
+def file_source(t: Tables) -> DataFrame:
+    """The folder's own files as bytes: their names, sizes, digests and types."""
+    return X.read_files(t.spark, t.folder).select("file_name", "length", "digest", X.magic_type(F.col("content")).alias("kind"), "scan_error")
+
+
 @query(f"select file_id, finding, cast(score as integer) as score, entry from ({_FINDINGS})")
 def archive_findings(t: Tables) -> DataFrame:
     return X.archive_findings(t["archive_entries"])
@@ -145,24 +216,26 @@ _SEEN = "select digest, cast('2024-01-01' as date) + cast(file_id % 15 as int) a
 _ASK = "select file_id, digest, cast('2024-01-10' as date) + cast(file_id % 5 as int) as day from files"
 
 
+def _last_answers(t: Tables) -> DataFrame:
+    """Each file's newest answer for its digest, as of its day and seven days back: file_id, value."""
+    asked = t.sql(_ASK).select(F.col("file_id").alias("check_id"), "digest", F.col("day").cast("timestamp").alias("ts"))
+    seen = t.sql(_SEEN).select("digest", F.col("day").cast("timestamp").alias("ts"), F.col("answer_id").alias("value"))
+    return asof_latest(asked, seen, "digest", "7 days").select(F.col("check_id").alias("file_id"), "value")
+
+
 @query(f"with s as ({_SEEN}), a as ({_ASK}) select file_id from a where not exists (select 1 from s where s.digest = a.digest and s.day <= a.day and s.day >= a.day - 7)")
 def chargeable_files(t: Tables) -> DataFrame:
     """A digest that was answered in the last seven days costs nothing."""
-    asked, seen = t.sql(_ASK), t.sql(_SEEN).select("digest", F.col("day").alias("on"))
-    fresh = (F.col("on") <= F.col("day")) & (F.col("on") >= F.date_sub("day", 7))
-    free = asked.join(seen, "digest").where(fresh).select("file_id").distinct()
-    return asked.join(free, "file_id", "left_anti").select("file_id")
+    return _last_answers(t).where("value is null").select("file_id")
 
 
 @query(f"""with s as ({_SEEN}), a as ({_ASK}), e as (select a.file_id, max(struct_pack(d := s.day, i := s.answer_id)) as last from a left join s on s.digest = a.digest and s.day <= a.day and s.day >= a.day - 7 group by a.file_id)
   select e.file_id, last.i as answer_id, r.local_score, r.file_level from e join ({FILE_SQL}) r on e.file_id = r.file_id""")
 def file_evidence(t: Tables) -> DataFrame:
     """Each file with the newest answer for its digest, seven days back, and its local risk."""
-    asked, seen = t.sql(_ASK), t.sql(_SEEN).select("digest", F.col("day").alias("on"), "answer_id")
-    fresh = (F.col("on") <= F.col("day")) & (F.col("on") >= F.date_sub("day", 7))
-    last = asked.join(seen, "digest").where(fresh).groupBy("file_id").agg(F.max(F.struct("on", "answer_id")).alias("last"))
+    last = _last_answers(t).select("file_id", F.col("value").alias("answer_id"))
     scored = X.files_with_risk(t["files"], t["archive_entries"]).select("file_id", "local_score", "file_level")
-    return scored.join(last, "file_id", "left").select("file_id", F.col("last.answer_id").alias("answer_id"), "local_score", "file_level")
+    return scored.join(last.hint("merge"), "file_id", "left").select("file_id", "answer_id", "local_score", "file_level")
 
 
 @query("select file_id, place from (select file_id, cast(row_number() over (partition by size_bytes % 7 order by size_bytes desc, file_id) as integer) as place from files) where place <= 10")

@@ -212,6 +212,12 @@ def defang_text(t: Tables) -> DataFrame:
     return t["message_text"].select("message_id", L.defang(F.col("text")).alias("shown"))
 
 
+@query(f"select message_id, regexp_replace(text, {text(C.URL_PATTERN)}, '`\\0`', 'g') as shown from message_text")
+def defang_backticks(t: Tables) -> DataFrame:
+    return t["message_text"].select("message_id", L.defang(F.col("text"), plain=True).alias("shown"))
+
+
+
 AGE_SQL = "case when domain_age_days is null then 0 when domain_age_days < 30 then 35 when domain_age_days < 90 then 20 when domain_age_days < 365 then 10 else 0 end"
 CERT_SQL = "case when cert_age_days is null then 0 when cert_age_days < 7 then 20 when cert_age_days < 30 then 10 else 0 end"
 VT_SQL = "case when vt_malicious >= 5 then 50 when vt_malicious >= 2 then 40 when vt_malicious >= 1 then 25 when vt_suspicious >= 1 then 15 else 0 end"

@@ -75,6 +75,15 @@ def response_shape_score(t: Tables) -> DataFrame:
     return P.response_points(t["page_obs"]).select("page_id", F.col("shape_points").alias("points"))
 
 
+_TRACED = "select *, case when page_id % 29 = 0 then 'bad_tls' when page_id % 31 = 0 then 'timeout' end as trace_error from page_obs"
+
+
+@query(f"select page_id, cast(case when trace_error = 'bad_tls' then 30 when trace_error is not null then 15 else shape_points end as integer) as points from ({_MOVES.replace('from page_obs', f'from ({_TRACED})')})")
+def response_shape_full(t: Tables) -> DataFrame:
+    """With pages that could not be followed."""
+    return P.response_points(t.sql(_TRACED)).select("page_id", F.col("shape_points").alias("points"))
+
+
 _SHORT = """select page_id, url, case when page_id % 4 = 0 then 'https://amzn.to/x' when page_id % 4 = 1 then 'https://g.co/y' else url end as from_url,
   case when page_id % 3 = 0 then 'https://www.amazon.com/z' when page_id % 3 = 1 then 'https://ai.google/' else final_url end as final_url from page_obs"""
 
@@ -242,6 +251,24 @@ def dense_nearest(t: Tables) -> DataFrame:
     return V.dense_nearest(t["embeddings"], centroids)
 
 
+class LetterShares:
+    """A model for ``encode_dense``: how often each letter a-z occurs, by the text's length."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[x.count(c) / max(len(x), 1) for c in "abcdefghijklmnopqrstuvwxyz"] for x in texts]
+
+
+_SHARES = ", ".join(f"cast((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1) as float)" for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+@query(f"select message_id, len(e) as size, round(list_sum([cast(x as double) for x in e]), 5) as total, round(cast(e[5] as double), 5) as fifth from (select message_id, [{_SHARES}] as e from message_text)")
+def dense_encoder(t: Tables) -> DataFrame:
+    """Messages through an encoder that the caller brings."""
+    made = V.encode_dense(t["message_text"], "message_id", "text", LetterShares())
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return made.select("message_id", F.size("embedding").cast("bigint").alias("size"), F.round(total, 5).alias("total"), F.round(F.get("embedding", F.lit(4)).cast("double"), 5).alias("fifth"))
+
+
 _MINIMA = ", ".join(f"min((x * {a} + {b}) % {V.PRIME})" for a, b in map(V.affine, range(V.HASHES)))
 
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snarewatch.plans.links import EXPLODED_SQL, score_sql
 from snarewatch.plans.usage import SQL as USAGE_SQL
 from snarewatch.plans.usage import _CHECKS
-from snarewatch.sources.fixtures import Tables
+from snarewatch.sources.fixtures import Tables, shared_folder
 from snarewatch.streaming import streams as S
 
 QUERIES: dict = {}
@@ -28,15 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _shared(t: Tables) -> str:
-    """A folder that all executors see: the checkpoint folder's, or in local mode a temporary one."""
-    sc = t.spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if base is None and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-streams-')}/stream-{uuid.uuid4().hex}"
-
-
 #: Rows of a file, and so of a batch, where order matters.
 SLICE_ROWS = 1_000_000
 
@@ -64,7 +52,7 @@ def drain(t: Tables, rows: DataFrame, build, mode: str = "append", order: tuple
 
     With ``order`` each batch is one slice of the rows in that order.
     """
-    folder = _shared(t)
+    folder = shared_folder(t.spark)
     reader = t.spark.readStream.schema(rows.schema)
     if order:
         write_in_order(rows, f"{folder}/in", order)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snarewatch.functions import constants as C
+from snarewatch.operators import links as L
 from snarewatch.operators import usage as U
-from snarewatch.sources.fixtures import Tables
+from snarewatch.sources.fixtures import Tables, shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -107,6 +109,68 @@ def failure_streaks(t: Tables) -> DataFrame:
     return U.failure_streaks(t.sql(_CALLS))
 
 
+@query(f"""with i as (select *, sum(case when failed then 0 else 1 end) over (partition by service order by ts, event_id) as island from ({_CALLS}))
+  select event_id, service, epoch_us(ts) + 30000000 as until_us from (select *, row_number() over (partition by service, island order by ts, event_id) as nth from i where failed) where nth >= 3""")
+def outage_windows(t: Tables) -> DataFrame:
+    """Each further failure of a streak keeps the service out for thirty seconds more."""
+    calls = t.sql(_CALLS)
+    return U.outages(U.failure_streaks(calls), calls)
+
+
+_BRAND_CHECKS = "select c.link_id, c.check_id as id, c.ts from link_checks c where c.link_id in (select link_id from links where raw_url like 'https://www.facebook.com/%')"
+
+
+@query(f"""select link_id, id from ({_gap_sql(_CHECKS + " where link_id not in (select link_id from links where raw_url like 'https://www.facebook.com/%')", "link_id", 3600, ">")}) union all select link_id, id from ({_BRAND_CHECKS})""")
+def verdict_cache_full(t: Tables) -> DataFrame:
+    """Links of a brand are never cached: each of their checks computes a verdict."""
+    known = L.link_parts(t["links"]).where(F.col("reg_domain").isin(*C.BRANDS)).select("link_id", F.lit(True).alias("brand"))
+    checks = t.sql(_CHECKS).join(known.hint("merge"), "link_id", "left")
+    return U.kept_by_gap(checks.where("brand is null"), "link_id", 3600, strict=True).unionByName(checks.where("brand").select("link_id", "id"))
+
+
+@query("""with f as (select user_id, min(ts) as started from events group by user_id)
+  select user_id, arg_min(event_id, (ts, event_id)) as event_id from (select e.* from events e join f on f.user_id = e.user_id where epoch(e.ts)::bigint - epoch(f.started)::bigint >= 7 * 86400) group by user_id""")
+def trial_notice(t: Tables) -> DataFrame:
+    """One notice ever: the first event after the trial."""
+    return U.trial_notices(t["events"])
+
+
+_STEPS = """select request_id as event_id, user_id, ts, kind, case when request_id % 6 = 1 then 'refund' when request_id % 20 = 3 then 'charge' when trusted_shape then 'bypass' else 'use' end as step from usage_requests"""
+_LIMIT = "case kind when 'file' then 3 else 8 end"
+_USED = lambda s: f"case {s}.step when 'charge' then 1 when 'refund' then case when {{0}} > 0 then -1 else 0 end when 'use' then case when {{0}} < {_LIMIT.replace('kind', s + '.kind')} then 1 else 0 end else 0 end"
+_ADMITTED = lambda used: f"case step when 'use' then {used} < {_LIMIT} when 'bypass' then true end"
+
+
+@query(f"""with recursive r as (select *, row_number() over (partition by user_id, cast(ts as date), kind order by ts, event_id) as n, cast(ts as date) as day from ({_STEPS})),
+  g as (select r.*, 0 as before, {_USED('r').format('0')} as used from r where n = 1
+    union all select r.*, g.used, g.used + {_USED('r').format('g.used')} from g join r on r.user_id = g.user_id and r.day = g.day and r.kind = g.kind and r.n = g.n + 1)
+  select event_id, {_ADMITTED('before')} as admitted, cast(used as integer) as used from g""")
+def quota_refunds(t: Tables) -> DataFrame:
+    """Admission where slots come back and trusted shapes are charged later."""
+    return U.folded_quota(t.sql(_STEPS))
+
+
+@query("select link_id, max(struct_pack(ts := ts, check_id := check_id)).check_id as check_id from link_checks group by link_id")
+def upsert_snapshot(t: Tables) -> DataFrame:
+    """Three batches put into one written snapshot in turn, in any order of their times."""
+    folder, snapshot = shared_folder(t.spark), None
+    rows = t["link_checks"].select("link_id", "check_id", "ts")
+    for i in range(3):
+        U.upsert(snapshot, rows.where(F.pmod("check_id", F.lit(3)) == i), "link_id", ("ts", "check_id")).write.parquet(f"{folder}/{i}")
+        snapshot = t.spark.read.parquet(f"{folder}/{i}")
+    return snapshot.select("link_id", "check_id")
+
+
+@query(f"select link_id, cast(link_id % 4 as integer) as host_group, count(*) as n from link_checks group by 1, 2")
+def scan_log(t: Tables) -> DataFrame:
+    """Checks appended to a log by day in two batches, and what the log then holds of each link."""
+    path = f"{shared_folder(t.spark)}/log"
+    rows = t["link_checks"].select("link_id", "check_id", F.col("ts").alias("checked_at"))
+    for i in range(2):
+        U.append_scan_log(rows.where(F.pmod("check_id", F.lit(2)) == i), path)
+    return t.spark.read.parquet(path).groupBy("link_id", F.pmod("link_id", F.lit(4)).cast("int").alias("host_group")).agg(F.count("*").alias("n"))
+
+
 _TAGGED = r"""select event_id, string_split(line, ' ')[1] as stamp, regexp_extract(line, 'reason=(\S+)', 1) as reason, regexp_extract(line, 'size=(\S+)', 1) as size,
   regexp_extract(line, 'disguised=(\S+)', 1) = 'True' as disguised, not regexp_matches(line, '\[oversize-file\] reason=\S+ size=\S+ disguised=(True|False)$') as odd
   from log_lines where contains(line, '[oversize-file]')"""

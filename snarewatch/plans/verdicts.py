@@ -54,6 +54,18 @@ def link_verdict_full(t: Tables) -> DataFrame:
     return D.link_verdicts(t["links"], t["link_intel"], t["page_obs"], pages.page_near_dup_full(t), by_domain=True)
 
 
+_CACHED = "select *, link_id % 3 = 0 as vt_cached from link_intel"
+_ALIKE = f"select distinct link_id from ({_NEAREST})"
+LINK_WHOLE_SQL = LINK_FULL_SQL.replace("so_far > 0", "(so_far > 0 or link_id % 3 = 0)")
+
+
+@query(f"""select v.*, (v.level <> 'safe' and not v.confirmed and v.link_id not in ({_ALIKE})) or (coalesce(i.vt_unavailable, true) and v.level <> 'dangerous') as degraded
+  from ({LINK_WHOLE_SQL}) v left join link_intel i on i.link_id = v.link_id""")
+def link_verdict_degraded(t: Tables) -> DataFrame:
+    """With cached reputation, and whether evidence that could change the level was missing."""
+    return D.link_verdicts(t["links"], t.sql(_CACHED), t["page_obs"], pages.page_near_dup_full(t), by_domain=True, degraded=True)
+
+
 _MESSAGES = "select message_id, text, case when message_id % 4 = 0 then message_id % 1000 end as file_id from message_text"
 
 
@@ -242,6 +254,19 @@ def trusted_link_shortcut_full(t: Tables) -> DataFrame:
     return D.shortcuts(_full(t), t.sql(_DEAD)).where("rule = 'trusted_link'")
 
 
+_REASONS = f"""with e as ({FULL_SQL}), r as (select message_id, 1 as rank, 0 as position, 'keyword' as reason, cast(null as integer) as points from e where keyword
+    union all select message_id, 2, 0, 'script', cast(floor(similarity * 100) as integer) from e where similarity is not null
+    union all select message_id, 9, 0, 'file', file_pct from e where file_level in ('dangerous', 'suspicious', 'uncertain')
+    union all select mp // 100, 3, mp % 100, 'link', cast(score as integer) from ({FULL_LINKS_SQL}) where score >= 25)
+  select message_id, cast(row_number() over (partition by message_id order by rank, position) as integer) as place, reason, points from r"""
+
+
+@query(_REASONS)
+def verdict_reasons(t: Tables) -> DataFrame:
+    known = link_verdict_full(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
+    return D.reason_rows(_full(t), D.message_links(t.sql(_MESSAGES), t["hidden_links"], known))
+
+
 @query()
 def evidence_json_full(t: Tables) -> DataFrame:
     return D.evidence_json(_full(t))

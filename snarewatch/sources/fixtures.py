@@ -7,6 +7,8 @@ by row id. ``text_of`` hands the same text to the SQL that states a query.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +40,13 @@ select c.conv_id * 1000 + c.turn as message_id,
        case when (c.conv_id + c.turn) % 5 = 0
             then concat('Your account will be suspended in 24 hours unless you verify your information immediately. Ref ', cast(c.conv_id as string))
             when (c.conv_id + c.turn) % 5 = 1
-            then concat('ref', cast(c.conv_id as string), ' free bitcoin ', substr(c.text, 1, 60))
-            when (c.conv_id + c.turn) % 5 = 2 then ''
-            else substr(c.text, 1, 200) end as body,
+            then concat('ref', cast(c.conv_id as string), ' free bitcoin ', c.text)
+            when (c.conv_id + c.turn) % 50 = 2 then ''
+            else coalesce(c.text, '') end as body,
        case when (c.conv_id + c.turn) % 11 = 0 then concat('http//', replace(replace(coalesce(l.raw_url, ''), 'https://', ''), 'http://', ''))
             else coalesce(l.raw_url, '') end as link_text
-from conversations c
-left join links l on l.link_id = (c.conv_id * 7 + c.turn) % 60 and c.turn % 3 <> 2
+from (select t.*, n_links from conversations t cross join (select count(*) as n_links from pages)) c
+left join links l on l.link_id = (c.conv_id * 7 + c.turn) % c.n_links and c.turn % 3 <> 2
 """,
     "page_obs": """
 select page_id, url,
@@ -161,6 +163,15 @@ def text_of(sql: str) -> str:
     return f"{head}, {sql[own.end():]}" if own else f"{head} {sql}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below the checkpoint folder, or in local mode a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-shared-')}/run-{uuid.uuid4().hex}"
+
+
 class Tables:
     """Base tables and views of one input folder, as DataFrames."""
 
