@@ -41,12 +41,13 @@ select c.conv_id * 1000 + c.turn as message_id,
             then concat('Your account will be suspended in 24 hours unless you verify your information immediately. Ref ', cast(c.conv_id as string))
             when (c.conv_id + c.turn) % 5 = 1
             then concat('ref', cast(c.conv_id as string), ' free bitcoin ', c.text)
-            when (c.conv_id + c.turn) % 50 = 2 then ''
             else coalesce(c.text, '') end as body,
        case when (c.conv_id + c.turn) % 11 = 0 then concat('http//', replace(replace(coalesce(l.raw_url, ''), 'https://', ''), 'http://', ''))
             else coalesce(l.raw_url, '') end as link_text
 from (select t.*, n_links from conversations t cross join (select count(*) as n_links from pages)) c
 left join links l on l.link_id = (c.conv_id * 7 + c.turn) % c.n_links and c.turn % 3 <> 2
+union all
+select 999999999999 + link_id, link_id, '', raw_url from links
 """,
     "page_obs": """
 select page_id, url,
