@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of these characters parts two words: blank, tab, line feed, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bits of a filter that keeps rows nobody asked for out of a shuffle: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -53,10 +57,29 @@ def written(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def bit_filter(rows: DataFrame, at: Column) -> Broadcast:
+    """FILTER_BITS bits, sent to every task, of which those at ``at`` of all rows are set.
+
+    A fixed size, whatever the rows: what is in them passes the filter, what is not may.
+    """
+    parts = rows.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():
+        bits[(row.part - 1) * 4096 : row.part * 4096] = np.frombuffer(row.bits, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` are set."""
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names close to the wanted ones that no column of ``df`` has, case aside."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarewatch.llm.common import written
+from snarewatch.llm.common import FILTER_BITS, bit_filter, checkpoint, passes, written
 
 #: Tokens that a repeated block must have to be boilerplate.
 RUN = 4
@@ -320,7 +320,21 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     kept = pages.select("page_id", "url", host.alias("host"), "html")
     ddl = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
     streams = written(kept.mapInArrow(_streams, f"{ddl}, host string, blocks array<string>, places array<tinyint>, content bigint"))
-    # dealt anew, so that adaptive execution can split a content of many copies
-    runs = repeated_runs(streams).repartition(F.xxhash64("content"))
-    marked = streams.join(runs.hint("merge"), ["host", "content"], "left").select("page_id", "url", "blocks", "places", "starts")
-    return marked.mapInArrow(_unique_runs, f"{ddl}, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    found = checkpoint(repeated_runs(streams))
+    # only pages that may lose something meet their runs; the rest stay where they are
+    bit = F.pmod(F.xxhash64("host", "content"), F.lit(FILTER_BITS))
+    losing, columns = bit_filter(found, bit), ["page_id", "url", "blocks", "places"]
+    out = f"{ddl}, text string"
+
+    def pick(lose: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(passes(losing.value, batch.column(batch.num_columns - 1).to_numpy()) == lose))
+
+        return run
+
+    kept = streams.select(*columns, F.lit(None).cast("array<int>").alias("starts"), bit.alias("bit"))
+    kept = kept.mapInArrow(lambda batches: _unique_runs(pick(False)(batches)), out)
+    some = streams.select(*columns, "host", "content", bit.alias("bit")).mapInArrow(pick(True), f"{ddl}, blocks array<string>, places array<tinyint>, host string, content bigint, bit bigint")
+    some = some.hint("merge").join(found, ["host", "content"], "left").select(*columns, "starts").mapInArrow(_unique_runs, out)
+    return kept.unionByName(some).withColumn("n_chars", F.length("text").cast("bigint"))

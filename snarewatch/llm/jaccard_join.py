@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snarewatch.llm.common import checkpoint, connected_components, written
+from snarewatch.llm.common import FILTER_BITS, bit_filter, checkpoint, connected_components, passes, written
 
 #: Cells of the count sketch; 2 MB at the driver and 1 MB in each worker, whatever the corpus.
 CELLS = 1 << 18
@@ -44,8 +44,6 @@ ODD_BITS = 2048
 MANY = 64
 #: Classes of a block in which sketches are compared, pair by pair, in one task.
 BLOCK = 1024
-#: Bits of the filter that keeps texts nobody asked for out of a shuffle: 2 MB.
-ASKED_BITS = 1 << 24
 #: Words whose hash a task remembers, and sets whose digest it does.
 MEMO = 100_000
 #: Sets under one shingle, as estimated, from which on they are dealt out in parts.
@@ -214,7 +212,7 @@ def _pack(asked):
         bits, squeeze, seen = asked.value, zstandard.ZstdCompressor(level=3).compress, set()
         for batch in batches:
             bit = batch.column(3).to_numpy()
-            few = batch.take(pa.array(np.flatnonzero(bits[bit >> 3] >> (bit & 7) & 1)))
+            few = batch.take(pa.array(np.flatnonzero(passes(bits, bit))))
             keep = []
             for i, key in enumerate(zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True)):
                 if len(seen) >= MEMO:
@@ -264,14 +262,8 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, th
     dealt = pairs.join(many.hint("merge"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("of", F.lit(1))).alias("part"))
     dealt = dealt.unionByName(dealt.select("a", F.col("a").alias("b"), "part").distinct())
     asked = checkpoint(dealt.join(classes.select(F.col("node").alias("b"), "doc_id", "th").hint("merge"), "b"))
-    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(ASKED_BITS))
-    parts = asked.select((bit + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
-    )
-    bits = np.zeros(ASKED_BITS // 8, np.uint8)
-    for row in parts.collect():
-        bits[(row.part - 1) * 4096 : row.part * 4096] = np.frombuffer(row.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(FILTER_BITS))
+    shared = bit_filter(asked, bit)
     texts = docs.where("doc_id is not null").select("doc_id", "th", "text", bit.alias("bit")).mapInArrow(_pack(shared), "doc_id bigint, th bigint, packed binary")
     met = asked.hint("merge").join(texts, ["doc_id", "th"]).select("a", "part", "b", "packed", (F.col("a") != F.col("b")).alias("other"))
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", "other", "b").select("a", "b", "packed")
