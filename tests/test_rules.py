@@ -2,7 +2,9 @@
 
 import os
 import struct
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from snarewatch.functions import risk, urls
@@ -124,3 +126,30 @@ def test_a_brand_like_domain_needs_no_portal_phrase(spark):
     assert P.brand_spoof(pages).count() == 0
     lengths = spark.createDataFrame([("a" * 299,), ("a" * 300,)], "x string").select(P.long_enough(F.col("x")).alias("y")).collect()
     assert [r.y for r in lengths] == [False, True]
+
+
+@pytest.mark.parametrize("piece", ["<", "<script>", "<title>", "<input ", "<form action=", "</script>", "<style", ">"])
+def test_hostile_pages_take_linear_time(spark, piece):
+    pages = spark.createDataFrame([(1, piece * (200_000 // len(piece)))], "page_id bigint, html string")
+    start = time.perf_counter()
+    pages.select(P.page_text(F.col("html")), P.asks_password(F.col("html"))).collect()
+    P.form_actions(pages).collect()
+    assert time.perf_counter() - start < 10  # both queries with their planning; a quadratic scan takes minutes
+
+
+def test_page_text_of_odd_pages(spark):
+    cases = {
+        "<TITLE>a <b>x</b></title><p>one<Script>no</sCRIPT>two": "a x\na x one two", "<script>open <p>kept": "\nopen kept", "a <<b> c < d": "\na c < d",
+        "<style>x</style><style>y": "\ny", "<title>no end": "\nno end", "": "\n", "x>y": "\nx>y",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, html string").select("html", P.page_text(F.col("html")).alias("text"))
+    assert {r.html: r.text for r in rows.collect()} == cases
+
+
+def test_dense_encoder_and_centroids(spark):
+    texts = spark.createDataFrame([(1, "ab"), (2, None), (3, "b")], "vec_id bigint, text string")
+    made = V.encode_dense(texts, "vec_id", "text", lambda batch: [[t.count("a"), t.count("b")] for t in batch])
+    centroids = spark.createDataFrame([(7, [0.0, 2.0]), (8, [1.0, 0.0])], "centroid int, c array<double>")
+    got = {r.vec_id: (r.centroid, r.similarity, r.near) for r in V.dense_nearest(made, centroids).collect()}
+    assert got == {1: (7, 0.707107, False), 2: (7, 0.0, False), 3: (7, 1.0, True)}
+    assert V.dense_nearest(made, centroids.limit(0)).count() == 0
