@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from snarewatch.llm import bpe, common, jaccard_join, mixing, pii, quality_rules
 
+#: Keys of repeated rows up to which they are broadcast, some 5 MB.
+KNOWN = 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; labels of good documents fit the target model."""
@@ -42,11 +45,20 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def told_apart(docs: DataFrame, name: str) -> DataFrame:
-    """Add ``name``: id, text hash and occurrence number, so rows of one id or of none differ."""
-    same = F.xxhash64("text")
-    turn = Window.partitionBy("doc_id", same).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), same.cast("string"), F.row_number().over(turn).cast("string"))
-    return docs.withColumn(name, row)
+    """Add ``name``: id, text hash and occurrence number, so rows of one id or of none differ.
+
+    Only rows whose id and text occur again are shuffled to be numbered. Their keys, 16
+    bytes a document, are counted first; few of them are broadcast, many are joined.
+    """
+    key, more = common.fresh(docs, "key", "more")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64("text").cast("string")))
+    again = common.written(keyed.groupBy(key).count().where("count > 1").select(key, F.lit(True).alias(more)))
+    few = again.limit(KNOWN + 1).count() <= KNOWN
+    keyed = keyed.join(again.hint("broadcast" if few else "merge"), key, "left")
+    turn = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = keyed.where(F.col(more).isNull()).withColumn(name, F.concat(key, F.lit(":1")))
+    repeated = keyed.where(F.col(more).isNotNull()).withColumn(name, F.concat(key, F.lit(":"), F.row_number().over(turn).cast("string")))
+    return once.unionByName(repeated).select(*docs.columns, name)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
