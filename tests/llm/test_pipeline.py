@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -23,3 +24,17 @@ def test_mix_takes_each_row_as_its_plan_says(spark):
     got = corpus_pipeline.mix(spark, docs, "")
     assert got.columns == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     assert Counter(tuple(r) for r in got.collect()) == +want and sum(want.values()) > 0
+
+
+@pytest.mark.parametrize("known", [0, 100_000])
+def test_rows_are_told_apart_alike_by_broadcast_and_by_join(spark, monkeypatch, known):
+    monkeypatch.setattr(corpus_pipeline, "KNOWN", known)
+    rows = [(None, "a", 1), (None, "a", 1), (None, None, 2), (1, "a", 3), (1, "a", 4), (1, "b", 5), (2, None, 6), (2, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key int")
+    got = corpus_pipeline.told_apart(docs, "row")
+    assert got.columns == [*docs.columns, "row"]
+    found = got.collect()
+    assert Counter(tuple(r)[:3] for r in found) == Counter(rows) and len({r.row for r in found}) == len(rows)
+    turns = Counter((r.doc_id, r.text, r.row.rsplit(":", 1)[1]) for r in found)
+    assert turns[None, "a", "2"] == turns[1, "a", "2"] == 1 and turns[2, None, "1"] == turns[2, "", "1"] == 1
+    assert corpus_pipeline.told_apart(docs.limit(0), "row").count() == 0
