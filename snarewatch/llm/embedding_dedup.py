@@ -1,9 +1,11 @@
 """Embedding near-duplicates: random-hyperplane tables, exact cosines, components.
 
-Signs of random projections give each vector a bucket in every table. Vectors that
-share a bucket are compared exactly, block against block. Equal vectors are one
-class throughout. Nothing pair-sized leaves a task: a bucket sends on, per class, a
-count of the links that were first met in it and one edge of a spanning forest.
+Signs of random projections give each vector a bucket in every table. Only ids and a
+code of at most CODE signs go to every table: there, codes that differ too much for the
+threshold are sifted out, and vectors follow to the buckets where a partner is left.
+Those are compared exactly, block against block. Equal vectors are one class throughout.
+Nothing pair-sized leaves a task: a bucket sends on, per class, a count of the links
+that were first met in it and one edge of a spanning forest.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from snarewatch.llm.common import checkpoint, connected_components
 
 #: Chance that a pair exactly at the threshold shares no bucket.
 MISS = 1e-5
+#: Signs of a code, and the chance that the codes of a pair exactly at the threshold differ too much.
+CODE, CODE_MISS = 256, 1e-6
 #: Classes that a bucket of independent vectors is meant to hold.
 BUCKET = 64
 #: Rows of a block; a larger bucket is compared as pairs of blocks in tasks of their own.
@@ -33,6 +37,17 @@ def plan_tables(n: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
 
 
+def code_plan(bits: int, tables: int, threshold: float) -> tuple[int, int]:
+    """(tables, signs): whole tables that a code covers, signs in which a pair may differ."""
+    covered = max(1, min(tables, CODE // bits))
+    n, p = covered * bits, math.acos(threshold) / math.pi
+    beyond, most = 1.0, -1
+    while beyond > CODE_MISS and most < n:
+        most += 1
+        beyond -= math.comb(n, most) * p**most * (1 - p) ** (n - most)
+    return covered, most
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector has a direction: no null or non-finite part and not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -44,7 +59,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _signatures(bits: int, tables: int, seed: int):
+def _signatures(bits: int, tables: int, covered: int, seed: int):
     planes: dict[int, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +70,7 @@ def _signatures(bits: int, tables: int, seed: int):
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             keys = np.zeros((batch.num_rows, tables), np.int32)
+            codes = np.zeros((batch.num_rows, -(-covered * bits // 8)), np.uint8)
             for dim in np.unique(sizes):
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
@@ -62,9 +78,11 @@ def _signatures(bits: int, tables: int, seed: int):
                 rows = _unit(flat[starts[at][:, None] + np.arange(dim)])
                 signs = (rows @ planes[dim] > 0).reshape(len(at), tables, bits)
                 keys[at] = signs @ weights
+                codes[at] = np.packbits(signs[:, :covered].reshape(len(at), covered * bits), axis=1)
             offsets = pa.array(np.arange(0, keys.size + 1, tables), pa.int32())
             listed = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=[*batch.schema.names, "keys"])
+            packed = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed, packed], names=[*batch.schema.names, "keys", "code"])
 
     return run
 
@@ -82,46 +100,32 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _compare(threshold: float):
-    """Sorted bucket rows in; per class its first-met links and a forest edge out."""
-    names = ["id", "links", "other"]
+def _sides(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether a block meets itself, and the rows to hold against each other."""
+    column = lambda c: table.column(c).combine_chunks().to_numpy()
+    same = bool(column("block")[0] == column("with")[0])
+    left = np.arange(table.num_rows) if same else np.flatnonzero(column("side") == 0)
+    return same, left, left if same else np.flatnonzero(column("side") == 1)
 
-    def links(table: pa.Table) -> pa.RecordBatch | None:
-        if table.num_rows < 2:
-            return None
-        column = lambda c: table.column(c).combine_chunks()
-        one, two, side = (column(c).to_numpy() for c in ("block", "with", "side"))
-        ids, n = column("id").to_numpy(), column("n").to_numpy()
-        vectors = column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = _unit(vectors.reshape(table.num_rows, -1))
-        keys = column("keys").flatten().to_numpy().reshape(table.num_rows, -1)
-        number = int(column("table")[0].as_py())
-        same = one[0] == two[0]
-        left = np.arange(table.num_rows) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        found = []
-        for at in range(0, len(left), 512):
-            near = rows[left[at : at + 512]] @ rows[right].T >= threshold
-            a, b = np.nonzero(near)
-            a, b = left[at + a], right[b]
-            keep = a < b if same else np.ones(len(a), bool)
-            a, b = a[keep], b[keep]
-            for low in range(0, len(a), 100_000):  # links met in an earlier table count there
-                x, y = a[low : low + 100_000], b[low : low + 100_000]
-                first = ~(keys[x, :number] == keys[y, :number]).any(axis=1)
-                found.append((x[first], y[first]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
-        if not len(a):
-            return None
-        count = np.bincount(a, weights=n[b], minlength=len(ids)) + np.bincount(b, weights=n[a], minlength=len(ids))
-        root = _forest(len(ids), a, b)
-        hit = np.flatnonzero(count > 0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[hit]), pa.array(count[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=names
-        )
+
+def _first_met(keys: np.ndarray, number: int, rows: np.ndarray, least: float, sides: tuple[bool, np.ndarray, np.ndarray]):
+    """Positions (a, b) of products of ``least`` or more whose keys all differ before table ``number``."""
+    same, left, right = sides
+    for at in range(0, len(left), 512):
+        a, b = np.nonzero(rows[left[at : at + 512]] @ rows[right].T >= least)
+        a, b = left[at + a], right[b]
+        keep = a < b if same else np.ones(len(a), bool)
+        a, b = a[keep], b[keep]
+        for low in range(0, len(a), 100_000):
+            x, y = a[low : low + 100_000], b[low : low + 100_000]
+            first = ~(keys[x, :number] == keys[y, :number]).any(axis=1)
+            yield x[first], y[first]
+
+
+def _each_meeting(where: list[str], work):
+    """``work`` on each run of rows alike in ``where``, over the sorted batches of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = ["label", "dim", "table", "key", "block", "with"]
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -132,17 +136,63 @@ def _compare(threshold: float):
                     continue
                 mark = tuple(marks[low])
                 if held and mark != last:
-                    if (out := links(pa.Table.from_batches(held))) is not None:
+                    if (out := work(pa.Table.from_batches(held))) is not None:
                         yield out
                     held = []
                 held.append(batch.slice(low, high - low))
                 last = mark
-        if held and (out := links(pa.Table.from_batches(held))) is not None:
+        if held and (out := work(pa.Table.from_batches(held))) is not None:
             yield out
 
     return run
 
 
+def _sift(bits: int, covered: int, most: int):
+    """Which codes of a meeting have a partner that differs in ``most`` signs at most and was not met before."""
+
+    def near(table: pa.Table) -> pa.RecordBatch | None:
+        if table.num_rows < 2:
+            return None
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        signs = np.unpackbits(codes, axis=1, count=covered * bits)
+        keys = signs.reshape(-1, covered, bits) @ (1 << np.arange(bits, dtype=np.int64))
+        number = int(table.column("table").to_numpy().min())
+        hit = np.zeros(table.num_rows, bool)
+        # a product of signs is their number less twice the differing ones
+        for a, b in _first_met(keys, number, signs.astype(np.float32) * 2 - 1, covered * bits - 2 * most, _sides(table)):
+            hit[a] = hit[b] = True
+        if not hit.any():
+            return None
+        return pa.Table.to_batches(table.select(["id", "table", "block", "with", "side"]).filter(pa.array(hit)).combine_chunks())[0]
+
+    return _each_meeting(["place", "block", "with"], near)
+
+
+def _compare(threshold: float):
+    """Vectors that meet in; per class its first-met links and a forest edge out."""
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
+        if table.num_rows < 2:
+            return None
+        column = lambda c: table.column(c).combine_chunks()
+        ids, n = column("id").to_numpy(), column("n").to_numpy()
+        vectors = column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        rows = _unit(vectors.reshape(table.num_rows, -1))
+        keys = column("keys").flatten().to_numpy().reshape(table.num_rows, -1)
+        found = list(_first_met(keys, int(column("table")[0].as_py()), rows, threshold, _sides(table)))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+        if not len(a):
+            return None
+        count = np.bincount(a, weights=n[b], minlength=len(ids)) + np.bincount(b, weights=n[a], minlength=len(ids))
+        root = _forest(len(ids), a, b)
+        hit = np.flatnonzero(count > 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[hit]), pa.array(count[hit].astype(np.int64)), pa.array(ids[root[hit]])], names=["id", "links", "other"]
+        )
+
+    return _each_meeting(["label", "dim", "table", "key", "block", "with"], links)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, seed: int = 0) -> DataFrame:
     """Links of cosine ``threshold`` or more between vectors of one label.
 
@@ -171,7 +221,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, seed: int = 0)
     bits, tables = plan_tables(largest, threshold)
     kind = classes.schema["vector"].dataType.simpleString()
     rows = classes.select("id", "label", "n", F.size("vector").alias("dim"), "vector")
-    signed = checkpoint(rows.mapInArrow(_signatures(bits, tables, seed), f"id bigint, label bigint, n bigint, dim int, vector {kind}, keys array<int>"))
+    covered, most = code_plan(bits, tables, threshold)
+    sign = _signatures(bits, tables, covered, seed)
+    signed = checkpoint(rows.mapInArrow(sign, f"id bigint, label bigint, n bigint, dim int, vector {kind}, keys array<int>, code binary"))
 
     bucket = ["label", "dim", "table", "key"]
     narrow = signed.select("id", "label", "dim", F.posexplode("keys").alias("table", "key"))
@@ -181,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, seed: int = 0)
         .groupBy("id")
         .agg(F.map_from_entries(F.collect_list(F.struct("table", F.ceil(F.col("rows") / BLOCK).cast("int")))).alias("parts"))
     )
-    spread = signed.join(in_large.hint("merge"), "id", "left").select("*", F.posexplode("keys").alias("table", "key"))
+    coded = signed.select("id", "label", "dim", "keys", "code").join(in_large.hint("merge"), "id", "left")
     parts = F.coalesce(F.element_at("parts", F.col("table")), F.lit(1))
     mine = F.pmod(F.xxhash64("id"), F.col("of")).cast("int")
     # each block meets itself and every other block once: side 0 is the lower block
@@ -192,12 +244,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, seed: int = 0)
         ),
     )
     spread = (
-        spread.withColumn("of", parts).withColumn("mine", mine)
-        .select("id", "label", "n", "dim", "vector", "keys", "table", "key", F.explode(meets).alias("meet"))
-        .select("*", "meet.block", "meet.with", "meet.side").drop("meet")
+        coded.select("*", F.posexplode("keys").alias("table", "key")).withColumn("of", parts).withColumn("mine", mine)
+        .select(F.xxhash64(*bucket).alias("place"), "id", "code", "table", F.explode(meets).alias("meet"))
+        .select("place", "id", "code", "table", "meet.*")
     )
+    place = ["place", "block", "with"]
+    wanted = spread.repartition(*place).sortWithinPartitions(*place)
+    wanted = wanted.mapInArrow(_sift(bits, covered, most), "id bigint, table int, block int, with int, side int")
     place = [*bucket, "block", "with"]
-    met = spread.repartition(*place).sortWithinPartitions(*place).mapInArrow(_compare(threshold), "id bigint, links bigint, other bigint")
+    sent = (
+        wanted.join(signed.drop("code").hint("merge"), "id")
+        .withColumn("key", F.element_at("keys", F.col("table") + 1))
+    )
+    met = sent.repartition(*place).sortWithinPartitions(*place).mapInArrow(_compare(threshold), "id bigint, links bigint, other bigint")
     met = checkpoint(met)
 
     joined = connected_components(met.select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -164,6 +164,30 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_links(rows, 0.93)
 
 
+def test_embedding_links_just_above_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1500):
+        a = rng.standard_normal(64)
+        b = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b *= np.sqrt(1 - 0.9301**2) / np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), 0), (2 * i + 1, (0.9301 * a + b).tolist(), 0)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = embedding_dedup.near_duplicates(table).where("n_links > 0 and component_id = vec_id - vec_id % 2").count()
+    assert found == len(rows)
+
+
+@pytest.mark.parametrize(("bits", "tables"), [(4, 13), (7, 22), (18, 109), (30, 525)])
+def test_codes_of_linked_vectors_seldom_differ_too_much(bits, tables):
+    covered, most = embedding_dedup.code_plan(bits, tables, 0.93)
+    n = covered * bits
+    assert covered <= tables and n <= max(bits, embedding_dedup.CODE) and most < n
+    signs = np.random.default_rng(1).random((100_000, n)) < np.arccos(0.93) / np.pi
+    assert (signs.sum(axis=1) > most).sum() <= 3
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
