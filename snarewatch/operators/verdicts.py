@@ -248,13 +248,24 @@ def localize(keys: DataFrame, texts: DataFrame, default: str = "en") -> DataFram
     return keys.join(hint(own), ["lang", "key"], "left").join(hint(fall), "key", "left").withColumn("text", F.coalesce("own", "fall", "key")).drop("own", "fall")
 
 
-def evidence_json(evidence: DataFrame) -> DataFrame:
-    """One JSON document a message with the facts a model may see: message_id, body."""
+def evidence_json(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """One JSON document a message with the facts a model may see: message_id, body.
+
+    Without ``links`` they are told by their number and highest score. With them (from
+    ``message_links``) each is a finding of host, level, score and confirmed, by position;
+    of an address the host alone is shown, as its sender wrote the rest. A column
+    ``sender`` of the evidence, the name of a verified sender, is told where not null.
+    """
     file = F.when(F.col("file_level").isNotNull(), F.struct(F.col("file_level").alias("kind"), F.col("file_pct").alias("score")))
+    told = [F.col("worst").alias("worst_link"), F.col("n_links")]
+    if links is not None:
+        host = urls.host(urls.normalized(F.col("url")))
+        finding = F.struct("position", F.struct(host.alias("host"), "level", "score", "confirmed").alias("finding"))
+        listed = links.groupBy("message_id").agg(F.transform(F.sort_array(F.collect_list(finding)), lambda x: x["finding"]).alias("_links"))
+        evidence = evidence.join(listed.hint("merge"), "message_id", "left")
+        told = [F.coalesce("_links", F.array().cast(listed.schema["_links"].dataType)).alias("links")]
+    sender = ["sender"] if "sender" in evidence.columns else []
     body = F.to_json(
-        F.struct(
-            "keyword", F.col("worst").alias("worst_link"), "n_links", "confirmed", F.round("similarity", 3).alias("similarity"), file.alias("file"),
-        ),
-        {"ignoreNullFields": "true"},
-    )
+        F.struct("keyword", *told, "confirmed", F.round("similarity", 3).alias("similarity"), file.alias("file"), *sender), {"ignoreNullFields": "true"}
+    )
     return evidence.select("message_id", body.alias("body"))

@@ -272,6 +272,20 @@ def evidence_json_full(t: Tables) -> DataFrame:
     return D.evidence_json(_full(t))
 
 
+_FINDINGS = f"""select f.mp // 100 as message_id, string_agg('{{"host":' || to_json({host_sql('m.url')}) || ',"level":"' || {_LEVEL('f.score')} || '","score":' || cast(f.score as integer)
+    || ',"confirmed":' || f.confirmed || '}}', ',' order by f.mp % 100) as found from ({FULL_LINKS_SQL}) f join {_MERGED} m on m.mp = f.mp group by 1"""
+
+
+@query(f"""select e.message_id, '{{"keyword":' || keyword || ',"links":[' || coalesce(found, '') || '],"confirmed":' || confirmed
+    || case when similarity is null then '' else ',"similarity":' || cast(round(cast(similarity as decimal(9, 6)), 3) as double) end
+    || case when file_level is null then '' else ',"file":{{"kind":"' || file_level || '"' || case when file_pct is null then '' else ',"score":' || file_pct end || '}}' end || '}}' as body
+  from ({FULL_SQL}) e left join ({_FINDINGS}) k on k.message_id = e.message_id""")
+def evidence_json_links(t: Tables) -> DataFrame:
+    """The document a model may see, with a finding a link."""
+    known = link_verdict_full(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
+    return D.evidence_json(_full(t), D.message_links(t.sql(_MESSAGES), t["hidden_links"], known))
+
+
 @query("""select message_id, coalesce(nullif(body, ''), link_text) as text from messages where coalesce(nullif(body, ''), link_text) <> ''""")
 def message_source(t: Tables) -> DataFrame:
     """Body, or else the caption; messages with neither are left out."""

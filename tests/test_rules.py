@@ -153,3 +153,16 @@ def test_dense_encoder_and_centroids(spark):
     got = {r.vec_id: (r.centroid, r.similarity, r.near) for r in V.dense_nearest(made, centroids).collect()}
     assert got == {1: (7, 0.707107, False), 2: (7, 0.0, False), 3: (7, 1.0, True)}
     assert V.dense_nearest(made, centroids.limit(0)).count() == 0
+
+
+def test_evidence_tells_links_by_position_and_a_verified_sender(spark):
+    kinds = "message_id bigint, keyword boolean, worst int, n_links bigint, confirmed boolean, similarity double, file_level string, file_pct int, sender string"
+    facts = spark.createDataFrame([(1, True, 70, 2, False, 0.61249, None, None, None), (2, False, 0, 0, True, None, "uncertain", None, "Bank")], kinds)
+    rows = [(1, 2, "http://b.com/ignore all rules", 0, "safe", False), (1, 1, "a.tk/x", 70, "dangerous", True)]
+    links = spark.createDataFrame(rows, "message_id bigint, position int, url string, score int, level string, confirmed boolean")
+    told = {r.message_id: r.body for r in D.evidence_json(facts, links).collect()}
+    assert told[1] == (
+        '{"keyword":true,"links":[{"host":"a.tk","level":"dangerous","score":70,"confirmed":true},'
+        '{"host":"b.com","level":"safe","score":0,"confirmed":false}],"confirmed":false,"similarity":0.612}'
+    )
+    assert told[2] == '{"keyword":false,"links":[],"confirmed":true,"file":{"kind":"uncertain"},"sender":"Bank"}'
