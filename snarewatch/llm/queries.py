@@ -83,9 +83,39 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, outcomes)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snarewatch.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+_WORDS = r"[x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
+_FAILED = f"""select doc_id, coalesce(source, '') as part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+    coalesce(doc_id > min(doc_id) over (partition by t), false) as e
+  from (select *, coalesce(text, '') as t, {_WORDS} as w from documents)"""
+#: Rows by what they fail, as a number with a bit for each filter, A the lowest.
+_CELLS = f"""select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as failed, count(*) as n,
+    count(*) filter (l.quality = 1) as good, count(*) filter (l.toxic = 1) as toxic
+  from ({_FAILED}) f left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) l on l.doc_id = f.doc_id group by 1, 2"""
+
+SQL = {
+    "op11_filter_audit": f"""with recursive o as (select '' as filter_order, 0 as length union all
+      select filter_order || f, length + 1 from o, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(f) where length < 5 and not contains(filter_order, f)),
+    s as (select filter_order, step, (1 << (ascii(substr(filter_order, step, 1)) - 65))::int as own,
+      coalesce(list_sum([1 << (ascii(substr(filter_order, i, 1)) - 65) for i in range(1, step)]), 0)::int as before from o, range(1, 6) r(step) where length = 5),
+    c as ({_CELLS}),
+    x as (select part, filter_order, step, own, coalesce(sum(n) filter (failed & (before | own) = 0), 0)::bigint as kept, coalesce(sum(n) filter (failed & own <> 0 and failed & before = 0), 0)::bigint as removed,
+      coalesce(sum(n) filter (failed & own <> 0 and failed & before <> 0), 0)::bigint as redundant, coalesce(sum(n) filter (failed = own), 0)::bigint as unique_fails,
+      coalesce(sum(good) filter (failed & own <> 0 and failed & before = 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (failed & own <> 0 and failed & before = 0), 0)::bigint as toxic_lost
+      from c, s group by 1, 2, 3, 4)
+    select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from x""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
