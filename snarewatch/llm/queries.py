@@ -89,6 +89,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snarewatch.llm.source_divergence import divergences
+
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -114,6 +120,22 @@ SQL = {
       coalesce(sum(good) filter (failed & own <> 0 and failed & before = 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (failed & own <> 0 and failed & before = 0), 0)::bigint as toxic_lost
       from c, s group by 1, 2, 3, 4)
     select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from x""",
+    "op13_source_divergence": r"""with d as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+    w as (select id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+    k as (select lang, term from w group by 1, 2 having count(distinct id) >= 10),
+    g as (select distinct lang, source from d),
+    v as (select g.lang, count(k.term) as v from (select distinct lang from g) g left join k on k.lang = g.lang group by 1),
+    c as (select w.lang, w.source, w.term, count(*) as n from w join k on k.lang = w.lang and k.term = w.term group by 1, 2, 3),
+    s as (select g.lang, g.source, v, coalesce(sum(n), 0)::bigint as total from g join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source group by 1, 2, 3),
+    f as (select s.lang, s.source, k.term, coalesce(n, 0) as n, 1 + 1000000000 * (coalesce(n, 0) + 2) // (total + 2 * v) as p
+      from s join k on k.lang = s.lang left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+    l as (select f.lang, term, 1 + 1000000000 * (sum(n)::bigint + 2) // (any_value(t.total) + 2 * any_value(t.v)) as q
+      from f join (select lang, v, sum(total)::bigint as total from s group by 1, 2) t on t.lang = f.lang group by 1, 2),
+    p as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value from f a join f b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by 1, 2, 3),
+    r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on b.lang = a.lang and b.source <> a.source left join p on p.lang = a.lang and p.source = a.source and p.item = b.source
+      union all select f.lang, f.source, 'term', f.term, (p - q) * (p - q) // (p + q) from f join l on l.lang = f.lang and l.term = f.term where n > 0 and p > q),
+    n as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from r)
+    select lang, source, part, item, value, rank from n where part = 'pair' or rank <= 10""",
 }
 
 

@@ -5,7 +5,7 @@ import itertools
 import duckdb
 import pytest
 
-from snarewatch.llm import common, filter_audit, queries
+from snarewatch.llm import filter_audit, queries, source_divergence
 from snarewatch.llm.common import ensure_checkpoint_dir
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,3 +86,53 @@ def test_every_order_of_filters_is_counted(spark):
     assert filter_audit.audit(docs.limit(0), labels).count() == 0
     clean = filter_audit.audit(docs.where("doc_id = 5"), labels.limit(0)).collect()
     assert len(clean) == 600 and {(r.kept, r.removed, r.shapley) for r in clean} == {(1, 0, 0)}
+
+
+# --- source divergence
+
+
+def diverging(rows, least_docs):
+    """Rows of ``divergences`` in plain Python, with a dense table of terms and sources."""
+    import re
+    from collections import Counter, defaultdict
+
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), set()
+    for text, lang, source in rows:
+        found = [t.translate(fold) for t in re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        groups.add((lang or "", source or ""))
+        counts[lang or "", source or ""].update(found)
+        docs[lang or ""].update(set(found))
+    want = set()
+    for lang in {g[0] for g in groups}:
+        kept = sorted(t for t, n in docs[lang].items() if n >= least_docs)
+        sources = sorted(s for g, s in groups if g == lang)
+        own = {s: [counts[lang, s][t] for t in kept] for s in sources}
+        whole = [sum(own[s][i] for s in sources) for i in range(len(kept))]
+        p = lambda ns: [1 + 1_000_000_000 * (n + 2) // (sum(ns) + 2 * len(kept)) for n in ns]
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(-sum(map(f, p(own[s]), p(own[o]))), o.encode(), o) for o in sources if o != s]
+            want |= {(lang, s, "pair", o, -v, i + 1) for i, (v, _, o) in enumerate(sorted(pairs))}
+            marks = [(-f(a, b), t.encode(), t) for a, b, n, t in zip(p(own[s]), p(whole), own[s], kept) if n > 0 and a > b]
+            want |= {(lang, s, "term", t, -v, i + 1) for i, (v, _, t) in enumerate(sorted(marks)[:10])}
+    return want
+
+
+@pytest.mark.parametrize("most,pairs", [(400_000, 1_000_000), (3, 1)])
+def test_divergences_equal_a_dense_table(spark, monkeypatch, most, pairs):
+    ensure_checkpoint_dir(spark)
+    monkeypatch.setattr(source_divergence, "PAIRS", pairs)
+    monkeypatch.setattr(source_divergence.shared_terms, "__defaults__", (pairs,))
+    monkeypatch.setattr(source_divergence, "FEW_GROUPS", most)
+    rows = [("Alpha beta BETA gamma", "en", "a"), ("alpha beta\x00beta delta9delta", "en", "b"), ("alpha ខ្មែរ ខ្មែរ beta", "en", "c"), ("ÄB äb äB beta", "en", None), (None, "en", "empty"), (None, None, None), ("one two", None, "x"), ("one one", "", "y")]
+    rows += [("alpha beta gamma gamma epsilon", "en", "a")] * 5 + [("zeta " * 500 + "beta", "en", "b")] * 4 + [("lonely", "de", "a"), ("words", "de", "b"), ("", "fr", "a")] + [(f"t{i} u{i % 3} tie{'ab'[i % 2]}", "en", f"s{i % 4}") for i in range(20)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "text string, lang string, source string, term string, n int").repartition(3)
+    got = [tuple(r) for r in source_divergence.divergences(docs, least_docs=2, most=most).collect()]
+    assert len(got) == len(set(got)) and set(got) == diverging(rows, 2)
+    assert source_divergence.divergences(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_between_terms():
+    text = ("word " * 50 + "a" * 100 + ",B2c").encode()
+    assert list(source_divergence.terms_of(text, 7)) == list(source_divergence.terms_of(text)) == [b"word"] * 50 + [b"a" * 100, b"b", b"c"]
