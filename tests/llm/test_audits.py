@@ -3,9 +3,11 @@
 import itertools
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from snarewatch.llm import filter_audit, queries, source_divergence
+from snarewatch.llm import ann_search, filter_audit, queries, source_divergence
 from snarewatch.llm.common import ensure_checkpoint_dir
 
 SMALL = "/root/testdata/sf0.001"
@@ -136,3 +138,51 @@ def test_divergences_equal_a_dense_table(spark, monkeypatch, most, pairs):
 def test_long_texts_are_cut_between_terms():
     text = ("word " * 50 + "a" * 100 + ",B2c").encode()
     assert list(source_divergence.terms_of(text, 7)) == list(source_divergence.terms_of(text)) == [b"word"] * 50 + [b"a" * 100, b"b", b"c"]
+
+
+# --- nearest neighbours
+
+
+def nearest_of(rows, k):
+    """Exact answers: (query_id, rank, vec_id, score) for rows whose id is divisible by 100."""
+    usable = [(i, v, np.array(e, float)) for i, (v, e) in enumerate(rows) if v is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    out = []
+    for i, query, a in usable:
+        if query % 100 == 0:
+            far = sorted((float(np.sqrt(((b - a) ** 2).sum())), v) for j, v, b in usable if i != j and len(a) == len(b))
+            out += [(query, n + 1, v, d) for n, (d, v) in enumerate(far[:k])]
+    return out
+
+
+def recall(got, want):
+    """Share of wanted neighbours found, by distance, so that ties count alike."""
+    by = {}
+    for q, _, _, d in got:
+        by.setdefault(q, []).append(d)
+    return sum(d <= max(by.get(q, [-1.0])) for q, _, _, d in want) / len(want)
+
+
+def test_every_neighbour_of_a_table_is_found(spark):
+    ensure_checkpoint_dir(spark)
+    folder = "/root/testdata/sf0.01"
+    got = [tuple(r) for r in queries.op12_nearest_neighbours(spark, folder).select("query_id", "rank", "vec_id", "score").collect()]
+    want = nearest_of([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()], 10)
+    assert len(got) == len(want) and recall(got, want) >= 0.99
+    truth = {(q, v): d for q, _, v, d in nearest_of([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()], 10**6)}
+    assert all(truth[q, v] == d for q, _, v, d in got)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 100])
+def test_odd_vectors_ties_and_few_rows(spark, monkeypatch, block):
+    ensure_checkpoint_dir(spark)
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal((60, 4))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(near, 1)] + [(100 * i, [float(x) for x in v]) for i, v in enumerate(near[:3], 1)]
+    rows += [(1000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(30)] + [(1100, [1.0, 2.0, 3.0, 4.0])] * 2
+    rows += [(400, [5.0, 5.0]), (7, [5.0, 6.0]), (500, None), (8, []), (600, [0.0] * 4), (700, [float("nan"), 1.0, 1.0, 1.0]), (800, [1.0, None, 1.0, 1.0]), (900, [float("inf"), 1.0, 1.0, 1.0]), (None, [1.0] * 4), (1200, [9.0])]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id bigint, embedding array<double>, length int, block int").repartition(3)
+    got = ann_search.nearest(docs, F.col("vec_id") % 100 == 0, k=5, block=block).collect()
+    want = nearest_of(rows, 5)
+    assert sorted((r.query_id, r.rank, r.vec_id, f"{r.score:.9g}") for r in got) == sorted((q, n, v, f"{d:.9g}") for q, n, v, d in want)
+    assert ann_search.nearest(docs.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    assert ann_search.nearest(docs.where("vec_id = 7"), F.col("vec_id") % 100 == 0).count() == 0
