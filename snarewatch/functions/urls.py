@@ -92,10 +92,3 @@ def brand_hit(host: Column, reg: Column) -> Column:
     first = F.get(F.filter(hits, lambda h: h["rule"].isNotNull()), F.lit(0))
     scored = lambda h: F.when(h.isNotNull(), F.struct(F.when(h["rule"] == "leet", 50).otherwise(45).alias("points"), h["brand"].alias("brand"), h["rule"].alias("rule")))
     return F.when(~reg.isin(*C.BRANDS), let(first, scored))
-
-
-def found_urls(text: Column) -> Column:
-    """Addresses in a text, closing marks cut off, first of each spelling kept."""
-    raw = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(C.URL_PATTERN), F.lit(0)), lambda u: F.regexp_replace(u, C.URL_TAIL, ""))
-    low = F.transform(raw, lambda u: F.lower(u))
-    return F.filter(raw, lambda u, i: F.array_position(low, F.lower(u)) == i + 1)

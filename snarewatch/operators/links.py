@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snarewatch.functions import constants as C
-from snarewatch.functions import risk, urls
+from snarewatch.functions import addresses, risk, urls
 
 
 def explode_links(messages: DataFrame) -> DataFrame:
     """One row per address in a message: message_id, position (from 1), url."""
-    found = messages.select("message_id", F.posexplode(urls.found_urls(F.col("text"))).alias("i", "url"))
+    found = messages.select("message_id", F.posexplode(addresses.found_urls(F.col("text"))).alias("i", "url"))
     return found.select("message_id", (F.col("i") + 1).alias("position"), "url")
 
 
@@ -100,7 +100,7 @@ def lexical_score(links: DataFrame, raw: str = "raw_url") -> DataFrame:
 
 def anchor_mismatch(links: DataFrame) -> DataFrame:
     """Add shown (domain that the display text names) and mismatch_points (55 or 0)."""
-    shown = urls.host(urls.normalized(F.get(urls.found_urls(F.col("display_text")), F.lit(0))))
+    shown = urls.host(urls.normalized(F.get(addresses.found_urls(F.col("display_text")), F.lit(0))))
     real = urls.registered_domain(urls.host(urls.normalized(F.col("raw_url"))))
     return links.withColumn("shown", urls.registered_domain(shown)).withColumn(
         "mismatch_points", F.when(F.col("shown").isNotNull() & (F.col("shown") != "") & (F.col("shown") != real), 55).otherwise(0)
@@ -110,24 +110,24 @@ def anchor_mismatch(links: DataFrame) -> DataFrame:
 def malformed_links(messages: DataFrame) -> DataFrame:
     """Every link of a message whose text has ``http//`` or ``https//``: +15 each."""
     flagged = messages.withColumn("malformed", F.lower("text").rlike(r"\bhttps?//"))
-    found = flagged.select("message_id", "malformed", F.posexplode(urls.found_urls(F.col("text"))).alias("i", "url"))
+    found = flagged.select("message_id", "malformed", F.posexplode(addresses.found_urls(F.col("text"))).alias("i", "url"))
     return found.select("message_id", (F.col("i") + 1).alias("position"), "url", F.when(F.col("malformed"), 15).otherwise(0).alias("points"))
 
 
 def _leftover(text: Column) -> Column:
     """The text without addresses, their bare hosts and dotted words."""
-    return F.regexp_replace(F.regexp_replace(text, C.URL_PATTERN, " "), r"[^\s]+\.[^\s]+", " ")
+    return F.regexp_replace(addresses.replaced(text, " ", "", shown=False), r"[^\s]+\.[^\s]+", " ")
 
 
 def only_links(messages: DataFrame) -> DataFrame:
     """Add links_only: an address is present and no word character remains without them."""
-    has = F.size(urls.found_urls(F.col("text"))) > 0
+    has = F.size(addresses.found_urls(F.col("text"))) > 0
     return messages.withColumn("links_only", has & ~_leftover(F.col("text")).rlike(r"[\p{L}\p{N}_]"))
 
 
 def bare_trusted_links(messages: DataFrame) -> DataFrame:
     """Messages that are one address of a listed brand and nothing else."""
-    one = only_links(messages).withColumn("found", urls.found_urls(F.col("text"))).where("links_only and size(found) = 1")
+    one = only_links(messages).withColumn("found", addresses.found_urls(F.col("text"))).where("links_only and size(found) = 1")
     one = one.withColumn("reg_domain", urls.registered_domain(urls.host(urls.normalized(F.get("found", F.lit(0))))))
     return one.where(F.col("reg_domain").isin(*C.BRANDS)).select("message_id", F.get("found", F.lit(0)).alias("url"), "reg_domain")
 
@@ -169,7 +169,7 @@ def url_identifier(url: Column) -> Column:
 
 def defang(text: Column, plain: bool = False) -> Column:
     """The text with each address as code: in an element, or with ``plain`` in backticks."""
-    return F.regexp_replace(text, C.URL_PATTERN, "`$0`" if plain else "<code>$0</code>")
+    return addresses.replaced(text, *("`", "`") if plain else ("<code>", "</code>"))
 
 
 def domain_age_points(days: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snarewatch.functions import addresses as A
 from snarewatch.functions import constants as C
 from snarewatch.functions import risk, urls
 from snarewatch.operators import links as L
@@ -102,7 +103,38 @@ def score_sql(table: str = "links", raw: str = "raw_url", keep: str = "link_id")
       case when score >= 60 then 'dangerous' when score >= 25 then 'suspicious' else 'safe' end as level from s"""
 
 
-_URLS = f"[regexp_replace(u, {text(C.URL_TAIL)}, '') for u in regexp_extract_all(coalesce(text, ''), {text(C.URL_PATTERN)})]"
+def _is_host(s: str) -> str:
+    host = f"string_split(regexp_replace({s}, ':[0-9]+$', ''), '@')[-1]"
+    labels = f"string_split({host}, '.')"
+    return f"""(len({labels}) > 1 and not list_contains({labels}, '') and regexp_full_match({host}, '[a-zA-Z0-9.-]+')
+      and (regexp_full_match({labels}[-1], '[a-zA-Z]+') and length({labels}[-1]) between 2 and {A.LAST_MOST} or len({labels}) = 4 and regexp_full_match({host}, '[0-9.]+')))"""
+
+
+def pieces_sql(x: str) -> str:
+    """List of the pieces of a text between blanks and brackets: {piece, parts (cut at slashes), host (number of the part
+    that is one, 0 if none), start (number of the part where the address begins)}."""
+    cut = f"[{{'piece': c, 'parts': string_split(c, '/')}} for c in string_split_regex(coalesce({x}, ''), '[\\s<>()]+')]"
+    hosted = f"[{{'piece': p.piece, 'parts': p.parts, 'host': case when contains(p.piece, '.') then coalesce(list_position([{_is_host('s')} for s in p.parts], true), 0) else 0 end}} for p in {cut}]"
+    scheme = "p.host > 2 and p.parts[p.host - 1] = '' and lower(p.parts[p.host - 2]) in ('http:', 'https:')"
+    return f"[{{'piece': p.piece, 'parts': p.parts, 'host': p.host, 'start': p.host - case when {scheme} then 2 else 0 end}} for p in {hosted}]"
+
+
+def raw_urls_sql(x: str) -> str:
+    return f"[array_to_string(p.parts[p.start:], '/') for p in {pieces_sql(x)} if p.host > 0]"
+
+
+def urls_sql(x: str) -> str:
+    """List of the addresses in a text, without their closing marks."""
+    return f"[rtrim(u, {text(A.CLOSING)}) for u in {raw_urls_sql(x)}]"
+
+
+def marked_sql(x: str, before: str, after: str) -> str:
+    """A text of one address at most, with that between two marks."""
+    first = f"({raw_urls_sql(x)})[1]"
+    return f"coalesce(replace({x}, {first}, '{before}' || {first} || '{after}'), {x})"
+
+
+_URLS = urls_sql("text")
 EXPLODED_SQL = f"""select message_id, text, position, url from (
     select message_id, text, generate_subscripts(l, 1) as i, unnest(l) as url, l from (select message_id, text, {_URLS} as l from message_text))
     , lateral (select list_position([lower(x) for x in l], lower(url)) as first), lateral (select len(list_distinct([lower(x) for x in l[1:i]])) as position)
@@ -169,14 +201,14 @@ def lexical_score(t: Tables) -> DataFrame:
     return L.lexical_score(t["links"]).select("link_id", "host", "reg_domain", "score", "level")
 
 
-@query(f"""with x as (select link_id, regexp_replace(regexp_extract(display_text, {text(C.URL_PATTERN)}), {text(C.URL_TAIL)}, '') as u, {reg_sql(host_sql('raw_url'))} as real from links),
+@query(f"""with x as (select link_id, coalesce(({urls_sql('display_text')})[1], '') as u, {reg_sql(host_sql('raw_url'))} as real from links),
   y as (select link_id, real, case when u <> '' then {reg_sql(host_sql('u'))} end as shown from x)
   select link_id, shown, cast(case when shown is not null and shown <> '' and shown <> real then 55 else 0 end as integer) as mismatch_points from y""")
 def anchor_mismatch(t: Tables) -> DataFrame:
     return L.anchor_mismatch(t["links"]).select("link_id", "shown", "mismatch_points")
 
 
-_LEFT = f"regexp_replace(regexp_replace(text, {text(C.URL_PATTERN)}, ' ', 'g'), '[^\\s]+\\.[^\\s]+', ' ', 'g')"
+_LEFT = f"regexp_replace(array_to_string([case when p.host > 0 then array_to_string(p.parts[1:p.start - 1], '/') else p.piece end for p in {pieces_sql('text')}], ' '), '[^\\s]+\\.[^\\s]+', ' ', 'g')"
 ONLY_SQL = f"select message_id, text, {_URLS} as l, len({_URLS}) > 0 and not regexp_matches({_LEFT}, '[\\p{{L}}\\p{{N}}_]') as links_only from message_text"
 
 
@@ -207,12 +239,12 @@ def url_identifier(t: Tables) -> DataFrame:
     return t["links"].select("link_id", L.url_identifier(F.col("raw_url")).alias("identifier"))
 
 
-@query(f"select message_id, regexp_replace(text, {text(C.URL_PATTERN)}, '<code>\\0</code>', 'g') as shown from message_text")
+@query(f"select message_id, {marked_sql('text', '<code>', '</code>')} as shown from message_text")
 def defang_text(t: Tables) -> DataFrame:
     return t["message_text"].select("message_id", L.defang(F.col("text")).alias("shown"))
 
 
-@query(f"select message_id, regexp_replace(text, {text(C.URL_PATTERN)}, '`\\0`', 'g') as shown from message_text")
+@query(f"select message_id, {marked_sql('text', '`', '`')} as shown from message_text")
 def defang_backticks(t: Tables) -> DataFrame:
     return t["message_text"].select("message_id", L.defang(F.col("text"), plain=True).alias("shown"))
 

@@ -10,7 +10,7 @@ from snarewatch.functions import risk
 from snarewatch.operators import files as X
 from snarewatch.operators import verdicts as D
 from snarewatch.plans import files, links, pages
-from snarewatch.plans.links import host_sql, names, reg_sql, score_sql, text
+from snarewatch.plans.links import host_sql, names, reg_sql, score_sql, urls_sql
 from snarewatch.sources.fixtures import Tables
 
 QUERIES: dict = {}
@@ -197,7 +197,7 @@ def evidence_json(t: Tables) -> DataFrame:
 
 _NORM = lambda x: f"case when {x} like '%://%' then {x} else 'http://' || {x} end"
 _MERGED = f"(select message_id * 100 + position as mp, url, display_text, hidden from ({links.SQL['merge_hidden_links']}))"
-_SHOWN = host_sql(f"regexp_replace(regexp_extract(m.display_text, {text(C.URL_PATTERN)}), {text(C.URL_TAIL)}, '')")
+_SHOWN = host_sql(f"coalesce(({urls_sql('m.display_text')})[1], '')")
 FULL_LINKS_SQL = f"""select m.mp, m.hidden, sc.reg_domain, coalesce(k.confirmed, false) as confirmed, coalesce(k.score, sc.score)
     + case when m.hidden then case when {_SHOWN} <> '' and {reg_sql(_SHOWN)} <> sc.reg_domain then 55 else 0 end
       when regexp_matches(lower(t.text), '\\bhttps?//') then 15 else 0 end as score

@@ -37,11 +37,11 @@ def test_checks_after_the_hour_are_kept(batches):
 
 def test_a_batch_holds_one_slice_and_slices_come_in_order(batches, monkeypatch):
     rows = batches.spark.range(1000).select((F.col("id") % 2).alias("k"), (999 - F.col("id")).alias("id"), F.timestamp_seconds((999 - F.col("id")) * 7).alias("ts"))
-    monkeypatch.setattr(streams, "_shared", lambda t, shared=streams._shared(batches): shared)
+    monkeypatch.setattr(streams, "shared_folder", lambda spark, shared=streams.shared_folder(batches.spark): shared)
     out = streams.drain(batches, rows, lambda d: S.gaps(d, "k", 60), order=("ts", "id"))
     want = kept([(r.k, r.id, r.ts.timestamp() * 1e6) for r in rows.collect()], 60)
     assert sorted((r.k, r.id) for r in out.collect()) == sorted(want)
-    sizes = batches.spark.read.parquet(f"{streams._shared(batches)}/in").groupBy(F.input_file_name()).count().collect()
+    sizes = batches.spark.read.parquet(f"{streams.shared_folder(batches.spark)}/in").groupBy(F.input_file_name()).count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 500
 
 
