@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from snarewatch.functions import constants as C
 from snarewatch.functions import risk, urls
+from snarewatch.sources.fixtures import kept
 
 DIGITS = 6
 TOKEN = r"[a-z0-9]+|[\x{1780}-\x{17FF}\x{19E0}-\x{19FF}]+"
@@ -91,6 +92,13 @@ def _weights(text: str, memo: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.nd
     return total
 
 
+def unit_rows(texts: list[str | None], memo: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Unit vectors of texts, a row each; a text without tokens has a row of zeros. Equal texts are hashed once."""
+    known = {t: _weights(t or "", memo) for t in set(texts)}
+    rows = np.array([known[t] for t in texts]).reshape(len(texts), BUCKETS)
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
+
+
 def nearest(rows: DataFrame, key: str, text: str, kinds: tuple[str, ...], k: int) -> DataFrame:
     """The ``k`` seeds of highest cosine for each text, exact, ties by (kind, key).
 
@@ -233,36 +241,96 @@ def matching(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] == x["b"]))
 
 
-def near_duplicates(signed: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Best other-host partner of each signature: id, other, matches; ties go to the smallest id.
+#: Classes of a band that one task compares with as many others.
+BAND_BLOCK = 512
 
-    Equal signatures are one class, of which two ids say all: the smallest, and the
-    smallest of another host. A class on several hosts is its own best partner. For
-    the rest, seven bands cannot all miss when at most six of 64 positions differ, so
-    joining classes on bands finds every pair at or above the threshold.
+
+def signature_classes(signed: DataFrame) -> DataFrame:
+    """One row a distinct signature: h1, h2 (its digest), id (smallest), host (its host), other (smallest id of another host).
+
+    A parked page on millions of hosts is cut down to two rows in each task before it moves.
+    """
+    by_host = signed.groupBy("h1", "h2", "host").agg(F.min("id").alias("id"))
+    two = by_host.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id", "host"))).where("n <= 2")
+    least = F.min(F.struct("id", "host")).alias("one")
+    return two.groupBy("h1", "h2").agg(least, F.max(F.when(F.col("n") == 2, F.col("id"))).alias("other")).select("h1", "h2", "one.id", "one.host", "other")
+
+
+def band_partners(classes: DataFrame, matches: int = MATCHES, block: int = BAND_BLOCK) -> DataFrame:
+    """Best partner on another host of each class that has one host: id, other, matches (a row a task that finds one).
+
+    ``classes`` has id, host, other and signature. Classes meet in the bands that they share,
+    and of a band of many classes blocks meet blocks, each in a task of its own that puts out
+    one row a class at most. Bands of one class go before signatures move.
     """
     cuts = [HASHES * i // BANDS for i in range(BANDS + 1)]
-    by_host = signed.groupBy("signature", "host").agg(F.min("id").alias("id"))
-    classes = by_host.groupBy("signature").agg(F.slice(F.sort_array(F.collect_list(F.struct("id", "host"))), 1, 2).alias("least"))
     bands = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", a + 1, b - a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-    rows = classes.select("signature", "least", F.explode(bands).alias("band"))
-    lone = rows.where("size(least) = 1").select(F.col("signature").alias("s1"), F.get("least", F.lit(0))["host"].alias("own"), "band")
+    rows = classes.select("id", F.explode(bands).alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    live = rows.join(shared.repartition(F.xxhash64("band")).hint("merge"), "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    wide = live.join(classes.hint("merge"), "id")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    columns = ["band", "i", "j", "side", "id", "host", "other", "signature"]
+    right = wide.withColumn("i", F.explode(every)).withColumn("j", F.col("own")).withColumn("side", F.lit(0)).select(columns)
+    left = wide.where("other is null").withColumn("i", F.col("own")).withColumn("j", F.explode(every)).withColumn("side", F.lit(1)).select(columns)
+    stream = right.unionByName(left).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side", "id")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
         for batch in batches:
-            one, two = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, HASHES) for i in (0, 1))
-            equal = (one == two).sum(axis=1).astype(np.int32)
-            keep = pa.array(equal >= matches)
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(2), pa.array(equal))], names=["signature", "other", "matches"])
-
-    other = F.when(F.get("least", F.lit(0))["host"] != F.col("own"), F.get("least", F.lit(0))["id"]).otherwise(F.get("least", F.lit(1))["id"])
-    met = lone.hint("merge").join(rows, "band").where("s1 <> signature").select("s1", "signature", other.alias("other")).where("other is not null")
-    good = met.mapInArrow(count, "signature array<bigint>, other bigint, matches int")
-    best = good.groupBy("signature").agg(F.min(F.struct((-F.col("matches")).alias("m"), "other")).alias("b"))
-    known = classes.join(best.hint("merge"), "signature", "left").where("size(least) > 1 or b is not null")
-    first, second = F.get("least", F.lit(0)), F.get("least", F.lit(1))
-    own = F.when(first["host"] != F.col("host"), first["id"]).otherwise(second["id"])
-    several = F.size("least") > 1
-    return signed.hint("merge").join(known, "signature").select(
-        "id", F.when(several, own).otherwise(F.col("b.other")).alias("other"), F.when(several, F.lit(HASHES)).otherwise(-F.col("b.m")).cast("int").alias("matches")
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            side = batch.column(3).to_pylist()
+            at = 0
+            while at < batch.num_rows:
+                end = at
+                while end < batch.num_rows and end < at + 128 and (places[end], side[end]) == (places[at], side[at]):
+                    end += 1
+                if places[at] != now:
+                    now, held, block = places[at], [], None
+                few = batch.slice(at, end - at)
+                signatures = few.column(7).flatten().to_numpy().reshape(-1, HASHES)
+                part = (few.column(4).to_numpy(), np.array(few.column(5).to_pylist(), object), np.array([x if x is not None else -1 for x in few.column(6).to_pylist()], np.int64), signatures)
+                at = end
+                if side[end - 1] == 0:
+                    held.append(part)
+                    continue
+                if block is None:
+                    block = tuple(np.concatenate([h[i] for h in held]) for i in range(4))
+                ids, hosts, second, theirs = block
+                # a class on the same host answers with its id on another one, if it has one
+                same = part[1][:, None] == hosts
+                who = np.where(same, second, ids)
+                equal = (signatures[:, None] == theirs).sum(axis=2)
+                good = (equal >= matches) & (part[0][:, None] != ids) & ~(same & (second == -1))
+                rank = np.where(good, equal, -1)
+                most = rank.max(axis=1)
+                found = np.flatnonzero(most >= 0)
+                if len(found):
+                    best = np.where(rank[found] == most[found, None], who[found], np.iinfo(np.int64).max).min(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0][found]), pa.array(best), pa.array(most[found].astype(np.int32))], names=["id", "other", "matches"])
+
+    return stream.mapInArrow(run, "id bigint, other bigint, matches int")
+
+
+def near_duplicates(signed: DataFrame, matches: int = MATCHES, block: int = BAND_BLOCK) -> DataFrame:
+    """Best other-host partner of each signature: id, other, matches; ties go to the smallest id.
+
+    Equal signatures are one class, of which two ids say all: the smallest, and the
+    smallest of another host. A class on several hosts is its own best partner. For
+    the rest, seven bands cannot all miss when at most six of 64 positions differ, so
+    joining classes on bands finds every pair at or above the threshold. ``signed`` has
+    id (distinct), host and signature; it is written once, as texts are signed only once.
+    """
+    digest = {"h1": F.xxhash64("signature"), "h2": F.xxhash64(F.lit("second"), "signature")}
+    signed = kept(signed.select("id", "host", "signature").withColumns(digest))
+    classes = kept(signature_classes(signed.drop("signature")))
+    wide = classes.join(signed.select("id", "signature").hint("merge"), "id").select("id", "host", "other", "signature")
+    met = band_partners(wide, matches, block).groupBy("id").agg(F.min(F.struct((-F.col("matches")).alias("m"), F.col("other").alias("partner"))).alias("b"))
+    known = classes.join(met.hint("merge"), "id", "left").where("other is not null or b is not null")
+    known = known.select("h1", "h2", F.col("id").alias("first"), F.col("host").alias("first_host"), "other", "b").repartition(F.xxhash64("h1", "h2"))
+    own = F.when(F.col("first_host") != F.col("host"), F.col("first")).otherwise(F.col("other"))
+    several = F.col("other").isNotNull()
+    rows = signed.select("id", "host", "h1", "h2").join(known.hint("merge"), ["h1", "h2"])
+    return rows.select(
+        "id", F.when(several, own).otherwise(F.col("b.partner")).alias("other"), F.when(several, F.lit(HASHES)).otherwise(-F.col("b.m")).cast("int").alias("matches")
     )

@@ -20,7 +20,7 @@ def phish_points(similarity: Column) -> Column:
     return F.when(similarity >= 0.80, 40).when(similarity >= 0.55, 20).otherwise(0)
 
 
-def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: DataFrame, by_domain: bool = False, degraded: bool = False) -> DataFrame:
+def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: DataFrame, by_domain: bool = False, degraded: bool = False, seen: DataFrame | None = None) -> DataFrame:
     """Full score of each link: link_id, score, level, trusted, confirmed.
 
     Lexical points, similarity to phishing shapes among the four nearest seeds,
@@ -30,6 +30,7 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     ``by_domain`` a page also poses as a brand where the link's host resembles one. If
     ``intel`` has vt_cached, a fresh cached answer counts even where nothing has scored.
     With ``degraded`` a column of that name says that evidence which could change the level was not to be had.
+    ``seen`` has link_id and seen_points of links that resemble an earlier risky one.
     """
     base = L.lexical_score(links).withColumn("trusted", F.col("reg_domain").isin(*C.BRANDS))
     top = V.nearest(base, "link_id", "host", ("brand", "phish"), 4)
@@ -42,10 +43,12 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     theft = P.credential_exfil(pages).select(F.col("page_id").alias("link_id"), F.lit(40).alias("theft"))
     copied = near.select(F.col("page_id").alias("link_id"), F.lit(25).alias("copied"))
     wide = L.enrich_links(base.select("link_id", "score", "trusted"), intel)
-    for side in (phish, network, spoof, theft, copied):
+    remembered = [] if seen is None else [seen.select("link_id", "seen_points").hint("merge")]
+    for side in (phish, network, spoof, theft, copied, *remembered):
         wide = wide.join(side, "link_id", "left")
+    wide = wide if remembered else wide.withColumn("seen_points", F.lit(0))
     v = lambda c: F.coalesce(F.col(c), F.lit(0))
-    strange = F.when(F.col("trusted"), 0).otherwise(phish_points(F.coalesce("phish", F.lit(0.0))) + v("spoof") + v("theft"))
+    strange = F.when(F.col("trusted"), 0).otherwise(phish_points(F.coalesce("phish", F.lit(0.0))) + v("spoof") + v("theft") + v("seen_points"))
     so_far = F.col("score") + strange + v("dns_points") + v("age_points") + v("cert_points") + v("network_points") + v("rescored") + v("copied")
     cached = F.coalesce("vt_cached", F.lit(False)) if "vt_cached" in intel.columns else F.lit(False)
     asked = F.when(~F.col("trusted") & ((F.col("so_far") > 0) | cached), v("vt_points")).otherwise(0)
@@ -61,6 +64,26 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     return told.join(unlike, "link_id", "left").withColumn("degraded", silent | (F.col("blind") & (F.col("level") != "dangerous"))).drop("blind", "like")
 
 
+#: Characters of a page's text that the memory keeps of a link.
+KEPT_TEXT = 300
+
+
+def remembered_scans(scans: DataFrame, links: DataFrame, pages: DataFrame, levels: DataFrame) -> DataFrame:
+    """Checks as ``seen_memory`` takes them: scan_id, link_id, at, key, text, kept, level, trusted.
+
+    A link is compared by its address and remembered under where it led to (its host if it
+    was not followed) as address and start of the page; ``levels`` has link_id, level, trusted.
+    """
+    text = F.substring(P.page_text(F.col("html")), 1, KEPT_TEXT)
+    led = pages.select(F.col("page_id").alias("link_id"), "final_url", text.alias("page"))
+    norm = urls.normalized(F.col("raw_url"))
+    known = links.select("link_id", norm.alias("text"), urls.host(norm).alias("host")).join(led.hint("merge"), "link_id", "left").join(levels.hint("merge"), "link_id")
+    known = known.select("link_id", "text", F.lower(F.coalesce("final_url", "host")).alias("key"), F.trim(F.concat_ws(" ", "text", F.coalesce("page", F.lit("")))).alias("kept"), "level", "trusted")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    # a link may have a third of all checks: its row is dealt anew, so that the join can be split
+    return scans.select("scan_id", "link_id", at).join(known.repartition(F.xxhash64("link_id")).hint("merge"), "link_id")
+
+
 def message_evidence(messages: DataFrame, files: DataFrame) -> DataFrame:
     """Evidence of each message, one row a message.
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from snarewatch.functions import constants as C
 from snarewatch.functions import risk
 from snarewatch.operators import files as X
+from snarewatch.operators import links as L
+from snarewatch.operators import memory as M
 from snarewatch.operators import verdicts as D
 from snarewatch.plans import files, links, pages
 from snarewatch.plans.links import host_sql, names, reg_sql, score_sql, urls_sql
-from snarewatch.sources.fixtures import Tables
+from snarewatch.sources.fixtures import Tables, kept
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
+_NORM = lambda x: f"case when {x} like '%://%' then {x} else 'http://' || {x} end"
 _LEVEL = lambda x: f"case when {x} >= 60 then 'dangerous' when {x} >= 25 then 'suspicious' else 'safe' end"
 _NEAREST = pages.nearest_sql(pages._HOSTS, "link_id", "host", ("brand", "phish"), 4)
 LINK_SQL = f"""with l as ({score_sql()}), ph as (select link_id, max(similarity) as phish from ({_NEAREST}) where kind = 'phish' group by link_id),
@@ -66,6 +69,60 @@ def link_verdict_degraded(t: Tables) -> DataFrame:
     return D.link_verdicts(t["links"], t.sql(_CACHED), t["page_obs"], pages.page_near_dup_full(t), by_domain=True, degraded=True)
 
 
+# --- the memory of checked links
+
+
+def scans_sql(levels: str) -> str:
+    """Checks with what they leave in the memory; ``levels`` states link_id, level and trusted."""
+    return f"""select scan_id, row_number() over (order by ts, scan_id) as pos, s.link_id, {_NORM('raw_url')} as norm, lower(o.final_url) as key, v.level, v.trusted,
+    trim({_NORM('raw_url')} || ' ' || substr({pages.text_sql('html')}, 1, {D.KEPT_TEXT})) as kept
+  from link_scans s join links l on l.link_id = s.link_id join page_obs o on o.page_id = s.link_id join ({levels}) v on v.link_id = s.link_id"""
+
+
+def seen_sql(levels: str) -> str:
+    """For each check every key as it stood just before: of equal places none, by one as-of join."""
+    return f"""with c as ({scans_sql(levels)}), t as (select distinct link_id, norm, kept, trusted from c), qv as ({pages.vector_sql('t', 'link_id', 'norm')}), mv as ({pages.vector_sql('t', 'link_id', 'kept')}),
+    si as (select q.link_id as a, m.link_id as b, round(sum(q.w * m.w), 6) as similarity from qv q join mv m on q.bucket = m.bucket group by 1, 2 having round(sum(q.w * m.w), 6) >= {M.SEEN_LEAST}),
+    k as (select distinct key from c),
+    held as (select x.scan_id, x.link_id, v.key, v.link_id as other, v.level from (select scan_id, link_id, pos, k.key from c, k where not trusted) x asof join c v on x.key = v.key and x.pos > v.pos),
+    sn as (select h.scan_id, 'seen' as kind, h.key, similarity, level from held h join si on si.a = h.link_id and si.b = h.other),
+    ns as ({pages.nearest_sql('t', 'link_id', 'norm', ('brand', 'phish'), 4)}),
+    u as (select * from sn union all select scan_id, kind, seed_key, similarity, null from c join ns on ns.link_id = c.link_id where not trusted),
+    r as (select *, row_number() over (partition by scan_id order by similarity desc, kind, key) as place from u),
+    n as (select scan_id, count(*) filter (place <= 4 and kind = 'seen' and level in ('suspicious', 'dangerous')) as seen from r group by 1)
+  select c.scan_id, c.link_id, c.pos, coalesce(seen, 0) as seen, cast(case when seen > 0 then {M.SEEN_POINTS} else 0 end as integer) as points from c left join n on n.scan_id = c.scan_id"""
+
+
+_LEXICAL = f"select link_id, level, reg_domain in ({names(C.BRANDS)}) as trusted from ({score_sql()})"
+
+
+def _scans(t: Tables, levels: DataFrame) -> DataFrame:
+    return D.remembered_scans(t["link_scans"], t["links"], t["page_obs"], levels)
+
+
+@query(f"select scan_id, seen, points from ({seen_sql(_LEXICAL)})")
+def seen_memory(t: Tables) -> DataFrame:
+    """Checks that resemble an earlier risky link, whose label is its lexical level."""
+    levels = L.lexical_score(t["links"]).select("link_id", "level", F.col("reg_domain").isin(*C.BRANDS).alias("trusted"))
+    return M.seen_memory(_scans(t, levels))
+
+
+_LAST_SEEN = f"select link_id, max_by(points, pos) as seen_points from ({seen_sql(f'select link_id, level, trusted from ({LINK_FULL_SQL})')}) group by 1"
+LINK_SEEN_SQL = LINK_FULL_SQL.replace("case when ex.page_id is null then 0 else 40 end end as so_far", "case when ex.page_id is null then 0 else 40 end + coalesce(ls.seen_points, 0) end as so_far").replace(
+    "left join nd on nd.page_id = l.link_id)", f"left join nd on nd.page_id = l.link_id left join ({_LAST_SEEN}) ls on ls.link_id = l.link_id)")
+
+
+@query(LINK_SEEN_SQL)
+def link_verdict_seen(t: Tables) -> DataFrame:
+    """With the memory as the last check of each link saw it; what it holds are verdicts without it."""
+    near = pages.page_near_dup_full(t)
+    told = kept(D.link_verdicts(t["links"], t["link_intel"], t["page_obs"], near, by_domain=True))
+    scans = _scans(t, told.select("link_id", "level", "trusted"))
+    last = scans.groupBy("link_id").agg(F.max_by("scan_id", F.struct("at", "scan_id")).alias("scan_id"))
+    seen = M.seen_memory(scans).join(last.hint("merge"), "scan_id").select("link_id", F.col("points").alias("seen_points"))
+    return D.link_verdicts(t["links"], t["link_intel"], t["page_obs"], near, by_domain=True, seen=seen)
+
+
 _MESSAGES = "select message_id, text, case when message_id % 4 = 0 then message_id % 1000 end as file_id from message_text"
 
 
@@ -195,7 +252,6 @@ def evidence_json(t: Tables) -> DataFrame:
 
 # --- the same verdicts over the full verdict of visible and hidden links
 
-_NORM = lambda x: f"case when {x} like '%://%' then {x} else 'http://' || {x} end"
 _MERGED = f"(select message_id * 100 + position as mp, url, display_text, hidden from ({links.SQL['merge_hidden_links']}))"
 _SHOWN = host_sql(f"coalesce(({urls_sql('m.display_text')})[1], '')")
 FULL_LINKS_SQL = f"""select m.mp, m.hidden, sc.reg_domain, coalesce(k.confirmed, false) as confirmed, coalesce(k.score, sc.score)

@@ -115,6 +115,12 @@ where event_type = 'error'
 select event_id as check_id, ts, event_id % 40 as link_id
 from events
 where event_type in ('click', 'view')
+""",
+    "link_scans": """
+select e.event_id as scan_id, e.ts, p.page_id as link_id
+from events e
+join pages p on p.page_id = e.event_id % 250
+where e.event_type in ('click', 'view')
 """,
     "log_lines": """
 select event_id,
@@ -173,6 +179,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='spark-shared-')}/run-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a shared folder and go on from what was written: lineage is cut, and a size is known."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables:
     """Base tables and views of one input folder, as DataFrames."""
 
