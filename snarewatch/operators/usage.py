@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from snarewatch.operators import folds
+
 FILE_LIMIT, LINK_LIMIT, TOKEN_LIMIT, TRIAL_DAYS = 3, 8, 20_000, 7
 
 
@@ -69,66 +71,35 @@ def notify_once(admitted: DataFrame) -> DataFrame:
 
 
 def trial_status(events: DataFrame) -> DataFrame:
-    """Per event: whole days left of the user's trial, and whether it is over."""
+    """Per event: whole days left of the user's trial, its time, and whether it is over."""
     first = events.groupBy("user_id").agg(F.min("ts").alias("started"))
     seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("started").cast("timestamp"))
     left = F.greatest(F.lit(TRIAL_DAYS) - F.floor(seconds / 86400), F.lit(0))
-    return events.join(first, "user_id").select("event_id", "user_id", left.cast("bigint").alias("days_left")).withColumn("blocked", F.col("days_left") == 0)
+    told = events.join(first.hint("merge"), "user_id").select("event_id", "user_id", left.cast("bigint").alias("days_left"), "ts")
+    return told.withColumn("blocked", F.col("days_left") == 0)
 
 
 def trial_notices(events: DataFrame) -> DataFrame:
     """The one event at which a user is told that the trial is over: user_id, event_id."""
-    over = trial_status(events).where("blocked").select("event_id", "user_id")
-    times = events.select("event_id", F.struct("ts", "event_id").alias("at"))
-    return over.join(times, "event_id").groupBy("user_id").agg(F.min_by("event_id", "at").alias("event_id"))
-
-
-def kept_by_gap(rows: DataFrame, key: str, seconds: int, strict: bool) -> DataFrame:
-    """Rows of each key that come more than ``seconds`` after the last one kept.
-
-    Not a session: a row that is dropped does not prolong the gap. With ``strict``
-    unset, a row exactly at the gap is kept. Reads the key, id and ts; keys are
-    dealt out and sorted, and a task streams through them holding one time stamp.
-    """
-    ordered = rows.select(key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).repartition(key).sortWithinPartitions(key, "at", "id")
-    gap = seconds * 1_000_000
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
-        for batch in batches:
-            keep = []
-            for k, at in zip(batch[key], batch["at"]):
-                fresh = k != current or (at - last > gap if strict else at - last >= gap)
-                if fresh:
-                    current, last = k, at
-                keep.append(fresh)
-            yield batch[keep]
-
-    kind = ordered.schema[key].dataType.simpleString()
-    return ordered.mapInPandas(run, f"{key} {kind}, id bigint, at bigint").select(key, "id")
+    return trial_status(events).where("blocked").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 def failure_alerts(failures: DataFrame, least: int = 3, seconds: int = 3600) -> DataFrame:
     """Alerts per service: enough failures within the hour, and none sent within it."""
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    recent = Window.partitionBy("service").orderBy(at).rangeBetween(-seconds, Window.currentRow)
-    hot = failures.withColumn("recent", F.count("*").over(recent)).where(F.col("recent") >= least)
-    return kept_by_gap(hot.select("service", F.col("event_id").alias("id"), "ts"), "service", seconds, strict=False)
+    timed = failures.select("service", F.col("event_id").alias("id"), "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    hot = folds.within_last(timed, "service", seconds).where(F.col("recent") >= least)
+    return folds.kept_by_gap(hot.select("service", "id", "ts"), "service", seconds, strict=False)
 
 
-def failure_streaks(events: DataFrame) -> DataFrame:
-    """Failures that are at least the third in a row of their service."""
-    order = Window.partitionBy("service").orderBy("ts", "event_id")
-    island = events.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order))
-    within = Window.partitionBy("service", "island").orderBy("ts", "event_id")
-    ranked = island.where("failed").withColumn("nth", F.row_number().over(within))
-    return ranked.where("nth >= 3").select("event_id", "service", "nth")
+def failure_streaks(events: DataFrame, least: int = 3) -> DataFrame:
+    """Failures that are at least the third in a row of their service: event_id, service, nth, ts."""
+    return folds.run_lengths(events, "service").where(F.col("nth") >= least).select("event_id", "service", "nth", "ts")
 
 
-def outages(streaks: DataFrame, events: DataFrame, seconds: int = 30) -> DataFrame:
+def outages(streaks: DataFrame, seconds: int = 30) -> DataFrame:
     """Until when each failure of a streak keeps its service out: event_id, service, until_us."""
-    times = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return streaks.join(times, "event_id").select("event_id", "service", (F.col("at") + seconds * 1_000_000).alias("until_us"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return streaks.select("event_id", "service", (at + seconds * 1_000_000).alias("until_us"))
 
 
 def tagged_lines(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snarewatch.functions import constants as C
+from snarewatch.operators import folds
 from snarewatch.operators import links as L
 from snarewatch.operators import usage as U
 from snarewatch.sources.fixtures import Tables, shared_folder
@@ -53,7 +54,7 @@ def notify_once(t: Tables) -> DataFrame:
 @query("""select event_id, user_id, days_left, days_left = 0 as blocked from (select event_id, user_id,
   cast(greatest(7 - floor((epoch_us(ts) // 1000000 - epoch_us(min(ts) over (partition by user_id)) // 1000000) / 86400), 0) as bigint) as days_left from events)""")
 def trial_status(t: Tables) -> DataFrame:
-    return U.trial_status(t["events"])
+    return U.trial_status(t["events"]).drop("ts")
 
 
 @query("select event_id, strftime(date_trunc('day', ts) + interval 1 day, '%Y-%m-%d') as resets_on, strftime(ts + interval 7 hours, '%d %b %Y, %I:%M %p (UTC+7)') as local_time from events")
@@ -83,13 +84,13 @@ _CHECKS = "select link_id, check_id as id, ts from link_checks"
 
 @query(_gap_sql(_CHECKS, "link_id", 86400, ">"))
 def greedy_gap(t: Tables) -> DataFrame:
-    return U.kept_by_gap(t.sql(_CHECKS), "link_id", 86400, strict=True)
+    return folds.kept_by_gap(t.sql(_CHECKS), "link_id", 86400, strict=True)
 
 
 @query(_gap_sql(_CHECKS, "link_id", 3600, ">"))
 def verdict_cache(t: Tables) -> DataFrame:
     """Checks that compute a verdict anew: the cached one is older than an hour."""
-    return U.kept_by_gap(t.sql(_CHECKS), "link_id", 3600, strict=True)
+    return folds.kept_by_gap(t.sql(_CHECKS), "link_id", 3600, strict=True)
 
 
 _HOT = """select service, event_id as id, ts from (select *, count(*) over (partition by service order by epoch_us(ts) // 1000000 range between 3600 preceding and current row) as recent from backend_failures) where recent >= 3"""
@@ -106,15 +107,14 @@ _CALLS = "select event_id, ts, user_id % 3 as service, event_type in ('error', '
 @query(f"""with i as (select *, sum(case when failed then 0 else 1 end) over (partition by service order by ts, event_id) as island from ({_CALLS}))
   select event_id, service, cast(nth as integer) as nth from (select *, row_number() over (partition by service, island order by ts, event_id) as nth from i where failed) where nth >= 3""")
 def failure_streaks(t: Tables) -> DataFrame:
-    return U.failure_streaks(t.sql(_CALLS))
+    return U.failure_streaks(t.sql(_CALLS)).drop("ts")
 
 
 @query(f"""with i as (select *, sum(case when failed then 0 else 1 end) over (partition by service order by ts, event_id) as island from ({_CALLS}))
   select event_id, service, epoch_us(ts) + 30000000 as until_us from (select *, row_number() over (partition by service, island order by ts, event_id) as nth from i where failed) where nth >= 3""")
 def outage_windows(t: Tables) -> DataFrame:
     """Each further failure of a streak keeps the service out for thirty seconds more."""
-    calls = t.sql(_CALLS)
-    return U.outages(U.failure_streaks(calls), calls)
+    return U.outages(U.failure_streaks(t.sql(_CALLS)))
 
 
 _BRAND_CHECKS = "select c.link_id, c.check_id as id, c.ts from link_checks c where c.link_id in (select link_id from links where raw_url like 'https://www.facebook.com/%')"
@@ -125,7 +125,7 @@ def verdict_cache_full(t: Tables) -> DataFrame:
     """Links of a brand are never cached: each of their checks computes a verdict."""
     known = L.link_parts(t["links"]).where(F.col("reg_domain").isin(*C.BRANDS)).select("link_id", F.lit(True).alias("brand"))
     checks = t.sql(_CHECKS).join(known.hint("merge"), "link_id", "left")
-    return U.kept_by_gap(checks.where("brand is null"), "link_id", 3600, strict=True).unionByName(checks.where("brand").select("link_id", "id"))
+    return folds.kept_by_gap(checks.where("brand is null"), "link_id", 3600, strict=True).unionByName(checks.where("brand").select("link_id", "id"))
 
 
 @query("""with f as (select user_id, min(ts) as started from events group by user_id)
