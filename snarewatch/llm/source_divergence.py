@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,21 +39,17 @@ TOP = 10
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(text: bytes, piece: int = PIECE) -> Iterator[bytes]:
+def terms_of(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
     """Terms of a text in UTF-8: runs of letters A-Z, a-z and all that is not ASCII, A-Z lower-cased.
 
     Long texts are cut at blanks, so that a text's terms are never all held at once.
     """
-    folded = text.translate(_FOLD)
-
-    def pieces() -> Iterator[bytes]:
-        at = 0
-        while at < len(folded):
-            end = folded.find(b" ", at + piece)
-            yield folded[at : end if end >= 0 else len(folded)]
-            at = end if end >= 0 else len(folded)
-
-    return chain.from_iterable(part.split() for part in pieces())
+    folded, at = text.translate(_FOLD), 0
+    while at < len(folded):
+        end = folded.find(b" ", at + piece)
+        end = end if end >= 0 else len(folded)
+        yield folded[at:end].split()
+        at = end
 
 
 def index_runs(docs: DataFrame, most: int = POSTINGS) -> DataFrame:
@@ -64,28 +60,31 @@ def index_runs(docs: DataFrame, most: int = POSTINGS) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     kept = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text)
-
-    def put_out(held: dict[tuple[str, str], dict[bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((lang, term, source, *n) for (lang, source), postings in held.items() for term, n in postings.items())
-        for at in range(0, len(rows), 50_000):
-            lang, term, source, n, docs = zip(*rows[at : at + 50_000])
-            columns = [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "n", "docs"])
+    names = ["lang", "term", "source", "n", "docs"]
+
+    def put_out(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for (lang, source), (ns, docs) in held.items():
+            terms = pa.array(list(ns), pa.binary()).cast(pa.string())
+            counts = [pa.array(np.fromiter(x, np.int64, len(ns))) for x in (ns.values(), map(docs.__getitem__, ns))]
+            parts.append(pa.table([pa.repeat(lang, len(ns)), terms, pa.repeat(source, len(ns)), *counts], names=names))
+        if parts:
+            table = pa.concat_tables(parts)
+            yield from table.take(pc.sort_indices(table, [(c, "ascending") for c in names[:3]])).combine_chunks().to_batches(50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                postings = held.setdefault((lang, source), {})
-                size -= len(postings)
-                for term, n in Counter(terms_of(text.as_py())).items():
-                    if term in postings:
-                        postings[term][0] += n
-                        postings[term][1] += 1
-                    else:
-                        postings[term] = [n, 1]
-                size += len(postings)
+                ns, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(ns)
+                mine: set[bytes] = set()
+                for terms in terms_of(text.as_py()):
+                    ns.update(terms)
+                    mine.update(terms)
+                docs.update(mine)
+                size += len(ns)
                 if size >= most:
                     yield from put_out(held)
                     held, size = {}, 0
@@ -94,47 +93,56 @@ def index_runs(docs: DataFrame, most: int = POSTINGS) -> DataFrame:
     return kept.mapInArrow(run, "lang string, term string, source string, n bigint, docs bigint")
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """One row a term: lang, term, docs, sources (sorted), ns (occurrences in each).
+def merged(runs: DataFrame, least_docs: int) -> DataFrame:
+    """One row a term of ``least_docs`` documents or more: lang, term, sources (sorted), ns (occurrences in each).
 
-    Shards go by (lang, term); a pass over a sorted shard holds one term. What a task has
-    of a term are its runs by source, so a term that every document has is no hot key.
+    Shards go by (lang, term); a pass over a sorted shard holds the terms of a batch. What a task
+    has of a term are its runs by source, so a term that every document has is no hot key.
     """
     ordered = runs.repartition(F.col("lang"), F.col("term")).sortWithinPartitions("lang", "term", "source")
-    names = ["lang", "term", "docs", "sources", "ns"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    out = ["lang", "term", "sources", "ns"]
+
+    def begins(table: pa.Table, *columns: str) -> np.ndarray:
+        """The rows that differ from the row before in one of the columns."""
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for c in columns:
+            value = table.column(c).combine_chunks()
+            new[1:] |= pc.not_equal(value[1:], value[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def lists(table: pa.Table) -> pa.RecordBatch | None:
+        """The rows of whole terms as a row a term."""
+        at = begins(table, "lang", "term")
+        enough = np.add.reduceat(table.column("docs").to_numpy(), at) >= least_docs
+        table = table.filter(pa.array(np.repeat(enough, np.diff(np.append(at, table.num_rows)))))
+        if not table.num_rows:
+            return None
+        pairs = begins(table, "lang", "term", "source")
+        ns = np.add.reduceat(table.column("n").to_numpy(), pairs)
+        table = table.take(pa.array(pairs)).combine_chunks()
+        at = begins(table, "lang", "term")
+        offsets = pa.array(np.append(at, table.num_rows).astype(np.int32))
+        one = table.select(["lang", "term"]).take(pa.array(at)).combine_chunks()
+        column = lambda t, c: t.column(c).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [column(one, "lang"), column(one, "term"), pa.ListArray.from_arrays(offsets, column(table, "source")), pa.ListArray.from_arrays(offsets, pa.array(ns))], names=out
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        size = 0
-        now: tuple = (None, None)
-        docs, sources, ns = 0, [], []
-
-        def put_out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
-
+        rest: list[pa.RecordBatch] = []  # the last term, which may go on
         for batch in batches:
-            for lang, term, source, n, d in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != now:
-                    if ns:
-                        done.append((*now, docs, sources, ns))
-                        size += len(ns)
-                        if size >= 200_000:
-                            yield put_out()
-                            done, size = [], 0
-                    now, docs, sources, ns = (lang, term), 0, [], []
-                docs += d
-                if sources and sources[-1] == source:
-                    ns[-1] += n
-                else:
-                    sources.append(source)
-                    ns.append(n)
-        if ns:
-            done.append((*now, docs, sources, ns))
-        if done:
-            yield put_out()
-
-    return ordered.mapInArrow(run, "lang string, term string, docs bigint, sources array<string>, ns array<bigint>")
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch])
+            last = int(begins(table, "lang", "term")[-1])
+            if last and (found := lists(table.slice(0, last))) is not None:
+                yield found
+            rest = table.slice(last).to_batches()
+        if rest and (found := lists(pa.Table.from_batches(rest))) is not None:
+            yield found
+
+    return ordered.mapInArrow(run, "lang string, term string, sources array<string>, ns array<bigint>")
 
 
 def _small(df: DataFrame) -> str:
@@ -261,7 +269,7 @@ def divergences(docs: DataFrame, least_docs: int = 10, top: int = TOP, most: int
     """
     named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     occurring = written(named.distinct())
-    kept = written(merged(index_runs(docs, most)).where(F.col("docs") >= least_docs).drop("docs"))
+    kept = written(merged(index_runs(docs, most), least_docs))
     flat = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "ns")).alias("x")).select("lang", "term", F.col("x.sources").alias("source"), F.col("x.ns").alias("n"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = flat.groupBy("lang", "source").agg(F.sum("n").alias("total"))
