@@ -119,6 +119,11 @@ def _leftover(text: Column) -> Column:
     return F.regexp_replace(addresses.replaced(text, " ", "", shown=False), r"[^\s]+\.[^\s]+", " ")
 
 
+def only_links_of(text: Column) -> Column:
+    """Whether no word character remains of a text without its addresses."""
+    return ~_leftover(F.coalesce(text, F.lit(""))).rlike(r"[\p{L}\p{N}_]")
+
+
 def only_links(messages: DataFrame) -> DataFrame:
     """Add links_only: an address is present and no word character remains without them."""
     has = F.size(addresses.found_urls(F.col("text"))) > 0

@@ -124,13 +124,19 @@ def network_points(pages: DataFrame) -> DataFrame:
     return wide.withColumn("network_points", F.least(F.col("shape_points") + F.col("redirect_points"), F.lit(NETWORK_CAP))).withColumn("rescored", again)
 
 
+def stolen_to(html: Column, final_url: Column) -> Column:
+    """The host of another domain to which the first such form of a page with a password field posts; null if none."""
+    own = urls.registered_domain(urls.host(urls.normalized(final_url)))
+    named = F.filter(F.transform(tags(html, "form"), lambda tag: attribute(tag, "action")), lambda a: a.isNotNull())
+    hosts = F.transform(F.filter(named, lambda a: F.contains(a, F.lit("://"))), urls.host)
+    first = lambda o: F.get(F.filter(hosts, lambda h: (h != "") & (urls.registered_domain(h) != o)), F.lit(0))
+    return F.when(asks_password(html), urls.let(own, first))
+
+
 def credential_exfil(pages: DataFrame) -> DataFrame:
     """Pages with a password field and a form that posts to another domain: page_id, target."""
-    asking = pages.where(asks_password(F.col("html")))
-    own = asking.select("page_id", urls.registered_domain(urls.host(urls.normalized(F.col("final_url")))).alias("own"))
-    sent = form_actions(asking).where(F.col("action").contains("://")).withColumn("target", urls.host(F.col("action"))).join(own.hint("merge"), "page_id")
-    away = sent.where((F.col("target") != "") & (urls.registered_domain(F.col("target")) != F.col("own")))
-    return away.groupBy("page_id").agg(F.min_by("target", "position").alias("target"))
+    found = pages.select("page_id", stolen_to(F.col("html"), F.col("final_url")).alias("target"))
+    return found.where(F.col("target").isNotNull())
 
 
 def with_resemblance(pages: DataFrame, top: DataFrame) -> tuple[DataFrame, Column]:
@@ -147,6 +153,20 @@ def long_enough(text: Column) -> Column:
     return F.length(text) >= MIN_TEXT
 
 
+def posing(low: Column, own: Column, resembles: Column) -> Column:
+    """The first brand that a text in lower case presents itself as, on the domain ``own``; null if none."""
+    phrases, told = "|".join(C.PORTAL_PHRASES), []
+    for domain in C.BRANDS:
+        root = domain.split(".")[0]
+        if len(root) >= 4:
+            before = "|".join(f"{p}.{{0,{NEAR - len(p)}}}{root}" for p in C.PORTAL_PHRASES)
+            near = low.rlike(f"(?s){root}.{{0,{NEAR - len(root)}}}(?:{phrases})|{before}")
+            without = F.length(F.replace(low, F.lit(root), F.lit("")))
+            thrice = F.contains(low, F.lit(root)) & (F.length(low) - without >= 3 * len(root))
+            told.append(F.when(thrice & (own != domain) & (resembles | near), domain))
+    return F.when(low.rlike(phrases) | resembles, F.coalesce(*told))
+
+
 def brand_spoof(pages: DataFrame, resembles: Column | None = None) -> DataFrame:
     """Pages that present themselves as a brand they are not: page_id, brand.
 
@@ -157,21 +177,7 @@ def brand_spoof(pages: DataFrame, resembles: Column | None = None) -> DataFrame:
     """
     resembles = F.lit(False) if resembles is None else resembles
     own = urls.registered_domain(urls.host(urls.normalized(F.col("final_url"))))
-    phrases = "|".join(C.PORTAL_PHRASES)
-
-    def first_posing(low: Column) -> Column:
-        told = []
-        for domain in C.BRANDS:
-            root = domain.split(".")[0]
-            if len(root) >= 4:
-                before = "|".join(f"{p}.{{0,{NEAR - len(p)}}}{root}" for p in C.PORTAL_PHRASES)
-                near = low.rlike(f"(?s){root}.{{0,{NEAR - len(root)}}}(?:{phrases})|{before}")
-                without = F.length(F.replace(low, F.lit(root), F.lit("")))
-                thrice = F.contains(low, F.lit(root)) & (F.length(low) - without >= 3 * len(root))
-                told.append(F.when(thrice & (F.col("own") != domain) & (resembles | near), domain))
-        return F.when(low.rlike(phrases) | resembles, F.coalesce(*told))
-
     text = F.lower(page_text(F.substring("html", 1, MAX_HTML)))
-    wide = pages.withColumn("own", own).withColumn("brand", urls.let(text, first_posing))
+    wide = pages.withColumn("own", own).withColumn("brand", urls.let(text, lambda low: posing(low, F.col("own"), resembles)))
     # the row number keeps the filter above the projection, so that each page is read once
     return wide.withColumn("row", F.monotonically_increasing_id()).where("brand is not null and row >= 0").select("page_id", "brand")

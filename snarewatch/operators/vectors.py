@@ -136,6 +136,34 @@ def nearest(rows: DataFrame, key: str, text: str, kinds: tuple[str, ...], k: int
     return kept.mapInArrow(run, f"{key} {kept.schema[key].dataType.simpleString()}, kind string, seed_key string, label string, similarity double, place int")
 
 
+def with_similarity(rows: DataFrame, text: str, kinds: tuple[str, ...], k: int) -> DataFrame:
+    """``rows`` with a column ``<kind>_near`` a kind: the highest similarity to it among the ``k`` nearest seeds of all kinds.
+
+    Null where none of them is of that kind. Rows stay where they are, all columns pass through.
+    """
+    seeds = sorted(seed_texts(kinds))
+    of_kind = np.array([[s[0] == kind for s in seeds] for kind in kinds])
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        matrix = unit_rows([s[3] for s in seeds], memo)
+        held = (matrix != 0).astype(np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                few = batch.slice(low, 1024)
+                mine = unit_rows(few.column(at).to_pylist(), memo)
+                near = np.round(mine @ matrix.T, DIGITS) + 0.0
+                near[((mine != 0).astype(np.int64) @ held.T) == 0] = -2
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(near, order, axis=1)
+                most = [np.where(kind[order] & (best > -2), best, -2).max(axis=1) for kind in of_kind]
+                yield pa.RecordBatch.from_arrays([*few.columns, *(pa.array(m, mask=m <= -2) for m in most)], names=[*batch.schema.names, *(f"{kind}_near" for kind in kinds)])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, schema + "".join(f", {kind}_near double" for kind in kinds))
+
+
 def script_matches(messages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Best known script of each message with similarity ``threshold`` or more."""
     best = nearest(messages, "message_id", "text", ("scam_pattern",), 1)

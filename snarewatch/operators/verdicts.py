@@ -106,48 +106,10 @@ def message_evidence(messages: DataFrame, files: DataFrame) -> DataFrame:
     return told.withColumn("confirmed_link", F.col("confirmed") & (F.col("n_risky") > 0))
 
 
-def message_links(messages: DataFrame, hidden: DataFrame, known: DataFrame) -> DataFrame:
-    """Links of each message, visible and hidden, with their verdict in that message.
-
-    ``known`` has url, score and confirmed of judged links; an address that was never
-    captured has its lexical score and is not confirmed. Addresses meet in normal
-    form; of several verdicts on one the highest counts. A malformed protocol in the
-    text adds to visible links, a display text that names another domain to hidden
-    ones. Returns message_id, position, url, hidden, score, level, confirmed, reg_domain.
-    """
-    links = L.lexical_score(L.merge_hidden_links(L.web_links(L.explode_links(messages)), hidden).withColumnRenamed("url", "raw_url"))
-    judged = known.select(urls.normalized(F.col("url")).alias("norm"), F.col("score").alias("judged"), "confirmed")
-    judged = judged.groupBy("norm").agg(F.max("judged").alias("judged"), F.bool_or("confirmed").alias("confirmed"))
-    malformed = messages.select("message_id", F.lower("text").rlike(r"\bhttps?//").alias("malformed"))
-    wide = L.anchor_mismatch(links.join(judged, "norm", "left").join(malformed, "message_id"))
-    context = F.when(F.col("hidden"), F.col("mismatch_points")).when(F.col("malformed"), 15).otherwise(0)
-    total = (F.coalesce("judged", "score") + context).cast("int")
-    told = wide.withColumn("score", total).withColumn("level", risk.level(F.col("score")))
-    return told.select("message_id", "position", F.col("raw_url").alias("url"), "hidden", "score", "level", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), "reg_domain")
-
-
-def full_message_evidence(messages: DataFrame, files: DataFrame, hidden: DataFrame, known: DataFrame) -> DataFrame:
-    """``message_evidence`` over the verdicts of visible and hidden links.
-
-    Evidence is confirmed by a malicious file or by the reputation of any link;
-    confirmed_link asks for a link so confirmed that is not safe.
-    """
-    by_link = message_links(messages, hidden, known).groupBy("message_id").agg(
-        F.max("score").alias("worst"), F.count("*").alias("n_links"), F.count_if(F.col("level") != "safe").alias("n_risky"),
-        F.count_if(F.col("reg_domain").isin(*C.BRANDS)).alias("n_trusted"), F.bool_or("confirmed").alias("any_confirmed"),
-        F.bool_or(F.col("confirmed") & (F.col("level") != "safe")).alias("confirmed_link"),
-    )
-    names = ("worst", "n_links", "n_risky", "n_trusted")
-    wide = message_evidence(messages, files).drop(*names, "confirmed_link").join(by_link, "message_id", "left")
-    told = wide.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return told.withColumn("confirmed", F.col("confirmed") | flag("any_confirmed")).withColumn("confirmed_link", flag("confirmed_link")).drop("any_confirmed")
-
-
 def reason_rows(evidence: DataFrame, links: DataFrame) -> DataFrame:
     """Why a message is suspected, a row a reason: message_id, place, reason, points.
 
-    Keyword, script, each link that is not safe (``links`` from ``message_links``), file;
+    Keyword, script, each link that is not safe (``links`` as rows of the evidence's links), file;
     places count from 1 in that order, links by position.
     """
     file = F.col("file_level").isin("dangerous", "suspicious", "uncertain")
@@ -209,13 +171,14 @@ def risk_number(given: Column) -> Column:
     return F.when(given.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), given)))
 
 
-def shortcuts(evidence: DataFrame, dead: DataFrame) -> DataFrame:
+def shortcuts(evidence: DataFrame, dead: DataFrame | None = None) -> DataFrame:
     """Messages decided without a model: message_id, verdict, risk_percentage, rule.
 
-    ``dead`` has message_id of messages whose only link does not answer.
+    A column ``dead`` of the evidence says that a link does not answer; where it has none,
+    ``dead`` has message_id of messages whose only link does not.
     """
     alone = F.col("links_only") & (F.col("n_links") == 1) & F.col("file_level").isNull() & ~F.col("keyword") & F.col("similarity").isNull()
-    wide = evidence.join(dead.select("message_id", F.lit(True).alias("dead")), "message_id", "left")
+    wide = evidence if dead is None else evidence.join(dead.select("message_id", F.lit(True).alias("dead")).hint("merge"), "message_id", "left")
     gone = alone & F.coalesce("dead", F.lit(False)) & (risk.level(F.col("worst")) == "suspicious") & (F.col("worst") <= DEAD_LINK_MOST) & ~F.col("confirmed")
     trusted = alone & (F.col("n_trusted") == 1) & (risk.level(F.col("worst")) == "safe")
     rule = F.when(gone, "dead_link").when(trusted, "trusted_link")
@@ -271,22 +234,17 @@ def localize(keys: DataFrame, texts: DataFrame, default: str = "en") -> DataFram
     return keys.join(hint(own), ["lang", "key"], "left").join(hint(fall), "key", "left").withColumn("text", F.coalesce("own", "fall", "key")).drop("own", "fall")
 
 
-def evidence_json(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def evidence_json(evidence: DataFrame, links: Column | None = None) -> DataFrame:
     """One JSON document a message with the facts a model may see: message_id, body.
 
-    Without ``links`` they are told by their number and highest score. With them (from
-    ``message_links``) each is a finding of host, level, score and confirmed, by position;
-    of an address the host alone is shown, as its sender wrote the rest. A column
-    ``sender`` of the evidence, the name of a verified sender, is told where not null.
+    Links are told by their number and highest score or, with ``links``, an array of
+    findings, one by one; of an address the host alone is shown, as its sender wrote the rest.
+    A column ``sender`` of the evidence, the name of a verified sender, is told where not null.
     """
     file = F.when(F.col("file_level").isNotNull(), F.struct(F.col("file_level").alias("kind"), F.col("file_pct").alias("score")))
     told = [F.col("worst").alias("worst_link"), F.col("n_links")]
     if links is not None:
-        host = urls.host(urls.normalized(F.col("url")))
-        finding = F.struct("position", F.struct(host.alias("host"), "level", "score", "confirmed").alias("finding"))
-        listed = links.groupBy("message_id").agg(F.transform(F.sort_array(F.collect_list(finding)), lambda x: x["finding"]).alias("_links"))
-        evidence = evidence.join(listed.hint("merge"), "message_id", "left")
-        told = [F.coalesce("_links", F.array().cast(listed.schema["_links"].dataType)).alias("links")]
+        told = [links.alias("links")]
     sender = ["sender"] if "sender" in evidence.columns else []
     body = F.to_json(
         F.struct("keyword", *told, "confirmed", F.round("similarity", 3).alias("similarity"), file.alias("file"), *sender), {"ignoreNullFields": "true"}

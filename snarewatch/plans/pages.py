@@ -75,13 +75,13 @@ def response_shape_score(t: Tables) -> DataFrame:
     return P.response_points(t["page_obs"]).select("page_id", F.col("shape_points").alias("points"))
 
 
-_TRACED = "select *, case when page_id % 29 = 0 then 'bad_tls' when page_id % 31 = 0 then 'timeout' end as trace_error from page_obs"
+TRACED = "select *, case when page_id % 29 = 0 then 'bad_tls' when page_id % 31 = 0 then 'timeout' end as trace_error from page_obs"
 
 
-@query(f"select page_id, cast(case when trace_error = 'bad_tls' then 30 when trace_error is not null then 15 else shape_points end as integer) as points from ({_MOVES.replace('from page_obs', f'from ({_TRACED})')})")
+@query(f"select page_id, cast(case when trace_error = 'bad_tls' then 30 when trace_error is not null then 15 else shape_points end as integer) as points from ({_MOVES.replace('from page_obs', f'from ({TRACED})')})")
 def response_shape_full(t: Tables) -> DataFrame:
     """With pages that could not be followed."""
-    return P.response_points(t.sql(_TRACED)).select("page_id", F.col("shape_points").alias("points"))
+    return P.response_points(t.sql(TRACED)).select("page_id", F.col("shape_points").alias("points"))
 
 
 _SHORT = """select page_id, url, case when page_id % 4 = 0 then 'https://amzn.to/x' when page_id % 4 = 1 then 'https://g.co/y' else url end as from_url,
@@ -100,6 +100,12 @@ NETWORK_SQL = f"""with m as ({_MOVES}), s as ({score_sql('page_obs', 'final_url'
     cast(case when redirect_points > 0 then least(s.score, 30) else 0 end as integer) as rescored from m join s on m.page_id = s.page_id"""
 
 
+#: The same where a page that could not be followed has the points of its error.
+TRACED_NETWORK_SQL = NETWORK_SQL.replace(
+    _MOVES, _MOVES.replace("from page_obs", f"from ({TRACED})").replace("  case when hops >= 4", "  case when trace_error = 'bad_tls' then 30 when trace_error is not null then 15 else case when hops >= 4").replace("end as shape_points", "end end as shape_points")
+)
+
+
 @query(NETWORK_SQL)
 def redirect_score(t: Tables) -> DataFrame:
     return P.network_points(t["page_obs"]).select("page_id", "network_points", "rescored")

@@ -10,6 +10,7 @@ from snarewatch.functions import risk
 from snarewatch.operators import files as X
 from snarewatch.operators import links as L
 from snarewatch.operators import memory as M
+from snarewatch.operators import spine as E
 from snarewatch.operators import verdicts as D
 from snarewatch.plans import files, links, pages
 from snarewatch.plans.links import host_sql, names, reg_sql, score_sql, urls_sql
@@ -254,35 +255,43 @@ def evidence_json(t: Tables) -> DataFrame:
 
 _MERGED = f"(select message_id * 100 + position as mp, url, display_text, hidden from ({links.SQL['merge_hidden_links']}))"
 _SHOWN = host_sql(f"coalesce(({urls_sql('m.display_text')})[1], '')")
-FULL_LINKS_SQL = f"""select m.mp, m.hidden, sc.reg_domain, coalesce(k.confirmed, false) as confirmed, coalesce(k.score, sc.score)
+#: Links with cached reputation and pages that could not be followed, and whether each is dead.
+SPINE_LINKS_SQL = f"""select v.*, (v.level <> 'safe' and not v.confirmed and v.link_id not in ({_ALIKE})) or (coalesce(i.vt_unavailable, true) and v.level <> 'dangerous') as degraded,
+    coalesce(i.n_ips = 0, false) or coalesce(o.trace_error = 'timeout', false) as dead
+  from ({LINK_WHOLE_SQL.replace(pages.NETWORK_SQL, pages.TRACED_NETWORK_SQL)}) v left join link_intel i on i.link_id = v.link_id left join ({pages.TRACED}) o on o.page_id = v.link_id"""
+FULL_LINKS_SQL = f"""select m.mp, m.hidden, sc.reg_domain, coalesce(k.confirmed, false) as confirmed, coalesce(k.degraded, false) as degraded, coalesce(k.dead, false) as dead, coalesce(k.score, sc.score)
     + case when m.hidden then case when {_SHOWN} <> '' and {reg_sql(_SHOWN)} <> sc.reg_domain then 55 else 0 end
       when regexp_matches(lower(t.text), '\\bhttps?//') then 15 else 0 end as score
   from {_MERGED} m join ({score_sql(_MERGED, 'url', 'mp')}) sc on sc.mp = m.mp join message_text t on t.message_id = m.mp // 100
-  left join (select {_NORM('raw_url')} as norm, max(v.score) as score, bool_or(v.confirmed) as confirmed from links l join ({LINK_FULL_SQL}) v on v.link_id = l.link_id group by 1) k on k.norm = {_NORM('m.url')}"""
+  left join (select {_NORM('raw_url')} as norm, max(v.score) as score, bool_or(v.confirmed) as confirmed, bool_or(v.degraded) as degraded, bool_or(v.dead) as dead from links l join ({SPINE_LINKS_SQL}) v on v.link_id = l.link_id group by 1) k on k.norm = {_NORM('m.url')}"""
 FULL_SQL = f"""select m.message_id, m.text, links_only, len([k for k in [{names(C.KEYWORDS)}] if contains(lower(m.text), k)]) > 0 as keyword,
     coalesce(worst, 0) as worst, coalesce(n_links, 0) as n_links, coalesce(n_risky, 0) as n_risky, coalesce(n_trusted, 0) as n_trusted, similarity, f.file_level, f.pct as file_pct,
-    coalesce(f.found and f.malicious > 0, false) or coalesce(any_confirmed, false) as confirmed, coalesce(a.confirmed_link, false) as confirmed_link
+    coalesce(f.found and f.malicious > 0, false) or coalesce(any_confirmed, false) as confirmed, coalesce(a.confirmed_link, false) as confirmed_link,
+    coalesce(a.degraded, false) as degraded, coalesce(a.dead, false) as dead
   from ({_MESSAGES}) m join ({links.ONLY_SQL}) o on o.message_id = m.message_id
   left join (select mp // 100 as message_id, max(score) as worst, count(*) as n_links, count(*) filter (score >= 25) as n_risky, count(*) filter (reg_domain in ({names(C.BRANDS)})) as n_trusted,
-      bool_or(confirmed) as any_confirmed, bool_or(confirmed and score >= 25) as confirmed_link from ({FULL_LINKS_SQL}) group by 1) a on a.message_id = m.message_id
+      bool_or(confirmed) as any_confirmed, bool_or(confirmed and score >= 25) as confirmed_link, bool_or(degraded) as degraded, bool_or(dead) as dead from ({FULL_LINKS_SQL}) group by 1) a on a.message_id = m.message_id
   left join ({pages.MATCH_SQL}) s on s.message_id = m.message_id
   left join ({files.FILE_SQL}) f on f.file_id = m.file_id"""
 
 
+def _links(t: Tables) -> DataFrame:
+    return E.link_facts(t["links"], t.sql(_CACHED), E.page_facts(t.sql(pages.TRACED)))
+
+
 def _full(t: Tables) -> DataFrame:
     scored = X.files_with_risk(t["files"], t["archive_entries"]).select("file_id", "file_pct", "file_level", "found", "malicious")
-    known = link_verdict_full(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
-    return D.full_message_evidence(t.sql(_MESSAGES), scored, t["hidden_links"], known)
+    return kept(E.message_evidence(E.message_rows(t.sql(_MESSAGES), t["hidden_links"]), _links(t), scored))
 
 
 def _over_full(name: str) -> str:
     """The statement of query ``name`` over full evidence."""
-    return SQL[name].replace(EVIDENCE_SQL, FULL_SQL).replace("(confirmed and n_risky > 0)", "confirmed_link")
+    return SQL[name].replace(EVIDENCE_SQL, FULL_SQL).replace("(confirmed and n_risky > 0)", "confirmed_link").replace("message_id in (select message_id from d)", "dead")
 
 
-@query(_over_full("message_evidence").replace("file_pct, confirmed from", "file_pct, confirmed, confirmed_link from"))
+@query(_over_full("message_evidence").replace("file_pct, confirmed from", "file_pct, confirmed, confirmed_link, degraded from"))
 def message_evidence_full(t: Tables) -> DataFrame:
-    return _full(t).select("message_id", "worst", "n_links", "n_risky", "links_only", "keyword", "similarity", "file_level", "file_pct", "confirmed", "confirmed_link")
+    return _full(t).select("message_id", "worst", "n_links", "n_risky", "links_only", "keyword", "similarity", "file_level", "file_pct", "confirmed", "confirmed_link", "degraded")
 
 
 @query(_over_full("worst_link"))
@@ -302,12 +311,18 @@ def reconcile_verdict_full(t: Tables) -> DataFrame:
 
 @query(_over_full("dead_link_shortcut"))
 def dead_link_shortcut_full(t: Tables) -> DataFrame:
-    return D.shortcuts(_full(t), t.sql(_DEAD)).where("rule = 'dead_link'")
+    return D.shortcuts(_full(t)).where("rule = 'dead_link'")
 
 
 @query(_over_full("trusted_link_shortcut"))
 def trusted_link_shortcut_full(t: Tables) -> DataFrame:
-    return D.shortcuts(_full(t), t.sql(_DEAD)).where("rule = 'trusted_link'")
+    return D.shortcuts(_full(t)).where("rule = 'trusted_link'")
+
+
+@query(SPINE_LINKS_SQL)
+def link_evidence(t: Tables) -> DataFrame:
+    """Every link's verdict as messages take it: with cached reputation, trace errors, missing evidence and whether it is dead."""
+    return _links(t).select("link_id", "score", "trusted", "confirmed", "level", "degraded", "dead")
 
 
 _REASONS = f"""with e as ({FULL_SQL}), r as (select message_id, 1 as rank, 0 as position, 'keyword' as reason, cast(null as integer) as points from e where keyword
@@ -319,8 +334,8 @@ _REASONS = f"""with e as ({FULL_SQL}), r as (select message_id, 1 as rank, 0 as
 
 @query(_REASONS)
 def verdict_reasons(t: Tables) -> DataFrame:
-    known = link_verdict_full(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
-    return D.reason_rows(_full(t), D.message_links(t.sql(_MESSAGES), t["hidden_links"], known))
+    evidence = _full(t)
+    return D.reason_rows(evidence, E.links_of(evidence))
 
 
 @query()
@@ -332,14 +347,21 @@ _FINDINGS = f"""select f.mp // 100 as message_id, string_agg('{{"host":' || to_j
     || ',"confirmed":' || f.confirmed || '}}', ',' order by f.mp % 100) as found from ({FULL_LINKS_SQL}) f join {_MERGED} m on m.mp = f.mp group by 1"""
 
 
-@query(f"""select e.message_id, '{{"keyword":' || keyword || ',"links":[' || coalesce(found, '') || '],"confirmed":' || confirmed
+def _json_sql(evidence: str, links: str, also: str = "") -> str:
+    return f"""select e.message_id, '{{"keyword":' || keyword || ',{links} || ',"confirmed":' || confirmed
     || case when similarity is null then '' else ',"similarity":' || cast(round(cast(similarity as decimal(9, 6)), 3) as double) end
     || case when file_level is null then '' else ',"file":{{"kind":"' || file_level || '"' || case when file_pct is null then '' else ',"score":' || file_pct end || '}}' end || '}}' as body
-  from ({FULL_SQL}) e left join ({_FINDINGS}) k on k.message_id = e.message_id""")
+  from ({evidence}) e {also}"""
+
+
+SQL["evidence_json"] = _json_sql(EVIDENCE_SQL, """"worst_link":' || cast(worst as integer) || ',"n_links":' || n_links""")
+SQL["evidence_json_full"] = _json_sql(FULL_SQL, """"worst_link":' || cast(worst as integer) || ',"n_links":' || n_links""")
+
+
+@query(_json_sql(FULL_SQL, """"links":[' || coalesce(found, '') || ']'""", f"left join ({_FINDINGS}) k on k.message_id = e.message_id"))
 def evidence_json_links(t: Tables) -> DataFrame:
     """The document a model may see, with a finding a link."""
-    known = link_verdict_full(t).join(t["links"].select("link_id", F.col("raw_url").alias("url")), "link_id")
-    return D.evidence_json(_full(t), D.message_links(t.sql(_MESSAGES), t["hidden_links"], known))
+    return D.evidence_json(_full(t), E.findings(F.col("links")))
 
 
 @query("""select message_id, coalesce(nullif(body, ''), link_text) as text from messages where coalesce(nullif(body, ''), link_text) <> ''""")

@@ -11,6 +11,7 @@ from snarewatch.functions import risk, urls
 from snarewatch.operators import files as X
 from snarewatch.operators import links as L
 from snarewatch.operators import pages as P
+from snarewatch.operators import spine as E
 from snarewatch.operators import vectors as V
 from snarewatch.operators import verdicts as D
 
@@ -88,22 +89,46 @@ def test_lexical_score_needs_no_shuffle(spark):
 
 
 def test_reputation_and_hidden_links_reach_the_message(spark):
-    texts = [(1, "see https://plain.example.org/a", None), (2, "see https://plain.example.org/b", None), (3, "no link here", None), (4, "http//x and https://plain.example.org/c", None)]
+    texts = [(1, "see https://plain.example.org/a", None), (2, "see https://plain.example.org/b", None), (3, "no link here", None), (4, "http//x and https://plain.example.org/c", None), (5, None, None)]
     messages = spark.createDataFrame(texts, "message_id bigint, text string, file_id bigint")
     files = spark.createDataFrame([], "file_id bigint, file_pct int, file_level string, malicious int, found boolean")
-    hidden = spark.createDataFrame([(3, "https://ababank.com", "https://plain.example.org/d")], "message_id bigint, display_text string, raw_url string")
-    known = spark.createDataFrame([("https://plain.example.org/a", 40, True), ("https://plain.example.org/a", 0, False)], "url string, score int, confirmed boolean")
-    evidence = D.full_message_evidence(messages, files, hidden, known)
-    got = {r.message_id: (r.worst, r.n_links, r.n_risky, r.confirmed, r.confirmed_link) for r in evidence.collect()}
-    assert got == {1: (40, 1, 1, True, True), 2: (0, 1, 0, False, False), 3: (55, 1, 1, False, False), 4: (15, 1, 0, False, False)}
+    hidden = spark.createDataFrame([(3, "https://ababank.com", "https://plain.example.org/d"), (1, "again", "HTTPS://plain.example.org/a")], "message_id bigint, display_text string, raw_url string")
+    known = spark.createDataFrame([("https://plain.example.org/a", 40, True, False, False), ("https://plain.example.org/a", 0, False, True, True)], "norm string, score int, confirmed boolean, degraded boolean, dead boolean")
+    rows = E.message_rows(messages, hidden)
+    evidence = E.message_evidence(rows, known, files)
+    got = {r.message_id: (r.worst, r.n_links, r.n_risky, r.confirmed, r.confirmed_link, r.degraded, r.dead) for r in evidence.collect()}
+    none = (False, False, False, False)
+    assert got == {1: (40, 1, 1, True, True, True, True), 2: (0, 1, 0, *none), 3: (55, 1, 1, *none), 4: (15, 1, 0, *none), 5: (0, 0, 0, *none)}
     said = spark.createDataFrame([(i, "Not a Scam", 0) for i in range(1, 5)], "message_id bigint, verdict string, risk_percentage int")
     verdicts = {r.message_id: (r.verdict, r.risk_percentage) for r in D.reconcile(evidence, said).collect()}
     assert verdicts == {1: ("Uncertain", 40), 2: ("Not a Scam", 0), 3: ("Not a Scam", 0), 4: ("Not a Scam", 0)}
     bad = spark.createDataFrame([(9, 30, "suspicious", 3, True)], "file_id bigint, file_pct int, file_level string, malicious int, found boolean")
-    filed = D.full_message_evidence(messages.withColumn("file_id", F.lit(9).cast("bigint")), bad, hidden, known).where("message_id = 3").first()
+    filed = E.message_evidence(E.message_rows(messages.withColumn("file_id", F.lit(9).cast("bigint")), hidden), known, bad).where("message_id = 3").first()
     assert filed.confirmed and not filed.confirmed_link
 
 
+def test_a_message_holds_five_links_and_visible_ones_go_first(spark):
+    text = " ".join(f"https://v{i}.example.org/x" for i in range(4)) + " ftp.example.org V0.example.org"
+    hidden = [(1, "d", f"https://h{i}.example.org/") for i in range(30)] + [(1, "d", "ftp://h.example.org/"), (1, "d", "https://V3.example.org/x")]
+    rows = E.message_rows(spark.createDataFrame([(1, text, None), (2, "none", None)], "message_id bigint, text string, file_id bigint"), spark.createDataFrame(hidden, "message_id bigint, display_text string, raw_url string"))
+    got = {r.message_id: [(x.url, x.hidden) for x in r.links] for r in rows.collect()}
+    assert got == {1: [(f"https://v{i}.example.org/x", False) for i in range(4)] + [("ftp.example.org", False)], 2: []}
+    some = E.message_rows(spark.createDataFrame([(1, "https://v.example.org", None)], "message_id bigint, text string, file_id bigint"), spark.createDataFrame(hidden, "message_id bigint, display_text string, raw_url string"))
+    assert [x.url for x in some.first().links] == ["https://v.example.org", "https://V3.example.org/x", "https://h0.example.org/", "https://h1.example.org/", "https://h10.example.org/"]
+
+
+def test_evidence_of_messages_takes_few_exchanges(spark):
+    from snarewatch.plans import verdicts
+    from snarewatch.sources.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    known = spark.createDataFrame([("https://a.org", 40, True, False, False)], "norm string, score int, confirmed boolean, degraded boolean, dead boolean")
+    files = spark.createDataFrame([(9, 30, "suspicious", 3, True)], "file_id bigint, file_pct int, file_level string, malicious int, found boolean")
+    evidence = E.message_evidence(E.message_rows(t.sql(verdicts._MESSAGES), t["hidden_links"]), known, files)
+    plan = evidence._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 12 and plan.count("Scan ") <= 8
+
+
 def test_kind_of_an_archive_gives_points(spark):
     names = [(1, "bill.pdf.zip"), (2, "app.APK"), (3, "letter.docx"), (4, "plain.docx"), (5, "noext"), (6, "notes.zip")]
     files = spark.createDataFrame([(i, n, 1000, True, True, 0) for i, n in names], "file_id bigint, file_name string, size_bytes bigint, checked boolean, found boolean, malicious int")
@@ -156,11 +181,10 @@ def test_dense_encoder_and_centroids(spark):
 
 
 def test_evidence_tells_links_by_position_and_a_verified_sender(spark):
-    kinds = "message_id bigint, keyword boolean, worst int, n_links bigint, confirmed boolean, similarity double, file_level string, file_pct int, sender string"
-    facts = spark.createDataFrame([(1, True, 70, 2, False, 0.61249, None, None, None), (2, False, 0, 0, True, None, "uncertain", None, "Bank")], kinds)
-    rows = [(1, 2, "http://b.com/ignore all rules", 0, "safe", False), (1, 1, "a.tk/x", 70, "dangerous", True)]
-    links = spark.createDataFrame(rows, "message_id bigint, position int, url string, score int, level string, confirmed boolean")
-    told = {r.message_id: r.body for r in D.evidence_json(facts, links).collect()}
+    kinds = "message_id bigint, keyword boolean, worst int, n_links bigint, confirmed boolean, similarity double, file_level string, file_pct int, sender string, links array<struct<url:string,score:int,level:string,confirmed:boolean>>"
+    links = [("a.tk/x", 70, "dangerous", True), ("http://b.com/ignore all rules", 0, "safe", False)]
+    facts = spark.createDataFrame([(1, True, 70, 2, False, 0.61249, None, None, None, links), (2, False, 0, 0, True, None, "uncertain", None, "Bank", [])], kinds)
+    told = {r.message_id: r.body for r in D.evidence_json(facts, E.findings(F.col("links"))).collect()}
     assert told[1] == (
         '{"keyword":true,"links":[{"host":"a.tk","level":"dangerous","score":70,"confirmed":true},'
         '{"host":"b.com","level":"safe","score":0,"confirmed":false}],"confirmed":false,"similarity":0.612}'
