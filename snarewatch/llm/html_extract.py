@@ -20,7 +20,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +47,20 @@ _PART = re.compile(r"[A-Za-z0-9]+")
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title".split())
 #: Elements that frame a page or take input.
 CHROME = frozenset("nav aside footer form button select menu dialog head datalist fieldset".split())
-#: Words in class, id or role that mark such a frame.
+#: Words in class, id or role that mark such a frame, and words that may stand beside them in one name.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "alert alertdialog popup modal overlay dialog newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead "
     "footer comment comments respond disqus share sharing social related recommended widget toolbar pagination pager login search skip hidden "
     "complementary contentinfo form".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "site page global top bottom left right main primary secondary post posts entry article articles blog box wrap wrapper container area list bar block "
+    "section panel inner outer item items link links button buttons content unit body group row slot zone text title header reader user reply replies "
+    "thread the and to all bg mobile desktop small large sticky fixed".split()
+)
+#: Words of running text from which a form is a page that stands in a form.
+FORM_PROSE = 60
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside menu dialog".split()
@@ -64,6 +70,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LOOSE = frozenset("p li dt dd tr td th option".split())
 
 
+def _is_frame_name(name: str) -> bool:
+    """Whether a class, id or role says that its element is a frame.
+
+    Every part of the name must be a word for frames or a neutral one: ``site-footer`` is
+    one, ``no-sidebar``, ``comments-closed`` and ``share-price`` say something else.
+    """
+    parts = [w.lower() for w in _PART.findall(name)]
+    return any(w in CHROME_WORDS for w in parts) and all(w in CHROME_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in parts)
+
+
 def _is_chrome(name: str, tag: str, in_main: bool) -> bool:
     if name in CHROME or (name == "header" and not in_main):
         return True
@@ -72,7 +88,7 @@ def _is_chrome(name: str, tag: str, in_main: bool) -> bool:
     if "=" not in tag and "hidden" not in tag:
         return False
     for m in _MARK.finditer(tag):
-        if any(w.lower() in CHROME_WORDS for w in _PART.findall(m[2] or m[3] or m[4] or "")):
+        if any(map(_is_frame_name, (m[2] or m[3] or m[4] or "").split())):
             return True
     return bool(_HIDDEN.search(tag))
 
@@ -87,12 +103,15 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
 
     Character references are decoded, white space in a block is one blank, empty
     blocks are left out. One pass over the tags; unclosed elements end with the
-    block that holds them or with the page.
+    block that holds them or with the page. A frame that turns out to hold an article
+    or main element is none, nor is a form of FORM_PROSE words of text in paragraphs:
+    what it has held so far is as plain as what is outside.
     """
     out: list[tuple[str, int]] = []
     open_block: list[str] = []
     framed: list[str] = []  # text of the frame that is open
     skip_name, skip_depth = "", 0  # inside a frame: its element and how deeply nested
+    since, prose, last = 0, 0, ""  # its first block, words of paragraphs in a form, the block element before
     main: list[str] = []
 
     def flush(parts: list[str], place: int) -> None:
@@ -117,7 +136,14 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             continue
         if skip_depth:
             if name in BLOCKS:
+                if skip_name == "form" and last == "p":
+                    prose += len("".join(framed).split())
                 flush(framed, FRAME)
+                last = "" if closing else name
+            if not closing and (name in ("article", "main") and skip_name not in ("nav", "aside", "footer", "dialog") and "comment" not in tag or prose >= FORM_PROSE):
+                out[since:] = [(text, MAIN if main else PLAIN) for text, _ in out[since:]]
+                skip_depth = 0
+        if skip_depth:
             if name == skip_name:
                 skip_depth += -1 if closing else (0 if tag.endswith("/>") else 1)
                 if not closing and name in LOOSE:
@@ -137,7 +163,7 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
             if main and name == main[-1]:
                 main.pop()
         elif name not in VOID and not tag.endswith("/>") and _is_chrome(name, tag, bool(main)):
-            skip_name, skip_depth = name, 1
+            skip_name, skip_depth, since, prose, last = name, 1, len(out), 0, ""
         elif name in ("article", "main"):
             main.append(name)
     if at < len(page):
@@ -155,51 +181,6 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     return [text for text, place in found if place == PLAIN], False
 
 
-def repeated_tokens(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """Which tokens of each stream lie in a run of ``run`` or more found in ``pages`` streams.
-
-    Suffixes of the concatenation are sorted by doubling until their first ``run``
-    tokens decide, which is as deep as the question goes.
-    """
-    sizes = [len(s) for s in streams]
-    if not sizes or sum(sizes) == 0:
-        return [np.zeros(n, bool) for n in sizes]
-    owner = np.repeat(np.arange(len(streams)), np.array(sizes) + 1)
-    _, ids = np.unique(np.concatenate([*streams]), return_inverse=True)
-    text = np.empty(len(owner), np.int64)
-    starts = np.cumsum([0, *[n + 1 for n in sizes]])
-    is_end = np.zeros(len(owner), bool)
-    is_end[starts[1:] - 1] = True
-    text[~is_end] = ids
-    text[is_end] = ids.max() + 1 + np.arange(len(streams))  # ends differ, so no run crosses one
-    rank, depth = text, 1
-    while depth < run:
-        step = min(depth, run - depth)
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-step] = rank[step:]
-        order = np.lexsort((ahead, rank))
-        new = np.empty_like(rank)
-        fresh = np.ones(len(rank), bool)
-        fresh[1:] = (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])
-        new[order] = np.cumsum(fresh) - 1
-        rank, depth = new, depth + step
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    first = np.ones(len(r), bool)
-    first[1:] = r[1:] != r[:-1]
-    other = first.copy()
-    other[1:] |= o[1:] != o[:-1]
-    group = np.cumsum(first) - 1
-    distinct = np.bincount(group, weights=other)[group]
-    hit = np.zeros(len(r) + 1, np.int64)
-    begin = order[distinct >= pages]
-    begin = begin[~is_end[begin]]
-    np.add.at(hit, begin, 1)
-    np.add.at(hit, np.minimum(begin + run, len(r)), -1)
-    covered = np.cumsum(hit)[:-1] > 0
-    return [covered[a : a + n] for a, n in zip(starts, sizes)]
-
-
 def _mark(tokens: list[str]) -> int:
     """Hash of a run of tokens; runs of other lengths have other hashes."""
     text = " ".join(tokens).encode("utf-8", "surrogatepass")
