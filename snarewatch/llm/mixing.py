@@ -9,7 +9,7 @@ shard; each shard then gets a disjoint range of the source's permuted blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snarewatch.llm.common import checkpoint, fresh, words_of
@@ -154,16 +154,26 @@ def mix_sources(
     )
     taken = checkpoint(taken)
 
-    # one more document a source, the one that brings it nearest to its target
+    # what a source still lacks is filled by single documents: the largest that fits, again and
+    # again, at most one of each size; then one more, if going over by it comes nearer
     gaps = taken.groupBy("skey").agg((F.first("rest") - F.sum(F.col("size") * F.col("part"))).alias("gap"))
     offers = taken.where("part = 0 and size > 0 and passes < 3").groupBy("skey", "size").agg(
         F.min(F.struct("key", "doc_id", "block", "place")).alias("who")
     )
-    off = F.abs(F.col("size") - F.col("gap"))
+    offers = checkpoint(offers.join(gaps.hint("merge"), "skey").where("gap > 0 and size < 2 * gap"))
+    # one number for each size below twice the gap; a size is a count of words of one document
+    sizes = offers.groupBy("skey").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list("size"), asc=False).alias("sizes"))
+    start = F.struct(F.array().cast("array<bigint>").alias("picked"), F.col("gap").alias("left"))
+
+    def fill(a: Column, size: Column) -> Column:
+        return F.when(size <= a["left"], F.struct(F.concat(a["picked"], F.array(size)).alias("picked"), (a["left"] - size).alias("left"))).otherwise(a)
+
+    filled = sizes.select("skey", "sizes", F.aggregate("sizes", start, fill).alias("f"))
+    over = F.array_min(F.filter(F.array_except("sizes", "f.picked"), lambda x: (x > F.col("f.left")) & (x - F.col("f.left") < F.col("f.left"))))
+    picked = filled.select("skey", F.explode(F.array_compact(F.concat("f.picked", F.array(over)))).alias("size"))
     extra = (
-        offers.join(gaps.hint("merge"), "skey").where(off < F.col("gap"))
-        .groupBy("skey").agg(F.min(F.struct(off.alias("off"), F.col("size"), F.col("who"))).alias("best"))
-        .select("skey", F.col("best.who.block").alias("block"), F.col("best.who.place").alias("place"), F.lit(1).alias("extra"))
+        offers.join(picked.hint("merge"), ["skey", "size"])
+        .select("skey", F.col("who.block").alias("block"), F.col("who.place").alias("place"), F.lit(1).alias("extra"))
     )
     out = taken.join(extra.hint("merge"), ["skey", "block", "place"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("part") + F.col("extra")).otherwise(0)

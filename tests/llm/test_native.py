@@ -100,6 +100,12 @@ def test_mix_targets_and_takes(spark):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix_sources(table.repartition(3)).collect()))
 
 
+def test_a_long_document_leaves_no_gap(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = mixing.mix_sources(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 0.005 * r.target for r in by) and len(by) > 5
+
+
 def test_equal_rows_are_taken_one_by_one(spark):
     rows = [(1, "w " * 40, "a")] * 6 + [(2, "v " * 40, "b")] * 2
     out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
