@@ -31,6 +31,8 @@ PIECE = 1 << 22
 PAIRS = 1_000_000
 #: Groups (language, source) up to which their totals are broadcast, some 10 MB.
 FEW_GROUPS = 100_000
+#: Sources of a language in a batch up to which its terms are one table of numbers.
+FEW_SOURCES = 64
 #: Probabilities are numbers of 1 to SCALE + 1.
 SCALE = 1_000_000_000
 #: Ranks of the terms that a group uses more than its language.
@@ -184,31 +186,51 @@ def shared_terms(postings: DataFrame, most: int = PAIRS) -> DataFrame:
                 lang, a, b, v = zip(*rows[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(v, pa.int64())], names=["lang", "a", "b", "value"])
 
-        # terms with the same sources are added up as rows of numbers first
+        def add(lang: str, sources: list[str], p: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Corrections of terms (rows of ``p``) in sources (columns); where one has no term ``p`` is as ``z``, and nothing comes of it."""
+            nonlocal sums, size
+            by = sums.setdefault(lang, {})
+            step = max(1, PAIRS // (len(sources) + 1))
+            for k, a in enumerate(sources[:-1]):
+                rest, value = slice(k + 1, None), 0
+                for at in range(0, len(p), step):
+                    one, two = p[at : at + step, k : k + 1], p[at : at + step, rest]
+                    value += (_gap(one, two) - _gap(one, z[rest]) - _gap(z[k], two) + _gap(z[k], z[rest])).sum(axis=0)
+                for b, v in zip(sources[k + 1 :], value.tolist()):
+                    size += (a, b) not in by
+                    by[a, b] = by.get((a, b), 0) + v
+                if size >= most:
+                    yield from put_out()
+                    sums, size = {}, 0
+                    by = sums.setdefault(lang, {})
+
         for batch in batches:
-            alike: dict[tuple, list[int]] = {}
-            lists = [c.to_pylist() for c in batch.columns]
-            for i, (lang, sources) in enumerate(zip(lists[0], lists[1])):
-                if len(sources) > 1:
-                    alike.setdefault((lang, *sources), []).append(i)
-            for (lang, *sources), rows in alike.items():
-                p = np.array([lists[2][i] for i in rows], np.int64)
-                z = np.array(lists[3][rows[0]], np.int64)
-                by = sums.setdefault(lang, {})
-                for k, a in enumerate(sources):
-                    rest = slice(k + 1, None)
-                    step = max(1, most // (len(sources) + 1))
-                    value = np.zeros(len(sources) - k - 1, np.int64)
-                    for at in range(0, len(rows), step):
-                        one, two = p[at : at + step, k : k + 1], p[at : at + step, rest]
-                        value += (_gap(one, two) - _gap(one, z[rest]) - _gap(z[k], two) + _gap(z[k], z[rest])).sum(axis=0)
-                    for b, v in zip(sources[k + 1 :], value.tolist()):
-                        size += (a, b) not in by
-                        by[a, b] = by.get((a, b), 0) + v
-                    if size >= most:
-                        yield from put_out()
-                        sums, size = {}, 0
-                        by = sums.setdefault(lang, {})
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column(1)).to_numpy()))
+            coded = batch.column(1).flatten().dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            ps, zs = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lang in dict.fromkeys(langs):
+                rows = np.flatnonzero(langs == lang)
+                at = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in rows])
+                mine = sorted(set(codes[at].tolist()), key=names.__getitem__)
+                if len(mine) <= FEW_SOURCES:
+                    place = np.zeros(len(names), np.int64)
+                    place[mine] = np.arange(len(mine))
+                    z = np.ones(len(mine), np.int64)
+                    z[place[codes[at]]] = zs[at]
+                    p = np.repeat(z[None], len(rows), axis=0)
+                    p[np.repeat(np.arange(len(rows)), np.diff(ends)[rows]), place[codes[at]]] = ps[at]
+                    yield from add(lang, [names[c] for c in mine], p, z)
+                    continue
+                # of many sources a term has few: terms go by the sources that they have
+                alike: dict[bytes, list[int]] = {}
+                for i in rows:
+                    alike.setdefault(codes[ends[i] : ends[i + 1]].tobytes(), []).append(ends[i])
+                for key, starts in alike.items():
+                    own = np.frombuffer(key, codes.dtype)
+                    if len(own) > 1:
+                        yield from add(lang, [names[c] for c in own], ps[np.array(starts)[:, None] + np.arange(len(own))], zs[starts[0] : starts[0] + len(own)])
         yield from put_out()
 
     half = postings.select("lang", "sources", "ps", "zeros").mapInArrow(run, "lang string, a string, b string, value bigint")

@@ -127,6 +127,7 @@ def test_divergences_equal_a_dense_table(spark, monkeypatch, most, pairs):
     monkeypatch.setattr(source_divergence, "PAIRS", pairs)
     monkeypatch.setattr(source_divergence.shared_terms, "__defaults__", (pairs,))
     monkeypatch.setattr(source_divergence, "FEW_GROUPS", most)
+    monkeypatch.setattr(source_divergence, "FEW_SOURCES", pairs // 10_000)
     rows = [("Alpha beta BETA gamma", "en", "a"), ("alpha beta\x00beta delta9delta", "en", "b"), ("alpha ខ្មែរ ខ្មែរ beta", "en", "c"), ("ÄB äb äB beta", "en", None), (None, "en", "empty"), (None, None, None), ("one two", None, "x"), ("one one", "", "y")]
     rows += [("alpha beta gamma gamma epsilon", "en", "a")] * 5 + [("zeta " * 500 + "beta", "en", "b")] * 4 + [("lonely", "de", "a"), ("words", "de", "b"), ("", "fr", "a")] + [(f"t{i} u{i % 3} tie{'ab'[i % 2]}", "en", f"s{i % 4}") for i in range(20)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "text string, lang string, source string, term string, n int").repartition(3)
