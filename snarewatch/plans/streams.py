@@ -25,46 +25,40 @@ def query(sql: str | None = None):
     return add
 
 
-#: Rows of a file, and so of a batch, where order matters.
-SLICE_ROWS = 1_000_000
+#: By how much the closing row of ``drain`` is later than the last of a stream.
+LONG_AFTER = "interval 3650 days"
 
 
-def write_in_order(rows: DataFrame, path: str, order: tuple) -> None:
-    """Files of about SLICE_ROWS rows that a file stream takes in the order of ``order``.
+def drain(t: Tables, rows: DataFrame, build, mode: str = "append", closing: str = "", files: int = 0) -> DataFrame:
+    """Write ``rows`` as files, stream them through ``build`` to their end, and read what came out.
 
-    A file stream goes by modification times, so each file is given one of its own.
-    """
-    n = -(-rows.count() // SLICE_ROWS)
-    rows.repartitionByRange(max(n, 1), *order).write.parquet(path)
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    files = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
-    newest = min((f.getModificationTime() for f in files), default=0) // 1000 * 1000
-    for i, f in enumerate(reversed(files)):
-        fs.setTimes(f.getPath(), newest - i * 1000, -1)
-        if fs.getFileStatus(f.getPath()).getModificationTime() != newest - i * 1000:
-            raise ValueError("this file system keeps no modification times, so a stream over it has no order")
-
-
-def drain(t: Tables, rows: DataFrame, build, mode: str = "append", order: tuple = ()) -> DataFrame:
-    """Write ``rows`` as files, stream them through ``build`` once, and read what came out.
-
-    With ``order`` each batch is one slice of the rows in that order.
+    With ``closing``, the name of an id, a row that has a time far ahead and nulls else follows
+    when all others are through, so that what waits for the watermark comes out. ``files``
+    deals the rows to so many files by chance and takes one a batch.
     """
     folder = shared_folder(t.spark)
+    (rows.repartition(files) if files else rows).write.parquet(f"{folder}/in")
     reader = t.spark.readStream.schema(rows.schema)
-    if order:
-        write_in_order(rows, f"{folder}/in", order)
-        reader = reader.option("maxFilesPerTrigger", 1)
-    else:
-        rows.write.parquet(f"{folder}/in")
-    source = reader.parquet(f"{folder}/in")
-    done = build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append":
-        done.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    else:
-        done.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+    source = (reader.option("maxFilesPerTrigger", 1) if files else reader).parquet(f"{folder}/in")
+    was = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
+
+    def through() -> None:
+        done = build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        if mode == "append":
+            done.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+        else:
+            done.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+
+    try:
+        through()
+        if closing:
+            end = rows.agg(F.max("ts").alias("ts")).withColumn("ts", (F.col("ts") + F.expr(LONG_AFTER)).cast(rows.schema["ts"].dataType))
+            names = [F.col(c) if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+            end.select(names).write.mode("append").parquet(f"{folder}/in")
+            through()
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     return t.spark.read.parquet(f"{folder}/out")
 
 
@@ -84,19 +78,18 @@ def stream_daily_usage(t: Tables) -> DataFrame:
 
 @query(USAGE_SQL["greedy_gap"])
 def stream_greedy_gap(t: Tables) -> DataFrame:
-    return drain(t, t.sql(_CHECKS), lambda d: S.gaps(d, "link_id", 86400), order=(F.col("ts").cast("timestamp"), "id"))
+    return drain(t, t.sql(_CHECKS), lambda d: S.gaps(d, "link_id", 86400), closing="id")
 
 
 @query(USAGE_SQL["failure_alerts"].replace("select service, id from g where kept", "select service, id as event_id from g where kept"))
 def stream_failure_alerts(t: Tables) -> DataFrame:
-    # by whole seconds, which no batch may cut
-    return drain(t, t["backend_failures"], S.failure_alerts, order=(F.unix_seconds(F.col("ts").cast("timestamp")),))
+    return drain(t, t["backend_failures"], S.failure_alerts, closing="event_id")
 
 
-@query()
+@query(f"select link_id, count(*) as n from ({USAGE_SQL['verdict_cache']}) group by 1")
 def stream_seen_dedup(t: Tables) -> DataFrame:
     """How many checks of each link the one-hour rule keeps, by the exact form."""
-    kept = drain(t, t.sql(_CHECKS), lambda d: S.gaps(d, "link_id", 3600), order=(F.col("ts").cast("timestamp"), "id"))
+    kept = drain(t, t.sql(_CHECKS), lambda d: S.gaps(d, "link_id", 3600), closing="id")
     return kept.groupBy("link_id").agg(F.count("*").alias("n"))
 
 

@@ -5,12 +5,13 @@ Times are event times. Rows later than the watermark are dropped by Spark.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from snarewatch.operators import links as L
 
@@ -34,74 +35,123 @@ def seen_dedup(checks: DataFrame, within: str = "1 hour") -> DataFrame:
     return checks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["link_id"])
 
 
-def first_ids(frames: Iterator[pd.DataFrame], name: str) -> dict[int, int]:
-    """The smallest id of each time stamp, frame by frame."""
-    first: dict[int, int] = {}
-    for frame in frames:
-        for at, row_id in frame.groupby("at")[name].min().items():
-            first[int(at)] = min(int(row_id), first.get(int(at), int(row_id)))
-    return first
+#: Rows wait in slices of so many microseconds until the watermark has passed theirs.
+WAIT = 60_000_000
+#: The state store that list states and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def gaps(rows: DataFrame, key: str, seconds: int, strict: bool = True) -> DataFrame:
-    """Rows (key, id, ts) kept if they come after the last kept one of their key by the gap.
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their time, whatever order they arrive in.
 
-    State is one time stamp a key. Within a batch a key's rows are taken in time
-    order; order across batches is that of arrival. A batch holds the smallest id of
-    each time stamp of a key, so its size is the caller's bound. ``seconds`` > 0.
+    Rows wait in a list state; a timer at the end of each slice of time fires when the
+    watermark has passed it, as nothing earlier can arrive then, and the waiting rows before
+    it are folded in order. A subclass gives the fold: its state as a schema, and ``step``.
+    Rows of one slice, so of one time stamp or second, are always folded together.
     """
-    gap = seconds * 1_000_000
-
-    def keep(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = first_ids(frames, "id")
-        last = state.get[0] if state.exists else None
-        kept = []
-        for at, row_id in sorted(first.items()):
-            if last is None or (at - last > gap if strict else at - last >= gap):
-                kept.append(row_id)
-                last = at
-        state.update((last,))
-        yield pd.DataFrame({key: [name[0]] * len(kept), "id": kept})
 
-    timed = rows.select(key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    kind = timed.schema[key].dataType.simpleString()
-    return timed.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    state = "last bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint")
+        self.folded = handle.getValueState("folded", self.state)
+
+    def step(self, rows: list[tuple[int, int]], state: tuple | None) -> tuple[list[int], tuple]:
+        """Ids that the fold keeps of ``rows`` (at, id) in order, and the state after them."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        slices = set()
+        for frame in rows:
+            frame = frame[frame["id"].notna()]
+            pairs = [(int(at), int(i)) for at, i in zip(frame["at"], frame["id"])]
+            slices |= {at // WAIT for at, _ in pairs}
+            if pairs:
+                self.waiting.appendList(pairs)
+        for n in slices:
+            self.handle.registerTimer((n + 1) * WAIT // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = sorted((r[0], r[1]) for r in self.waiting.get())
+        due = [r for r in rows if r[0] < until]
+        kept: list[int] = []
+        if due:
+            kept, state = self.step(due, tuple(self.folded.get()) if self.folded.exists() else None)
+            self.folded.update(state)
+            if len(due) < len(rows):
+                self.waiting.put(rows[len(due) :])
+            else:
+                self.waiting.clear()
+        if kept:
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(kept), dtype=object), "id": kept})
+
+    def close(self) -> None:
+        pass
+
+
+class Gap(InOrder):
+    """Keep a row if it comes after the last one kept by the gap; the state is one time stamp."""
+
+    def __init__(self, gap: int, strict: bool) -> None:
+        self.gap, self.strict = gap, strict
+
+    def step(self, rows: list[tuple[int, int]], state: tuple | None) -> tuple[list[int], tuple]:
+        last, kept = state[0] if state else None, []
+        for at, i in rows:
+            if last is None or (at - last > self.gap if self.strict else at - last >= self.gap):
+                last = at
+                kept.append(i)
+        return kept, (last,)
 
 
-def failure_alerts(failures: DataFrame, least: int = 3, seconds: int = 3600) -> DataFrame:
-    """Alerts per service: ``least`` failures in the window, none sent within it.
+class Alert(InOrder):
+    """Keep a failure if enough came within the window and no alert did; all failures of a second count for each of them.
 
-    State is the last ``least`` failures' seconds and the time of the last alert. All
-    failures of a second count for each of them, so a second must not be cut by
-    batches. A batch holds a count a second and an id a time stamp.
+    The state is the seconds of the last ``least`` failures and the time of the last alert.
     """
-    gap = seconds * 1_000_000
 
-    def alert(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts: dict[int, int] = {}
+    state = "recent array<bigint>, last bigint"
 
-        def counted() -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for second, n in (frame["at"] // 1_000_000).value_counts().items():
-                    counts[int(second)] = min(counts.get(int(second), 0) + int(n), least)
-                yield frame
+    def __init__(self, least: int, seconds: int) -> None:
+        self.least, self.seconds = least, seconds
 
-        first = first_ids(counted(), "event_id")
-        recent, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        sent = []
-        for at, event_id in sorted(first.items()):
+    def step(self, rows: list[tuple[int, int]], state: tuple | None) -> tuple[list[int], tuple]:
+        recent, last = (list(state[0] or []), state[1]) if state else ([], None)
+        counts, kept = Counter(at // 1_000_000 for at, _ in rows), []
+        for at, i in rows:
             second = at // 1_000_000
-            recent = (recent + [second] * counts.pop(second, 0))[-least:]
-            if len(recent) >= least and recent[0] >= second - seconds and (last is None or at - last >= gap):
-                sent.append(event_id)
+            recent = (recent + [second] * min(counts.pop(second, 0), self.least))[-self.least :]
+            if len(recent) >= self.least and recent[0] >= second - self.seconds and (last is None or at - last >= self.seconds * 1_000_000):
                 last = at
-        state.update((recent, last))
-        yield pd.DataFrame({"service": [name[0]] * len(sent), "event_id": sent})
+                kept.append(i)
+        return kept, (recent, last)
 
-    timed = failures.select("service", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return timed.groupBy("service").applyInPandasWithState(
-        alert, "service string, event_id bigint", "recent array<bigint>, last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+
+def _in_order(rows: DataFrame, key: str, processor: InOrder, late: str) -> DataFrame:
+    kind = rows.schema[key].dataType.simpleString()
+    ts = F.col("ts").cast("timestamp")
+    timed = rows.select(F.col(key).alias("key"), F.col("id").cast("bigint").alias("id"), F.unix_micros(ts).alias("at"), ts.alias("ts")).withWatermark("ts", late)
+    out = timed.groupBy("key").transformWithStateInPandas(processor, f"key {kind}, id bigint", "Append", "EventTime")
+    return out.select(F.col("key").alias(key), "id")
+
+
+def gaps(rows: DataFrame, key: str, seconds: int, strict: bool = True, late: str = "1 hour") -> DataFrame:
+    """Rows (key, id) kept if they come after the last kept one of their key by the gap.
+
+    Exact for rows that arrive no later than ``late`` after the newest, in any order; later
+    ones are dropped. A row comes out when the watermark has passed it. Rows without an id
+    only move the watermark. ``seconds`` > 0.
+    """
+    return _in_order(rows, key, Gap(seconds * 1_000_000, strict), late)
+
+
+def failure_alerts(failures: DataFrame, least: int = 3, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Alerts per service: ``least`` failures in the window, none sent within it; service, event_id."""
+    rows = failures.select("service", F.col("event_id").alias("id"), "ts")
+    return _in_order(rows, "service", Alert(least, seconds), late).withColumnRenamed("id", "event_id")
 
 
 def owner_alerts(messages: DataFrame, verdicts: DataFrame, trials: DataFrame) -> DataFrame:
