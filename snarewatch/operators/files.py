@@ -218,7 +218,7 @@ def magic_type(content: Column) -> Column:
         F.when(windows, "Windows program")
         .when(_starts(content, "7F454C46"), "Linux program")
         .when(_starts(content, "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE"), "macOS program")
-        .when(_starts(content, "504B0304"), "ZIP")
+        .when(_starts(content, "504B0304", "504B0506"), "ZIP")
         .when(_starts(content, "526172211A0700", "526172211A070100"), "RAR")
         .when(_starts(content, "377ABCAF271C"), "7Z")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snarewatch.operators import folds
+from snarewatch.sources.fixtures import kept
 
 FILE_LIMIT, LINK_LIMIT, TOKEN_LIMIT, TRIAL_DAYS = 3, 8, 20_000, 7
 
@@ -129,6 +130,31 @@ def upsert(snapshot: DataFrame | None, batch: DataFrame, key: str, order: tuple[
     return rows.groupBy(key).agg(F.max_by(whole, F.struct(*order)).alias("row")).select("row.*")
 
 
+def merge_into(path: str, batch: DataFrame, key: str, order: tuple[str, ...], batch_id: int, parts: int = 64) -> list[int]:
+    """Put a batch into a written snapshot: of each key the row that is last in ``order`` stays. Returns the parts rewritten.
+
+    The snapshot lies in ``parts`` folders by a hash of the key. Only folders that the batch
+    touches are read and rewritten, from a copy that is written beside them first, so a lost
+    executor costs a task; a batch whose number was put in before changes nothing. A key is
+    a column without nulls; the snapshot's other columns are those of its first batch.
+    """
+    spark = batch.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_batches/{batch_id}")
+    if fs.exists(done):
+        return []
+    dealt = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    touched = sorted(r.part for r in dealt.select("part").distinct().collect())  # ``parts`` numbers at most
+    rows = dealt
+    if any(x.getPath().getName().startswith("part=") for x in (fs.listStatus(folder) if fs.exists(folder) else [])):
+        rows = rows.unionByName(spark.read.schema(dealt.schema).parquet(path).where(F.col("part").isin(touched)))
+    staged = kept(rows.groupBy("part", key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("row")).select("row.*", "part"))
+    staged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    fs.mkdirs(done)
+    return touched
+
+
 def append_scan_log(verdicts: DataFrame, path: str) -> None:
     """Append sink of verdicts, by day."""
     verdicts.withColumn("dt", F.to_date("checked_at")).write.mode("append").partitionBy("dt").parquet(path)

@@ -170,6 +170,33 @@ def script_matches(messages: DataFrame, threshold: float = 0.5) -> DataFrame:
     return best.where(F.col("similarity") >= threshold).select("message_id", F.col("seed_key").alias("script"), "label", "similarity")
 
 
+def threshold_sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
+    """What every threshold would do: threshold, false_hits, misses and safe, a row for each of 0 to ``steps`` of ``steps``.
+
+    ``scored`` has similarity and scripted (whether the text is one that should match); a text
+    matches from the threshold on. ``safe`` is the window in which both are right: above the
+    highest of the others and up to the lowest of the scripted. Texts are counted by step
+    before they meet, so the sums run over ``steps`` rows.
+    """
+    at = F.floor(F.col("similarity") * steps).cast("int")
+    n = scored.where("similarity is not null and scripted is not null").groupBy(F.greatest(F.least(at, F.lit(steps)), F.lit(-1)).alias("step")).agg(
+        F.count_if("scripted").alias("good"), F.count_if(~F.col("scripted")).alias("bad"),
+        F.min(F.when(F.col("scripted"), F.col("similarity"))).alias("low"), F.max(F.when(~F.col("scripted"), F.col("similarity"))).alias("high"),
+    )
+    zero = F.lit(0).cast("bigint")
+    every = scored.sparkSession.range(-1, steps + 1).select(F.col("id").cast("int").alias("step"), zero.alias("good"), zero.alias("bad"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    # a text on a step is at its threshold, so from its step on it is a match there
+    whole = n.unionByName(every).groupBy("step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("low").alias("low"), F.max("high").alias("high"))
+    from_here = Window.orderBy("step").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy()
+    told = whole.select(
+        "step", F.sum("bad").over(from_here).alias("false_hits"), F.coalesce(F.sum("good").over(before), zero).alias("misses"), F.min("low").over(over).alias("low"), F.max("high").over(over).alias("high"),
+    ).where("step >= 0")
+    threshold = F.col("step") / steps
+    return told.select(threshold.alias("threshold"), "false_hits", "misses", ((threshold > F.coalesce("high", F.lit(-1.0))) & (threshold <= F.coalesce("low", F.lit(2.0)))).alias("safe"))
+
+
 #: Reference vectors of ``dense_nearest``: they go to every task as one matrix.
 MOST_CENTROIDS = 10_000
 

@@ -114,7 +114,7 @@ def engine_labels(t: Tables) -> DataFrame:
 
 
 _HEADS = (
-    "4D5A" + "00" * 58 + "40000000" + "50450000", "7F454C46", "CFFAEDFE", "504B0304", "526172211A0700", "377ABCAF271C",
+    "4D5A" + "00" * 58 + "40000000" + "50450000", "7F454C46", "CFFAEDFE", "504B0304", "504B0506", "526172211A0700", "377ABCAF271C",
     b"%PDF-1.4 /Launch (x)".hex(), b"%PDF-1.4 /JS(x)".hex(), b"%PDF-1.4 /JSON".hex(), "D0CF11E0A1B11AE1" + "_VBA_PROJECT".encode("utf-16-le").hex(), "4D5A" + "00" * 58 + "FFFFFF7F", "",
 )
 _NAMES = ".pdf .exe .docx .jpg .txt".split()
@@ -135,7 +135,7 @@ def _file_bytes(t: Tables) -> DataFrame:
 _DIGIT = lambda i: f"(strpos('0123456789ABCDEF', substr(h, {i}, 1)) - 1)"
 _OFFSET = "cast(" + " + ".join(f"{_DIGIT(121 + i)} * {16 ** p}" for i, p in enumerate((1, 0, 3, 2, 5, 4, 7, 6))) + " as bigint)"
 _KIND = f"""case when starts_with(h, '4D5A') and length(h) >= 128 and {_OFFSET} < length(h) / 2 and substr(h, {_OFFSET} * 2 + 1, 8) = '50450000' then 'Windows program'
-  when starts_with(h, '7F454C46') then 'Linux program' when substr(h, 1, 8) in ('FEEDFACE', 'FEEDFACF', 'CEFAEDFE', 'CFFAEDFE') then 'macOS program' when starts_with(h, '504B0304') then 'ZIP'
+  when starts_with(h, '7F454C46') then 'Linux program' when substr(h, 1, 8) in ('FEEDFACE', 'FEEDFACF', 'CEFAEDFE', 'CFFAEDFE') then 'macOS program' when substr(h, 1, 8) in ('504B0304', '504B0506') then 'ZIP'
   when starts_with(h, '526172211A0700') or starts_with(h, '526172211A070100') then 'RAR' when starts_with(h, '377ABCAF271C') then '7Z' end"""
 _READ = f"select *, {_KIND} as kind, case when file_name like '%.%' then lower(string_split(file_name, '.')[-1]) end as ext from (select *, hex(content) as h from ({_bytes_sql('encode(text)')}))"
 

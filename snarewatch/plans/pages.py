@@ -249,6 +249,19 @@ def threshold_calibration(t: Tables) -> DataFrame:
     )
 
 
+_SWEPT = f"select similarity, starts_with(text, 'Your account will be suspended') as scripted from ({BEST_SQL}) b join message_text m on m.message_id = b.message_id"
+
+
+@query(f"""with s as ({_SWEPT}) select i / 100 as threshold, (select count(*) from s where not scripted and similarity >= i / 100) as false_hits, (select count(*) from s where scripted and similarity < i / 100) as misses,
+  coalesce(i / 100 > (select max(similarity) from s where not scripted), true) and coalesce(i / 100 <= (select min(similarity) from s where scripted), true) as safe
+  from range(0, 101) r(i)""")
+def threshold_sweep(t: Tables) -> DataFrame:
+    """False hits and misses of the script match at every threshold, and where both are none."""
+    best = V.nearest(t["message_text"], "message_id", "text", ("scam_pattern",), 1).select("message_id", "similarity")
+    told = t["message_text"].select("message_id", F.col("text").startswith("Your account will be suspended").alias("scripted"))
+    return V.threshold_sweep(best.hint("merge").join(told, "message_id"))
+
+
 @query(f"""with c as (select label as centroid, arg_min(embedding, vec_id) as c from embeddings group by label),
   s as (select vec_id, centroid, round(list_cosine_similarity(cast(embedding as double[]), cast(c as double[])), 6) as similarity from embeddings, c)
   select vec_id, centroid, similarity, similarity >= 0.74 as near from (select *, row_number() over (partition by vec_id order by similarity desc, centroid) as n from s) where n = 1""")

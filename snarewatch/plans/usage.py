@@ -152,13 +152,12 @@ def quota_refunds(t: Tables) -> DataFrame:
 
 @query("select link_id, max(struct_pack(ts := ts, check_id := check_id)).check_id as check_id from link_checks group by link_id")
 def upsert_snapshot(t: Tables) -> DataFrame:
-    """Three batches put into one written snapshot in turn, in any order of their times."""
-    folder, snapshot = shared_folder(t.spark), None
+    """Three batches put into one written snapshot in turn, in any order of their times, and the second again."""
+    path = f"{shared_folder(t.spark)}/snapshot"
     rows = t["link_checks"].select("link_id", "check_id", "ts")
-    for i in range(3):
-        U.upsert(snapshot, rows.where(F.pmod("check_id", F.lit(3)) == i), "link_id", ("ts", "check_id")).write.parquet(f"{folder}/{i}")
-        snapshot = t.spark.read.parquet(f"{folder}/{i}")
-    return snapshot.select("link_id", "check_id")
+    for i in (0, 1, 2, 1):
+        U.merge_into(path, rows.where(F.pmod("check_id", F.lit(3)) == i), "link_id", ("ts", "check_id"), batch_id=i)
+    return t.spark.read.parquet(path).select("link_id", "check_id")
 
 
 @query(f"select link_id, cast(link_id % 4 as integer) as host_group, count(*) as n from link_checks group by 1, 2")
