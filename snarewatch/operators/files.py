@@ -106,7 +106,7 @@ def kind_findings(files: DataFrame, entries: DataFrame) -> DataFrame:
 
     An app package under another name, and macros in an office document.
     """
-    kinds = archive_kinds(entries).join(files.select("file_id", extension(F.col("file_name")).alias("claimed")), "file_id")
+    kinds = archive_kinds(entries).join(files.select("file_id", extension(F.col("file_name")).alias("claimed")).hint("merge"), "file_id")
     disguised = F.col("is_apk") & ~F.coalesce(F.col("claimed") == "apk", F.lit(False))
     rules = (("disguised_app_package", 85, disguised), ("office_macros", 50, ~F.col("is_apk") & F.col("is_office") & F.col("has_macros")))
     rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("finding"), F.lit(v).alias("score"))) for n, v, c in rules]))
@@ -119,7 +119,7 @@ def all_findings(files: DataFrame, entries: DataFrame) -> DataFrame:
     App packages and office documents are judged as such, not by single entries.
     """
     known = archive_kinds(entries).where("is_apk or is_office").select("file_id")
-    single = archive_findings(entries).join(known, "file_id", "left_anti")
+    single = archive_findings(entries).join(known.hint("merge"), "file_id", "left_anti")
     return best_findings(single.unionByName(kind_findings(files, entries)))
 
 
@@ -135,7 +135,7 @@ def engine_risk(malicious: Column) -> Column:
 def local_scores(named: DataFrame, findings: DataFrame) -> DataFrame:
     """Add local_score: the strongest of the name's and the findings' scores."""
     top = findings.groupBy("file_id").agg(F.max("score").alias("found_score"))
-    return named.join(top, "file_id", "left").withColumn("local_score", F.greatest("name_score", F.coalesce("found_score", F.lit(0))))
+    return named.join(top.hint("merge"), "file_id", "left").withColumn("local_score", F.greatest("name_score", F.coalesce("found_score", F.lit(0))))
 
 
 def file_risk(scored: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def merge_hidden_links(visible: DataFrame, hidden: DataFrame, most: int = C.MAX_
     """
     seen = visible.select("message_id", F.lower("url").alias("low"))
     new = hidden.where(F.lower("raw_url").rlike("^https?://")).withColumn("low", F.lower("raw_url"))
-    new = new.join(seen, ["message_id", "low"], "left_anti").select(
+    new = new.join(seen.hint("merge"), ["message_id", "low"], "left_anti").select(
         "message_id", F.lit(1).alias("side"), F.lit(0).alias("position"), F.col("raw_url").alias("url"), "display_text"
     )
     shown = visible.select("message_id", F.lit(0).alias("side"), "position", "url", F.lit(None).cast("string").alias("display_text"))
@@ -196,7 +196,7 @@ def enrich_links(links: DataFrame, intel: DataFrame) -> DataFrame:
     """
     known = F.coalesce(F.col("vt_unavailable"), F.lit(True)) == F.lit(False)
     return (
-        links.join(intel, "link_id", "left")
+        links.join(intel.hint("merge"), "link_id", "left")
         .withColumn("age_points", domain_age_points(F.col("domain_age_days")))
         .withColumn("cert_points", cert_age_points(F.col("cert_age_days")))
         .withColumn("dns_points", F.when(F.col("n_ips") == 0, 25).otherwise(0))

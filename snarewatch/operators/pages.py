@@ -145,7 +145,7 @@ def with_resemblance(pages: DataFrame, top: DataFrame) -> tuple[DataFrame, Colum
     ``top`` has page_id, kind and similarity of each host's nearest seeds.
     """
     best = top.where("kind = 'brand'").groupBy("page_id").agg(F.max("similarity").alias("best_brand"))
-    return pages.join(best, "page_id", "left"), F.coalesce(F.col("best_brand") >= RESEMBLES, F.lit(False))
+    return pages.join(best.hint("merge"), "page_id", "left"), F.coalesce(F.col("best_brand") >= RESEMBLES, F.lit(False))
 
 
 def long_enough(text: Column) -> Column:

@@ -56,7 +56,7 @@ def link_facts(links: DataFrame, intel: DataFrame, facts: DataFrame) -> DataFram
     near = V.near_duplicates(facts.where("enough").select(F.col("page_id").alias("id"), "host", "signature")).select(F.col("id").alias("link_id"), F.lit(25).alias("copied"))
     base = L.lexical_score(links).select("link_id", "norm", "host", "score", F.col("reg_domain").isin(*C.BRANDS).alias("trusted"))
     base = V.with_similarity(base, "host", ("brand", "phish"), 4)
-    wide = L.enrich_links(base, intel.hint("merge"))
+    wide = L.enrich_links(base, intel)
     for side in (facts.drop("host", "signature").withColumnRenamed("page_id", "link_id"), near):
         wide = wide.join(side.hint("merge"), "link_id", "left")
     v = lambda c: F.coalesce(F.col(c), F.lit(0))

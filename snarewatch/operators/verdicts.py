@@ -43,9 +43,9 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     theft = P.credential_exfil(pages).select(F.col("page_id").alias("link_id"), F.lit(40).alias("theft"))
     copied = near.select(F.col("page_id").alias("link_id"), F.lit(25).alias("copied"))
     wide = L.enrich_links(base.select("link_id", "score", "trusted"), intel)
-    remembered = [] if seen is None else [seen.select("link_id", "seen_points").hint("merge")]
+    remembered = [] if seen is None else [seen.select("link_id", "seen_points")]
     for side in (phish, network, spoof, theft, copied, *remembered):
-        wide = wide.join(side, "link_id", "left")
+        wide = wide.join(side.hint("merge"), "link_id", "left")
     wide = wide if remembered else wide.withColumn("seen_points", F.lit(0))
     v = lambda c: F.coalesce(F.col(c), F.lit(0))
     strange = F.when(F.col("trusted"), 0).otherwise(phish_points(F.coalesce("phish", F.lit(0.0))) + v("spoof") + v("theft") + v("seen_points"))
@@ -61,7 +61,7 @@ def link_verdicts(links: DataFrame, intel: DataFrame, pages: DataFrame, near: Da
     if not degraded:
         return told.drop("blind")
     silent = F.col("like").isNull() & (F.col("level") != "safe") & ~F.col("confirmed")
-    return told.join(unlike, "link_id", "left").withColumn("degraded", silent | (F.col("blind") & (F.col("level") != "dangerous"))).drop("blind", "like")
+    return told.join(unlike.hint("merge"), "link_id", "left").withColumn("degraded", silent | (F.col("blind") & (F.col("level") != "dangerous"))).drop("blind", "like")
 
 
 #: Characters of a page's text that the memory keeps of a link.
@@ -100,7 +100,7 @@ def message_evidence(messages: DataFrame, files: DataFrame) -> DataFrame:
     told = L.only_links(messages)
     words = F.exists(F.array(*[F.lit(k) for k in C.KEYWORDS]), lambda k: F.contains(F.lower("text"), k))
     scripts = V.script_matches(told.where("not links_only").select("message_id", "text")).select("message_id", "similarity")
-    wide = told.withColumn("keyword", words).join(scored, "message_id", "left").join(scripts, "message_id", "left").join(files, "file_id", "left")
+    wide = told.withColumn("keyword", words).join(scored.hint("merge"), "message_id", "left").join(scripts.hint("merge"), "message_id", "left").join(files.hint("merge"), "file_id", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("worst", "n_links", "n_risky", "n_trusted")}
     told = wide.withColumns(zero).withColumn("confirmed", F.coalesce(F.col("found") & (F.col("malicious") > 0), F.lit(False)))
     return told.withColumn("confirmed_link", F.col("confirmed") & (F.col("n_risky") > 0))
@@ -149,7 +149,7 @@ def reconcile(evidence: DataFrame, model: DataFrame) -> DataFrame:
 
     ``model`` has message_id, verdict, risk_percentage. Returns the same columns.
     """
-    both = model.select("message_id", F.col("verdict").alias("said"), risk_number(F.col("risk_percentage")).alias("given")).join(evidence, "message_id")
+    both = model.select("message_id", F.col("verdict").alias("said"), risk_number(F.col("risk_percentage")).alias("given")).join(evidence.hint("merge"), "message_id")
     bad_file = F.coalesce(F.col("file_level") == "dangerous", F.lit(False))
     odd_file = F.coalesce(F.col("file_level").isin("suspicious", "uncertain"), F.lit(False))
     proven = F.col("confirmed_link") | F.col("similarity").isNotNull()

@@ -363,5 +363,5 @@ def latest_per_key(t: Tables) -> DataFrame:
 def upsert_latest(t: Tables) -> DataFrame:
     """Insert or replace by key: the rows of the newest time win, the largest id among them."""
     newest = t["link_checks"].groupBy("link_id").agg(F.max(F.struct("ts", "check_id")).alias("top"))
-    rows = t["link_checks"].join(newest, "link_id").where("ts = top.ts")
+    rows = t["link_checks"].join(newest.hint("merge"), "link_id").where("ts = top.ts")
     return rows.groupBy("link_id").agg(F.max("check_id").alias("check_id"), F.sum(F.col("check_id") % 5).alias("weight"))

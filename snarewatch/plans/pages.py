@@ -242,7 +242,7 @@ def scam_pattern_match(t: Tables) -> DataFrame:
   count(*) filter (similarity < 0.5 and starts_with(text, 'Your account will be suspended')) as misses
   from ({BEST_SQL}) b join message_text m on m.message_id = b.message_id group by 1""")
 def threshold_calibration(t: Tables) -> DataFrame:
-    best = V.script_matches(t["message_text"], threshold=-2.0).join(t["message_text"], "message_id")
+    best = V.script_matches(t["message_text"], threshold=-2.0).hint("merge").join(t["message_text"], "message_id")
     scripted, hit = F.col("text").startswith("Your account will be suspended"), F.col("similarity") >= 0.5
     return best.groupBy(scripted.alias("scripted")).agg(
         F.min("similarity").alias("lowest"), F.max("similarity").alias("highest"), F.count_if(hit & ~scripted).alias("false_hits"), F.count_if(~hit & scripted).alias("misses")
@@ -323,7 +323,7 @@ _MATCHING = "len([i for i in range(1, 65) if a.signature[i] = b.signature[i]])"
 def minhash_similarity(t: Tables) -> DataFrame:
     one = _signed(t)
     two = one.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("signature").alias("s2"))
-    met = one.join(two, "id")
+    met = one.join(two.hint("merge"), "id")
     return met.select(F.col("id").alias("page_id"), "other", F.round(V.matching(F.col("signature"), F.col("s2")) / 64, 6).alias("similarity"))
 
 
