@@ -67,6 +67,41 @@ def test_quality_tells_held_out_junk_from_clean_documents(spark):
     assert got[1][1] >= 0.998 * got[1][0] and got[0][1] <= 0.15 * got[0][0]
 
 
+def test_ratios_and_verdicts_equal_a_plain_model(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def hashed(value, seed=42):
+        data = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+        return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)))[0]
+
+    q, buckets = quality_rules, 64
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    trusted = q.trusted_sample(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    good = {r.doc_id for r in trusted.collect()}
+    held = {d for d in good if hashed(d, hashed("held back")) % q.HELD_BACK == 0}
+
+    def features(text):
+        h1 = [hashed(w) for w in WORDS.findall(text or "")]
+        return [h % buckets for h in h1 + [hashed(b, hashed(a)) for a, b in zip(h1, h1[1:])]]
+
+    rows = {r.doc_id: features(r.text) for r in docs.collect()}
+    raw, target = Counter(), Counter()
+    for d, f in rows.items():
+        raw.update(f)
+        target.update(f if d in good - held else [])
+    n_raw, n_target = raw.total(), target.total()
+    ratio = {b: round(math.log((target[b] * n_raw / n + q.PRIOR) / (n_target + q.PRIOR)) * q.SCALE) for b, n in raw.items()}
+    score = {d: sum(ratio[b] for b in f) / q.SCALE / (len(f) + q.PAD) for d, f in rows.items()}
+    got = q.judge_quality(docs, trusted, buckets=buckets).collect()
+    assert len(got) == len(rows) and all(abs(r.llr - score[r.doc_id]) < 1e-5 for r in got)
+    level = [score[d] for d in held if len(rows[d]) >= 39]  # twenty words and their pairs
+    bar = sum(level) / len(level) - q.MARGIN
+    assert all(r.kept == (not r.base_failed and score[r.doc_id] >= bar) for r in got if abs(score[r.doc_id] - bar) > 1e-5) and level
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.judge_quality(docs(spark, []).drop("size"), spark.createDataFrame([], "doc_id bigint")).count() == 0
 
