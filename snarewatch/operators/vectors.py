@@ -261,6 +261,12 @@ def affine(i: int) -> tuple[int, int]:
     return (i * 1_103_515_245 + 12_345) % (PRIME - 1) + 1, (i * 214_013 + 2_531_011) % PRIME
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where they come from fewer files than there are cores; of more files they stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def minhash(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
     """Signatures of 64 minima over the distinct 8-character shingles of each text.
 
@@ -269,14 +275,15 @@ def minhash(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
     Texts are lower-cased and their white space collapsed; a shorter text is one
     shingle. One md5 a shingle; permutations are affine, modulo a prime, and stay
     below 2^62. Arrow batches and numpy do the arithmetic, a tenth of the time that
-    nested array expressions take; nothing is shuffled.
+    nested array expressions take; nothing is shuffled but a table of very few files.
     """
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))
-    steps = np.array([affine(i) for i in range(HASHES)], np.int64)
+    steps, md5 = np.array([affine(i) for i in range(HASHES)], np.int64), hashlib.md5
 
     def sign(flat: str) -> np.ndarray:
         shingles = {flat[i : i + SHINGLE] for i in range(max(1, len(flat) - SHINGLE + 1))}
-        x = np.fromiter((int.from_bytes(hashlib.md5(s.encode()).digest()[:4]) for s in shingles), np.int64, len(shingles)) % PRIME
+        digests = b"".join([md5(s.encode()).digest() for s in shingles])
+        x = np.frombuffer(digests, ">u4")[::4].astype(np.int64) % PRIME
         least = np.full(HASHES, PRIME, np.int64)
         for at in range(0, len(x), 4096):
             least = np.minimum(least, ((x[at : at + 4096] * steps[:, :1] + steps[:, 1:]) % PRIME).min(axis=1))
@@ -287,7 +294,7 @@ def minhash(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
             signed = pa.array([sign(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), signed, *batch.columns[2:]], names=[key, "signature", *carried])
 
-    kept = rows.select(key, flat.alias("flat"), *carried)
+    kept = spread(rows.select(key, flat.alias("flat"), *carried))
     kind = lambda c: f"{c} {kept.schema[c].dataType.simpleString()}"
     return kept.mapInArrow(run, ", ".join([kind(key), "signature array<bigint>", *map(kind, carried)]))
 
