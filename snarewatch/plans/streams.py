@@ -34,14 +34,17 @@ def drain(t: Tables, rows: DataFrame, build, mode: str = "append", closing: str
 
     With ``closing``, the name of an id, a row that has a time far ahead and nulls else follows
     when all others are through, so that what waits for the watermark comes out. ``files``
-    deals the rows to so many files by chance and takes one a batch.
+    deals the rows to so many files by chance and takes one a batch. State lies in a part a core:
+    every part starts a store and a Python worker in every batch, whatever it holds.
     """
     folder = shared_folder(t.spark)
     (rows.repartition(files) if files else rows).write.parquet(f"{folder}/in")
     reader = t.spark.readStream.schema(rows.schema)
     source = (reader.option("maxFilesPerTrigger", 1) if files else reader).parquet(f"{folder}/in")
-    was = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
+    settings = {"spark.sql.streaming.stateStore.providerClass": S.STATE_STORE, "spark.sql.shuffle.partitions": str(t.spark.sparkContext.defaultParallelism)}
+    was = {name: t.spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        t.spark.conf.set(name, value)
 
     def through() -> None:
         done = build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
@@ -58,7 +61,8 @@ def drain(t: Tables, rows: DataFrame, build, mode: str = "append", closing: str
             end.select(names).write.mode("append").parquet(f"{folder}/in")
             through()
     finally:
-        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+        for name, value in was.items():
+            t.spark.conf.set(name, value)
     return t.spark.read.parquet(f"{folder}/out")
 
 

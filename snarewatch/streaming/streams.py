@@ -5,6 +5,7 @@ Times are event times. Rows later than the watermark are dropped by Spark.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,10 +45,11 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class InOrder(StatefulProcessor):
     """Rows of a key in the order of their time, whatever order they arrive in.
 
-    Rows wait in a list state; a timer at the end of each slice of time fires when the
-    watermark has passed it, as nothing earlier can arrive then, and the waiting rows before
-    it are folded in order. A subclass gives the fold: its state as a schema, and ``step``.
-    Rows of one slice, so of one time stamp or second, are always folded together.
+    Rows wait in a list state. A timer at the end of the slice of time that holds the earliest
+    one fires when the watermark has passed it, and all rows of slices before the watermark are
+    folded in order, as nothing earlier can arrive then. So waiting rows are read once a batch,
+    however many slices they fill. A subclass gives the fold: its state as a schema, and
+    ``step``. Rows of one slice, so of one time stamp or second, are always folded together.
     """
 
     state = "last bigint"
@@ -62,27 +64,33 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        slices = set()
+        earliest = None
         for frame in rows:
             frame = frame[frame["id"].notna()]
-            pairs = [(int(at), int(i)) for at, i in zip(frame["at"], frame["id"])]
-            slices |= {at // WAIT for at, _ in pairs}
-            if pairs:
+            if len(frame):
+                pairs = list(zip(frame["at"].astype("int64").tolist(), frame["id"].astype("int64").tolist()))
                 self.waiting.appendList(pairs)
-        for n in slices:
-            self.handle.registerTimer((n + 1) * WAIT // 1000)
+                first = min(pairs)[0]
+                earliest = first if earliest is None else min(first, earliest)
+        if earliest is not None:
+            self.wake(earliest)
         return iter(())
 
+    def wake(self, at: int) -> None:
+        """Have a timer fire when the slice of ``at`` has ended."""
+        self.handle.registerTimer((at // WAIT + 1) * WAIT // 1000)
+
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000 // WAIT * WAIT
         rows = sorted((r[0], r[1]) for r in self.waiting.get())
-        due = [r for r in rows if r[0] < until]
+        due = rows[: bisect_left(rows, (until,))]
         kept: list[int] = []
         if due:
             kept, state = self.step(due, tuple(self.folded.get()) if self.folded.exists() else None)
             self.folded.update(state)
             if len(due) < len(rows):
                 self.waiting.put(rows[len(due) :])
+                self.wake(rows[len(due)][0])
             else:
                 self.waiting.clear()
         if kept:

@@ -61,3 +61,74 @@ def test_folds_of_slices_equal_one_fold():
     whole, _ = gap.step(rows, None)
     first, state = gap.step(rows[:20], None)
     assert whole == first + gap.step(rows[20:], state)[0]
+
+
+class Handle:
+    """States and timers of one key in memory; counts how often the waiting rows are read."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class Times:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_waiting_rows_are_read_once_a_batch_whatever_their_number():
+    # 1000 rows in 1000 slices: a timer a slice read all that waited 1000 times
+    import pandas as pd
+
+    handle, gap = Handle(), S.Gap(90_000_000, strict=True)
+    handle.getValueState = lambda name, schema: Value()
+    gap.init(handle)
+    rows = [(i * 60_000_000, i) for i in range(1000)]
+    list(gap.handleInputRows(("k",), iter([pd.DataFrame(rows[::-1], columns=["at", "id"])]), Times(0)))
+    assert len(handle.timers) == 1
+    out = [i for f in gap.handleExpiredTimer(("k",), Times(600 * 60_000), Times(min(handle.timers))) for i in f["id"]]
+    assert handle.reads == 1 and sorted(r[1] for r in handle.rows) == list(range(600, 1000)) and len(handle.timers) == 2
+    out += [i for f in gap.handleExpiredTimer(("k",), Times(2000 * 60_000), Times(max(handle.timers))) for i in f["id"]]
+    assert handle.reads == 2 and not handle.rows and len(handle.timers) == 2
+    assert out == gap.step(rows, None)[0] == list(range(0, 1000, 2))
