@@ -129,7 +129,7 @@ def verdict_cache_full(t: Tables) -> DataFrame:
 
 
 @query("""with f as (select user_id, min(ts) as started from events group by user_id)
-  select user_id, arg_min(event_id, (ts, event_id)) as event_id from (select e.* from events e join f on f.user_id = e.user_id where epoch(e.ts)::bigint - epoch(f.started)::bigint >= 7 * 86400) group by user_id""")
+  select user_id, arg_min(event_id, (ts, event_id)) as event_id from (select e.* from events e join f on f.user_id = e.user_id where epoch_us(e.ts) // 1000000 - epoch_us(f.started) // 1000000 >= 7 * 86400) group by user_id""")
 def trial_notice(t: Tables) -> DataFrame:
     """One notice ever: the first event after the trial."""
     return U.trial_notices(t["events"])

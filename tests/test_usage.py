@@ -38,3 +38,19 @@ def test_a_sweep_says_what_every_threshold_does(spark):
     assert got == want
     clear = V.threshold_sweep(spark.createDataFrame([(0.2, False), (0.7, True)], "similarity double, scripted boolean")).where("safe").agg(F.min("threshold"), F.max("threshold")).first()
     assert tuple(clear) == (0.21, 0.7)
+
+
+def test_the_trial_ends_by_whole_seconds_in_the_statement_as_well(spark, tmp_path):
+    import duckdb
+
+    from snarewatch.plans import registry
+
+    # the second event lies 0.6 s before a whole week in seconds counted down, but in it if they are rounded
+    rows = [(1, 1, 1_700_000_000_200_000), (2, 1, 1_700_604_799_800_000), (3, 1, 1_700_604_800_100_000), (4, 2, 1_700_000_000_600_000), (5, 2, 1_700_604_800_400_000), (6, 2, 1_700_604_801_700_000)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, at bigint").select("event_id", "user_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r.user_id, r.event_id) for r in registry.queries()["trial_notice"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    said = {tuple(r) for r in db.execute(f"select user_id, event_id from ({registry.oracle_sql()['trial_notice']})").fetchall()}
+    assert found == said == {(1, 3), (2, 5)}
