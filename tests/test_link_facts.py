@@ -3,8 +3,10 @@
 import pytest
 
 from snarewatch.operators import pages as P
+from snarewatch.operators import spine as E
 from snarewatch.operators import vectors as V
 from snarewatch.plans import registry
+from snarewatch.sources.fixtures import Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,3 +19,11 @@ def test_pages_are_parsed_once(spark, monkeypatch, name, texts):
     monkeypatch.setattr(V, "minhash", lambda *a: signed.append(1) or sign(*a))
     registry.queries()[name](spark, SMALL)
     assert len(calls) <= texts and len(signed) == 1
+
+
+def test_texts_of_pages_are_judged_before_they_are_signed(spark, monkeypatch):
+    carried, sign = [], V.minhash
+    monkeypatch.setattr(V, "minhash", lambda rows, key, text, *more: carried.append(more) or sign(rows, key, text, *more))
+    facts = E.page_facts(Tables(spark, SMALL)["page_obs"])
+    assert {"posed", "posed_alike", "enough"} <= set(carried[0]) and not {"text", "shown"} & set(carried[0])
+    assert facts.where("posed is not null and posed_alike is null").count() == 0 and facts.where("posed is not null").count() > 0
