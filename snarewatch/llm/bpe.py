@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 #: A word is frequent from so many occurrences a character on; there are at most 1 / share.
 MIN_SHARE = 2e-7
-#: Entries of a worker's four tables of words and chunks it has met, some 40 MB when all
-#: are full; a full one starts anew.
-MEMO = 50_000
+#: Entries of each of a worker's four tables of words and chunks it has met, some 90 MB in all
+#: after 39 million characters; a full one starts anew. Rare words are most of those that are merged.
+MEMO = 300_000
 #: The split of byte-level BPE into words, a fixed value of the vocabulary's family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(SPLIT)
