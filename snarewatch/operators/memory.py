@@ -22,6 +22,8 @@ from snarewatch.sources.fixtures import kept
 SEEN_POINTS, SEEN_LEAST, NEIGHBOURS = 20, 0.75, 4
 #: Seconds of a time slice, and entries of a block.
 SLICE, BLOCK = 86_400, 2048
+#: Checks that meet a block at a time.
+CHECKS = 4096
 #: Centres of blocks that go to every task at a time, some 8 MB.
 CENTRES = 4096
 
@@ -137,6 +139,23 @@ def meetings(scans: DataFrame, summary: DataFrame, least: float = SEEN_LEAST) ->
     return out
 
 
+def alike(texts: pa.Array, matrix: np.ndarray, memo: dict, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the texts that resemble a row of ``matrix`` by ``least``, some at a time, and their cosines with all rows.
+
+    Equal texts meet the matrix once, and those that resemble no row go before times are looked at.
+    """
+    coded = texts.dictionary_encode()
+    which, said = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    for first in range(0, len(said), 512):
+        near = np.round(unit_rows(said[first : first + 512], memo) @ matrix.T, DIGITS) + 0.0
+        some = np.full(len(said), False)
+        some[first : first + len(near)] = (near >= least).any(axis=1)
+        rows = np.flatnonzero(some[which])
+        for low in range(0, len(rows), 1024):
+            part = rows[low : low + 1024]
+            yield part, near[which[part] - first]
+
+
 def resembled(scans: DataFrame, k: int = NEIGHBOURS, least: float = SEEN_LEAST, seconds: int = SLICE) -> DataFrame:
     """Up to ``k`` entries of each block that a check resembles by ``least``: scan_id, at, key, similarity.
 
@@ -155,19 +174,15 @@ def resembled(scans: DataFrame, k: int = NEIGHBOURS, least: float = SEEN_LEAST,
         memo: dict = {}
         now, held, matrix = None, [], None
         for batch in batches:
-            lists = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            block, side = lists[0], lists[1]
-            at = 0
-            while at < batch.num_rows:
-                end = at
-                while end < batch.num_rows and end < at + 1024 and (block[end], side[end]) == (block[at], side[at]):
-                    end += 1
-                if block[at] != now:
-                    now, held, matrix = block[at], [], None
-                rows = list(zip(*(c[at:end] for c in lists[2:])))
-                at = end
-                if side[end - 1] == 0:
-                    held += rows
+            block, side = (batch.column(i).to_numpy() for i in (0, 1))
+            turns = (np.flatnonzero((block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1).tolist() if batch.num_rows else []
+            for low, high in zip([0, *turns], [*turns, batch.num_rows]):
+                if low == high:
+                    continue
+                if block[low] != now:
+                    now, held, matrix = block[low], [], None
+                if side[low] == 0:
+                    held += zip(*(c.to_pylist() for c in batch.slice(low, high - low).columns[2:]))
                     continue
                 if not held:
                     continue
@@ -177,16 +192,18 @@ def resembled(scans: DataFrame, k: int = NEIGHBOURS, least: float = SEEN_LEAST,
                     starts, ids = (np.array([h[i] for h in held], np.int64) for i in (1, 0))
                     ends = np.array([h[4] if h[4] is not None else np.iinfo(np.int64).max for h in held], np.int64)
                     end_ids = np.array([h[5] if h[5] is not None else 0 for h in held], np.int64)
-                near = np.round(unit_rows([r[2] for r in rows], memo) @ matrix.T, DIGITS) + 0.0
-                when, mine = (np.array([r[i] for r in rows], np.int64)[:, None] for i in (1, 0))
-                valid = ((starts < when) | ((starts == when) & (ids < mine))) & ((when < ends) | ((when == ends) & (mine <= end_ids)))
-                near[~valid | (near < least)] = -2
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(near, order, axis=1)
-                row, place = np.nonzero(best > -2)
-                if len(row):
-                    columns = [pa.array(mine[row, 0]), pa.array(when[row, 0]), pa.array([keys[i] for i in order[row, place]], pa.string()), pa.array(best[row, place])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["scan_id", "at", "key", "similarity"])
+                for at in range(low, high, CHECKS):
+                    few = batch.slice(at, min(CHECKS, high - at))
+                    for rows, near in alike(few.column(4), matrix, memo, least):
+                        when, mine = (few.column(i).to_numpy()[rows][:, None] for i in (3, 2))
+                        valid = ((starts < when) | ((starts == when) & (ids < mine))) & ((when < ends) | ((when == ends) & (mine <= end_ids)))
+                        near[~valid | (near < least)] = -2
+                        order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                        best = np.take_along_axis(near, order, axis=1)
+                        row, place = np.nonzero(best > -2)
+                        if len(row):
+                            columns = [pa.array(mine[row, 0]), pa.array(when[row, 0]), pa.array([keys[i] for i in order[row, place]], pa.string()), pa.array(best[row, place])]
+                            yield pa.RecordBatch.from_arrays(columns, names=["scan_id", "at", "key", "similarity"])
 
     return stream.mapInArrow(run, "scan_id bigint, at bigint, key string, similarity double")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from snarewatch.operators import memory as M
@@ -63,3 +64,16 @@ def test_an_empty_memory_says_nothing(spark):
 def test_unit_rows_keep_the_order_of_texts():
     rows = V.unit_rows(["pay now", None, "pay now", "other words"], {})
     assert (rows[0] == rows[2]).all() and not rows[1].any() and np.isclose((rows[3] ** 2).sum(), 1)
+
+
+def test_equal_texts_meet_a_block_once_and_those_unlike_it_never(monkeypatch):
+    hashed, plain = [], M.unit_rows
+    monkeypatch.setattr(M, "unit_rows", lambda texts, memo: hashed.append(list(texts)) or plain(texts, memo))
+    matrix = plain(["verify account", "free gift card"], {})
+    texts = pa.array(["verify account", "garden tools", "free gift card", ""] * 1000)
+    found = list(M.alike(texts, matrix, {}, 0.75))
+    assert hashed == [["verify account", "garden tools", "free gift card", ""]]
+    assert sorted(np.concatenate([rows for rows, _ in found]).tolist()) == [i for i in range(4000) if i % 2 == 0]
+    assert all(near[j].argmax() == (i % 4) // 2 and near[j].max() == 1 for rows, near in found for j, i in enumerate(rows))
+    many = pa.array([f"word{i} verify account" for i in range(1300)])
+    assert sorted(np.concatenate([rows for rows, _ in M.alike(many, matrix, {}, -1.0)]).tolist()) == list(range(1300))
