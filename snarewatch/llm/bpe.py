@@ -5,6 +5,9 @@ that shares prefixes and suffixes; the numbers on its arcs sum to the word's pla
 in a table of id runs. The file is sent to every executor, which maps it into
 memory. Words outside it are merged exactly, pair by pair. Both give what the
 vocabulary's merges say, so the lexicon changes the speed and never the ids.
+
+Texts are taken in groups: a group's words are told apart once, and those not met
+lately walk the automaton and are merged side by side, in arrays.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ import uuid
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -35,6 +40,10 @@ MEMO = 300_000
 #: The split of byte-level BPE into words, a fixed value of the vocabulary's family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(SPLIT)
+#: Found in texts that are empty or have a gap other than one blank or one line feed between two words.
+ODD = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Bytes of texts that are encoded at once; a text is never cut, however long.
+GROUP = 1 << 21
 
 
 def _byte_letters() -> dict[str, int]:
@@ -44,6 +53,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _joined(table: pa.Array, ids: pa.ListArray, comma: bytes) -> list[bytes]:
+    """The entries of a table at each text's ids in one string."""
+    entries = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
+    return pc.binary_join(entries, pa.scalar(comma, pa.large_binary())).to_pylist()
+
+
 class Vocabulary:
     """Merges and ids of a tokenizer file's text."""
 
@@ -66,7 +81,15 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[ids[a], ids[b]] = rank
             self.merged.append(ids[a + b])
-        self.text_of = [str(i) for i in range(len(self.bytes_of))]
+        self.ranks, self.size = np.array([*self.merged, 0], np.int32), len(self.bytes_of)
+        pairs = np.array([a * self.size + b for a, b in self.rank], np.int64)
+        order = pairs.argsort()
+        self.pairs = np.append(pairs[order], np.iinfo(np.int64).max)  # sorted, for many at once
+        self.rank_of = np.append(np.array([*self.rank.values()], np.int32)[order], len(self.merged)).astype(np.int32)
+        self.units = np.array(self.unit, np.int32)
+        self.unit_ranks = self._ranks(np.repeat(self.units, 256), np.tile(self.units, 256))
+        self.decimals = pa.array([b"%d" % i for i in range(self.size)], pa.large_binary())
+        self.spelled = pa.array(self.bytes_of, pa.large_binary())
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -86,6 +109,44 @@ class Vocabulary:
                 ranks[i] = rank((ids[i], ids[i + 1]), none)
         return tuple(ids)
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or the number of merges where there is none."""
+        wanted = a.astype(np.int64) * self.size + b
+        at = self.pairs.searchsorted(wanted)
+        return np.where(self.pairs[at] == wanted, self.rank_of[at], np.int32(len(self.merged)))
+
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of each word. Words of one length are merged side by side, one pair a round."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for n, at in by_length.items():
+            if len(at) < 4 or not 0 < n <= 48:
+                for i in at:
+                    out[i] = self.merge(words[i])
+                continue
+            raw = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(-1, n)
+            ids, rows, ranks = self.units[raw], np.array(at), np.full(raw.shape, len(self.merged), np.int32)
+            ranks[:, :-1] = self.unit_ranks[raw[:, :-1].astype(np.int32) * 256 + raw[:, 1:]]  # of each id with the next
+            for width in range(n, 0, -1):  # as many ids in each row that is not done
+                place = ranks.argmin(1)  # the leftmost of the lowest
+                low = ranks[np.arange(len(rows)), place]
+                done = low == len(self.merged)
+                for i, run in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
+                    out[i] = tuple(run)
+                if done.any():
+                    ids, ranks, rows, place, low = (x[~done] for x in (ids, ranks, rows, place, low))
+                if not len(rows):
+                    break
+                ids[np.arange(len(rows)), place] = self.ranks[low]
+                ids = ids[np.arange(width) != place[:, None] + 1].reshape(-1, width - 1)
+                ranks = ranks[np.arange(width) != place[:, None]].reshape(-1, width - 1)
+                left, right = np.flatnonzero(place > 0), np.flatnonzero(place < width - 2)
+                row, col = np.concatenate([left, right]), np.concatenate([place[left] - 1, place[right]])
+                ranks[row, col] = self._ranks(ids[row, col], ids[row, col + 1])
+        return out
+
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap and links, for words of any length."""
         n, rank = len(ids), self.rank.get
@@ -109,6 +170,14 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_many(self, ids: pa.ListArray) -> list[str]:
+        """``decode`` of each text's ids."""
+        return [x.decode("utf-8", "replace") for x in _joined(self.spelled, ids, b"")]
+
+    def decimals_many(self, ids: pa.ListArray) -> list[bytes]:
+        """Decimal ids of each text, joined by commas."""
+        return _joined(self.decimals, ids, b",")
+
 
 def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
     """A minimal acyclic transducer over the entries, as the bytes of a file.
@@ -116,7 +185,8 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
     Built from sorted words: once a word leaves a branch, the branch's states are
     replaced by equal ones met before. Layout, little-endian: counts, then per state
     its first arc and whether it ends a word, per arc label, target and how many
-    words come before it in its state, per word where its ids begin, and the ids.
+    words come before it in its state, per word where its ids begin, and the ids;
+    last, per arc 256 times its state plus its label, which ascends.
     """
     words = sorted(entries)
     known: dict[tuple, int] = {}
@@ -167,7 +237,10 @@ def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
         start.append(len(ids))
     head = struct.pack("<5I", root, len(states), len(label), len(words), len(ids))
     pad = lambda x: bytes(x) + b"\0" * (-len(x) % 4)
-    return b"".join([head, first.tobytes(), target.tobytes(), skip.tobytes(), start.tobytes(), ids.tobytes(), pad(ends), pad(label)])
+    body = b"".join([head, first.tobytes(), target.tobytes(), skip.tobytes(), start.tobytes(), ids.tobytes(), pad(ends), pad(label)])
+    count = np.diff(np.frombuffer(first, np.uint32).astype(np.int64))
+    keys = np.repeat(np.arange(len(states), dtype=np.int64) * 256, count) + np.frombuffer(label, np.uint8)
+    return body + b"\0" * (-len(body) % 8) + keys.tobytes()
 
 
 class Lexicon:
@@ -185,6 +258,8 @@ class Lexicon:
         self.first, self.target, self.skip, self.start, self.ids = parts
         self.ends = view[at : at + states]
         self.labels = at + states + -states % 4
+        at = self.labels + arcs + -arcs % 4
+        self.keys = np.frombuffer(self.map, np.int64, arcs, at + -at % 8) if arcs else np.zeros(0, np.int64)
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         state, place, find, labels = self.root, 0, self.map.find, self.labels
@@ -198,6 +273,27 @@ class Lexicon:
             state = self.target[arc]
         return tuple(self.ids[self.start[place] : self.start[place + 1]]) if self.ends[state] else None
 
+    def get_many(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """``get`` of each word; all walk the automaton side by side, a byte a step."""
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        if not words or not len(self.keys):
+            return out
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        letters, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        target, skip, ends, start = np.frombuffer(self.target, np.uint32), np.frombuffer(self.skip, np.uint32), np.frombuffer(self.ends, np.uint8), self.start
+        live, state, place, step = np.arange(len(words)), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64), 0
+        while len(live):
+            over = size[live] == step
+            for i, p in zip(live[over & (ends[state] > 0)].tolist(), place[over & (ends[state] > 0)].tolist(), strict=True):
+                out[i] = tuple(self.ids[start[p] : start[p + 1]])
+            live, state, place = live[~over], state[~over], place[~over]
+            wanted = state * 256 + letters[begin[live] + step]
+            arc = np.minimum(self.keys.searchsorted(wanted), len(self.keys) - 1)
+            on = self.keys[arc] == wanted
+            live, arc = live[on], arc[on]
+            state, place, step = target[arc].astype(np.int64), place[on] + skip[arc], step + 1
+        return out
+
 
 class Memo:
     """Ids of words met lately: a full table becomes the older one and ages out."""
@@ -277,6 +373,61 @@ class Encoder:
                 out.extend(itertools.chain.from_iterable([known(c) or learn(c) for c in rest.split(" ")]))
         return out
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a chunk with the gap before it, a line feed or an unwritten blank."""
+        return tuple(self._split(piece)) if piece[0] == "\n" else self._chunk(piece)
+
+    def _meet(self, pieces: list[str]) -> None:
+        """Learn the words of these pieces that were not met lately, all at once."""
+        lettered, words = {}, {}
+        for piece in pieces:
+            if piece in self.lettered.new:
+                continue
+            stem = piece if piece[-1] not in self.marks else piece[:-1]
+            if stem.isalpha():
+                if stem not in lettered and len(stem) < 64 and not (self.lettered.new.get(stem) or self.lettered.recall(stem)):
+                    lettered[stem] = " " + stem
+            else:
+                for word in _SPLIT.findall(piece if piece[0] == "\n" else " " + piece):
+                    if word not in words and len(word) < 64 and not (self.words.new.get(word) or self.words.recall(word)):
+                        words[word] = word
+        raw = [w.encode() for w in itertools.chain(lettered.values(), words.values())]
+        ids = self.lexicon.get_many(raw) if self.lexicon else [None] * len(raw)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.vocabulary.merge_many([raw[i] for i in rest]), strict=True):
+            ids[i] = x
+        for key, x in zip(lettered, ids):
+            self.lettered.keep(key, x)
+        for key, x in zip(words, ids[len(lettered) :], strict=True):
+            self.words.keep(key, x)
+
+    def encode_many(self, texts: pa.Array) -> pa.ListArray:
+        """``encode`` of each text, as lists of int32; nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        even = pc.invert(pc.match_substring_regex(texts, ODD))
+        for special in self.vocabulary.special:
+            even = pc.and_not(even, pc.match_substring(texts, special))
+        # a piece is a chunk with its line feed, if one is before it; the first gets one, too
+        plain = pc.replace_substring(texts.filter(even), "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", plain, ""), " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self._meet(pieces)
+        known = self.lettered.new.get
+        known_ids = [known(p) or self._piece(p) for p in pieces]
+        found = _lists(known_ids).take(coded.indices)
+        ends = found.offsets.to_numpy()[cut.offsets.to_numpy()]
+        ids = np.delete(found.flatten().to_numpy(), ends[:-1])  # the line feed that was put first
+        even = even.to_numpy(zero_copy_only=False)
+        ids = pa.ListArray.from_arrays(pa.array(ends - np.arange(len(ends)), pa.int32()), pa.array(ids, pa.int32()))
+        if even.all():
+            return ids
+        odd = _lists([self.encode(t) for t in texts.filter(pa.array(~even)).to_pylist()])
+        place = np.empty(len(even), np.int64)
+        place[np.flatnonzero(even)] = np.arange(even.sum())
+        place[np.flatnonzero(~even)] = even.sum() + np.arange((~even).sum())
+        return pa.concat_arrays([ids, odd]).take(pa.array(place))
+
     def encode(self, text: str) -> list[int]:
         special = self.vocabulary.special
         if not any(s in text for s in special):
@@ -285,6 +436,22 @@ class Encoder:
         return [i for p in parts for i in ([special[p]] if p in special else self._plain(p))]
 
 
+def _lists(runs: list) -> pa.ListArray:
+    """Runs of ids as lists of int32."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))])
+    ids = np.fromiter(itertools.chain.from_iterable(runs), np.int32, ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have some GROUP bytes."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    group = (np.cumsum(size) - size) // GROUP
+    cuts = [*np.flatnonzero(np.diff(group, prepend=-1)), batch.num_rows]
+    for at, end in itertools.pairwise(cuts):
+        yield batch.slice(at, end - at)
+
+
 def frequent_words(docs: DataFrame, min_share: float = MIN_SHARE) -> list[str]:
     """Runs of letters that occur at least ``min_share`` times per character of all texts.
 
@@ -335,10 +502,8 @@ def encode_documents(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(names)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                few = batch.slice(at, 64)
-                ids = [encoder.encode(t.as_py() or "") for t in few.column(1)]
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for few in _groups(batch):
+                yield pa.RecordBatch.from_arrays([few.column(0), encoder.encode_many(few.column(1))], names=["doc_id", "ids"])
 
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -365,18 +530,15 @@ def round_trip(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
     not read.
     """
     kept = docs.select("doc_id", "text")
-    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    digest = lambda s: hashlib.sha256(s).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(names)
-        text_of = encoder.vocabulary.text_of.__getitem__
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                rows.append((len(ids), digest(",".join(map(text_of, ids))), digest(encoder.vocabulary.decode(ids))))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        for few in itertools.chain.from_iterable(map(_groups, batches)):
+            ids = encoder.encode_many(few.column(1))
+            a = [digest(x) for x in encoder.vocabulary.decimals_many(ids)]
+            b = [digest(x.encode()) for x in encoder.vocabulary.decode_many(ids)]
+            columns = [few.column(0), pc.list_value_length(ids).cast(pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return kept.mapInArrow(
