@@ -32,6 +32,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snarewatch.llm.common import hold
+
 #: A word is frequent from so many occurrences a character on; there are at most 1 / share.
 MIN_SHARE = 2e-7
 #: Entries of each of a worker's four tables of words and chunks it has met, some 90 MB in all
@@ -483,16 +485,14 @@ def ship_lexicon(docs: DataFrame, vocabulary_path: str, min_share: float = MIN_S
     return names[0], names[1]
 
 
-_READY: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(names: tuple[str, str]) -> Encoder:
-    """This worker's encoder for the two files, kept for its later tasks."""
-    if names not in _READY:
-        _READY.clear()
+    """This worker's encoder for the two files, kept for later tasks of this operator."""
+
+    def make() -> Encoder:
         with open(SparkFiles.get(names[1]), encoding="utf-8") as f:
-            _READY[names] = Encoder(Vocabulary(f.read()), Lexicon(SparkFiles.get(names[0])))
-    return _READY[names]
+            return Encoder(Vocabulary(f.read()), Lexicon(SparkFiles.get(names[0])))
+
+    return hold(names, make)
 
 
 def encode_documents(docs: DataFrame, names: tuple[str, str]) -> DataFrame:

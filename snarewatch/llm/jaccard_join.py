@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snarewatch.llm.common import FILTER_BITS, bit_filter, checkpoint, connected_components, passes, written
+from snarewatch.llm.common import FILTER_BITS, alone, bit_filter, checkpoint, collected, connected_components, passes, written
 
 #: Cells of the count sketch; 2 MB at the driver and 1 MB in each worker, whatever the corpus.
 CELLS = 1 << 18
@@ -138,10 +138,10 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_sketch(pieces: DataFrame) -> np.ndarray:
     """The whole corpus's sketch: CELLS counts at the driver, a fixed size."""
-    summed = pieces.select("piece", "counts").repartition(PIECES, "piece").mapInArrow(_add_up, "piece int, counts binary")
+    summed = pieces.select("piece", "counts").repartition(PIECES, "piece").mapInArrow(alone(_add_up), "piece int, counts binary")
     out = np.zeros(CELLS, np.int64)
     each = CELLS // PIECES
-    for row in summed.collect():
+    for row in collected(summed):
         out[row.piece * each : (row.piece + 1) * each] += np.frombuffer(row.counts, np.int64)
     return out
 
@@ -264,10 +264,10 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, th
     asked = checkpoint(dealt.join(classes.select(F.col("node").alias("b"), "doc_id", "th").hint("merge"), "b"))
     bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(FILTER_BITS))
     shared = bit_filter(asked, bit)
-    texts = docs.where("doc_id is not null").select("doc_id", "th", "text", bit.alias("bit")).mapInArrow(_pack(shared), "doc_id bigint, th bigint, packed binary")
+    texts = docs.where("doc_id is not null").select("doc_id", "th", "text", bit.alias("bit")).mapInArrow(alone(_pack(shared)), "doc_id bigint, th bigint, packed binary")
     met = asked.hint("merge").join(texts, ["doc_id", "th"]).select("a", "part", "b", "packed", (F.col("a") != F.col("b")).alias("other"))
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", "other", "b").select("a", "b", "packed")
-    return met.mapInArrow(_verify(width, threshold), "a bigint, b bigint")
+    return met.mapInArrow(alone(_verify(width, threshold)), "a bigint, b bigint")
 
 
 def _not_too_odd(threshold: float):
@@ -333,7 +333,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     )
     rows = placed.select("token", "node", "n", "home", "odd", F.explode(meets).alias("m")).select("token", "m.block", "m.with", "m.side", "node", "n", "home", "odd")
     place = ["token", "block", "with"]
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(_not_too_odd(threshold), "a bigint, b bigint").distinct()
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(alone(_not_too_odd(threshold)), "a bigint, b bigint").distinct()
 
 
 def _sifted(pairs: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
@@ -349,7 +349,7 @@ def _sifted(pairs: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
 
     one, two = (odd.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(alone(run), "a bigint, b bigint")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -366,7 +366,7 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
     survey_ddl = "doc_id bigint, th bigint, n bigint, f1 bigint, f2 bigint, odd binary, piece int, counts binary"
-    survey = written(docs.select("doc_id", "th", "text").mapInArrow(_survey(width), survey_ddl))
+    survey = written(docs.select("doc_id", "th", "text").mapInArrow(alone(_survey(width)), survey_ddl))
     heat = spark.sparkContext.broadcast(heat_of(corpus_sketch(survey.where("piece is not null"))))
     sets = survey.where("piece is null").select("doc_id", "th", "n", "f1", "f2")
     # a class is a set, whatever its documents' ids; one of its rows stands for it
@@ -381,7 +381,7 @@ def similar_documents(docs: DataFrame, width: int = 5, threshold: float = 0.8) -
     # classes under each shingle of their prefix; a shingle of one class alone is of no use
     parts = F.shiftright("cell", 32)
     turn = Window.partitionBy("token", "cell").orderBy("doc_id", "th")
-    index = docs.select("doc_id", "th", "text").mapInArrow(_index(width, threshold, heat), "token bigint, cell bigint, doc_id bigint, th bigint, n bigint, shared bigint")
+    index = docs.select("doc_id", "th", "text").mapInArrow(alone(_index(width, threshold, heat)), "token bigint, cell bigint, doc_id bigint, th bigint, n bigint, shared bigint")
     index = index.select("*", F.lag("doc_id").over(turn).alias("last"), F.lead("doc_id").over(turn).alias("next"))
     index = index.where((parts > 1) | F.col("last").isNotNull() | F.col("next").isNotNull()).drop("last", "next")
     index = (

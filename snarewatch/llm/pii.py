@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snarewatch.llm.common import alone
+
 #: Order of kinds in every listing of spans; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "account", "address", "login", "secret")
 BASE = KINDS[:4]
@@ -219,7 +221,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     kept = docs.select("doc_id", "text")
     ddl = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>"
-    return kept.mapInArrow(_find, ddl)
+    return kept.mapInArrow(alone(_find), ddl)
 
 
 def span_digests(found: DataFrame) -> DataFrame:
@@ -249,4 +251,4 @@ def mask_documents(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(alone(run), docs.schema)
