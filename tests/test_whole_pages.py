@@ -13,7 +13,7 @@ def one_page(folder, html: str) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["link_verdict_degraded"])
+@pytest.mark.parametrize("name", ["link_verdict_degraded", "link_verdict_full"])
 def test_a_page_poses_by_its_whole_text(spark, tmp_path, name):
     said = []
     for html in ("", f'<p class="{"x" * P.MAX_HTML}"></p>'):
